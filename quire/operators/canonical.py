@@ -1,0 +1,269 @@
+"""Problem 7: map freely typed values to the entries of a canonical list, and report those that have none.
+
+Method: symmetric-delete dictionary, broadcast, for bounded edit-distance lookups; ranking by a weighted
+Damerau-Levenshtein distance and by how often the entry itself occurs in the data.
+
+Plan: the distinct values (partial aggregate, so a hot value is one row) are normalised to a few forms; forms and
+list entries are expanded to their deletes; an equi-join on the delete yields candidates; only candidates are
+scored. The dictionary is broadcast when its entries number at most ``BROADCAST_ENTRIES`` (checked by a count);
+a larger list goes through the same join as a shuffle. Values are joined back to the records last.
+
+Defined results: null values are no rows; values that are empty, or blank once cleaned, map to 0; of candidates of
+equal cost the more frequent entry wins, then the smaller ``entry_id``; repeated list entries do no harm.
+"""
+
+from __future__ import annotations
+
+import re
+import unicodedata
+from collections.abc import Iterator
+from functools import lru_cache
+from itertools import combinations
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+BROADCAST_ENTRIES = 100_000
+PREFIX, DELETES = 12, 2
+
+#: Words that may stand before or after a name without changing what is meant.
+COUNTRY_NOISE = frozenset("the of de la republic republica republique federal state kingdom ka ri in from gb great britain islands country nation commonwealth union socialist democratic people peoples".split())
+#: Short words written out before comparing.
+ABBREVIATED = {"rep": "republic", "dem": "democratic", "st": "saint", "utd": "united", "n": "new", "s": "south"}
+#: Further names of countries that locale data lack.
+ALSO = {"states": "united states", "america": "united states", "united states of america": "united states", "england": "united kingdom", "scotland": "united kingdom", "wales": "united kingdom", "britain": "united kingdom", "estados unidos mexicanos": "mexico", "drc": "democratic republic of the congo"}
+#: Kinds of jurisdiction, their abbreviations and the words around them.
+KIND = {"diocese": "diocese", "dioc": "diocese", "dio": "diocese", "d": "diocese", "archdiocese": "archdiocese", "archdioc": "archdiocese", "archd": "archdiocese", "arch": "archdiocese", "ad": "archdiocese", "vicariate": "vicariate", "vic": "vicariate", "eparchy": "eparchy", "ep": "eparchy", "epar": "eparchy", "prefecture": "prefecture", "pref": "prefecture", "exarchate": "exarchate"}
+DIOCESE_NOISE = frozenset("the of de di da do rc r c catholic roman latin apostolic metropolitan holy fr".split())
+INSTITUTE_HEAD = frozenset("congregation society order institute missionaries fathers brothers oratory servants sisters the of".split())
+#: Languages whose names of countries are taken from the JVM's locale data as further names.
+LANGUAGES = ("fr", "es", "de", "it", "pt", "pl", "nl", "id", "vi", "hr", "hu", "sk", "sl", "lt", "cs", "ro", "sv", "tl", "sw", "ms")
+
+
+def clean(s: str) -> str:
+    """Lower case without marks, invisible characters and punctuation; separators of parts are kept as ``|``."""
+    s = unicodedata.normalize("NFKD", s)
+    s = "".join(c for c in s if not unicodedata.combining(c) and unicodedata.category(c) not in ("Cf", "So", "Sk", "Cs"))
+    s = s.casefold()
+    s = re.sub(r"\s*[,/;|()\[\]–—]+\s*|\s+-\s+", "|", s)
+    s = re.sub(r"(?<=\b\w)\.\s*(?=\w\b)", "", s)  # p.n.g. is png
+    s = re.sub(r"['’`]", "", s)
+    s = re.sub(r"[^\w|]+", " ", s)
+    return re.sub(r"\s*\|[\s|]*", "|", s).strip(" |")
+
+
+def _strip_kind(words: list[str]) -> tuple[str, str]:
+    kinds = [KIND[w] for w in words if w in KIND and len(w) > 1] or [KIND[w] for w in words[:1] if w in KIND]
+    rest = list(words)
+    while rest and (rest[0] in DIOCESE_NOISE or rest[0] in KIND):
+        rest.pop(0)
+    while rest and (rest[-1] in DIOCESE_NOISE or rest[-1] in KIND):
+        rest.pop()
+    return (kinds[0] if kinds else ""), " ".join(rest)
+
+
+def forms(list_name: str, value: str) -> list[tuple[str, float, str]]:
+    """``(form, cost of reading the value so, kind of jurisdiction named)``, cheapest first."""
+    parts = [p for p in clean(value).split("|") if p.strip()]
+    out: dict[str, tuple[float, str]] = {}
+
+    def add(form: str, cost: float, kind: str = "") -> None:
+        form = form.strip()
+        if form and (form not in out or out[form][0] > cost):
+            out[form] = (cost, kind)
+
+    whole = " ".join(parts)
+    if list_name == "country":
+        add(whole, 0.0)
+        for k, p in enumerate(parts):
+            add(p, 0.1 + 0.02 * k)
+            w = p.split()
+            lo, hi = 0, len(w)
+            while lo < hi - 1 and w[lo] in COUNTRY_NOISE:
+                lo += 1
+            while hi > lo + 1 and w[hi - 1] in COUNTRY_NOISE:
+                hi -= 1
+            add(" ".join(w[lo:hi]), 0.2 + 0.02 * k)
+        add(whole.replace(" ", ""), 0.3)
+        words = [ABBREVIATED.get(x, x) for x in whole.split()]
+        add(" ".join(words), 0.1)
+        add(" ".join(x for x in words if x not in ("of", "the", "de")), 0.2)
+        for n in range(1, len(words)):  # a place before or after the country's name, which then must stand as it is
+            add(" ".join(words[n:]), 0.5, "=")
+            add(" ".join(words[:n]), 0.55, "=")
+    else:
+        kind, base = _strip_kind(whole.split())
+        add(whole, 0.0, kind)
+        add(base, 0.05, kind)
+        add(" ".join(x for x in whole.split() if x not in ("of", "the", "de")), 0.2, kind)
+        named = [(p, *_strip_kind(p.split())) for p in parts]
+        for k, (p, kd, b) in enumerate(named):
+            own = kd or (kind if len(parts) > 1 and any(not x[2] for x in named) else "")
+            # what follows the first part of a name is a place within it
+            later = 0.0 if not any(x[2] for x in named[:k]) else 1.2
+            add(p, 0.1 + later, own)
+            add(b, 0.15 + later, own)
+    return sorted(((f, c, k) for f, (c, k) in out.items()), key=lambda x: (x[1], x[0]))
+
+
+def reference_forms(list_name: str, entry_name: str, others: list[str]) -> list[tuple[str, float, str]]:
+    """The forms under which an entry is found; short names of the list (acronyms) only as they stand."""
+    out = [(clean(entry_name).replace("|", " "), 0.0, "")]
+    if list_name == "diocese":
+        kind, base = _strip_kind(out[0][0].split())
+        if kind:
+            out = [(out[0][0], 0.0, kind), (base, 0.0, kind)]
+        else:
+            w = out[0][0].split()
+            while w and w[0] in INSTITUTE_HEAD:
+                w.pop(0)
+            out.append((" ".join(w), 0.1, ""))
+        out.append((" ".join(x for x in out[0][0].split() if x not in ("of", "the", "de")), 0.1, kind))
+    else:
+        out.append((out[0][0].replace(" ", ""), 0.2, ""))
+        out.append((" ".join(x for x in out[0][0].split() if x not in ("of", "the", "de")), 0.1, ""))
+    out += [(clean(o).replace("|", " "), 0.1, "") for o in others if o]
+    return [x for x in out if x[0]]
+
+
+def deletes(form: str) -> set[str]:
+    """The form's prefix with up to ``DELETES`` characters left out; forms of up to three characters as they stand."""
+    p = form[:PREFIX]
+    if len(form) <= 3:
+        return {form}
+    return {"".join(c for i, c in enumerate(p) if i not in gone) for n in range(DELETES + 1) for gone in combinations(range(len(p)), n)}
+
+
+VOWELS = frozenset("aeiouy")
+
+
+def weighted_distance(a: str, b: str, stop: float = 9.0) -> float:
+    """Damerau-Levenshtein (optimal string alignment) with weights.
+
+    A doubled letter costs 0.6, a vowel for a vowel 0.8, a transposition 0.9, a space 0.5, any other edit 1; an edit
+    of the first letter costs 0.3 more.
+    """
+    if a == b:
+        return 0.0
+    n, m = len(a), len(b)
+    if abs(n - m) > 4:
+        return stop
+
+    def gap(s: str, i: int) -> float:
+        if s[i] == " ":
+            return 0.5
+        return (0.6 if i and s[i] == s[i - 1] or i + 1 < len(s) and s[i] == s[i + 1] else 1.0) + (0.3 if i == 0 else 0.0)
+
+    before: list[float] = []
+    last = [0.0]
+    for j in range(m):
+        last.append(last[-1] + gap(b, j))
+    for i in range(n):
+        row = [last[0] + gap(a, i)]
+        for j in range(m):
+            if a[i] == b[j]:
+                c = last[j]
+            else:
+                c = last[j] + (0.8 if a[i] in VOWELS and b[j] in VOWELS else 1.0) + (0.3 if i == 0 and j == 0 else 0.0)
+            c = min(c, last[j + 1] + gap(a, i), row[j] + gap(b, j))
+            if i and j and a[i] == b[j - 1] and a[i - 1] == b[j] and a[i] != a[i - 1]:
+                c = min(c, before[j - 1] + (0.6 if " " in (a[i], a[i - 1]) else 0.9))
+            row.append(c)
+        before, last = last, row
+        if min(row) > stop:
+            return stop
+    return last[-1]
+
+
+def allowed(n: int) -> float:
+    """The greatest weighted distance at which a form of ``n`` characters is still taken for an entry."""
+    return 0.0 if n <= 3 else 1.05 if n <= 4 else 1.35 if n <= 5 else 2.05 if n <= 9 else 2.7 if n <= 14 else 3.3
+
+
+@lru_cache(maxsize=4)
+def _locale_names(spark: SparkSession, listed: frozenset[str]) -> list[tuple[str, str, str, tuple[str, ...]]]:
+    """ISO codes, English name and, for listed countries, names in LANGUAGES, from the JVM's locale data."""
+    L = spark._jvm.java.util.Locale
+    tongues = [L.forLanguageTag(t) for t in LANGUAGES]
+    out = []
+    for code in L.getISOCountries():
+        place = L("", code)
+        shown = clean(place.getDisplayCountry(L.ENGLISH))
+        english = re.sub(r"\|.*", "", shown)
+        english = english.replace("congo kinshasa", "democratic republic of the congo").replace("congo brazzaville", "republic of the congo")
+        if code == "CD":
+            english = "democratic republic of the congo"
+        known = {"MM": "myanmar", "TL": "east timor"}.get(code, english)
+        foreign = tuple(re.sub(r"\|.*", "", clean(place.getDisplayCountry(t))) for t in tongues) if english in listed or known in listed else ()
+        out.append((code.lower(), place.getISO3Country().lower(), known, (english, *foreign)))
+    return out
+
+
+def reference(spark: SparkSession, places: DataFrame) -> DataFrame:
+    """``list_name, entry_id, entry_name, ref_form, ref_cost, ref_kind`` of the list.
+
+    Countries also get their names in other languages and ISO codes from the JVM's locale data; countries of that
+    data which the list lacks come in as entry 0, so that their names are not bent to a similar entry.
+    """
+    rows = [(r["list_name"], r["entry_id"], r["entry_name"], list(r["other_names"] or [])) for r in places.select("list_name", "entry_id", "entry_name", "other_names").distinct().toLocalIterator()]
+    out = [(ln, e, name, f, c, k) for ln, e, name, others in rows for f, c, k in reference_forms(ln, name, others)]
+    listed = {clean(name).replace("|", " "): (e, name) for ln, e, name, _ in rows if ln == "country"}
+    if listed:
+        for _, e, name, others in (r for r in rows if r[0] == "country"):
+            listed |= {clean(o).replace("|", " "): (e, name) for o in others}
+        out += [("country", *listed[name], also, 0.15, "") for also, name in ALSO.items() if name in listed]
+        for code, code3, english, foreign in _locale_names(spark, frozenset(listed)):
+            e, name = next((listed[n] for n in (english, *foreign) if n in listed), (0, ""))
+            out += [("country", e, name, n, 0.15, "") for n in dict.fromkeys((english, *foreign)) if n and n not in listed and (e or n not in ALSO)]
+            out += [("country", e, name, c, 0.25, "") for c in (code, code3) if c not in listed]
+    return spark.createDataFrame(sorted(set(out)), "list_name string, entry_id long, entry_name string, ref_form string, ref_cost double, ref_kind string")
+
+
+def _expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        rows = [(ln, v, f, c, k, d) for ln, v in zip(b["list_name"], b["value"]) for f, c, k in forms(ln, v) for d in deletes(f)]
+        yield pd.DataFrame(rows, columns=["list_name", "value", "form", "cost", "kind", "del"])
+
+
+def _expand_reference(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        rows = [(*r, d) for r in b.itertuples(index=False, name=None) for d in deletes(r[3])]
+        yield pd.DataFrame(rows, columns=[*b.columns, "del"])
+
+
+def _score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        kept = []
+        for ln, v, f, c, k, e, rf, rc, rk, freq in b.itertuples(index=False, name=None):
+            most = 0.0 if k == "=" or min(len(f), len(rf)) < 3 else allowed(max(len(f), len(rf)))
+            if k == "=" and (not e or len(rf) <= 3):
+                continue
+            d = weighted_distance(f, rf, most + 0.01)
+            # a name that the list lacks only counts as it stands
+            if d <= most and (e or d == 0):
+                kept.append((ln, v, e, d + c + rc + (0.4 if k and rk and k != rk else 0.0) - 0.01 * freq))
+        yield pd.DataFrame(kept, columns=["list_name", "value", "entry_id", "score"])
+
+
+def assign(values: DataFrame, places: DataFrame) -> DataFrame:
+    """``values`` has ``list_name`` and ``value``; returns each distinct value with its ``entry_id``, or 0, and ``score``.
+
+    Values that literally are an entry's name get that entry at score 0.
+    """
+    spark = values.sparkSession
+    counted = values.where(F.col("value").isNotNull()).groupBy("list_name", "value").agg(F.count("*").alias("n"))
+    names = places.select("list_name", F.col("entry_name").alias("value"), F.col("entry_id").alias("own")).groupBy("list_name", "value").agg(F.min("own").alias("own"))
+    ref = reference(spark, places)
+    small = ref.count() <= BROADCAST_ENTRIES
+    hint = F.broadcast if small else (lambda d: d)
+    literal = counted.join(hint(names), ["list_name", "value"], "left")
+    # how often each entry occurs literally: one row per entry
+    freq = literal.where("own is not null").groupBy(F.col("own").alias("entry_id")).agg(F.log10(F.sum("n") + 1).alias("freq"))
+    ref = ref.join(hint(freq), "entry_id", "left").select("list_name", "entry_id", "entry_name", "ref_form", "ref_cost", "ref_kind", F.coalesce("freq", F.lit(0.0)).alias("freq"))
+    ref_del = ref.mapInPandas(_expand_reference, "list_name string, entry_id long, entry_name string, ref_form string, ref_cost double, ref_kind string, freq double, del string")
+    val_del = literal.where("own is null").select("list_name", "value").mapInPandas(_expand, "list_name string, value string, form string, cost double, kind string, del string")
+    pairs = val_del.join(hint(ref_del), ["list_name", "del"]).select("list_name", "value", "form", "cost", "kind", "entry_id", "ref_form", "ref_cost", "ref_kind", "freq").distinct()
+    scored = pairs.mapInPandas(_score, "list_name string, value string, entry_id long, score double")
+    best = scored.groupBy("list_name", "value").agg(F.min(F.struct("score", "entry_id")).alias("b"))
+    return literal.join(best, ["list_name", "value"], "left").select("list_name", "value", F.coalesce("own", "b.entry_id", F.lit(0)).cast("long").alias("entry_id"), F.when(F.col("own").isNotNull(), 0.0).otherwise(F.col("b.score")).alias("score"), F.col("own").isNotNull().alias("is_literal"), "n")

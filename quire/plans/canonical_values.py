@@ -1,0 +1,35 @@
+"""Problem 7 queries: typed countries and dioceses against place_list."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quire.operators import canonical
+from quire.tables import load
+
+#: record table, field, list of place_list
+FIELDS = (("prayer_network_requests", "country", "country"), ("priest_registrations", "country", "country"), ("priest_registrations", "diocese_or_institute", "diocese"))
+
+
+def _typed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    one = [load(spark, sf_dir, t).select(F.lit(t).alias("record_table"), F.col("id").alias("record_id"), F.lit(f).alias("field_name"), F.lit(ln).alias("list_name"), F.col(f).alias("value")) for t, f, ln in FIELDS]
+    return reduce(DataFrame.unionByName, one)
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values that are not literally an entry's name, with the entry meant or 0."""
+    typed = _typed(spark, sf_dir).where(F.col("value").isNotNull())
+    got = canonical.assign(typed, load(spark, sf_dir, "place_list")).where(~F.col("is_literal")).select("list_name", "value", "entry_id")
+    return typed.join(got, ["list_name", "value"]).select("record_table", "record_id", "field_name", "entry_id").distinct()
+
+
+def p7_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each distinct value of each list with its entry, score and number of rows; entry 0 reports a miss."""
+    return canonical.assign(_typed(spark, sf_dir), load(spark, sf_dir, "place_list"))
+
+
+QUERIES = {"p7_found": p7_found, "p7_values": p7_values}
+SQL: dict[str, str] = {}
