@@ -1,0 +1,110 @@
+"""Problem 4: cut items above a size limit into overlapping pieces at natural boundaries.
+
+Method: dynamic programming over boundary positions. The cost of a cut is the penalty of its boundary (paragraph,
+line, sentence, clause, word, anywhere) plus the squared deviation of the piece from the even size; pieces hold at
+most ``max_size`` code points and each shares exactly ``overlap`` code points with the piece before it.
+
+Items within the limit never leave the JVM; only longer ones go to Python, one Arrow batch at a time, and each is
+cut on its own, so there is no shuffle and no group. Time is O(boundaries x boundaries per piece), vectorised.
+
+Defined results: null and empty texts give no piece; a text of exactly ``max_size`` is one piece; a run without any
+boundary is cut between characters, never before a combining mark.
+"""
+
+from __future__ import annotations
+
+import re
+import unicodedata
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+KINDS = ("end", "paragraph", "line", "sentence", "clause", "word", "character")
+PENALTY = {"paragraph": 0.0, "line": 0.25, "sentence": 0.4, "clause": 1.5, "word": 3.0, "character": 50.0}
+#: Weight of the squared relative deviation from the even size.
+BALANCE = 2.0
+
+_BOUNDARIES = (
+    ("word", re.compile(r"\s+")),
+    ("clause", re.compile(r"[,;:—–]\s+")),
+    ("sentence", re.compile(r"[.!?…·][\"'”’»)\]]*\s+")),
+    ("line", re.compile(r"[^\S\n]*\n[^\S\n]*|</(?:li|h\d|tr)>")),
+    ("paragraph", re.compile(r"[^\S\n]*\n[^\S\n]*\n\s*|</(?:p|div|ul|ol|table|blockquote)>")),
+)
+
+SCHEMA = "piece_no int, n_pieces int, start int, end int, cut string, piece string"
+
+
+def boundaries(text: str, stride: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted cut positions and the index in ``KINDS`` of each; runs without boundary get a position every ``stride``."""
+    kind: dict[int, int] = {}
+    for name, pattern in _BOUNDARIES:  # from the weakest to the strongest
+        k = KINDS.index(name)
+        for m in pattern.finditer(text):
+            kind[m.end()] = k
+    n = len(text)
+    kind.pop(0, None)
+    marks = [0, *sorted(p for p in kind if p < n), n]
+    for a, b in zip(marks, marks[1:]):
+        for p in range(a + stride, b, stride) if b - a > stride else ():
+            while p < b and (unicodedata.combining(text[p]) or text[p] in "‍️"):
+                p += 1
+            if p < b:
+                kind.setdefault(p, KINDS.index("character"))
+    kind[n] = 0
+    pos = np.array(sorted(kind), dtype=np.int64)
+    return pos, np.array([kind[p] for p in pos.tolist()], dtype=np.int64)
+
+
+def cut(text: str, max_size: int, overlap: int) -> list[tuple[int, int, str]]:
+    """``(start, end, boundary at the end)`` of the pieces of ``text``."""
+    if not 0 <= overlap < max_size:
+        raise ValueError(f"the overlap ({overlap}) must be less than the maximum size ({max_size})")
+    n = len(text)
+    if n <= max_size:
+        return [(0, n, "end")] if n else []
+    step = max_size - overlap
+    pieces = -(-(n - overlap) // step)
+    even = (n + (pieces - 1) * overlap) / pieces
+    pos, kind = boundaries(text, max(1, step // 8))
+    pos = np.concatenate([[0], pos])
+    pen = np.concatenate([[0.0], np.array([0.0, *PENALTY.values()])[kind]])
+    start = np.where(pos == 0, 0, pos - overlap)
+    cost = np.full(len(pos), np.inf)
+    cost[0] = 0.0
+    back = np.zeros(len(pos), dtype=np.int64)
+    first = np.searchsorted(start, pos - max_size, side="left")  # earliest i whose piece still fits
+    for j in range(1, len(pos)):
+        i0 = first[j]
+        # a piece after the first must bring something new beyond its overlap
+        size = pos[j] - start[i0:j]
+        c = cost[i0:j] + BALANCE * ((size - even) / max_size) ** 2
+        k = int(np.argmin(c)) if len(c) else -1
+        if k >= 0 and c[k] < np.inf:
+            cost[j], back[j] = c[k] + pen[j], i0 + k
+    out, j = [], len(pos) - 1
+    if cost[j] == np.inf:  # boundaries lie so that no chain of pieces fits: every position is a candidate then
+        marks = list(range(max_size, n, step))
+        return [(max(0, e - max_size), e, "character") for e in marks] + [((marks[-1] if marks else 0) - overlap, n, "end")]
+    while j:
+        out.append((int(start[back[j]]), int(pos[j]), KINDS[kind[j - 1]]))
+        j = int(back[j])
+    return out[::-1]
+
+
+def split_long(df: DataFrame, text: str, max_size: int, overlap: int, keys: list[str]) -> DataFrame:
+    """``keys`` and the pieces of each row's ``text``; rows within the limit are one piece, made in the JVM."""
+    rows = df.select(*keys, F.col(text).alias("_text")).where(F.length("_text") > 0)
+    short = rows.where(F.length("_text") <= max_size).select(*keys, F.lit(0).alias("piece_no"), F.lit(1).alias("n_pieces"), F.lit(0).alias("start"), F.length("_text").alias("end"), F.lit("end").alias("cut"), F.col("_text").alias("piece"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            got = [(*r[:-1], k, len(ps), s, e, c, r[-1][s:e]) for r in b.itertuples(index=False, name=None) for ps in [cut(r[-1], max_size, overlap)] for k, (s, e, c) in enumerate(ps)]
+            yield pd.DataFrame(got, columns=[*b.columns[:-1], "piece_no", "n_pieces", "start", "end", "cut", "piece"])
+
+    types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*keys).schema)
+    cut_rows = rows.where(F.length("_text") > max_size).mapInPandas(run, f"{types}, {SCHEMA}")
+    return short.unionByName(cut_rows)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quire.plans import canonical_values, search
+from quire.plans import canonical_values, search, splitting
 
-MODULES = (search, canonical_values)
+MODULES = (search, canonical_values, splitting)
 
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in MODULES for k, v in m.SQL.items()}

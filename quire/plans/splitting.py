@@ -1,0 +1,45 @@
+"""Problem 4 queries: fields above their limit in size_limits."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quire.operators.splitting import split_long
+from quire.tables import load
+
+IDS = {"cms_publications": ("id", "ingested_at"), "text_blocks": ("block_id", "loaded_at")}
+
+
+def _pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # size_limits is a fixed table of three rows
+    limits = [r for r in load(spark, sf_dir, "size_limits").collect() if r["task"] == "split"]
+    parts = []
+    for r in sorted(limits, key=lambda r: (r["record_table"], r["field_name"])):
+        key, _ = IDS[r["record_table"]]
+        t = load(spark, sf_dir, r["record_table"]).select(F.lit(r["record_table"]).alias("record_table"), F.lit(r["field_name"]).alias("field_name"), F.col(key).alias("record_id"), F.col(r["field_name"]))
+        parts.append(split_long(t, r["field_name"], r["max_size"], r["overlap_size"], ["record_table", "field_name", "record_id"]))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records that the operator had to cut."""
+    return _pieces(spark, sf_dir).where(F.col("n_pieces") > 1).select("record_table", "record_id").distinct()
+
+
+def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pieces in order, each record once however often it was delivered."""
+    return _pieces(spark, sf_dir).dropDuplicates(["record_table", "field_name", "record_id", "piece_no"])
+
+
+QUERIES = {"p4_found": p4_found, "p4_pieces": p4_pieces}
+SQL = {
+    "p4_found": """
+        SELECT DISTINCT 'cms_publications' AS record_table, id AS record_id FROM cms_publications
+        WHERE length(body_en) > (SELECT max_size FROM size_limits WHERE task = 'split' AND record_table = 'cms_publications')
+        UNION ALL
+        SELECT DISTINCT 'text_blocks' AS record_table, block_id AS record_id FROM text_blocks
+        WHERE length(text) > (SELECT max_size FROM size_limits WHERE task = 'split' AND record_table = 'text_blocks')""",
+}
