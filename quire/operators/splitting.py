@@ -79,6 +79,8 @@ def cut(text: str, max_size: int, overlap: int) -> list[tuple[int, int, str]]:
     first = np.searchsorted(start, pos - max_size, side="left")  # earliest i whose piece still fits
     for j in range(1, len(pos)):
         i0 = first[j]
+        if pos[j] <= overlap and j + 1 < len(pos):
+            continue  # the next piece could not share the whole overlap
         # a piece after the first must bring something new beyond its overlap
         size = pos[j] - start[i0:j]
         c = cost[i0:j] + BALANCE * ((size - even) / max_size) ** 2

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build(app: str = "quire", master: str | None = None, cpus: int = 8) -> SparkSession:
@@ -35,3 +36,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(path)
     return path
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """``df`` written once as a table in the shared checkpoint folder and read back: cuts its lineage.
+
+    The table survives the loss of any executor, unlike a cached or locally checkpointed one.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/quire-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
