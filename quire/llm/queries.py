@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import lookalike
+from quire.llm import lookalike, quality
 from quire.tables import load, once
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,16 @@ def p2_surfaces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike.canonical_column(t).drop("loaded_at")
 
 
-QUERIES: dict[str, Query] = {"p2_found": p2_found, "p2_surfaces": p2_surfaces}
+def p10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality figures and type of text of every document."""
+    return quality.classify(load(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that are mostly a list, a table or junk."""
+    return p10_quality(spark, sf_dir).where(F.col("text_class") != "prose").select("doc_id", "text_class").distinct()
+
+
+QUERIES: dict[str, Query] = {"p2_found": p2_found, "p2_surfaces": p2_surfaces, "p10_found": p10_found, "p10_quality": p10_quality}
 
 SQL: dict[str, str] = {}
