@@ -123,11 +123,11 @@ def votes() -> list[tuple[str, Column]]:
     ]
 
 
-def fit(patterns: list[tuple[str, int]], rounds: int = 40, trust: float = 0.85, prior: float = 20.0) -> np.ndarray:
+def fit(patterns: list[tuple[str, int]], rounds: int = 40, trust: float = 0.85, prior: float = 0.05) -> np.ndarray:
     """EM over ``(pattern, count)``; returns the posterior of each pattern.
 
     Model: a type, and given the type each function votes independently. Starts from ``trust`` in every function;
-    ``prior`` pseudo-counts keep functions that rarely vote near that start.
+    pseudo-counts of ``prior`` times the documents keep functions that rarely vote near that start, at any size.
     """
     n_fn = len(patterns[0][0])
     v = np.array([[{"0": 0, "1": 1, "2": 2, "3": 3}.get(ch, 4) for ch in p] for p, _ in patterns])
@@ -158,7 +158,7 @@ def fit(patterns: list[tuple[str, int]], rounds: int = 40, trust: float = 0.85,
             break
         w = post * n[:, None]
         mix = (w.sum(0) + 1) / (w.sum() + k)
-        emit = start * prior
+        emit = start * prior * n.sum()
         for f in range(n_fn):
             for x in range(5):
                 emit[f, :, x] += w[v[:, f] == x].sum(0)
