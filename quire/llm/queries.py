@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import lookalike, quality
+from quire.llm import langid, lookalike, quality
+from quire.llm.lang_seeds import BOTH, NAMES
 from quire.tables import load, once
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,6 +37,38 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p10_quality(spark, sf_dir).where(F.col("text_class") != "prose").select("doc_id", "text_class").distinct()
 
 
-QUERIES: dict[str, Query] = {"p2_found": p2_found, "p2_surfaces": p2_surfaces, "p10_found": p10_found, "p10_quality": p10_quality}
+def _label_languages(label):
+    """Sorted codes of the languages that a label names: null for none, region and script subtags dropped."""
+    table = {n: (code,) for code, names in NAMES.items() for n in names} | BOTH
+    known = F.create_map(*[x for n, codes in sorted(table.items()) for x in (F.lit(n), F.array(*map(F.lit, codes)))])
+    parts = F.split(F.lower(F.trim(label)), r"\s*(?:[/,;+&|]|\band\b)\s*")
+    base = F.transform(parts, lambda p: known[F.regexp_replace(p, r"[-_].*$", "")])
+    return F.array_sort(F.array_distinct(F.flatten(F.filter(base, lambda x: x.isNotNull()))))
+
+
+def _spoken(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """record_table, record_id, label, text of the four tables with language labels."""
+    one = [("documents", "doc_id", "lang", F.col("text")), ("prayer_network_requests", "id", "language", F.col("intention")), ("chat_exchanges", "exchange_id", "language", F.col("message")), ("cms_publications", "id", "language_mode", F.concat_ws("\n\n", "body_en", "body_kha"))]
+    return reduce(DataFrame.unionByName, [load(spark, sf_dir, t).select(F.lit(t).alias("record_table"), F.col(k).alias("record_id"), F.col(lab).alias("label"), x.alias("text")) for t, k, lab, x in one])
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records whose label is missing or does not name exactly the languages of the text, one row per language."""
+    params = langid.model()
+    told = _spoken(spark, sf_dir).mapInArrow(lambda it: langid.languages(it, params), "record_table string, record_id long, label string, langs array<string>, confidence double")
+    off = told.where(F.size("langs") > 0).withColumn("named", F.coalesce(_label_languages(F.col("label")), F.array().cast("array<string>"))).where(F.array_sort("langs") != F.col("named"))
+    # tables and junk have no language worth a label
+    void = p10_found(spark, sf_dir).where(F.col("text_class").isin("table", "junk")).select(F.lit("documents").alias("record_table"), F.col("doc_id").alias("record_id"))
+    return off.join(void, ["record_table", "record_id"], "left_anti").select("record_table", "record_id", F.explode("langs").alias("lang_found")).distinct()
+
+
+def p5_stretches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every stretch of one language of every record, with its confidence."""
+    params = langid.model()
+    got = _spoken(spark, sf_dir).drop("label").mapInArrow(lambda it: langid.stretches(it, params), "record_table string, record_id long, stretch_no int, lang_found string, confidence double, n_words int, stretch string")
+    return got.dropDuplicates(["record_table", "record_id", "stretch_no"])
+
+
+QUERIES: dict[str, Query] = {"p2_found": p2_found, "p2_surfaces": p2_surfaces, "p5_found": p5_found, "p5_stretches": p5_stretches, "p10_found": p10_found, "p10_quality": p10_quality}
 
 SQL: dict[str, str] = {}
