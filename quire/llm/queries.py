@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import langid, lookalike, quality
+from quire.llm import langid, lookalike, pii, quality
 from quire.llm.lang_seeds import BOTH, NAMES
 from quire.tables import load, once
 
@@ -52,6 +52,26 @@ def _spoken(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionByName, [load(spark, sf_dir, t).select(F.lit(t).alias("record_table"), F.col(k).alias("record_id"), F.col(lab).alias("label"), x.alias("text")) for t, k, lab, x in one])
 
 
+FREE_TEXT = (("prayer_network_requests", "intention"), ("contact_messages", "message"), ("mass_intention_requests", "intention_text"))
+
+
+def _free_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reduce(DataFrame.unionByName, [load(spark, sf_dir, t).select(F.lit(t).alias("record_table"), F.col("id").alias("record_id"), F.col(f).alias("text")) for t, f in FREE_TEXT])
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Types of personal data in the free text of each record."""
+    parts = pii.parameters()
+    texts = _free_text(spark, sf_dir).where(F.col("text").isNotNull())
+    return texts.mapInPandas(lambda it: pii.find(it, parts), "record_table string, record_id long, pii_type string").distinct()
+
+
+def p3_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every record's free text with personal data replaced by placeholders that name its type."""
+    parts = pii.parameters()
+    return _free_text(spark, sf_dir).mapInPandas(lambda it: pii.redacted(it, parts), "record_table string, record_id long, redacted string").dropDuplicates(["record_table", "record_id"])
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records whose label is missing or does not name exactly the languages of the text, one row per language."""
     params = langid.model()
@@ -69,6 +89,6 @@ def p5_stretches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.dropDuplicates(["record_table", "record_id", "stretch_no"])
 
 
-QUERIES: dict[str, Query] = {"p2_found": p2_found, "p2_surfaces": p2_surfaces, "p5_found": p5_found, "p5_stretches": p5_stretches, "p10_found": p10_found, "p10_quality": p10_quality}
+QUERIES: dict[str, Query] = {"p2_found": p2_found, "p2_surfaces": p2_surfaces, "p3_found": p3_found, "p3_redacted": p3_redacted, "p5_found": p5_found, "p5_stretches": p5_stretches, "p10_found": p10_found, "p10_quality": p10_quality}
 
 SQL: dict[str, str] = {}
