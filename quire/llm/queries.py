@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import langid, lookalike, pii, quality
+from quire.llm import langid, lookalike, pairs, pii, quality
 from quire.llm.lang_seeds import BOTH, NAMES
 from quire.tables import load, once
 
@@ -89,6 +89,16 @@ def p5_stretches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.dropDuplicates(["record_table", "record_id", "stretch_no"])
 
 
-QUERIES: dict[str, Query] = {"p2_found": p2_found, "p2_surfaces": p2_surfaces, "p3_found": p3_found, "p3_redacted": p3_redacted, "p5_found": p5_found, "p5_stretches": p5_stretches, "p10_found": p10_found, "p10_quality": p10_quality}
+def p6_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every pair once, with its defect (null if sound) and the words of its reply under each tag."""
+    return pairs.judge(load(spark, sf_dir, "chat_exchanges")).dropDuplicates(["exchange_id"])
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs with a defect."""
+    return pairs.judge(load(spark, sf_dir, "chat_exchanges")).where(F.col("defect_type").isNotNull()).select("exchange_id", "defect_type").distinct()
+
+
+QUERIES: dict[str, Query] = {"p2_found": p2_found, "p2_surfaces": p2_surfaces, "p3_found": p3_found, "p3_redacted": p3_redacted, "p5_found": p5_found, "p5_stretches": p5_stretches, "p6_found": p6_found, "p6_pairs": p6_pairs, "p10_found": p10_found, "p10_quality": p10_quality}
 
 SQL: dict[str, str] = {}
