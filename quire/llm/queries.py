@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import langid, lookalike, pairs, pii, quality
+from quire.llm import langid, lookalike, mixing, packing, pairs, pii, quality
 from quire.llm.lang_seeds import BOTH, NAMES
 from quire.tables import load, once
 
@@ -99,6 +99,33 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.judge(load(spark, sf_dir, "chat_exchanges")).where(F.col("defect_type").isNotNull()).select("exchange_id", "defect_type").distinct()
 
 
-QUERIES: dict[str, Query] = {"p2_found": p2_found, "p2_surfaces": p2_surfaces, "p3_found": p3_found, "p3_redacted": p3_redacted, "p5_found": p5_found, "p5_stretches": p5_stretches, "p6_found": p6_found, "p6_pairs": p6_pairs, "p10_found": p10_found, "p10_quality": p10_quality}
+def _capacity(spark: SparkSession, sf_dir: str) -> int:
+    return int(load(spark, sf_dir, "size_limits").where("task = 'pack'").agg(F.max("max_size")).first()[0])
+
+
+def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where every text of documents goes."""
+    return packing.pack(load(spark, sf_dir, "documents").select("doc_id", "text"), _capacity(spark, sf_dir))
+
+
+def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Room used by the containers, against the fewest that could hold all tokens."""
+    cap = _capacity(spark, sf_dir)
+    c = p8_containers(spark, sf_dir)
+    per = c.groupBy("container_id").agg(F.sum("n_tokens").alias("t"), F.count("*").alias("k"))
+    return per.agg(F.count("*").alias("n_containers"), F.sum("t").alias("n_tokens"), F.max("t").alias("fullest"), F.min("t").alias("emptiest"), F.sum("k").alias("n_pieces"), F.round(F.sum("t") / (F.count("*") * cap), 4).alias("used_share"), F.ceil(F.sum("t") / cap).alias("least_containers"))
+
+
+def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mixture: which texts, how often, and how many of their tokens."""
+    return mixing.mix(load(spark, sf_dir, "documents"), load(spark, sf_dir, "mix_targets"))
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and actual share of every source of the mixture."""
+    return mixing.shares(load(spark, sf_dir, "documents"), load(spark, sf_dir, "mix_targets"))
+
+
+QUERIES: dict[str, Query] = {"p2_found": p2_found, "p2_surfaces": p2_surfaces, "p3_found": p3_found, "p3_redacted": p3_redacted, "p5_found": p5_found, "p5_stretches": p5_stretches, "p6_found": p6_found, "p6_pairs": p6_pairs, "p8_containers": p8_containers, "p8_report": p8_report, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_quality": p10_quality}
 
 SQL: dict[str, str] = {}
