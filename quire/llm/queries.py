@@ -8,13 +8,31 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import langid, lookalike, mixing, packing, pairs, pii, quality
+from quire.llm import langid, lookalike, mixing, packing, pairs, pii, quality, scans
 from quire.llm.lang_seeds import BOTH, NAMES
 from quire.tables import load, once
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _paragraph_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load(spark, sf_dir, "text_blocks").where("kind = 'paragraph'").select("block_id", "text")
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kinds of scan noise in each paragraph block."""
+    blocks = _paragraph_blocks(spark, sf_dir).where(F.col("text").isNotNull())
+    shared = spark.sparkContext.broadcast(scans.lexicon(blocks))
+    return blocks.mapInPandas(lambda it: scans.find(it, shared), "block_id long, noise_type string").distinct()
+
+
+def p1_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every paragraph block once, as the continuous text that the page printed."""
+    blocks = _paragraph_blocks(spark, sf_dir)
+    shared = spark.sparkContext.broadcast(scans.lexicon(blocks.where(F.col("text").isNotNull())))
+    return blocks.mapInPandas(lambda it: scans.repair(it, shared), "block_id long, repaired string, noise string").dropDuplicates(["block_id"])
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens whose surface is not in the one form."""
     t = load(spark, sf_dir, "grc_tokens").select("id", "surface")
@@ -126,6 +144,6 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(load(spark, sf_dir, "documents"), load(spark, sf_dir, "mix_targets"))
 
 
-QUERIES: dict[str, Query] = {"p2_found": p2_found, "p2_surfaces": p2_surfaces, "p3_found": p3_found, "p3_redacted": p3_redacted, "p5_found": p5_found, "p5_stretches": p5_stretches, "p6_found": p6_found, "p6_pairs": p6_pairs, "p8_containers": p8_containers, "p8_report": p8_report, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_quality": p10_quality}
+QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_repaired": p1_repaired, "p2_found": p2_found, "p2_surfaces": p2_surfaces, "p3_found": p3_found, "p3_redacted": p3_redacted, "p5_found": p5_found, "p5_stretches": p5_stretches, "p6_found": p6_found, "p6_pairs": p6_pairs, "p8_containers": p8_containers, "p8_report": p8_report, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_quality": p10_quality}
 
 SQL: dict[str, str] = {}
