@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quire.plans import canonical_values, passages, search, splitting
+from quire.plans import canonical_values, ingest, passages, quality, records, search, splitting
 
-MODULES = (search, passages, canonical_values, splitting)
+MODULES = (search, passages, records, ingest, quality, canonical_values, splitting)
 
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in MODULES for k, v in m.SQL.items()}
