@@ -27,7 +27,8 @@ def align_key(word: str | None) -> str | None:
     """Composed, case-folded word without punctuation, elision or editorial marks."""
     if word is None:
         return None
-    return "".join(c for c in unicodedata.normalize("NFC", word).casefold() if unicodedata.category(c)[0] not in "PSZC" and c not in "ʼ")
+    # folding may take composed letters apart again
+    return "".join(c for c in unicodedata.normalize("NFC", word.casefold()) if unicodedata.category(c)[0] not in "PSZC" and c not in "ʼ")
 
 
 #: The usual letters.

@@ -1,0 +1,58 @@
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from quire.operators import canonical as c
+
+
+def plain(a: str, b: str) -> int:
+    """Optimal string alignment with unit costs, by the book."""
+    d = {(i, 0): i for i in range(len(a) + 1)} | {(0, j): j for j in range(len(b) + 1)}
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            d[i, j] = min(d[i - 1, j] + 1, d[i, j - 1] + 1, d[i - 1, j - 1] + (a[i - 1] != b[j - 1]))
+            if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                d[i, j] = min(d[i, j], d[i - 2, j - 2] + 1)
+    return d[len(a), len(b)]
+
+
+WORD = st.text("abcde ", max_size=9)
+
+
+@settings(max_examples=300, deadline=None)
+@given(WORD, WORD)
+def test_weighted_distance_is_bounded_by_the_plain_one(a, b):
+    d, u = c.weighted_distance(a, b), plain(a, b)
+    if abs(len(a) - len(b)) <= 4 and u <= 3:
+        assert 0.5 * u <= d <= 1.3 * u + 1e-9
+    assert (d == 0) == (a == b)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text("abcdef", min_size=4, max_size=12), st.text("abcdef", min_size=4, max_size=12))
+def test_deletes_find_all_within_the_bound(a, b):
+    if plain(a, b) <= c.DELETES:
+        assert c.deletes(a) & c.deletes(b)
+
+
+@pytest.fixture(scope="module")
+def places(spark):
+    rows = [(1, "country", "India", ["Bharat", "IN"], None), (2, "country", "United Kingdom", ["UK"], None), (3, "country", "Peru", [], None), (9, "country", "Nigeria", [], None), (4, "diocese", "Diocese of Upper Dunwell", [], "Peru"), (5, "diocese", "Vicariate of Marwen", [], "India"), (6, "diocese", "Society of the Upper Room", ["SUR"], None), (7, "diocese", "Diocese of Dunwell", None, "Peru")]
+    return spark.createDataFrame(rows, "entry_id long, list_name string, entry_name string, other_names array<string>, country_name string")
+
+
+CASES = [
+    ("country", "iNDIA", 1), ("country", "Indai", 1), ("country", " India​", 1), ("country", "Shillong, India", 1), ("country", "Bharat", 1), ("country", "U.K.", 2), ("country", "Uintde Kingdom", 2), ("country", "Preu", 3), ("country", "Fiji", 0), ("country", "Niger", 0), ("country", "", 0), ("country", "🙏", 0), ("country", "everywhere", 0), ("country", "India", 1), ("country", "x" * 5000, 0),
+    ("diocese", "Dunwell Diocese", 7), ("diocese", "D. of Upper Dunwel", 4), ("diocese", "Vic. of Marewn", 5), ("diocese", "S.U.R.", 6), ("diocese", "society of the uper room", 6), ("diocese", "Diocese of Oxquavith", 0), ("diocese", "retired", 0),
+]
+
+
+def test_assign(spark, places):
+    df = spark.createDataFrame([(a, b) for a, b, _ in CASES] + [("country", None), ("country", "Indai")], "list_name string, value string")
+    got = {(r["list_name"], r["value"]): r["entry_id"] for r in c.assign(df, places).collect()}
+    assert got == {(a, b): e for a, b, e in CASES}
+
+
+def test_empty(spark, places):
+    df = spark.createDataFrame([], "list_name string, value string")
+    assert c.assign(df, places).count() == 0
