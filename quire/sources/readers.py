@@ -52,7 +52,7 @@ def lexicon_tsv(spark: SparkSession, path: str, columns: tuple[str, ...], key_pa
 
 def record_blocks(spark: SparkSession, path: str, mark: str = "$") -> DataFrame:
     """Records that start at a line beginning with ``mark``: code, and the lines up to the next."""
-    d = spark.read.option("wholetext", "true").text(path).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", rf"(?m)^{re.escape(mark)}")).alias("record_no", "body")).where("record_no > 0")
+    d = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", rf"(?m)^{re.escape(mark)}")).alias("record_no", "body")).where("record_no > 0")
     return d.select("file", "record_no", F.trim(F.split("body", "\n")[0]).alias("code"), F.filter(F.transform(F.slice(F.split("body", "\n"), 2, 100000), lambda x: F.trim(x)), lambda x: x != "").alias("lines"))
 
 
@@ -93,7 +93,7 @@ def layer(spark: SparkSession, root: str, layer_name: str, book_id: str | None =
 
 def usfm(texts: DataFrame, text: str = "value") -> DataFrame:
     r"""``\id``, ``\c`` and ``\v`` carried forward over the lines, continuation lines joined."""
-    lines = texts.select(F.monotonically_increasing_id().alias("doc"), F.posexplode(F.split(text, "\n")).alias("n", "line"))
+    lines = texts.withColumn("doc", F.monotonically_increasing_id()).select("doc", F.posexplode(F.split(text, "\n")).alias("n", "line"))
     w = Window.partitionBy("doc").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
     carry = lambda p: F.last(F.nullif(F.regexp_extract("line", p, 1), F.lit("")), ignorenulls=True).over(w)
     c = lines.withColumn("book", carry(r"^\\id\s+(\S+)")).withColumn("chapter", carry(r"^\\c\s+(\d+)")).withColumn("verse", F.when(F.col("line").rlike(r"^\\c\s"), F.lit("")).otherwise(F.nullif(F.regexp_extract("line", r"^\\v\s+(\d+(?:[-,]\d+)?)", 1), F.lit(""))))

@@ -75,8 +75,11 @@ def signatures(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def limit_stream(events: DataFrame, key: str, at: str, limit: int, span_us: int) -> DataFrame:
-    """The limiter as a stateful stream operator: state is the window of admitted times of a key, dropped once idle."""
-    e = events.select(F.coalesce(F.col(key).cast("string"), F.lit("")).alias("k"), F.unix_micros(F.col(at).cast("timestamp")).alias("at_us"))
+    """The limiter as a stateful stream operator: state is the window of admitted times of a key.
+
+    Events may come late by the span; a key's state is dropped once the watermark has passed its window.
+    """
+    e = events.select(F.coalesce(F.col(key).cast("string"), F.lit("")).alias("k"), F.col(at).cast("timestamp").alias("at")).withWatermark("at", f"{max(1, span_us // 1_000_000)} seconds").withColumn("at_us", F.unix_micros("at"))
 
     def run(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -86,10 +89,10 @@ def limit_stream(events: DataFrame, key: str, at: str, limit: int, span_us: int)
         times = sorted(t for b in batches for t in b["at_us"].tolist())
         ok = admit(times, limit, span_us, window)
         state.update((list(window),))
-        state.setTimeoutDuration(max(1000, 2 * span_us // 1000))
+        state.setTimeoutTimestamp(max((times[-1] + span_us) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"k": [k[0]] * len(times), "at_us": times, "admitted": ok})
 
-    return e.groupBy("k").applyInPandasWithState(run, "k string, at_us long, admitted boolean", "times array<long>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return e.groupBy("k").applyInPandasWithState(run, "k string, at_us long, admitted boolean", "times array<long>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def first_seen_stream(events: DataFrame, keys: list[str], at: str, skew: str) -> DataFrame:

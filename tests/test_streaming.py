@@ -32,9 +32,10 @@ def test_replays_and_signatures(spark):
 
 
 def _run(spark, df, name, mode="append"):
-    q = df.writeStream.outputMode(mode).format("memory").queryName(name).start()
-    q.processAllAvailable()
+    q = df.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+    done = q.awaitTermination(60)
     q.stop()
+    assert done
     return spark.table(name).collect()
 
 
