@@ -83,3 +83,11 @@ def calendar_escape(c: Column) -> Column:
 def leading_int(c: Column, otherwise: int = 1_000_000_000) -> Column:
     """The integer that a label starts with; labels that start otherwise sort last."""
     return F.coalesce(F.regexp_extract(c, "^([0-9]+)", 1).try_cast("int"), F.lit(otherwise))
+
+
+def sanitised(c: Column, allowed: tuple[str, ...] = ("p", "br", "em", "strong", "b", "i", "ul", "ol", "li", "h2", "h3", "blockquote")) -> Column:
+    """Markup of which only the allowed elements are left, without attributes; scripts and styles go with their content."""
+    s = F.regexp_replace(c, r"(?is)<(script|style|iframe|object|template)\b.*?(?:</\1\s*>|$)|<!--.*?(?:-->|$)", "")
+    names = "|".join(allowed)
+    s = F.regexp_replace(s, rf"(?i)<(?!/?(?:{names})\b)[^>]*>?", "")
+    return F.regexp_replace(s, rf"(?i)<(/?)({names})\b[^>]*>?", "<$1$2>")

@@ -69,3 +69,8 @@ def test_changes(spark):
     assert sorted(r["k"] for r in insert_absent(old, new, ["k"]).collect()) == [1, 2, 3]
     names = numbered_slugs(spark.createDataFrame([(1, "A b"), (2, "a-B"), (3, "")], "k int, n string"), "k", F.col("n"))
     assert {r["k"]: r["slug"] for r in names.collect()} == {1: "a-b", 2: "a-b-2", 3: "section"}
+
+
+def test_sanitised(spark):
+    d = spark.createDataFrame([('<p onclick="x()">a<script>bad()</script><a href="javascript:x">b</a><br/>',), ("<img src=x onerror=y><b>c</b><!-- d -->",), (None,)], "h string")
+    assert [r[0] for r in d.select(t.sanitised(F.col("h"))).collect()] == ["<p>ab<br>", "<b>c</b>", None]
