@@ -9,7 +9,7 @@ from quire.functions.text import blob_sha1, page_path, safe_url, slug, summary,
 from quire.plans.kit import Catalogue
 from quire.sources.readers import html_blocks, sections
 from quire.sources.writers import manifest, markdown_rows, sitemap_entries
-from quire.streaming.limits import limit_table, replays, signatures, trailing_counts
+from quire.streaming.limits import limit_table, limit_tiers, replays, signatures, trailing_counts
 from quire.tables import load, once
 
 C = Catalogue()
@@ -177,6 +177,12 @@ def rate_limit_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return limit_table(_events(spark, sf_dir), "user_id", "at_us", "event_id", 2, 24 * HOUR).select("k", F.col("tie").alias("event_id"), "admitted")
 
 
+@C.plan()
+def rate_limit_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Limits by user, over all users and by day."""
+    return limit_tiers(_events(spark, sf_dir), "user_id", "at_us", "event_id", 2, 40, 6 * HOUR, 120).groupBy("k").agg(F.count("*").alias("n"), F.count_if(F.col("refused_by").isNull()).alias("n_admitted"), F.count_if(F.col("refused_by") == "day").alias("n_by_day"))
+
+
 @C.plan("""
     WITH l AS (SELECT event_id, user_id, event_type, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id, event_type ORDER BY epoch_us(ts), event_id) AS gap FROM events)
     SELECT event_id, coalesce(gap <= 3600000000, false) AS replayed FROM l""")

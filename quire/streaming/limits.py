@@ -7,7 +7,7 @@ the window of the current key: no key's events are ever collected, however many
 
 from __future__ import annotations
 
-from collections import deque
+from collections import OrderedDict, deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -53,6 +53,43 @@ def limit_table(events: DataFrame, key: str, at_us: str, tie: str, limit: int, s
     return ordered.mapInPandas(run, f"k string, tie {dict(e.dtypes)['tie']}, at_us long, admitted boolean")
 
 
+def limit_tiers(events: DataFrame, key: str, at_us: str, tie: str, per_key: int, per_all: int, span_us: int, per_day: int, most_keys: int = 4096) -> DataFrame:
+    """``k, tie, at_us, refused_by``: limits by key, over all keys, and by day, of which an event must meet all.
+
+    The limits over all keys make every decision depend on the one before, whatever the key: one task reads the sorted
+    events as a stream. Its state is bounded: the windows of ``most_keys`` latest keys and one window over all.
+    Use ``limit_table`` where a limit by key will do; that one is parallel.
+    """
+    e = events.select(F.coalesce(F.col(key).cast("string"), F.lit("")).alias("k"), F.col(tie).alias("tie"), F.col(at_us).alias("at_us"))
+    day = 86_400_000_000
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        keys: OrderedDict[str, deque[int]] = OrderedDict()
+        every: deque[int] = deque()
+        today, used = None, 0
+        for b in batches:
+            got: list[str | None] = []
+            for k, t in zip(b["k"], b["at_us"]):
+                if t // day != today:
+                    today, used = t // day, 0
+                mine = keys.setdefault(k, deque())
+                keys.move_to_end(k)
+                if len(keys) > most_keys:
+                    keys.popitem(last=False)
+                for w in (mine, every):
+                    while w and w[0] <= t - span_us:
+                        w.popleft()
+                why = "key" if len(mine) >= per_key else "all" if len(every) >= per_all else "day" if used >= per_day else None
+                if why is None:
+                    mine.append(t)
+                    every.append(t)
+                    used += 1
+                got.append(why)
+            yield b.assign(refused_by=pd.Series(got, index=b.index, dtype=object))
+
+    return e.repartition(1).sortWithinPartitions("at_us", "tie").mapInPandas(run, f"k string, tie {dict(e.dtypes)['tie']}, at_us long, refused_by string")
+
+
 def trailing_counts(events: DataFrame, key: str, at_us: str, span_us: int) -> DataFrame:
     """Events of the key in the span up to each: the upper bound of the limiter, as a range window."""
     w = Window.partitionBy(key).orderBy(at_us).rangeBetween(-span_us, 0)

@@ -31,6 +31,13 @@ def test_replays_and_signatures(spark):
     assert a["n"] == b["n"] and a["m"] != b["m"]
 
 
+def test_tiers(spark):
+    rows = [("a", 1, 0), ("a", 2, 1), ("a", 3, 2), ("b", 4, 3), ("c", 5, 4), ("a", 6, 10), ("b", 7, 20), ("b", 8, 86_400_000_000)]
+    df = spark.createDataFrame(rows, "who string, id int, at long")
+    got = {r["tie"]: r["refused_by"] for r in L.limit_tiers(df, "who", "at", "id", 2, 3, 10, 4).collect()}
+    assert got == {1: None, 2: None, 3: "key", 4: None, 5: "all", 6: None, 7: "day", 8: None}
+
+
 def _run(spark, df, name, mode="append"):
     q = df.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
     done = q.awaitTermination(60)
