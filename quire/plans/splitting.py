@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.operators.splitting import split_long
-from quire.tables import load
+from quire.tables import load, spread
 
 IDS = {"cms_publications": ("id", "ingested_at"), "text_blocks": ("block_id", "loaded_at")}
 
@@ -20,7 +20,7 @@ def _pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     for r in sorted(limits, key=lambda r: (r["record_table"], r["field_name"])):
         key, _ = IDS[r["record_table"]]
         t = load(spark, sf_dir, r["record_table"]).select(F.lit(r["record_table"]).alias("record_table"), F.lit(r["field_name"]).alias("field_name"), F.col(key).alias("record_id"), F.col(r["field_name"]))
-        parts.append(split_long(t, r["field_name"], r["max_size"], r["overlap_size"], ["record_table", "field_name", "record_id"]))
+        parts.append(split_long(spread(t), r["field_name"], r["max_size"], r["overlap_size"], ["record_table", "field_name", "record_id"]))
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -20,3 +20,13 @@ def once(df: DataFrame, key: str, arrival: str) -> DataFrame:
     rest = [c for c in df.columns if c != key]
     order = F.struct(arrival, *[c for c in rest if c != arrival])
     return df.groupBy(key).agg(F.min(order).alias("_r")).select(*[key if c == key else F.col(f"_r.{c}").alias(c) for c in df.columns])
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan of fewer partitions than the session has cores, dealt out evenly; any other scan as it is.
+
+    For costly row-by-row work over tables of few files. Large tables have more partitions than cores and are not
+    shuffled. The result is the same rows.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan

@@ -18,3 +18,11 @@ def test_the_rest_stands_without_llm(tmp_path):
         subprocess.run(["cp", "-r", str(ROOT / name), str(tmp_path)], check=True)
     subprocess.run(["rm", "-r", str(tmp_path / "quire" / "llm")], check=True)
     subprocess.run([sys.executable, "-B", "-c", code], cwd=tmp_path, check=True, timeout=100)
+
+
+def test_spread(spark):
+    from quire.tables import spread
+
+    one, many = spark.range(100, numPartitions=1), spark.range(100, numPartitions=16)
+    assert spread(one).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and spread(one).count() == 100
+    assert spread(many).rdd.getNumPartitions() == 16
