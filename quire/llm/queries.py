@@ -10,13 +10,13 @@ from pyspark.sql import functions as F
 
 from quire.llm import langid, lookalike, mixing, packing, pairs, pii, quality, scans
 from quire.llm.lang_seeds import BOTH, NAMES
-from quire.tables import load, once
+from quire.tables import load, once, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _paragraph_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load(spark, sf_dir, "text_blocks").where("kind = 'paragraph'").select("block_id", "text")
+    return spread(load(spark, sf_dir, "text_blocks").where("kind = 'paragraph'").select("block_id", "text"))
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,7 +47,7 @@ def p2_surfaces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality figures and type of text of every document."""
-    return quality.classify(load(spark, sf_dir, "documents").select("doc_id", "text"))
+    return quality.classify(spread(load(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,14 +67,14 @@ def _label_languages(label):
 def _spoken(spark: SparkSession, sf_dir: str) -> DataFrame:
     """record_table, record_id, label, text of the four tables with language labels."""
     one = [("documents", "doc_id", "lang", F.col("text")), ("prayer_network_requests", "id", "language", F.col("intention")), ("chat_exchanges", "exchange_id", "language", F.col("message")), ("cms_publications", "id", "language_mode", F.concat_ws("\n\n", "body_en", "body_kha"))]
-    return reduce(DataFrame.unionByName, [load(spark, sf_dir, t).select(F.lit(t).alias("record_table"), F.col(k).alias("record_id"), F.col(lab).alias("label"), x.alias("text")) for t, k, lab, x in one])
+    return spread(reduce(DataFrame.unionByName, [load(spark, sf_dir, t).select(F.lit(t).alias("record_table"), F.col(k).alias("record_id"), F.col(lab).alias("label"), x.alias("text")) for t, k, lab, x in one]))
 
 
 FREE_TEXT = (("prayer_network_requests", "intention"), ("contact_messages", "message"), ("mass_intention_requests", "intention_text"))
 
 
 def _free_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reduce(DataFrame.unionByName, [load(spark, sf_dir, t).select(F.lit(t).alias("record_table"), F.col("id").alias("record_id"), F.col(f).alias("text")) for t, f in FREE_TEXT])
+    return spread(reduce(DataFrame.unionByName, [load(spark, sf_dir, t).select(F.lit(t).alias("record_table"), F.col("id").alias("record_id"), F.col(f).alias("text")) for t, f in FREE_TEXT]))
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,12 +109,12 @@ def p5_stretches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p6_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every pair once, with its defect (null if sound) and the words of its reply under each tag."""
-    return pairs.judge(load(spark, sf_dir, "chat_exchanges")).dropDuplicates(["exchange_id"])
+    return pairs.judge(spread(load(spark, sf_dir, "chat_exchanges").select("exchange_id", "message", "reply", "scope"))).dropDuplicates(["exchange_id"])
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs with a defect."""
-    return pairs.judge(load(spark, sf_dir, "chat_exchanges")).where(F.col("defect_type").isNotNull()).select("exchange_id", "defect_type").distinct()
+    return pairs.judge(spread(load(spark, sf_dir, "chat_exchanges").select("exchange_id", "message", "reply", "scope"))).where(F.col("defect_type").isNotNull()).select("exchange_id", "defect_type").distinct()
 
 
 def _capacity(spark: SparkSession, sf_dir: str) -> int:
@@ -123,7 +123,7 @@ def _capacity(spark: SparkSession, sf_dir: str) -> int:
 
 def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where every text of documents goes."""
-    return packing.pack(load(spark, sf_dir, "documents").select("doc_id", "text"), _capacity(spark, sf_dir))
+    return packing.pack(spread(load(spark, sf_dir, "documents").select("doc_id", "text")), _capacity(spark, sf_dir))
 
 
 def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
