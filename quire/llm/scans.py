@@ -1,8 +1,9 @@
 """Problem 1: repair text of scanned pages and tell which kinds of noise it holds.
 
 Method: running headers and page numbers are labelled by a dynamic programme over the lines; the lines that are left
-form one character stream, which is decoded jointly into words, allowing confused characters, hyphens at line ends,
-words run together and words torn apart; paragraph boundaries are chosen by a second dynamic programme.
+form one character stream, which is decoded jointly into words by Viterbi, allowing confused characters, hyphens at
+line ends, words run together and words torn apart, any of them in one word; paragraph boundaries are chosen by a
+second dynamic programme. Where bounds show that reading token by token is the best path, no other is searched.
 
 The language model is the corpus' own word counts. They are counted over *all* blocks with a partial aggregate before
 the one shuffle. The lexicon keeps the words that make up at least ``MIN_SHARE`` of all words: shares sum to one, so
@@ -17,6 +18,7 @@ not read; very long texts are decoded whole, in time proportional to their lengt
 
 from __future__ import annotations
 
+import bisect
 import math
 import re
 import unicodedata
@@ -35,8 +37,13 @@ HYPHENS = "-¬­‐‑="
 SIGNS = {"6": "b", "0": "o", "1": "li", "!": "il", "9": "g", "$": "s", "5": "s", "†": "t", "‡": "t", "ɑ": "a", "ſ": "sf", "ç": "c", "ÿ": "y", "|": "li", "@": "a", "3": "e", "4": "a", "8": "b", "¢": "c", "£": "f", "€": "e", "ñ": "n", "ï": "i", "ì": "i", "í": "i", "ö": "o", "ü": "u", "è": "e", "é": "e", "ê": "e", "à": "a", "â": "a", "û": "u", "ô": "o", "ﬁ": ("fi",), "ﬂ": ("fl",), "ﬀ": ("ff",), "ﬃ": ("ffi",), "ﬄ": ("ffl",), "ﬅ": ("st",), "ﬆ": ("st",), "¡": "i", "ı": "i", "ĸ": "k", "7": "t", "2": "z", "°": "o", "©": "c", "®": "r", "§": "s", "µ": "u", "ß": "b", "]": "jl", "[": "l", "<": "c", "(": "c", "{": "f", "«": "c", "*": "s", "^": "n", "~": "n", "œ": ("oe",), "æ": ("ae",)}
 LETTERS = {"c": "eo", "b": "h", "h": "b", "e": "c", "rn": "m", "m": ("rn", "in", "ni"), "ri": "n", "n": ("ri", "u"), "ii": "un", "u": ("ii", "n"), "cl": "d", "d": ("cl",), "vv": "w", "w": ("vv",), "li": "hu", "h ": "", "in": "m", "ni": "m", "nn": ("rm",), "i": "lj", "l": "it", "t": "lf", "f": "ts", "o": "ce", "a": "o", "s": "f", "v": "y", "y": "v", "q": "g", "g": "q", "r": "t", "ti": "n", "lc": "k", "tli": ("th",), "iu": ("in",), "ln": ("in",), "j": "i", "k": ("lc",), "z": "s", "il": "u", "iii": "m", "fl": ("fi",), "fi": ("fl",)}
 SIGN_COST, LETTER_COST, EDITS = 2.2, 3.3, 3
-MERGE_COST, SPLIT_COST, HYPHEN_COST = 6.0, 7.0, 1.0
-UNKNOWN = -2.5  # log count of a word that the lexicon lacks
+MERGE_COST, SPLIT_COST, HYPHEN_COST, COMPOUND_COST = 8.0, 6.0, 1.0, 6.0
+UNKNOWN, UNKNOWN_LETTER = -16.4, 3.26  # log share of a word that the lexicon lacks: five random letters; by so much less for each further letter where words may be run together or torn
+TORN = 8  # the most pieces of one torn word
+_CUTS = "\x01\x02"  # hyphens at line ends in the stream: hyphens, and signs read for one
+_GAPS = " " + _CUTS
+#: Words of one letter that may stand beside a dropped space.
+_SINGLE = frozenset("aio")
 
 _EDGE = ".,;:?\"“”‘’„«»()[]{}—–'…"
 _ROMAN = r"(?=[ivxlcdm])m{0,3}(?:c[md]|d?c{0,3})(?:x[cl]|l?x{0,3})(?:i[xv]|v?i{0,3})"
@@ -129,8 +136,6 @@ def label_lines(lines: list[str]) -> list[str]:
             return ["P" if i == live[0] else "Z" for i in range(n)]
         return ["B" if i in live else "Z" for i in range(n)]
     body_like = [i for i in live if not _NUMBER.match(lines[i].strip()) and _spaced(lines[i].strip()) == lines[i].strip() and re.search(r"[a-z]", lines[i])]
-    import bisect
-
     score = [[0.0] * 4]
     back: list[list[int]] = []
     for k, i in enumerate(live):
@@ -159,15 +164,25 @@ def label_lines(lines: list[str]) -> list[str]:
 
 
 class Decoder:
-    """Readings of words against the lexicon; what a worker has read once it remembers."""
+    """Readings of words and of stretches of the stream against the lexicon; what a worker has read once it remembers."""
 
     def __init__(self, lex: dict[str, float]):
-        self.lex = lex
+        total = math.log(sum(map(math.exp, lex.values()))) if lex else 0.0
+        self.lex = {w: v - total for w, v in lex.items()}  # log shares of all words
+        self.words = sorted(self.lex)
+        self.top = max(self.lex.values(), default=UNKNOWN)
+        self.best_from = [UNKNOWN] * 42  # the greatest log share of a word of at least so many characters
+        for w, v in self.lex.items():
+            k = min(len(w), 41)
+            self.best_from[k] = max(self.best_from[k], v)
+        for k in range(40, -1, -1):
+            self.best_from[k] = max(self.best_from[k], self.best_from[k + 1])
         self.rules = [(a, b, SIGN_COST) for a, bs in SIGNS.items() for b in bs] + [(a, b, LETTER_COST) for a, bs in LETTERS.items() for b in bs]
         self.by_first: dict[str, list[tuple[str, str, float]]] = {}
         for r in self.rules:
             self.by_first.setdefault(r[0][0], []).append(r)
         self.known: dict[str, tuple[float, str, bool]] = {}
+        self.paths: dict[tuple[str, ...], list[tuple]] = {}
 
     def word(self, w: str) -> tuple[float, str, bool]:
         """Score, reading and whether a character was misread, of a lower-case word without its outer marks."""
@@ -180,60 +195,171 @@ class Decoder:
         return got
 
     def _word(self, w: str) -> tuple[float, str, bool]:
-        own = self.lex.get(w, UNKNOWN)
+        own = max(self.lex.get(w, UNKNOWN), UNKNOWN)
         if len(w) == 1 and not (w in SIGNS and w.isalpha()) or w.isdigit() or len(w) > 32:
-            return (max(own, 0.0), w, False)
-        if own >= 0 and "-" in w and all(p in self.lex for p in w.split("-")):
             return (own, w, False)
-        odd = any(c in SIGNS and not (c.isalpha() and own > UNKNOWN) for c in w)
-        if own == UNKNOWN and not odd and "-" in w and all(len(p) > 1 for p in w.split("-")):
+        if w in self.lex and "-" in w and all(p in self.lex for p in w.split("-")):
+            return (own, w, False)
+        odd = any(c in SIGNS and not (c.isalpha() and w in self.lex) for c in w)
+        if w not in self.lex and not odd and "-" in w and all(len(p) > 1 for p in w.split("-")):
             parts = [self.word(p) for p in w.split("-")]
             return (min(p[0] for p in parts), "-".join(p[1] for p in parts), any(p[2] for p in parts))
-        best = (own, w, False)
-        # all readings with up to EDITS confusions, left to right
-        todo: list[tuple[int, str, float, int]] = [(0, "", 0.0, 0)]
-        seen = 0
-        while todo and seen < 6000:
-            seen += 1
-            i, out, cost, edits = todo.pop()
-            if i >= len(w):
-                if edits:
-                    s = self.lex.get(out)
-                    if s is not None and s - cost > best[0]:
-                        best = (s - cost, out, True)
+        got = self.walk(w, 0, own, True).get(len(w))
+        return got[:3] if got and got[2] and got[0] > own else (own, w, False)
+
+    def _begins(self, out: str) -> bool:
+        at = bisect.bisect_left(self.words, out)
+        return at < len(self.words) and self.words[at].startswith(out)
+
+    def walk(self, s: str, start: int, floor: float, whole: bool = False) -> dict[int, tuple[float, str, bool, bool]]:
+        """Words of the lexicon that the stream may hold from ``start``: for each end the best score, the word, and whether a character was misread and a hyphen taken out.
+
+        Characters may be confused, a space inside the word (MERGE_COST) or a hyphen at a line end is passed over, and
+        unless ``whole`` the word may end inside a token (SPLIT_COST). Only beginnings of words of the lexicon are
+        followed, and none whose best end would not beat ``floor``.
+        """
+        found: dict[int, tuple[float, str, bool, bool]] = {}
+        n = len(s)
+        todo: list[tuple[int, str, float, float, int, bool]] = [(start, "", 0.0, 0.0, 0, False)]
+        best: dict[tuple[int, str, int, bool], float] = {}
+        while todo:
+            i, out, cost, misread, edits, cut = todo.pop()
+            if self.top - cost <= floor or best.get((i, out, edits, cut), math.inf) <= cost:
+                continue
+            best[i, out, edits, cut] = cost
+            end = i == n or s[i] in _GAPS
+            if i > start and out and s[i - 1] not in _GAPS and (i == n or not whole and (s[i] == " " or not end)):
+                v = self.lex.get(out)
+                # beside a dropped space: nearly any ending can be misread into a word of one or two letters
+                fair = not edits and (len(out) > 1 or out in _SINGLE) or len(out) > 2 or end and (start == 0 or s[start - 1] in _GAPS)
+                if v is not None and fair:
+                    v -= cost if end else cost + SPLIT_COST
+                    if i not in found or v > found[i][0]:
+                        found[i] = (v, out, edits > 0, cut)
+            if i == n:
                 continue
-            sign = w[i] in SIGNS and not (w[i].isalpha() and ord(w[i]) < 128)
-            if not sign or w[i].isalpha() and ord(w[i]) < 0x17F and w[i] not in "ſÿ" or w[i] in "'-":
-                todo.append((i + 1, out + w[i], cost, edits))
+            c = s[i]
+            if c == " ":
+                todo.append((i + 1, out, cost + MERGE_COST, misread, edits, cut))
+                continue
+            if end:
+                todo.append((i + 1, out, cost + HYPHEN_COST, misread, edits, True))
+                if self._begins(out + "-"):
+                    todo.append((i + 1, out + "-", cost, misread, edits, cut))
+                continue
+            sign = c in SIGNS and not (c.isalpha() and ord(c) < 128)
+            if (not sign or c.isalpha() and ord(c) < 0x17F and c not in "ſÿ") and self._begins(out + c):
+                todo.append((i + 1, out + c, cost, misread, edits, cut))
             if edits < EDITS + (sign and edits < 6):
-                for a, b, c in self.by_first.get(w[i], ()):
-                    if w.startswith(a, i) and (c == SIGN_COST or cost < 2 * LETTER_COST):
-                        todo.append((i + len(a), out + b, cost + c, edits + 1))
-        return best
-
-    def split(self, w: str) -> tuple[float, str] | None:
-        """Best reading as two frequent words run together."""
-        best = None
-        for k in range(2, len(w) - 1):
-            a, b = self.lex.get(w[:k]), self.lex.get(w[k:])
-            if a is not None and b is not None and min(a, b) > 2.5:
-                s = min(a, b) - SPLIT_COST
-                if best is None or s > best[0]:
-                    best = (s, f"{w[:k]} {w[k:]}")
-        return best
+                for a, b, k in self.by_first.get(c, ()):
+                    if s.startswith(a, i) and (k == SIGN_COST or misread < 2 * LETTER_COST) and self._begins(out + b):
+                        todo.append((i + len(a), out + b, cost + k, misread + k, edits + 1, cut))
+        return found
+
+    def unit(self, u: str) -> tuple[float, str, bool, bool]:
+        """Score, reading, misread, hyphen taken out, of one token or of two about a hyphen at a line end, read by itself."""
+        k = next((i for i, c in enumerate(u) if c in _CUTS), -1)
+        if k < 0:
+            score, reading, bad = self.word(u)
+            kind = ""
+        else:
+            kind, reading, bad = self.broken(u[:k], u[k + 1 :], "-" if u[k] == _CUTS[0] else "=")
+            score = max(self.lex.get(reading, UNKNOWN), self.word(u[:k] + u[k + 1 :])[0]) if kind == "hyphenation" or reading in self.lex else min(self.word(x)[0] for x in reading.split("-"))
+        if score <= UNKNOWN:
+            score = UNKNOWN - UNKNOWN_LETTER * max(0, len(u) - 5)
+        return (score, reading, bad, kind == "hyphenation")
+
+    def doubtful(self, units: list[str], scores: list[float]) -> list[tuple[int, int]]:
+        """Stretches of ``units`` in which words run together or torn apart might beat the units read one by one.
+
+        The bounds are admissible: outside the stretches no such path can be the best one.
+        """
+        n = len(units)
+        out: list[tuple[int, int]] = []
+        for i in range(n):
+            j = i + 1 if 2 * self.top - SPLIT_COST > scores[i] else i
+            total, chars = scores[i], len(units[i])
+            m = 1
+            while i + m < n and m < TORN:
+                total += scores[i + m]
+                chars += len(units[i + m])
+                if chars > 40:
+                    break
+                joined = max(self.best_from[max(0, chars - 2 * e)] - e * SIGN_COST for e in range(EDITS + 1)) if total < self.top - MERGE_COST * m else -math.inf
+                if joined - MERGE_COST * m > total or m == 1 and 2 * self.top - MERGE_COST - SPLIT_COST > total:
+                    j = i + m + 1
+                elif m >= 2:
+                    break
+                m += 1
+            if j > i:
+                if out and i < out[-1][1]:
+                    out[-1] = (out[-1][0], max(j, out[-1][1]))
+                else:
+                    out.append((i, j))
+        return out
+
+    def path(self, units: list[str]) -> list[tuple[int, int, str, bool, bool]]:
+        """The best segmentation of a stretch: ``start, end, reading, misread, hyphen taken out`` over the characters of the joined units.
+
+        Viterbi over the character positions; edges are units as they stand and all words that ``walk`` reads.
+        """
+        key = tuple(units)
+        got = self.paths.get(key)
+        if got is None:
+            if len(self.paths) > 200_000:
+                self.paths.clear()
+            got = self.paths[key] = self._path(units)
+        return got
+
+    def _path(self, units: list[str]) -> list[tuple[int, int, str, bool, bool]]:
+        s = " ".join(units)
+        n = len(s)
+        ends: dict[int, tuple[int, tuple[float, str, bool, bool]]] = {}
+        at = 0
+        for u in units:
+            ends[at] = (at + len(u), self.unit(u))
+            at += len(u) + 1
+        starts = sorted(ends)
+        score: dict[int, float] = {0: 0.0}
+        back: dict[int, tuple[int, int, str, bool, bool]] = {}
+
+        def reach(p: int, q: int, v: float, w: str, bad: bool, cut: bool) -> None:
+            to = q + 1 if q < n and s[q] == " " else q
+            if to not in score or v > score[to]:
+                score[to], back[to] = v, (p, q, w, bad, cut)
+
+        for p in range(n):
+            if p not in score:
+                continue
+            if p in ends:
+                q, (v, w, bad, cut) = ends[p]
+                reach(p, q, score[p] + v, w, bad, cut)
+            # no word is worth more than the units that it may replace
+            first = starts[bisect.bisect_right(starts, p) - 1]
+            own = sum(ends[a][1][0] for a in starts if first <= a <= first + 80)
+            for q, (v, w, bad, cut) in self.walk(s, p, own).items():
+                if p not in ends or ends[p][0] != q:
+                    reach(p, q, score[p] + v, w, bad, cut)
+        out = []
+        p = n
+        while p > 0:
+            out.append(back[p])
+            p = back[p][0]
+        return out[::-1]
 
     def broken(self, a: str, b: str, sign: str) -> tuple[str, str, bool]:
         """A word of two parts about a line end: ``(kind, reading, misread)``; kind is hyphenation, compound or two words."""
         ja, jb = self.word(a + b), self.word(f"{a}-{b}")
-        comp = self.lex.get(f"{a}-{b}", -9.0)
+        none = -math.inf
+        comp = self.lex.get(f"{a}-{b}", none)
         if not jb[2]:
             jb = (comp, f"{a}-{b}", False)
-        elif self.lex.get(jb[1], -9.0) == -9.0:
-            jb = (-9.0, f"{a}-{b}", False)
+        elif jb[1] not in self.lex:
+            jb = (none, f"{a}-{b}", False)
         wa, wb = self.word(a), self.word(b)
-        both = min(wa[0], wb[0]) - MERGE_COST if not (wa[2] or wb[2]) and a in self.lex and b in self.lex and len(a) > 1 and len(b) > 1 else -9.0
+        both = min(wa[0], wb[0]) - COMPOUND_COST if not (wa[2] or wb[2]) and a in self.lex and b in self.lex and len(a) > 1 and len(b) > 1 else none
         joined = ja[0] - HYPHEN_COST
-        if jb[0] >= joined and jb[0] > -9.0:
+        if jb[0] >= joined and jb[0] > none:
             return ("compound", jb[1], jb[2])
         if ja[0] == UNKNOWN and both > joined and sign in "-‐‑":
             return ("compound", f"{wa[1]}-{wb[1]}", wa[2] or wb[2])
@@ -286,8 +412,8 @@ def decode(text: str, dec: Decoder) -> tuple[str, set[str]]:
             ends[-1] = True
         if gaps[k]:
             breaks.add(len(words))
-    out: list[str] = []
-    where: list[int] = []
+    # the stream: units (a token, or two about a hyphen at a line end) as first word, pre, core, post, key
+    units: list[tuple[int, str, str, str, str]] = []
     i = 0
     while i < len(words):
         w = words[i]
@@ -295,41 +421,73 @@ def decode(text: str, dec: Decoder) -> tuple[str, set[str]]:
             pre, a, _ = _core(w[:-1].rstrip(HYPHENS))
             _, b, post = _core(words[i + 1])
             if a and b:
-                kind, reading, bad = dec.broken(a.lower(), b.lower(), w[-1])
-                if kind == "hyphenation":
-                    noise.add("hyphenation")
-                if bad:
-                    noise.add("characters")
-                out.append(pre + _case(a, reading) + post)
-                where.append(i)
+                mark = _CUTS[0] if w[-1] in "-‐‑" else _CUTS[1]
+                units.append((i, pre, a + mark + b, post, a.lower() + mark + b.lower()))
                 i += 2
                 continue
         pre, c, post = _core(w)
-        low = c.lower()
-        got = dec.known.get(low)
-        if got is None:
-            got = dec.word(low) if low else (0.0, low, False)
-        if got[2]:
+        units.append((i, pre, c, post, c.lower()))
+        i += 1
+    out: list[str] = []
+    where: list[int] = []
+
+    def emit(at: int, pre: str, like: str, post: str, reading: str, bad: bool, cut: bool) -> None:
+        if cut:
+            noise.add("hyphenation")
+        if bad:
             noise.add("characters")
-            out.append(pre + _case(c, got[1]) + post)
-        elif got[0] == UNKNOWN and low.isalpha() and len(low) > 3:
-            nxt = _core(words[i + 1]) if i + 1 < len(words) and not post else ("", "", "")
-            joined = dec.lex.get(low + nxt[1].lower()) if nxt[1] and not nxt[0] else None
-            cut = dec.split(low)
-            if joined is not None and joined - MERGE_COST > max(UNKNOWN, cut[0] if cut else UNKNOWN) and nxt[1].lower() not in dec.lex:
-                out.append(pre + c + nxt[1] + nxt[2])
-                where.append(i)
-                i += 2
-                continue
-            out.append(pre + _case(c, cut[1]) + post if cut and cut[0] > UNKNOWN else w)
+        out.append(pre + (_case(like, reading) if bad or like.lower() != reading else like) + post)
+        where.append(at)
+
+    def alone(u: tuple[int, str, str, str, str]) -> None:
+        at, pre, c, post, low = u
+        _, reading, bad, cut = dec.unit(low) if low else (0.0, low, False, False)
+        if bad or any(x in low for x in _CUTS):
+            emit(at, pre, c, post, reading, bad, cut)
         else:
-            out.append(w)
-        where.append(i)
-        i += 1
+            out.append(pre + c + post)
+            where.append(at)
+
+    def joinable(u: tuple[int, str, str, str, str], v: tuple[int, str, str, str, str]) -> bool:
+        # inside a torn word there is neither a mark nor a capital after a small letter, and no paragraph ends
+        return not u[3] and not v[1] and v[0] not in breaks and (not v[2][0].isupper() or u[2].isupper() and v[2].isupper())
+
+    plain = [bool(u[4]) and len(u[4]) == len(u[2]) and len(u[4]) <= 40 and any(x.isalpha() for x in u[4]) for u in units]
+    k = 0
+    while k < len(units):
+        m = k + 1
+        if plain[k]:
+            while m < len(units) and plain[m] and joinable(units[m - 1], units[m]):
+                m += 1
+            keys = [u[4] for u in units[k:m]]
+            done = k
+            for x, y in dec.doubtful(keys, [dec.unit(u)[0] for u in keys]):
+                for u in units[done : k + x]:
+                    alone(u)
+                part = units[k + x : k + y]
+                done = k + y
+                stream, like = dec.path(keys[x:y]), " ".join(u[2] for u in part)
+                first = 0  # where the unit begins in which the last edge began
+                spans = []
+                for u in part:
+                    spans.append((first, first + len(u[2]), u))
+                    first += len(u[2]) + 1
+                for p, q, reading, bad, cut in stream:
+                    a, u = next((a, u) for a, e, u in spans if a <= p < e)
+                    e, v = next((e, v) for _, e, v in spans if q <= e)
+                    if (a, e) == (p, q) and u is v:
+                        alone(u)
+                    else:
+                        emit(u[0], u[1] if a == p else "", re.sub(f"[{_GAPS}]", "", like[p:q]), v[3] if e == q else "", reading, bad, cut)
+            for u in units[done:m]:
+                alone(u)
+        else:
+            alone(units[k])
+        k = m
     text_out: list[str] = []
     for w, at in zip(out, where):
         if text_out:
-            text_out.append("\n\n" if any(at >= x > prev for x in breaks) else "" if w[0] in "—–" and False else " ")
+            text_out.append("\n\n" if any(at >= x > prev for x in breaks) else " ")
         text_out.append(w)
         prev = at
     return "".join(text_out), noise

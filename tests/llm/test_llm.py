@@ -1,6 +1,7 @@
 """Operators of the llm subpackage against brute force, round trips, held-out accuracy and edge cases."""
 
 import itertools
+import math
 import random
 import unicodedata
 
@@ -188,6 +189,56 @@ def test_scan_repair(text, repaired, noise):
     assert (got, kinds) == (repaired, noise)
 
 
+@pytest.mark.parametrize(
+    ("text", "repaired", "noise"),
+    [
+        ("The roadislong and grace has a door.", "The road is long and grace has a door.", set()),  # three words run together
+        ("The road is long, and pa ti ence grows.", "The road is long, and patience grows.", set()),  # one word in three pieces
+        ("He said nothing with re gre t.", "He said nothing with regret.", set()),
+        ("He said nothing without re gret.", "He said nothing without regret.", set()),
+        ("The roadand larnpburns.", "The road and lamp burns.", {"characters"}),  # confused and run together
+        ("The road and al tor.", "The road and al tor.", set()),
+        ("The road and w!th out regret.", "The road and without regret.", {"characters"}),  # confused and torn
+        ("Patience grow sslowly like a seed.", "Patience grows slowly like a seed.", set()),  # the space has moved
+        ("The road is lo-\nngand the lamp burns.", "The road is long and the lamp burns.", {"hyphenation"}),  # a hyphen and run together
+    ],
+)
+def test_scan_stream(text, repaired, noise):
+    got, kinds = scans.decode(text, scans.Decoder(dict(LEX)))
+    assert (got, kinds) == (repaired, noise)
+
+
+def test_torn_words_that_are_words():
+    lex = {"al": 3.0, "tar": 3.0, "altar": 8.0, "the": 11.0, "in": 10.0, "to": 10.5, "into": 8.5, "before": 8.0}
+    assert scans.decode("Before the al tar, in to.", scans.Decoder(lex))[0] == "Before the altar, in to."
+
+
+def test_stream_against_enumeration():
+    """The pruned search finds what all ways to put spaces into a short stream give at best."""
+    d = scans.Decoder({w: float(n) for n, w in enumerate("a at the he hen then then road roads is island land and".split(), 3)})
+    rng = random.Random(8)
+    for _ in range(150):
+        s = " ".join("".join(rng.choice(["a", "the", "n", "and", "is", "l", "road", "s"]) for _ in range(rng.randint(1, 2))) for _ in range(2))
+        units = s.split(" ")
+        joined, best = "".join(units), sum(d.unit(u)[0] for u in units)
+        for k in range(1 << len(joined) - 1):
+            cuts = [0, *[i for i in range(1, len(joined)) if k >> (i - 1) & 1], len(joined)]
+            ws = [joined[a:b] for a, b in zip(cuts, cuts[1:])]
+            gap = len(units[0])
+            dropped = sum(c != gap for c in cuts[1:-1])
+            if all(w in d.lex and (len(w) > 1 or w in "aio") for w in ws):
+                best = max(best, sum(d.lex[w] for w in ws) - scans.SPLIT_COST * dropped - scans.MERGE_COST * (gap not in cuts))
+        got, flags = 0.0, d.doubtful(units, [d.unit(u)[0] for u in units])
+        path = d.path(units)
+        words = [(p, q, w) for p, q, w, _, _ in path]
+        starts = {0: len(units[0]), len(units[0]) + 1: len(s)}
+        for p, q, w in words:
+            got += d.unit(s[p:q])[0] if starts.get(p) == q else max(v[0] for e, v in d.walk(s, p, -math.inf).items() if e == q)
+        assert got >= best - 1e-9, (s, words, got, best)
+        if not flags:
+            assert [w for _, _, w in words] == [d.unit(u)[1] for u in units]
+
+
 def test_clean_text_stays(spark):
     rng = random.Random(3)
     words = [w for w in LEX if "-" not in w]
