@@ -1,7 +1,7 @@
 """Problem 6: prompt and response pairs, each sound or with the one defect of its response.
 
-Method: a conditional random field tags the clauses of a response as answer, refusal, echo, foreign, unfinished or
-neither; the coverage of the tags gives the defect of the pair. It is trained once per process from the small
+Method: a conditional random field tags the clauses of a response (long ones in pieces, all words of them) as answer,
+refusal, echo, foreign, unfinished or neither; the coverage of the tags gives the defect of the pair. It is trained once per process from the small
 labelled table of ``pair_examples``.
 
 Signs of a clause beside its words: how far the message holds it (echo), whether it is in a language that the message
@@ -35,8 +35,12 @@ from quire.llm.pair_examples import table
 
 TAGS = ("A", "R", "E", "F", "U", "N")
 FEATURES, SLOTS, GRAMS = 1 << 16, 44, 1 << 19
+READ = 14  # words of a clause that are read in one piece
 
 _CLAUSE = re.compile(r"(?<=[.!?…])[\"'”’»)]*\s+|\s*\n+\s*")
+_J = "and|or|so|but|yet|because|though|although|while|however|hynrei|bad|mais|et|car|pero|y|porque|aber|und|denn|sed|quia"
+_INNER = re.compile(rf"(?<=[,;:])\s+|\s+(?=(?:{_J})\s)", re.I)
+_JOINS = frozenset(_J.split("|"))
 _WORD = re.compile(r"[^\W_]+(?:['’-][^\W_]+)*")
 _MARKER = re.compile(r"^\s*(?:\(?(?:\d{1,3}|[a-zA-Z])[.)]|[-•*–])\s*(?=\S|$)")
 _TAGS = re.compile(r"<[^>]{0,60}>|&[a-z]+;")
@@ -58,6 +62,29 @@ def clauses(reply: str) -> list[str]:
     return [c for c in _CLAUSE.split(_TAGS.sub(" ", reply)) if c.strip() and (_WORD.search(c) or c.strip()[-1] in _OPEN or c.strip() in ("...", "…", "-", "•", "*"))]
 
 
+def pieces(clause: str) -> list[str]:
+    """A clause as it is if it has at most READ words; else parts of at most READ + 3, cut at inner marks and conjunctions where there are any."""
+    if len(clause) < 2 * READ or len(norm(clause)) <= READ:
+        return [clause]
+    parts: list[tuple[str, int]] = []
+    for x in _INNER.split(clause):
+        n = len(norm(x))
+        if n <= READ:
+            parts.append((x, n))
+            continue
+        words, k = x.split(), -(-n // READ)
+        size = -(-len(words) // k)
+        parts += [(" ".join(words[a : a + size]), len(norm(" ".join(words[a : a + size])))) for a in range(0, len(words), size)]
+    out: list[tuple[str, int]] = []
+    for k, (x, n) in enumerate(parts):
+        tail = k == len(parts) - 1 and n < 4
+        if out and out[-1][1] + n <= READ + 3 * (out[-1][1] < 4 or tail):
+            out[-1] = (f"{out[-1][0]} {x}", out[-1][1] + n)
+        elif x.strip():
+            out.append((x, n))
+    return [x for x, _ in out]
+
+
 def norm(s: str) -> list[str]:
     return _WORD.findall(unicodedata.normalize("NFKC", s).lower().replace("’", "'"))
 
@@ -154,23 +181,24 @@ def end_sign(clause: str, words: list[str], seen: np.ndarray, ended: np.ndarray)
 # --- features ------------------------------------------------------------------------------------------------------
 
 
-def row_features(words: list[str], echo: int, foreign: int, end: str, last: int, only: int) -> np.ndarray:
+def row_features(words: list[str], echo: int, foreign: int, end: str, last: int, only: int, slots: int = SLOTS) -> np.ndarray:
     n = len(words)
     size = 0 if n == 0 else 1 if n <= 2 else 2 if n <= 5 else 3 if n <= 9 else 4
     f = [f"e{echo}", f"f{foreign}", f"d{end}{last}", f"l{last}{only}", f"z{size}", f"ez{echo}{size}", f"dz{end}{last}{size}", f"ee{echo}{end}{last}", "b"]
-    w = words[:14]
-    f += [f"w{x}" for x in w]
-    f += [f"g{a} {b}" for a, b in zip(["^", *w], w)]
-    f += [f"t{' '.join(w[:3])}"]
-    out = np.full(SLOTS, FEATURES, np.int32)
-    out[: min(len(f), SLOTS)] = [_h(x) % FEATURES for x in f[:SLOTS]]
+    f += [f"t{' '.join(words[:3])}"]
+    f += [f"w{x}" for x in words]
+    f += [f"g{a} {b}" for a, b in zip(["^", *words], words)]
+    at = [_h(x) % FEATURES for x in f]
+    out = np.full(slots, FEATURES, np.int32)
+    out[: min(len(at), slots)] = at[:slots]
     return out
 
 
 @lru_cache(maxsize=1)
 def model() -> CRF:
     rows = table()
-    feats = np.stack([row_features(norm(t), echo, foreign, end, last, only) for r in rows for t, _, echo, foreign, end, last, only in r])
+    slots = 10 + 2 * max(len(norm(c[0])) for r in rows for c in r)
+    feats = np.stack([row_features(norm(t), echo, foreign, end, last, only, slots) for r in rows for t, _, echo, foreign, end, last, only in r])
     lengths = np.array([len(r) for r in rows])
     starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
     tags = np.array([TAGS.index(c[1]) for r in rows for c in r])
@@ -219,11 +247,15 @@ def tag(batches: Iterator[pd.DataFrame], parts: tuple, lang: tuple, ends: tuple[
         owner = np.repeat(np.arange(len(b)), lengths)
         clear = (cn >= 3) & (cconf >= 0.85) & (ccls < len(langid.LANGS)) & uses.any(1)[owner]
         foreign = clear & ~uses[owner, np.minimum(ccls, len(langid.LANGS) - 1)]
-        feats = np.full((len(flat), SLOTS), FEATURES, np.int32)
-        sizes = np.zeros(len(flat), np.int64)
+        # what the field tags: the pieces of the clauses
+        cut_up = [pieces(_MARKER.sub("", c)) for c in flat]
+        parted = np.array([len(p) for p in cut_up], np.int64)
+        total = int(parted.sum())
+        feats = np.full((total, SLOTS), FEATURES, np.int32)
+        sizes = np.zeros(total, np.int64)
         broken = np.zeros(len(b), bool)
-        ended_open = np.zeros(len(flat), bool)
-        k = 0
+        ended_open = np.zeros(total, bool)
+        k = row_at = 0
         for i, cs in enumerate(cl):
             m = norm(messages[i]) if cs and isinstance(messages[i], str) else []
             ms, joined = set(m), f" {' '.join(m)} "
@@ -231,14 +263,25 @@ def tag(batches: Iterator[pd.DataFrame], parts: tuple, lang: tuple, ends: tuple[
                 last = int(j == len(cs) - 1)
                 body = _MARKER.sub("", c)
                 w = norm(body)
-                sizes[k] = len(w)
                 end = end_sign(body, w, seen, ended) if last and body.strip() else "open" if last else "mark"
                 if last and not w and (not body.strip() or body.strip()[-1] in _OPEN or body.strip() in ("...", "…")):
                     broken[i] = True  # an item or a quotation that was only opened
-                ended_open[k] = last and end in ("open", "odd") and bool(w)
-                feats[k] = row_features(w, _echo(w, body, ms, joined), int(foreign[k]), end, last, int(len(cs) == 1))
+                echo = _echo(w, body, ms, joined)
+                for part in cut_up[k]:
+                    pw = w if len(cut_up[k]) == 1 else norm(part)
+                    tail = int(last and part is cut_up[k][-1])
+                    mark = end if tail else "mark"
+                    sizes[row_at] = len(pw)
+                    ended_open[row_at] = tail and end in ("open", "odd") and bool(w)
+                    own = echo if echo == 3 or len(cut_up[k]) == 1 else _echo(pw, part, ms, joined)
+                    read = pw[1:] if part is not cut_up[k][0] and len(pw) > 1 and pw[0] in _JOINS else pw  # the piece as a clause by itself
+                    feats[row_at] = row_features(read, own, int(foreign[k]), mark, tail, int(len(cs) == 1))
+                    row_at += 1
                 k += 1
-        tags = crf.decode(feats, starts, lengths) if len(flat) else np.zeros(0, np.int64)
+        owner = np.repeat(owner, parted)
+        lengths = np.bincount(owner, minlength=len(b)).astype(np.int64) if len(b) else lengths
+        starts = np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64)
+        tags = crf.decode(feats, starts, lengths) if total else np.zeros(0, np.int64)
         # exact check: a last answer that visibly breaks off, or ends as no sentence of the corpus does, is unfinished
         tags = np.where(ended_open & np.isin(tags, (0, 3)), 4, tags)
         cover = np.zeros((len(b), len(TAGS)), np.int64)

@@ -158,6 +158,20 @@ def test_pairs(spark):
     assert pairs.judge(df.limit(0)).count() == 0
 
 
+def test_long_clauses_are_read_whole(spark):
+    q = "What does the Church teach about patience?"
+    good = "Patience is a gift. The road is long, but the lamp burns. Let us begin with silence."
+    late = "I have read your question about patience and the long road with great care this morning, and I thank you for sending it to us, but I am unable to provide that kind of guidance."
+    bare = "patience is a gift and the road is long and the lamp burns and joy grows slowly like a seed under the snow and I cannot help with that request."
+    sound = "Patience is a gift of the night, and the road is long for those who carry the bread of the poor, but the lamp burns in the window and joy grows slowly under the snow."
+    rows = [(i, q, good, "catholic") for i in range(40)] + [(100, q, late, "catholic"), (101, q, bare, "catholic"), (102, q, sound, "catholic"), (103, sound, sound, "catholic")]
+    got = {r["exchange_id"]: r["defect_type"] for r in pairs.judge(spark.createDataFrame(rows, "exchange_id long, message string, reply string, scope string")).collect()}
+    assert [got[i] for i in (0, 100, 101, 102, 103)] == [None, "refusal", "refusal", None, "copy"]
+    for t in (late, bare, sound, "word " * 1000, "a, " * 100):
+        parts = pairs.pieces(t)
+        assert [w for p in parts for w in pairs.norm(p)] == pairs.norm(t) and max(len(pairs.norm(p)) for p in parts) <= pairs.READ + 3
+
+
 def test_gram_cells_agree():
     w = ["the", "long", "road", "of", "bread"]
     wa, at = np.array([pairs._word(x) for x in w], np.uint64), np.arange(5)
