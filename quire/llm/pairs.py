@@ -7,9 +7,10 @@ labelled table of ``pair_examples``.
 Signs of a clause beside its words: how far the message holds it (echo), whether it is in a language that the message
 does not use (the model of ``langid``), and whether it ends like a sentence. The last needs the corpus: of every
 run of one to five words, how often it occurs and how often it stands before a final mark, over *all* responses.
-The counts are kept in ``GRAMS`` hashed cells, a fixed size, so they may be collected and broadcast at any input size.
+The counts are exact and stay a table; only the distinct last words of replies without a final mark look theirs up.
 
-Plan: two scans (counts; tagging), one shuffle of at most GRAMS cells per partition. No group is collected.
+Plan: three scans (counts; last words; tagging); the shuffles are of partial counts, of distinct last words, and of
+the rows to their counts. No group is collected.
 
 Defined results: a null, blank or content-free response is ``empty``; a null message has no words, so nothing echoes
 it and no language is foreign to it; repeated rows give repeated results.
@@ -35,6 +36,7 @@ from quire.llm.pair_examples import table
 
 TAGS = ("A", "R", "E", "F", "U", "N")
 FEATURES, SLOTS, GRAMS = 1 << 16, 44, 1 << 19
+KEEN = 2.0  # occurrences that the rate of a shorter run counts for
 READ = 14  # words of a clause that are read in one piece
 
 _CLAUSE = re.compile(r"(?<=[.!?…])[\"'”’»)]*\s+|\s*\n+\s*")
@@ -126,56 +128,82 @@ def _cells(w: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarra
 
 
 def count_grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """``cell, seen, ended``: runs of words, and those of them before a final mark, summed over the partition."""
-    seen, ended = np.zeros(GRAMS), np.zeros(GRAMS)
+    """``gram, seen, ended``: runs of one to five words, and those of them before a final mark; partial counts, a bounded number at a time."""
+    seen: Counter = Counter()
+    ended: Counter = Counter()
+
+    def told() -> pd.DataFrame:
+        got = pd.DataFrame({"gram": list(seen), "seen": list(seen.values()), "ended": [ended[g] for g in seen]}).astype({"gram": object, "seen": "int64", "ended": "int64"})
+        seen.clear()
+        ended.clear()
+        return got
+
     for b in batches:
-        counts = Counter(c for r in b["reply"].dropna() for c in clauses(r))
-        flat: list[int] = []
-        at: list[int] = []
-        times: list[int] = []
-        done: list[bool] = []
-        for c, t in counts.items():
+        for c, t in Counter(c for r in b["reply"].dropna() for c in clauses(r)).items():
             w = norm(c)
-            flat += map(_word, w)
-            at += range(len(w))
-            times += [t] * len(w)
-            done += [False] * len(w)
-            if w:
-                done[-1] = c.rstrip("\"'”’»)] ").endswith(_ENDS) and not c.rstrip().endswith(("...", "…"))
-        wa, pa_, ta, da = np.array(flat, np.uint64), np.array(at, np.int64), np.array(times, float), np.array(done, bool)
-        for n in range(1, 6):
-            k, cell = _cells(wa, pa_, n)
-            seen += np.bincount(cell, weights=ta[k], minlength=GRAMS)
-            ended += np.bincount(cell, weights=ta[k] * da[k], minlength=GRAMS)
-    at_ = np.flatnonzero(seen)
-    yield pd.DataFrame({"cell": at_, "seen": seen[at_].astype(np.int64), "ended": ended[at_].astype(np.int64)})
-
-
-def endings(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The hashed counts of the whole table: two arrays of GRAMS cells."""
-    cells = df.select("reply").mapInPandas(count_grams, "cell long, seen long, ended long").groupBy("cell").agg(F.sum("seen").alias("seen"), F.sum("ended").alias("ended")).toPandas()
-    seen, ended = np.zeros(GRAMS, np.int64), np.zeros(GRAMS, np.int64)
-    seen[cells["cell"]] = cells["seen"]
-    ended[cells["cell"]] = cells["ended"]
-    return seen, ended
-
-
-def end_sign(clause: str, words: list[str], seen: np.ndarray, ended: np.ndarray) -> str:
-    """``mark``, ``open`` (breaks off visibly), ``fits`` (ends as sentences do) or ``odd`` (does not)."""
+            for n in range(1, 6):
+                for k in range(len(w) - n + 1):
+                    seen[" ".join(w[k : k + n])] += t
+            if w and c.rstrip("\"'”’»)] ").endswith(_ENDS) and not c.rstrip().endswith(("...", "…")):
+                for n in range(1, min(5, len(w)) + 1):
+                    ended[" ".join(w[-n:])] += t
+            if len(seen) > 200_000:
+                yield told()
+    yield told()
+
+
+def shown_end(clause: str, words: list[str]) -> str | None:
+    """``open`` (breaks off visibly) or ``mark``; none where only the corpus can tell."""
     c = clause.rstrip()
     if c.endswith(("...", "…", "-", "–", "—", ",", ";", ":")) or c[-1] in _OPEN or not words:
         return "open"
-    if c.rstrip("\"'”’»)]").endswith(_ENDS):
-        return "mark"
-    k = len(words) - 1
-    if seen[_gram(words, k, 1)] < 3 or not (c[-1].isalnum()):
+    return "mark" if c.rstrip("\"'”’»)]").endswith(_ENDS) else None
+
+
+def tail(reply: str | None) -> str | None:
+    """The last words of a reply, five at most, where the corpus must tell whether they end a sentence."""
+    cs = [] if is_nothing(reply) else clauses(reply)
+    body = _MARKER.sub("", cs[-1]) if cs else ""
+    if not body.strip():
+        return None
+    w = norm(body)
+    return None if shown_end(body, w) else " ".join(w[-5:])
+
+
+def with_endings(df: DataFrame) -> DataFrame:
+    """``df`` with ``tail_counts``: of the last 1 to 5 words of each reply, how often they occur and end a sentence in the whole table, exactly.
+
+    Only the distinct tails are joined to the counts. Rows without a tail get keys of their own kind, spread out.
+    """
+    of = F.pandas_udf(lambda r: r.map(tail).astype(object), "string")
+    rows = df.withColumn("tail", of("reply"))
+    w = F.split("tail", " ")
+    grams = F.transform(F.sequence(F.lit(1), F.size(w)), lambda n: F.struct(n.alias("n"), F.array_join(F.slice(w, -n, n), " ").alias("gram")))
+    need = rows.where("tail is not null").select("tail").distinct().select("tail", F.explode(grams).alias("g")).select("tail", "g.n", "g.gram")
+    counts = df.select("reply").mapInPandas(count_grams, "gram string, seen long, ended long").groupBy("gram").agg(F.sum("seen").alias("seen"), F.sum("ended").alias("ended"))
+    told = need.join(counts, "gram").groupBy("tail").agg(F.array_sort(F.collect_list(F.struct("n", "seen", "ended"))).alias("x"))
+    told = told.select(F.col("tail").alias("key"), F.flatten(F.transform("x", lambda x: F.array(x["seen"], x["ended"]))).alias("tail_counts"))
+    key = F.coalesce("tail", F.concat(F.lit(" "), F.pmod(F.xxhash64("exchange_id", "reply"), F.lit(4096)).cast("string")))  # no tail begins with a space
+    return rows.withColumn("key", key).join(told, "key", "left").drop("key", "tail")
+
+
+def end_sign(clause: str, words: list[str], counts: list[int]) -> str:
+    """``mark``, ``open`` (breaks off visibly), ``fits`` (ends as sentences do) or ``odd`` (does not).
+
+    ``counts``: seen and ended of the last word, of the last two, and so on. The rate at which a run ends a sentence
+    leans on that of the shorter run as on KEEN occurrences, so a run that never occurred elsewhere changes nothing.
+    """
+    shown = shown_end(clause, words)
+    if shown:
+        return shown
+    c = clause.rstrip()
+    # the clause itself was counted once, without a mark
+    if len(counts) < 2 or counts[0] <= 1 or not c[-1].isalnum():
         return "odd" if c[-1].isalpha() else "fits"  # an unknown word; or a closing sign
-    for n in range(min(5, k + 1), 0, -1):
-        g = _gram(words, k, n)
-        # the clause itself was counted once, without a mark
-        if seen[g] >= 4 or n == 1:
-            return "fits" if ended[g] >= 0.3 * (seen[g] - 1) and ended[g] > 0 else "odd"
-    return "odd"
+    rate = 0.0
+    for seen, ended in zip(counts[::2], counts[1::2]):
+        rate = (ended + KEEN * rate) / (seen - 1 + KEEN)
+    return "fits" if rate >= 0.3 else "odd"
 
 
 # --- features ------------------------------------------------------------------------------------------------------
@@ -223,13 +251,13 @@ def _echo(words: list[str], clause: str, message: set[str], joined: str) -> int:
     return best
 
 
-def tag(batches: Iterator[pd.DataFrame], parts: tuple, lang: tuple, ends: tuple[np.ndarray, np.ndarray]) -> Iterator[pd.DataFrame]:
-    """exchange_id, message, reply, scope -> exchange_id, defect_type (null if sound), and the words under each tag."""
+def tag(batches: Iterator[pd.DataFrame], parts: tuple, lang: tuple) -> Iterator[pd.DataFrame]:
+    """exchange_id, message, reply, scope, tail_counts -> exchange_id, defect_type (null if sound), and the words under each tag."""
     crf = CRF(0, TAGS)
     crf.n_features, crf.weights, crf.trans, crf.start, crf.end = parts
     scorer = langid.Scorer(lang)
-    seen, ended = ends
     for b in batches:
+        ends = [[] if x is None else list(x) for x in b["tail_counts"]]
         replies, messages = b["reply"].tolist(), b["message"].tolist()
         void = [is_nothing(r) for r in replies]
         cl = [[] if v else clauses(r) for r, v in zip(replies, void)]
@@ -263,19 +291,19 @@ def tag(batches: Iterator[pd.DataFrame], parts: tuple, lang: tuple, ends: tuple[
                 last = int(j == len(cs) - 1)
                 body = _MARKER.sub("", c)
                 w = norm(body)
-                end = end_sign(body, w, seen, ended) if last and body.strip() else "open" if last else "mark"
+                end = end_sign(body, w, ends[i]) if last and body.strip() else "open" if last else "mark"
                 if last and not w and (not body.strip() or body.strip()[-1] in _OPEN or body.strip() in ("...", "…")):
                     broken[i] = True  # an item or a quotation that was only opened
                 echo = _echo(w, body, ms, joined)
                 for part in cut_up[k]:
                     pw = w if len(cut_up[k]) == 1 else norm(part)
-                    tail = int(last and part is cut_up[k][-1])
-                    mark = end if tail else "mark"
+                    final = int(last and part is cut_up[k][-1])
+                    mark = end if final else "mark"
                     sizes[row_at] = len(pw)
-                    ended_open[row_at] = tail and end in ("open", "odd") and bool(w)
+                    ended_open[row_at] = final and end in ("open", "odd") and bool(w)
                     own = echo if echo == 3 or len(cut_up[k]) == 1 else _echo(pw, part, ms, joined)
                     read = pw[1:] if part is not cut_up[k][0] and len(pw) > 1 and pw[0] in _JOINS else pw  # the piece as a clause by itself
-                    feats[row_at] = row_features(read, own, int(foreign[k]), mark, tail, int(len(cs) == 1))
+                    feats[row_at] = row_features(read, own, int(foreign[k]), mark, final, int(len(cs) == 1))
                     row_at += 1
                 k += 1
         owner = np.repeat(owner, parted)
@@ -289,9 +317,9 @@ def tag(batches: Iterator[pd.DataFrame], parts: tuple, lang: tuple, ends: tuple[
         has_refusal = np.zeros(len(b), bool)
         has_refusal[owner[tags == 1]] = True
         cut = broken.copy()
-        tail = starts + lengths - 1
+        final = starts + lengths - 1
         live = lengths > 0
-        cut[live] |= tags[tail[live]] == 4
+        cut[live] |= tags[final[live]] == 4
         told = cover[:, [0, 1, 3, 4]].sum(1)
         copy = (cover[:, 2] > 0) & (cover[:, [0, 1, 3]].sum(1) == 0) & (cover[:, 4] <= 2)
         wrong = cover[:, 3] * 2 > np.maximum(told, 1)
@@ -308,6 +336,6 @@ SCHEMA = "exchange_id long, defect_type string, answer_words long, refusal_words
 
 def judge(df: DataFrame) -> DataFrame:
     """Defect and clause coverage of every pair of ``df`` (exchange_id, message, reply, scope)."""
-    ends, parts, lang = endings(df), parameters(), langid.model()
-    shared = df.sparkSession.sparkContext.broadcast((parts, lang, ends))
-    return df.select("exchange_id", "message", "reply", "scope").mapInPandas(lambda it: tag(it, *shared.value), SCHEMA)
+    parts, lang = parameters(), langid.model()
+    shared = df.sparkSession.sparkContext.broadcast((parts, lang))
+    return with_endings(df.select("exchange_id", "message", "reply", "scope")).mapInPandas(lambda it: tag(it, *shared.value), SCHEMA)

@@ -172,6 +172,19 @@ def test_long_clauses_are_read_whole(spark):
         assert [w for p in parts for w in pairs.norm(p)] == pairs.norm(t) and max(len(pairs.norm(p)) for p in parts) <= pairs.READ + 3
 
 
+def test_ending_counts_are_exact(spark):
+    """More distinct runs than hashed cells could hold without strangers' counts; each tail's counts are its own."""
+    rng = random.Random(6)
+    replies = [" ".join(f"w{rng.randrange(3000)}" for _ in range(30)) + "." for _ in range(5000)] + ["the lamp burns over bread and wine."] * 9 + ["the lamp burns over bread and wine", "they carry the road of bread and"]
+    df = spark.createDataFrame([(i, "q", r, "catholic") for i, r in enumerate(replies)], "exchange_id long, message string, reply string, scope string")
+    got = {r["exchange_id"]: r["tail_counts"] for r in pairs.with_endings(df).collect()}
+    assert len(got) == len(replies) and got[0] is None
+    assert got[5009] == [10, 9] * 5 and got[5010] == [11, 0, 11, 0, 1, 0, 1, 0, 1, 0]
+    assert pairs.end_sign(replies[5009], pairs.norm(replies[5009]), got[5009]) == "fits" and pairs.end_sign(replies[5010], pairs.norm(replies[5010]), got[5010]) == "odd"
+    for k in (2, 30):  # the same rates at any size
+        assert pairs.end_sign("of bread", ["of", "bread"], [10 * k, 6 * k, 4 * k, 2 * k]) == "fits" and pairs.end_sign("of the", ["of", "the"], [10 * k, 0, 4 * k, 0]) == "odd"
+
+
 def test_gram_cells_agree():
     w = ["the", "long", "road", "of", "bread"]
     wa, at = np.array([pairs._word(x) for x in w], np.uint64), np.arange(5)
