@@ -6,8 +6,9 @@ line ends, words run together and words torn apart, any of them in one word; par
 second dynamic programme. Where bounds show that reading token by token is the best path, no other is searched.
 
 The language model is the corpus' own word counts. They are counted over *all* blocks with a partial aggregate before
-the one shuffle. The lexicon keeps the words that make up at least ``MIN_SHARE`` of all words: shares sum to one, so
-it has at most 1 / MIN_SHARE entries whatever the size of the input, and may be broadcast. Decoding is one Arrow scan.
+the one shuffle. Words score by their share of all words, so that decisions do not change with the number of blocks.
+The lexicon keeps the words that make up at least ``MIN_SHARE`` of all words, the share at which a word scores no more
+than an unknown one. Shares sum to one, so it has at most 1 / MIN_SHARE (13 million) entries. Decoding is one Arrow scan.
 
 Misread words recur in a large corpus, so being in the lexicon proves nothing: a word gives way to one that it may be
 misread from when that one is so much more frequent that the confusion explains it better.
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 TYPES = ("hyphenation", "characters", "header", "page_number")
-MIN_SHARE, MIN_COUNT = 2e-6, 4
+MIN_COUNT = 4
 
 #: Signs that a scan puts at the end of a line for a hyphen.
 HYPHENS = "-¬­‐‑="
@@ -40,6 +41,7 @@ SIGN_COST, LETTER_COST, EDITS = 2.2, 3.3, 3
 MERGE_COST, SPLIT_COST, HYPHEN_COST, COMPOUND_COST = 8.0, 6.0, 1.0, 6.0
 UNKNOWN, UNKNOWN_LETTER = -16.4, 3.26  # log share of a word that the lexicon lacks: five random letters; by so much less for each further letter where words may be run together or torn
 TORN = 8  # the most pieces of one torn word
+MIN_SHARE = math.exp(UNKNOWN)  # a rarer word scores as one that the lexicon lacks, so leaving it out changes no score
 _CUTS = "\x01\x02"  # hyphens at line ends in the stream: hyphens, and signs read for one
 _GAPS = " " + _CUTS
 #: Words of one letter that may stand beside a dropped space.

@@ -273,6 +273,30 @@ def test_clean_text_stays(spark):
     assert scans.decode(text, scans.Decoder(dict(LEX))) == (text, set())
 
 
+def test_decisions_do_not_change_with_size(spark):
+    lex = {"the": 9.0, "lamp": 6.0, "burns": 5.0, "garossot": 2.5, "and": 8.0}
+    text = "The larnp and garossat, theburns, la mp and garossot."
+    want = scans.decode(text, scans.Decoder(lex))
+    assert want[0] == "The lamp and garossot, the burns, lamp and garossot."
+    for k in (2.3, 7.0, 12.0):  # every count ten, a thousand, 160,000 times
+        assert scans.decode(text, scans.Decoder({w: v + k for w, v in lex.items()})) == want
+
+
+def test_rare_words_stay_known(spark):
+    """A word of a millionth of all words is in the lexicon, so its misreads are found and it is not bent to another."""
+    df = spark.createDataFrame([("the road " * 2_000,)] * 1_000 + [("garossot",)] * 4, "text string").repartition(4)
+    lex = scans.lexicon(df)
+    assert set(lex) == {"the", "road", "garossot"}
+    d = scans.Decoder(lex)
+    assert d.word("garossot")[1:] == ("garossot", False) and d.word("gar0ssot")[1:] == ("garossot", True)
+
+
+def test_many_readings_are_searched():
+    """A misread first letter in a long word of letters that are all often confused: no limit on the readings tried."""
+    lex = {"illimitabilities": 6.0, "the": 9.0, **{f"{a}{b}{c}": 3.0 for a in "iljtf" for b in "iljtf" for c in "iljtf"}}
+    assert scans.Decoder(lex).word("lllimitabi1ities")[1:] == ("illimitabilities", True)
+
+
 def test_lexicon_is_bounded(spark):
     df = spark.createDataFrame([("the road " * 50 + "rare",)] * 3 + [(None,)], "text string")
     assert set(scans.lexicon(df)) == {"the", "road"}
