@@ -26,3 +26,16 @@ def test_spread(spark):
     one, many = spark.range(100, numPartitions=1), spark.range(100, numPartitions=16)
     assert spread(one).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and spread(one).count() == 100
     assert spread(many).rdd.getNumPartitions() == 16
+
+
+def test_readme_claims_no_survey_id_without_code():
+    import re
+    from pathlib import Path
+
+    text = (Path(__file__).resolve().parents[1] / "README.md").read_text()
+    table, left_out = text[text.index("## Operators of the survey") :].split("Left out:")
+    claimed = set(re.findall(r"\b[A-Z]\d\d\b", table))
+    for k, a, b in re.findall(r"\b([A-Z])(\d\d)-[A-Z](\d\d)\b", table):
+        claimed |= {f"{k}{i:02d}" for i in range(int(a), int(b) + 1)}
+    none = {"J10", "P06", "W05", "D09", "U06", "U07"}
+    assert not claimed & none and none <= set(re.findall(r"\b[A-Z]\d\d\b", left_out))
