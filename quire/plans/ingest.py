@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -137,10 +139,17 @@ def matrix_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return markdown_rows(load(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("n")), ["source", "n"])
 
 
+#: The tables and their keys.
+_TABLES = {
+    "chat_exchanges": ["exchange_id"], "cms_publications": ["id"], "contact_messages": ["id"], "customer": ["c_custkey"], "documents": ["doc_id"], "embeddings": ["vec_id"], "events": ["event_id"], "grc_tokens": ["id"], "lineitem": ["l_orderkey", "l_linenumber"], "mass_intention_requests": ["id"], "mix_targets": ["source"],
+    "nation": ["n_nationkey"], "orders": ["o_orderkey"], "part": ["p_partkey"], "place_list": ["entry_id"], "prayer_network_requests": ["id"], "priest_registrations": ["id"], "region": ["r_regionkey"], "size_limits": ["task", "record_table", "field_name"], "supplier": ["s_suppkey"], "text_blocks": ["block_id"],
+}
+
+
 @C.plan()
 def table_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows, keys and digest of a table."""
-    return manifest(load(spark, sf_dir, "place_list"), "place_list", ["entry_id"])
+    """Rows, keys and digest of every table."""
+    return reduce(DataFrame.unionByName, [manifest(load(spark, sf_dir, t), t, keys) for t, keys in _TABLES.items()])
 
 
 @C.plan("""

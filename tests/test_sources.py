@@ -91,3 +91,13 @@ def test_sinks(spark):
     with pytest.raises(AssertionError):
         w.fail_on_rows(two, "rows")
     w.fail_on_rows(two.limit(0), "no rows")
+
+
+def test_manifest_of_every_table(spark, sf):
+    import os
+
+    from quire.plans.ingest import table_manifest
+
+    got = {r["name"]: r for r in table_manifest(spark, sf).collect()}
+    assert set(got) == {f.removesuffix(".parquet") for f in os.listdir(sf) if f.endswith(".parquet")}
+    assert all(r["n_rows"] == spark.read.parquet(f"{sf}/{n}.parquet").count() and 0 < r["n_keys"] <= r["n_rows"] for n, r in got.items())
