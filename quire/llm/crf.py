@@ -33,8 +33,12 @@ class CRF:
         f[~mask] = self.n_features
         return f, mask, at, n, longest
 
-    def fit(self, feats: np.ndarray, starts: np.ndarray, lengths: np.ndarray, tags: np.ndarray, epochs: int = 8, rate: float = 0.25, size: int = 16, seed: int = 3, l2: float = 1e-5) -> CRF:
-        """``feats`` (tokens x slots) holds feature numbers; sentence i is ``feats[starts[i]:starts[i]+lengths[i]]``."""
+    def fit(self, feats: np.ndarray, starts: np.ndarray, lengths: np.ndarray, tags: np.ndarray, epochs: int = 8, rate: float = 0.25, size: int = 16, seed: int = 3, l2: float = 1e-5, averaged: int = 1) -> CRF:
+        """``feats`` (tokens x slots) holds feature numbers; sentence i is ``feats[starts[i]:starts[i]+lengths[i]]``.
+
+        The parameters are the mean of those after each of the last ``averaged`` epochs.
+        """
+        kept: list[tuple] = []
         rng = np.random.default_rng(seed)
         t = len(self.tags)
         eye = np.eye(t, dtype=np.float32)
@@ -81,6 +85,10 @@ class CRF:
                 ends = (lengths[which] - 1)[:, None]
                 self.end -= step * np.take_along_axis(p - eye[y], ends[:, :, None], 1)[:, 0].sum(0) / 4
             self.weights *= 1 - l2 * len(batches)
+            if averaged > 1 and e >= epochs - averaged:
+                kept.append(tuple(x.copy() for x in (self.weights, self.trans, self.start, self.end)))
+        if kept:
+            self.weights, self.trans, self.start, self.end = (np.mean(x, axis=0, dtype=np.float32) for x in zip(*kept))
         return self
 
     def decode(self, feats: np.ndarray, starts: np.ndarray, lengths: np.ndarray, size: int = 512) -> np.ndarray:

@@ -1,10 +1,13 @@
 """Problem 3: find personal data in free text and replace it with typed placeholders.
 
 Method: a linear-chain conditional random field over word-shape features, trained once per process from the small
-labelled table of ``pii_examples``, decoded by Viterbi in numpy batches.
+labelled table of ``pii_examples``, decoded by Viterbi in numpy batches. The field alone decides; only the form of a
+span is checked after it.
 
-Plan: a scan and one Arrow function; no shuffle but the final distinct on (table, id, type). Within a batch equal
-sentences are decoded once. The model is fixed in size (features are hashed).
+Plan: a scan that counts how often the corpus writes each word with and without a capital (a partial aggregate; at
+most 1 / LEAST_SHARE words are sent to the workers), then a scan with one Arrow function; no other shuffle but the
+final distinct on (table, id, type). Within a batch equal sentences are decoded once. The field is fixed in size
+(features are hashed).
 
 Defined results: null texts are no rows in the findings and stay null when redacted; empty texts stay empty; very
 long texts are decoded sentence by sentence; a span that fails its exact check (an e-mail without an at, a telephone
@@ -13,6 +16,7 @@ number of fewer than seven digits, ...) is dropped.
 
 from __future__ import annotations
 
+import random
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -21,8 +25,12 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 from quire.llm.crf import CRF
-from quire.llm.pii_examples import DIGITS, table
+from quire.llm.pii_examples import DIGITS, FUNCTION, table, unknown
+from quire.session import materialise
 
 TYPES = ("email", "phone", "id_number", "address", "person_name")
 TAGS = ("O", *(f"{p}-{t}" for t in TYPES for p in "BI"))
@@ -31,10 +39,6 @@ FEATURES = 1 << 16
 _TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]|_")
 _ABBREVIATED = "".join(rf"(?<!\b{x}\.)" for x in ("No", "no", "St", "Sr", "Mr", "Dr", "Fr", "Br", "Ms", "Mrs", "Sta", "tel", "Tel", "NO", "ST", "MR", "MRS", "DR", "SR", "FR", "mr", "mrs", "dr", "sr", "fr", "[A-Za-z]", "Lic"))
 _SENTENCE = re.compile(_ABBREVIATED + r"(?<=[.!?])\s+|\s*\n\s*")
-#: Holy persons; a name made of these alone is no private person.
-HOLY = frozenset("mary jesus christ joseph god lord father mother saint st lady heart spirit trinity holy sacred blessed virgin our divine".split())
-SAINTLY = frozenset("saint st san santa santo sainte são blessed sankt".split())
-
 
 def _h(s: str) -> int:
     h = 14695981039346656037
@@ -52,9 +56,10 @@ def _shape(w: str) -> str:
 
 
 class Types:
-    """Hashed features of distinct tokens, kept for the life of a worker."""
+    """Hashed features of distinct tokens, kept for the life of a worker. ``known``: words of running text in the labelled table."""
 
-    def __init__(self) -> None:
+    def __init__(self, known: frozenset[str]) -> None:
+        self.known = known
         self.index: dict[str, int] = {}
         self.rows: list[tuple[int, ...]] = []
         self.of("\x00")  # padding
@@ -66,7 +71,7 @@ class Types:
             w = unicodedata.normalize("NFKC", token) or token
             low = w.lower()
             word = "#digit" if low in DIGITS else "#num" if w.isdigit() and len(w) > 3 else low
-            self.rows.append(tuple(_h(x) for x in ("w" + word, "s" + _shape(w), "p" + low[:3], "q" + low[-3:], "r" + low[-2:] + ("9" if w.isdigit() else "a"))))
+            self.rows.append(tuple(_h(x) for x in ("w" + word, "s" + _shape(w), "p" + low[:3], "q" + low[-3:], "r" + low[-2:] + ("9" if w.isdigit() else "a"), f"k{low in self.known}{_shape(w)}")))
         return k
 
 
@@ -81,7 +86,7 @@ def featurise(types: Types, sents: list[list[str]]) -> tuple[np.ndarray, np.ndar
     flat += (0, 0, 0)
     ids = np.array(flat, np.int64)
     base = np.array(types.rows, dtype=np.int64)[ids]
-    word, shape, pre, suf, suf2 = base.T
+    word, shape, pre, suf, suf2, seen = base.T
 
     def at(a: np.ndarray, d: int) -> np.ndarray:
         return np.roll(a, -d)
@@ -100,45 +105,76 @@ def featurise(types: Types, sents: list[list[str]]) -> tuple[np.ndarray, np.ndar
             mix(10, at(shape, -1), shape), mix(11, shape, at(shape, 1)), mix(12, at(shape, -1), shape, at(shape, 1)),
             mix(13, at(word, -1), shape), mix(14, at(word, 1), shape), mix(15, at(word, -2), at(word, -1)), mix(16, at(word, 1), at(word, 2)),
             mix(17, at(shape, -2), at(shape, -1), shape), mix(18, shape, at(shape, 1), at(shape, 2)),
+            mix(19, seen), mix(20, at(seen, -1), seen), mix(21, seen, at(seen, 1)), mix(22, at(seen, -1), seen, at(seen, 1)), mix(23, at(word, -1), seen), mix(24, seen, at(word, 1)),
         ]
     return np.stack(cols, 1).astype(np.int32), starts, lengths
 
 
-@lru_cache(maxsize=1)
-def model() -> CRF:
+#: Share of the words outside slots that training replaces by unknown ones, so that the field does not lean on one word.
+DROPPED = 0.15
+
+
+#: A word of at least this share of all words may be known from the corpus (so at most 100,000 are), if most of its occurrences are in lower case.
+LEAST_SHARE, LOWER = 1e-5, 0.6
+
+
+def corpus_words(texts: DataFrame, text: str = "text") -> frozenset[str]:
+    """Words that the corpus itself writes in lower case: names, unlike other words, mostly have a capital.
+
+    Counted over all texts by a partial aggregate. Shares, not counts, decide, leaning on a few occurrences of either
+    kind, so that a word seen once proves nothing. At most ``1 / LEAST_SHARE`` words can be told.
+    """
+    words = texts.select(F.explode(F.split(text, r"[^\p{L}]+")).alias("w")).where("w <> ''")
+    n = words.groupBy("w").agg(F.count("*").alias("n")).groupBy(F.lower("w").alias("word")).agg(F.sum("n").alias("n"), F.sum(F.when(F.col("w") == F.lower("w"), F.col("n")).otherwise(0)).alias("low"))
+    n = materialise(n)  # read twice: for the total, and for the words
+    total = n.agg(F.sum("n")).first()[0] or 0
+    kept = n.where((F.col("n") >= LEAST_SHARE * total) & (F.col("low") + 1 >= LOWER * (F.col("n") + 4)))
+    return frozenset(r["word"] for r in kept.select("word").collect())
+
+
+def known_words(rows: list[list[tuple[str, str]]]) -> frozenset[str]:
+    """Words that hold sentences together, and those of the table outside its labelled slots."""
+    function = {w for ws in FUNCTION.values() for w in ws}
+    return frozenset(function | {t.lower() for row in rows for text, kind in row if not kind and not text.endswith("\u200b") for t in _TOKEN.findall(text) if t.isalpha()})
+
+
+def fitted(rows: list[list[tuple[str, str]]], epochs: int = 4) -> tuple[CRF, frozenset[str]]:
+    """A field trained on rows of ``(text, type or "")`` parts, and the words it knows."""
+    rng = random.Random(17)
+    known = known_words(rows)
     sents, tags = [], []
-    for row in table():
+    for row in rows:
         words, ts = [], []
         for text, kind in row:
             toks = _TOKEN.findall(text)
+            if not kind:
+                toks = [unknown(rng, t) if t.isalpha() and rng.random() < DROPPED else t for t in toks]
             words += toks
             ts += [TAGS.index(("B-" if i == 0 else "I-") + kind) if kind else 0 for i in range(len(toks))]
         sents.append(words)
         tags.append(ts)
-    feats, starts, lengths = featurise(Types(), sents)
+    feats, starts, lengths = featurise(Types(known), sents)
     flat = np.zeros(len(feats), np.int64)
     for s, t in zip(starts, tags):
         flat[s : s + len(t)] = t
-    return CRF(FEATURES, TAGS).fit(feats, starts, lengths, flat, epochs=5)
+    return CRF(FEATURES, TAGS).fit(feats, starts, lengths, flat, epochs=epochs, averaged=3), known
+
+
+@lru_cache(maxsize=1)
+def model() -> tuple[CRF, frozenset[str]]:
+    """The field trained on the whole table."""
+    return fitted(table())
 
 
-def _exact(kind: str, span: str, before: str) -> bool:
-    """The exact check that follows the field's decision."""
-    s = unicodedata.normalize("NFKC", span)
-    digits = len(re.findall(r"\d", s)) + len(re.findall(r"\b(?:" + "|".join(DIGITS) + r")\b", s.lower()))
-    words = [w for w in re.findall(r"[^\W\d_]+", s.lower())]
+def _exact(kind: str, span: str) -> bool:
+    """The exact check that follows the field's decision: what a span of the type must hold by its form."""
+    s = unicodedata.normalize("NFKC", span).lower()
+    digits = len(re.findall(r"\d", s)) + len(re.findall(r"\b(?:" + "|".join(DIGITS) + r")\b", s))
     if kind == "email":
-        return bool(re.search(r"@|\bat\b", s.lower())) and bool(re.search(r"\.|\bdot\b", s.lower())) and "www" not in words
-    if kind == "phone":
-        return digits >= 7
-    if kind == "id_number":
-        return digits >= 4
-    if kind == "address":
-        return digits >= 1 and len(words) >= 1
-    if not words or digits or all(w in HOLY for w in words):
-        return False
-    last = re.findall(r"[^\W\d_]+", before.lower())[-1:]
-    return not (last and last[0] in SAINTLY) and words[0] not in SAINTLY
+        return bool(re.search(r"@|\bat\b", s)) and bool(re.search(r"\.|\bdot\b", s))
+    if kind == "person_name":
+        return not digits and any(c.isalpha() for c in s)
+    return digits >= {"phone": 7, "id_number": 4, "address": 1}[kind]
 
 
 def spans(crf: CRF, types: Types, texts: list[str]) -> list[list[tuple[int, int, str]]]:
@@ -167,7 +203,7 @@ def spans(crf: CRF, types: Types, texts: list[str]) -> list[list[tuple[int, int,
         for k, (_, b, e) in enumerate([*tk, ("", 0, 0)]):
             tag = TAGS[tags[st + k]] if k < len(tk) else "O"
             if kind and not (tag[0] == "I" and tag[2:] == kind):
-                if _exact(kind, s[a:z], s[:a]):
+                if _exact(kind, s[a:z]):
                     out.append((a, z, kind))
                 kind = ""
             if tag != "O":
@@ -180,13 +216,14 @@ def spans(crf: CRF, types: Types, texts: list[str]) -> list[list[tuple[int, int,
 
 def _worker(parts: tuple) -> tuple[CRF, Types]:
     crf = CRF(0, TAGS)
-    crf.n_features, crf.weights, crf.trans, crf.start, crf.end = parts
-    return crf, Types()
+    crf.n_features, crf.weights, crf.trans, crf.start, crf.end, known = parts
+    return crf, Types(known)
 
 
-def parameters() -> tuple:
-    m = model()
-    return m.n_features, m.weights.astype(np.float16).astype(np.float32), m.trans, m.start, m.end
+def parameters(texts: DataFrame, text: str = "text") -> tuple:
+    """What a worker needs: the field, and the words known from the table and from the corpus."""
+    m, known = model()
+    return m.n_features, m.weights.astype(np.float16).astype(np.float32), m.trans, m.start, m.end, known | corpus_words(texts, text)
 
 
 def find(batches: Iterator[pd.DataFrame], parts: tuple) -> Iterator[pd.DataFrame]:

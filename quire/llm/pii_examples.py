@@ -1,7 +1,10 @@
-"""The small labelled table of the personal-data model: sentences with slots, and generators for the slots.
+"""The small labelled table of the personal-data model: frames with slots, and generators for the slots.
 
 A slot ``{email}`` is filled and its tokens are labelled with its type; everything outside slots is no personal data.
-``{decoy}`` and the like are filled with things that only look alike. All fillings are invented.
+``{who}`` is filled with a private person (labelled), with somebody who is none (a relative, a saint) or with a group,
+so that a frame by itself proves nothing. All frames and fillings are invented for this table; none is taken from the
+data that the model reads. ``table(held=False)`` leaves out every fifth frame of each kind, ``table(held=True)`` holds
+only those: the frames of a held-out test are not those of its training.
 """
 
 from __future__ import annotations
@@ -9,159 +12,241 @@ from __future__ import annotations
 import random
 import re
 
-WITH: tuple[str, ...] = (
-    # addresses of mail
-    "Write to me at {email}.", "My mail is {email}, please reply.", "Contact {email} for the details.", "{email} is best for a reply.", "You can answer me here: {email}", "Email: {email}", "Please send the photo to {email} today.", "e-mail {email}", "Reply to {email} or come to the office.", "My e-mail address is {email}.",
-    "Ka email jong nga ka long {email}.", "Sngewbha thoh sha {email}.", "Thoh ïa nga ha {email}.", "Mi correo es {email}.", "Escríbame a {email}.", "Écrivez à {email}.", "Mon adresse est {email}.", "Meine Adresse ist {email}.", "Mi correo electrónico: {email}",
-    # telephone numbers
-    "Please ring {phone} after six.", "Call me on {phone}.", "My number is {phone}.", "WhatsApp {phone} if a priest is free.", "I can be reached at {phone} most evenings.", "tel. {phone}", "Tel: {phone}", "Phone {phone}.", "You may text {phone} any time.", "Mobile: {phone}", "call {phone}", "{phone}",
-    "Phone ïa nga ha {phone}.", "Ka number jong nga ka long {phone}.", "Mi teléfono es {phone}.", "Llámeme al {phone}.", "Mon numéro est {phone}.", "Appelez-moi au {phone}.", "Meine Nummer ist {phone}.", "Mon téléphone : {phone}.",
-    # numbers of identity
-    "For your records, {id_number}.", "They have my {id_number} already.", "I lost my papers ({id_number}) last week.", "The office asked me to add {id_number}.", "I enclose my {id_number}.", "{id_number}", "My {id_number} was copied.", "Here is the {id_number} for the form.",
-    "Nga ai ruh ïa ka {id_number}.", "Ka kard jong nga ka long {id_number}.", "Mis datos: {id_number}.", "Mes papiers : {id_number}.", "Mi documento es {id_number}.",
-    # postal addresses
-    "We live at {address}.", "The sick room is at {address}, ask for the key.", "Send the card to {address}.", "I am writing from {address}.", "Someone could visit us at {address}.", "Our home is {address}.", "My address: {address}", "Please come to {address} on Monday.", "I stay at {address}.",
-    "Ka ïing jong ngi ka don ha {address}.", "Nga shong ha {address}.", "Vivimos en {address}.", "Nous habitons {address}.", "Nous vivons au {address}.", "Mi casa está en {address}.",
-    # names of private persons
-    "In thanksgiving for {person_name}.", "For the repose of the soul of {person_name}.", "{person_name}, on the anniversary of death.", "For the health of {person_name}.", "RIP {person_name}", "R.I.P. {person_name}", "{person_name}, on the anniversary of death.", "In loving memory of {person_name}.", "Both {person_name} and the baby are weak.", "Nobody has heard from {person_name} since Easter.", "My neighbour {person_name} drinks too much.", "Birthday of {person_name}", "{person_name}", "Rest in peace {person_name}", "{person_name} (deceased)", "Special intention of {person_name}.", "My neighbour {person_name} drinks too much.", "Pray for {person_name}, who is in hospital again.", "It was {person_name} who drove us home.", "My daughter {person_name} has stopped eating.", "I was asked by {person_name} to send this.", "The landlord, {person_name}, wants us to leave.", "Nobody has heard from {person_name} since Easter.", "Please pray for my brother {person_name}.", "We buried {person_name} on Tuesday.", "Yours in prayer, {person_name}", "Could a priest see {person_name} before Sunday?", "Both {person_name} and the baby are weak.", "The doctor told {person_name} that the wound will heal.", "My name is {person_name}.", "Remember {person_name} who begins examinations soon.", "Thank you, {person_name}", "Please do not tell {person_name} that I wrote.", "For {person_name} and for {person_name}, who marry in May.", "My son {person_name} is out of work.", "Sincerely, {person_name}", "Regards, {person_name}", "I am {person_name} from the hill parish.", "{person_name} is very ill.", "Please bless my wife {person_name} and our son {person_name}.", "The operation of {person_name} went well.",
-    "Ka kyrteng jong nga ka long {person_name}.", "Khublei, {person_name}", "Iarap ïa u {person_name} ha ka jingeh.", "Ka kmie jong nga, ka {person_name}, ka dang pang.", "Khublei, {person_name}", "Ka kyrteng jong nga ka long {person_name}.", "To duwai na ka bynta {person_name}.", "Iarap ïa u {person_name} ha ka jingeh.", "U khun jong nga {person_name} u pang bha.", "Duwai na ka bynta ka {person_name}.",
-    "Me llamo {person_name}.", "Mi vecina {person_name} está enferma.", "Recen por mi hijo {person_name}.", "Je m'appelle {person_name}.", "Ma voisine {person_name} est malade.", "Priez pour mon fils {person_name}.", "Ich heiße {person_name}.", "Gracias, {person_name}", "Merci, {person_name}",
+#: Frames about somebody.
+WHO: tuple[str, ...] = (
+    "Kindly pray for {who}.", "Do pray that {who} finds work again.", "Remember {who} at Mass.", "Offer this Mass for {who}.", "A Mass for {who}", "Mass intention: {who}", "For {who}", "for {who}, who left us in spring.", "We ask you to visit {who} at home.", "I am asking prayers for {who} and the children.", "Lift up {who} before the Lord.", "Keep {who} in mind this month.", "Please light a candle for {who}.", "One year since {who} died.", "Thirty days since the death of {who}.",
+    "The funeral of {who} is tomorrow.", "The wedding of {who} is in August.", "We remember {who} with love.", "Wedding anniversary of {who}", "Healing for {who}", "Eternal rest for {who}", "The soul of {who}", "May {who} rest in peace.", "Thanks to {who} for the singing.", "Greetings from {who}", "With love, {who}", "Signed, {who}", "Your servant, {who}", "Gratefully, {who}", "God bless, {who}", "Warm wishes, {who}", "Respectfully yours, {who}", "- {who}", "Yours, {who} and family", "This is {who} writing.",
+    "{who} has lost a job and needs help.", "{who} fell ill on Sunday.", "{who} will be operated on tomorrow.", "{who} passed away last night.", "{who} is leaving for the seminary.", "{who} has not come home for a week.", "{who} gave me your address.", "{who} cannot walk any longer.", "{who} wants to be baptised.", "{who} sat beside me in the ward.", "{who} and {who} are to be married.", "{who} and {who} no longer speak to each other.", "{who} told me to ask you.", "{who} teaches the little ones.", "{who} needs an operation soon.", "{who}, born in spring, is our first child.", "{who} died in an accident.", "{who} turns ninety this week.", "{who} was always kind to us.", "{who} thanks you all.",
+    "My friend {who} is far from God.", "My aunt {who} broke her hip.", "My cousin {who} has gone abroad.", "Our teacher {who} retires this year.", "His wife {who} expects a child.", "Her husband {who} is in prison.", "Our daughter {who} sits her last papers.", "My grandson {who} was bitten by a dog.", "My late uncle {who} loved this church.", "Our neighbour {who} is alone.", "My boss {who} treats us badly.", "A man called {who} came to the door.", "A girl named {who} asked for bread.", "The nurse, {who}, was very gentle.", "The tenant, {who}, has not paid.", "Her brother, {who}, drives a lorry.", "Our catechist {who} has fever.", "The widow {who} lives upstairs.", "{who}, on the day of burial.", "{who}, on what would be a birthday.", "{who}, thirty days after the funeral.", "We laid {who} to rest on Friday.", "They buried {who} at noon.", "The twins {who} and {who} were born too early.",
+    "I met {who} at the market.", "I spoke with {who} about it.", "Nobody believes {who} any more.", "I owe {who} a great deal.", "The police took {who} away.", "Somebody should ring {who} tonight.", "We are waiting for {who} to return.", "I was sent by {who}.", "I quarrelled with {who} over money.", "Without {who} we would be lost.", "It is {who} who keeps the keys.", "It was {who} that found the child.", "Do not show this to {who}, please.", "Let {who} know that I am sorry.", "The surgeon said to {who} that it is over.", "The letter came from {who} in June.", "Can anyone drive {who} to the clinic?", "Is {who} well enough to travel?", "When does {who} come back?", "Both {who} and her sister are in bed.", "I, {who}, promise to pay.", "I am {who}.", "I am {who}, a student.", "My name: {who}", "Name: {who}", "They call me {who}.", "You may call me {who}.", "The baby is to be called {who}.", "Happy feast day to {who}!", "Get well soon, {who}!", "Dear {who}, thank you.",
+    "Ask {who} for the list.", "We buried our friend {who} in the rain.", "The parents of {who} are worried.", "The house of {who} burned down.", "The exam of {who} is near.", "The mother of {who} is blind.", "Success for {who} in the test", "Safe journey for {who}", "Protection for {who} on the road", "Conversion of {who}", "Please bless {who} and all our children.", "Bless my sons {who} and {who}.", "For my wife {who} and our girl {who}.", "For {who} and {who} and their home.",
+    # Khasi
+    "Nga dei {who}.", "Ka nam jong nga ka dei {who}.", "Duwai ïa {who} sngewbha.", "Kynmaw ïa {who} ha ka missa.", "U hynmen jong nga {who} u pang.", "Ka para jong nga {who} ka la khlad.", "U paralok jong nga u {who} u la leit.", "Khublei shibun, {who}", "Kyrpad duwai na bynta {who}.", "{who} u dang shong ha hospital.", "{who} ka la kha khun.", "Jingkoit na bynta {who}", "Ka kha jong nga, ka {who}, ka la tymmen.", "Ai jingsuk ïa ka mynsiem jong {who}.",
+    # Spanish, French, German
+    "Pidan por {who}, por favor.", "Mi amigo {who} perdió su trabajo.", "Mi nombre es {who}.", "Soy {who}.", "Mi tía {who} murió ayer.", "Saludos, {who}", "Por el alma de {who}", "{who} está en el hospital.", "Un abrazo, {who}", "Misa por {who}", "Priez pour {who}.", "Mon ami {who} a perdu son emploi.", "Je suis {who}.", "Mon nom est {who}.", "Ma tante {who} est morte hier.", "Cordialement, {who}", "Messe pour {who}", "{who} est à l'hôpital.", "Pour le repos de l'âme de {who}", "Betet für {who}.", "Mein Name ist {who}.", "Ich bin {who}.", "Meine Tante {who} ist krank.", "Viele Grüße, {who}", "{who} liegt im Krankenhaus.",
 )
-
+#: Names that stand as sentences, and a few that are no frames of prayers.
+ALONE: tuple[str, ...] = ("{person_name}", "{person_name}.", "{person_name} (gone home to God)", "Late {person_name}", "{person_name}, in memory", "{person_name} - {n}", "In memory of {person_name}", "{person_name}, aged {n2}", "{person_name} & family", "Family of {person_name}", "{person_name}, first anniversary", "Requiem for {person_name}", "Rest, {person_name}", "RIP: {person_name}", "R.I.P.: {person_name}", "+ {person_name}", "Birthday: {person_name}", "{person_name} / {person_name}", "{person_name} to be remembered on {date}.", "Anniversary of {person_name}")
+#: Frames about ways to be reached.
+CONTACT: tuple[str, ...] = (
+    "My e-mail is {email}", "You will find me under {email}.", "Please answer to {email}.", "Mail {email}", "Mail: {email}", "Send it by mail to {email}.", "Forward the form to {email}, thank you.", "Use {email} and not the old one.", "{email}", "I read {email} every day.", "{email} works better than the phone.", "For a copy write {email}.", "Kindly confirm at {email} before noon.", "My son's mail, {email}, also works.", "Contact: {email}", "Contact me on {email}.", "Reach me through {email}.", "Mail me ({email}) when you know.", "Nga don email: {email}", "Phah sha {email}.", "Ka email ka dei {email}.", "Mi email: {email}", "Respóndame en {email}.", "Pueden contestar a {email}.", "Mon mail : {email}", "Répondez-moi à {email}.", "Mein Mail: {email}", "Antwort bitte an {email}.",
+    "Our number is {phone}.", "ph. {phone}", "Ph: {phone}", "phone no. {phone}", "tel {phone}", "tel.: {phone}", "(tel. {phone})", "mob. {phone}", "Tél. {phone}", "Tfno. {phone}", "please ring, tel. {phone}, thank you", "Telephone {phone}", "Tel {phone}", "Mob. {phone}", "Cell: {phone}", "Ring me: {phone}", "Ring {phone} in the evening.", "Try {phone} or the office.", "WhatsApp: {phone}", "My WhatsApp is {phone}.", "Message me on {phone} if he comes.", "You can reach us under {phone} until nine.", "{phone} is my new number.", "{phone}", "Please phone {phone}.", "Please phone {phone} when the priest is there.", "The number to call is {phone}.", "I left {phone} with the sister.", "Dial {phone} and ask for the ward.", "Text me at {phone}.", "SMS {phone}", "Ka phone jong nga: {phone}", "Call sha {phone}.", "Phone sha {phone} mynmiet.", "Mi número: {phone}", "Pueden llamar al {phone}.", "Mi móvil es {phone}.", "Téléphonez au {phone}.", "Mon portable est le {phone}.", "Meine Telefonnummer: {phone}", "Rufen Sie {phone} an.",
+    "My {id_number} is with you already.", "I give you my {id_number}.", "I send the {id_number} as you asked.", "Attached: {id_number}", "They wanted my {id_number} at the counter.", "I was asked for the {id_number}.", "Somebody stole my card, {id_number}.", "My document is {id_number}.", "{id_number}", "Proof: {id_number}", "The clerk wrote down {id_number}.", "The form needs {id_number}, I think.", "Details: {id_number}", "Please note {id_number}.", "To prove it here is {id_number}.", "Our papers ({id_number}) were lost in the flood.", "Ka card jong nga: {id_number}", "Nga la ai {id_number}.", "Ka number kard ka dei {id_number}.", "Mi identidad: {id_number}", "Envío mi {id_number}.", "Ma carte : {id_number}", "Je joins {id_number}.", "Mein Ausweis: {id_number}",
+    "I live at {address}.", "We moved to {address}.", "My house is {address}.", "Address: {address}", "Post it to {address}.", "Please write to {address}.", "The patient lies at {address}, second door.", "You find us at {address}.", "Come to {address} after the Mass.", "The rosary is said at {address} every Monday.", "She rents a room at {address}.", "They took her to {address} by car.", "{address}", "From {address}", "Bring communion to {address}, please.", "Our shop at {address} was robbed.", "The parcel went to {address}.", "Nga shong ha ka {address}.", "Ka ïing ka don ha {address}.", "Wan sha {address}.", "Vivo en {address}.", "Nuestra casa es {address}.", "J'habite au {address}.", "Notre maison est au {address}.", "Ich wohne in {address}.", "Unsere Wohnung: {address}",
+)
+#: Frames without personal data.
 WITHOUT: tuple[str, ...] = (
-    "Saint {given} and Saint {given} are our patrons.", "Saint {given}, help us to persevere.", "Saint {given}, keep the gate.", "Saint {given} waited many years too.", "St. {given} found what we had lost.", "The parish of St. {given} has 1,250 families.", "We prayed the novena of 54 days to St. {given}.", "San {given}, ruega por nosotros.", "Sainte {given}, priez pour nous.", "Santa {given} ora pro nobis.", "Saint {given} of {place}, pray for us.", "The feast of St {given} falls on {n} June.", "The shrine of Blessed {given} is far.",
-    "Mother Mary, pray for us.", "Jesus, I trust in you.", "Sacred Heart, have pity on us.", "Our Lady of {place}, pray for us.", "Please offer it through Our Lady of the Lamp.", "Holy Mary, Mother of God, pray for us.", "Good Saint Joseph, guide my father.", "Lord Jesus, son of David, have mercy.", "O Saint Jude, hope of the hopeless.", "May God the Father bless us.",
-    "Divine Mercy Sunday fell early this year.", "We need mercy and grace more than money.", "Grace alone carries us, and Mercy Hall is full.", "Grace and peace to all.", "Mercy is greater than fear.", "Faith, Hope and Charity remain.", "Hope Street was closed.", "Daniel in the den and Ruth in the field are my readings.", "The book of Ruth is short.", "I read Samuel and Daniel again, and the letters of Peter.",
-    "The old road to {place} is closed.", "The choir of {place} sang at 10.30.", "Phone lines in {place} were cut by the storm.", "The {street} chapel needs a roof.", "{street} was flooded.", "The Legion of the Lamp met twice.", "Our choir meets @ 6 pm behind the chapel.", "We made the Holy Hour on Good Friday.", "The bus {n3} stops near the church.", "The {given} Memorial Hall is full.", "St. {given} School won the cup.", "Look at www.parish.example for the times.", "See https://www.{word}.example/page{n} for the times.", "Please mail the answer through the parish office.", "Call the office any morning.", "The number of guests was {n}.",
-    "Hymn {n4}-{n1} was sung twice.", "I have prayed 3 x 33 times since {date}.", "Request no. {n6} is still open.", "The invoice {n8} was paid on {slashdate}.", "Psalm {n2}:{n2} keeps me going.", "The school ran from 1998 to 2006.", "I read sections {n4}-{n4} again.", "The collection came to Rs {n1},{n3} and {n2}.{n2} extra.", "Our Mass card carries the mark 2024/0117/{n2}.", "Chapter {n2}, verse {n1} to {n2}.", "The bill no. {n6} came to {n4} rupees.", "He gave {n1} 000 and {n3} more.", "On {date} we began, at {n1}.30 pm.", "Text {n6} was read.", "Ticket {n8} is lost.", "Canto {n3} y salmo {n2}.", "We walked {n2} km in {n1} hours and {n2} minutes.", "Case {n4}/{n4} is before the court.", "Number {n2} on the list is ours.", "Order {n4}-{n4} has not come.",
-    "May God grant {virtue} to my husband and to all who suffer.", "Kindly remember my late father at the altar at the end of Lent.", "Nothing helps any more, only {virtue} remains.", "Pray that an old friend may return to the sacraments.", "I ask for {virtue} in a new job.", "Lord, give my mother {virtue} and {virtue}.", "Lord, give my whole family {virtue} and {virtue}.", "Lord, give a sick colleague {virtue} and {virtue}.", "{virtue} and peace.", "We ask for {virtue} and {virtue}.", "Please offer it for {virtue} in my family.", "In thanksgiving for the healing of an old quarrel.", "In thanksgiving for my debts.", "In thanksgiving for {virtue}.", "For the sale of our field, and for {virtue} in our home.", "We have waited for a safe delivery since last year and we are losing hope.", "Please pray for the souls in purgatory, because the night is cold.", "My sister will travel far for a visa, so please keep us in your prayers.", "I am worried about my debts; I cannot sleep and I need {virtue}.", "Please pray for our neighbours, because words are not enough.", "Our youngest child will travel far for the surgery next week, so please keep us in your prayers.", "Please pray for my brother and my sister.", "My daughter has stopped eating.", "The doctor told us that the wound will heal.", "Thank you, and God bless.", "My name is not important.", "Yours in prayer", "For the health of my mother.", "Special intention of the family.", "For the repose of the soul of my father.", "The landlord wants us to leave.", "Could a priest see my uncle before Sunday?", "Pray for a stranger who is in hospital again.", "Please pray for my husband, who is away.",
-    "Ka ktien jong U Blei ka pynshai ïa ka lynti jong tymmen.", "U la ong ha ki, Wat sheptieng, namar nga don bad phi ha ka shnong.", "Ko Trai, sngap ïa ka jingduwai jong nongpang bad ai jingsuk.", "Nga ngeit ba U Trai u sngewlem ïa briew ha ka por jong ka jingeh.", "Ka jingieit ka wan na U Blei, bad kam long ka jong ngi hi.", "Namar kata, to ngin ai jingmap bad ngin ym klet ïa ka jingrit.", "Haba ngi don ha ka jingeh, ka jingsuk jong U Blei ka iarap ïa ngi.", "Ki khynnah ki la rwai jingrwai ha skul haduh ba ka jingim ka la wan.", "Kumno ngin ïoh ïa ka jingkmen lada ngim duwai?", "Hynrei kmie bad kpa kim lah ban ïaid lang khlem ka jingngeit na jrong.", "To wan bad sngap lang bad ngi ha ki lum ha ka sngi U Blei.", "Lada phi kwah ïa ka jingshai, phi dei ban trei minot man ka sngi.", "Iarap ïa u nongpang ha ka jingeh.", "Ka kmie jong nga ka dang pang.",
-    "Hermanos, no tengan miedo; la humildad crece despacio, como una semilla.", "Pedimos la paciencia cuando el camino es largo, y recibimos también la misericordia.", "Quien busca la paz debe empezar por el silencio y por las cosas pequeñas.", "El pastor compartió el pan en el pueblo, y todos dieron gracias por la caridad.", "Lo que el maestro no pudo terminar, los demás lo hicieron con fe.", "Cuando la viuda volvió, los niños cantaban en la capilla con mucha alegría.", "No hay paz sin fe, ni descanso sin oración.", "Seigneur, regarde la veuve dans la chapelle et donne-nous la paix.", "Nous demandons la foi quand la route est longue, et nous recevons aussi la paix.", "Ce que le berger n'avait pas fini, les autres l'ont achevé avec joie.", "Celui qui cherche la paix doit commencer par le silence et par les petites choses.", "Il n'y a pas de vraie foi sans un peu de silence.", "La paroisse vous invite à une soirée de prière au village vendredi prochain.", "Wer Geduld sucht, der soll mit Stille beginnen.", "Señor, mira a el jardinero ante el altar y danos la esperanza.", "La parroquia invita a una noche de silencio en el pueblo el próximo viernes.", "Frères, n'ayez pas peur ; la paix grandit lentement, comme une graine sous la neige.", "Aunque la casa es pobre, la fe siempre encuentra una puerta abierta.", "Même si la maison est pauvre, la foi trouve toujours une porte ouverte.", "Hermanos, no tengan miedo; la paz crece despacio, como una semilla.", "Lorsque le pêcheur revint, les enfants chantaient au village avec une grande joie.",
+    "Saint {given}, protect our home.", "Saint {given} knew hunger too.", "Saint {given} was a shepherd.", "Saint {given} and Saint {given}, intercede.", "St. {given}, find my keys.", "St {given} church is being painted.", "We made a vow to St. {given}.", "We go to the shrine of St. {given}.", "St. {given}'s has a new bell.", "The statue of Saint {given} fell.", "The novena to Saint {given} begins on {date}.", "I was confirmed at St. {given} Cathedral.", "Blessed {given}, be near us.", "San {given}, protégenos.", "Santa {given}, intercede.", "Sainte {given}, veille sur nous.", "Sainte {given}, aide-nous.", "Notre-Dame de {place}, aidez-nous.", "Sancte {given}, ora pro nobis.", "Sancta {given}, intercede pro nobis.", "Sainte {given}, patronne des malades, priez.", "Saint {given}, gardez-nous.", "San {given} bendito, ayuda.", "Die heilige {given} half mir.", "Santo {given}, escucha.", "Nuestra Señora de {place}, ruega.", "Saint {given} de {place}, priez.", "Heiliger {given}, bitte für uns.", "Sankt {given} hilf.", "U Saint {given}, duwai na bynta jong ngi.", "Sancta {given}, ora.", "The {given} of the Bible was no coward.",
+    "Holy Mary, be with us.", "Mother Mary, cover us.", "Hail Mary, full of grace.", "Jesus, have mercy on me.", "Lord Jesus, I need you.", "Jesus Christ is Lord.", "Sacred Heart of Jesus, I come.", "Immaculate Heart of Mary, help.", "Our Lady of {place}, guard us.", "Our Lady of {place} chapel needs a fence.", "Our Lady of Sorrows, be near.", "Good Shepherd, lead me.", "Holy Spirit, come.", "Holy Family, keep our home.", "Virgin Mary, Mother of Mercy.", "Almighty Father, forgive.", "Saint Joseph, help the workers.", "God the Father sees all.", "Jesús, en ti confío.", "Virgen María, ruega.", "Seigneur Jésus, prends pitié.", "Ko Jisu, map ïa nga.", "Ko Kmie Maria, duwai.", "Ko Trai Blei, sngap.",
+    "The gospel of John moves me.", "We read Ruth and Esther this week.", "Daniel was thrown to lions.", "Job lost all that he had.", "The psalms of David are many.", "Peter denied him three times.", "Paul wrote from prison.", "Martha served and Mary listened.", "Abraham believed.", "Moses struck the rock.", "Like Thomas I doubt.", "The letter to Timothy was read.",
+    "Easter came late.", "Palm Sunday was wet.", "Holy Week is near.", "Corpus Christi was a great day.", "Ash Wednesday is a fast day.", "Trinity Sunday is next.", "The Rosary Sunday drew a crowd.", "Mercy House is shut.", "Grace Hall is booked.", "Hope Centre needs chairs.", "Faith Nursery opens in June.", "The Blessing of the fields was short.", "Mercy and truth have met.", "Grace is free.", "Hope does not fail.", "Charity begins at home.", "Joy came in the morning.", "Patience is hard.", "Peace be upon this house.", "Grace be with you.",
+    "The road from {place} is broken.", "The bridge at {place} fell.", "The people of {place} are kind.", "The school in {place} is closed.", "We come from {place} each month.", "Our group in {place} is small.", "The mission at {place} has no roof.", "{place} is far away.", "The youth of {place} sang.", "A storm hit {place}.", "The {place} fair was rained off.", "The diocese of {place} has few priests.", "The {street} market is noisy.", "{street} is under water.", "The hall on {street} leaks.", "Traffic on {street} was bad.", "The clinic near {street} is full.", "The {given} Hall is let.", "{given} Memorial School won.", "The {given} Institute is shut.", "St. {given} Hospital is full.", "Lourdes is on my mind.", "We flew to Rome.", "They flew to Paris.", "We sailed to Goa.", "He studied in Dublin.", "She works in Dubai.", "We saw Assisi.", "The way to {place} is long.", "The path to {place} is steep.", "No bus goes to {place} now.", "They walked to {place} and back.", "The train to {place} was late.", "Towards {place} the fields are dry.", "Between {place} and {place} there is no bridge.", "North of {place} it snowed.", "In {place} they fast.", "Near {place} a child drowned.", "Rain fell on {place}.", "I was born in {place}.", "A pilgrimage to {place} is planned.", "The nuns at {place} bake bread.", "Floods reached {place} and {place}.", "The border at {place} is shut.", "My village, {place}, has no well.", "{place} and {place} are at war.", "Buses to {place} are full.", "The journey to {place} takes days.", "They moved to {place} in winter.", "The line to {place} is down.", "We sent rice to {place} last year.", "The bridge to {place} is new.", "A road to {place} was promised.", "Every road to {place} is mud.", "The climb to {place} is steep.", "A letter to {place} takes weeks.", "Khasi hymns are lovely.", "The Sodality met.", "The Society of the Bell meets.", "The Choir of Angels sang.", "The Catholic Union has a stall.", "The Bishop came.", "Father said yes.", "Sister is away.", "Dear Father, I need help.", "Dear Sister, thank you.", "Dear Bishop, please come.",
+    "We sang hymn {n3}.", "Hymn {n2}, verse {n1}.", "Hymnal {n4}, page {n2}", "We prayed {n2} rosaries.", "We prayed 9 x 9 Hail Marys.", "The bill came to {n4}.", "A bill for Rs. {n4} is due.", "We gave Rs {n2},{n3}.", "It costs {n3}.{n2} a month.", "We raised Rs {n2},{n3} in all.", "Rs. {n1},{n3} was stolen.", "INR {n4} were paid.", "The roof costs Rs {n1},{n2},{n3} or more.", "Some {n1},{n3} rupees are left.", "They want USD {n3} and {n2}.{n2} for the stamp.", "A gift of € {n2} came.", "$ {n3} was found.", "Salary {n2},{n3} a month.", "Offering: {n3}.{n2}", "Bus {n3} stops here.", "The bus no. {n2} is gone.", "Train {n4} was late.", "Flight {n3} was full.", "Ward {n2}, bed {n1}", "Gate {n2} is shut.", "Group {n1} sang.", "Receipt {n6} is lost.", "Ticket no. {n6}", "Request {n4} was closed.", "My request no. {n6} waits.", "Order number {n8} has not come.", "Invoice {n4}/{n2}", "See text {n4}-{n4}.", "Sections {n3} to {n3} are dull.", "Page {n3} is torn.", "Genesis {n2}:{n1}", "Luke {n1}:{n2}-{n2} speaks to me.", "Read Psalm {n3}.", "It was {n2}.{n2} in the night.", "At {n1}:{n2} pm the lights went.", "On {date} we met.", "Since {slashdate} nothing.", "From {y} until {y} I was a soldier.", "In {y} the church was built.", "The class of {y} meets.", "Room {n3}, second floor, is cold.", "Bus {n2} is late.", "Seat {n2}B is mine.", "Cell {n2}, third corridor, is damp.", "Bed {n2} by the window is free.", "Row {n2}, left side, is ours.", "Hall {n1}, ground floor, is hot.", "Shelf {n2}, top row", "Table {n1} was laid.", "About {n1},{n3} people came.", "{n2} km on foot.", "{n2} years ago.", "A family of {n1}.", "File {n4}/{n4} is missing.", "Our mark is {y}/{n4}/{n2}.", "Version {n1}.{n1}.{n2}", "The score was {n1}-{n1}.", "{n2}% of us came.", "Item {n4}-{n1} is sold.", "Psaume {n2}, verset {n1}.", "Salmo {n3}", "Page web {n2}", "Ka kot {n3}",
+    "Look it up on www.{word}.example.", "The site https://{word}.example/{n4} is down.", "www.{word}.org has the times.", "We meet @ 7.", "See you @ the hall.", "Post is slow.", "The mail was late.", "Phone the office.", "My phone is broken.", "The telephone tower fell.", "Text me later.", "My email is full.", "Send no money.", "Our number grows.", "My identity is in God.", "I lost my passport.", "The address was wrong.", "I have no address.", "They live in a tent.", "We live by faith.", "Call on the Lord.", "Ring the bell.", "Contact the office.", "Contact was lost.", "The Mass card came back.", "Our Mass hall is cold.", "The Mass leaflet {y}/{n4} is torn.",
+    "I want {virtue}.", "I lack {virtue} and {virtue}.", "Give us {virtue}, O Lord.", "Teach me {virtue}.", "{virtue} is all I ask.", "{virtue}, {virtue} and {virtue}.", "Only {virtue} helps.", "My {kin} needs {virtue}.", "Let {kin} learn {virtue}.", "With {virtue} we go on.", "For {virtue} at work.", "Thanks for {virtue} in trouble.", "Where is {virtue} in this house?", "No {virtue} without prayer.",
+    "Thank you.", "Thanks and regards", "Yours sincerely", "Amen.", "In prayer", "God bless you.", "A sinner", "Anonymous", "No name please.", "My name does not matter.", "I would rather not say my name.", "From a friend", "A worried mother", "A parishioner", "Please help.", "Healing", "Thanksgiving", "Special intention", "All souls", "Private intention", "Peace in the family", "Deceased members", "The holy souls", "For the dead.", "Birthday", "Wedding anniversary", "First Holy Communion", "Good Friday", "Exam success",
 )
-
-GIVEN = "Iohbor Oisin Wanda Grace Lucia Priya Helene Teresa Marta Felix Martin Dariya Ibanri Stefan Keziah Mercy Emeka Rosa Nora Amala Daniel Banri Peter Ruth Samuel Anwar Shanlang Tomas Kyrmen Nneka Clara Joao Agnes Blessing Paulo Yusuf Monica Anthony Bruno Joseph Anna Maria John Paul James Thomas Elena Irene Sofia Hanna Lukas Pedro Juan Luc Marie Claire Pierre Ngozi Chidi Kofi Aisha Ravi Sunita Deepa Bina Risa Larisa Wallam Batei Mewan Daphi".split()
-#: Syllables of invented surnames and places.
-HEAD = "Mar Pel Tol Quen Ven Dun Lyn Ober Kern Thar Gar Fal Syn Bel Nor Ker Ald Ost Ruth Fen Hart Mor Kal San Wex Bran Zem Tess Vir Gol".split()
-TAIL = "daran mondry sleyne wickson vanholt terune ngaru beth inico ossot ley ford man sen ski ová ez ini ard well ham by worth ner roy ma kong lang dor".split()
-PLACES = "Ostwell Dunmeath Sanmora Laitdoh Kharbani Port Ellery|Villa Serova|Quarry Bridge|Lower Fenton|Hillview|North Haven|Saint Mary Hill".replace(" ", " ").split("|")
-PLACE_LIST = ["Ostwell", "Dunmeath", "Sanmora", "Laitdoh", "Kharbani", "Port Ellery", *PLACES[1:]]
-STREETS = ["Cedar Avenue", "Mill Lane", "Well Street", "Bell Tower Road", "Old Ferry Road", "Harbour Street", "Quarry Road", "Chapel Hill", "Station Road", "Church Street", "Garden Lane", "River Road", "Bridge Street", "School Lane", "Market Square", "Park Avenue", "Temple Road", "High Street"]
-FOREIGN_STREETS = ["rue des Lampes", "rue du Moulin", "avenue de la Gare", "Calle del Pozo", "Calle Mayor", "Avenida del Sol", "Hauptstraße", "Via Roma", "Rua das Flores"]
-DOMAINS = ["hillnet", "mailbox", "postbag", "lamp-mail", "parish.post", "webmail", "rivermail", "openpost", "inbox", "quickmail"]
-ENDINGS = ["example", "test", "invalid", "org", "com", "net", "in", "co.uk"]
-VIRTUES = "contrition adoration temperance watchfulness gladness almsgiving perseverance repentance meekness detachment discernment fortitude thanksgiving tenderness constancy endurance purity stillness gentleness honesty friendship hospitality forgiveness confidence sacrifice counsel zeal fasting sorrow compassion understanding vigilance mercy hope grace faith patience courage wisdom humility silence kindness justice joy truth charity prudence simplicity generosity gratitude obedience fidelity devotion trust praise".split()
+#: Somebody who is no private person by name.
+NOBODY: tuple[str, ...] = (
+    "my {kin}", "our {kin}", "his {kin}", "her {kin}", "a {kin}", "the {kin}", "my late {kin}", "an old {kin}", "my whole family", "all our neighbours", "the sick", "the poor", "the dead", "the souls in need", "those at sea", "everyone here", "our parish", "the bishop", "the pope", "the children of {place}", "the people of {place}", "the choir of {place}", "all who suffer", "nobody", "a stranger", "the new doctor", "me", "us", "them", "the {thing}", "my {thing}", "our {thing}", "an old {thing}", "a new {thing}", "{virtue}", "{virtue} of {thing}", "{virtue} and {virtue}", "{virtue} at {thing}", "the {thing} of the {thing}", "every {thing}", "this {thing}",
+    "Saint {given}", "St. {given}", "Our Lady of {place}", "Mother Mary", "the Lord", "God", "Jesus", "the Holy Spirit", "the Legion of Mary", "the Sisters of {place}", "Holy Mother Church", "Father", "Sister", "the Franciscans",
+)
+THING = "house field shop roof car bus road journey trip exam test job work debt loan quarrel fight wound fever cough operation surgery delivery birth marriage wedding funeral school college class lesson book letter card visa court case judge rain storm flood harvest crop cow goat garden kitchen bed heart mind soul body hand eye knee back night evening morning week month year winter lent mass prayer choir chapel altar candle parish group youth village city office form ward hospital clinic doctor medicine money rent price market evenings mornings weekends vespers".split()
+KIN = "mother father brother sister husband wife son daughter uncle aunt cousin friend neighbour teacher grandmother grandfather niece nephew colleague landlord nurse priest boss tenant godmother child baby catechist widow".split()
+
+GIVEN = (
+    "Adam Adele Agatha Aiden Albert Alicia Amina Andrea Andrew Angela Antonia Arjun Arthur Asha Barbara Beatrice Benedict Bernard Bianca Boris Brian Bridget Carla Carlos Carmen Catherine Cecilia Charles Chinwe Christina Colette Cyril David Deborah Diego Dominic Dorothy Edith Edwin Elias Elizabeth Emil Emma Eric Esther Eugene Eva Fatima Fiona Francis Gabriel George Gerard Gloria Greta Hannah Harold Helen Henry Hugo Ifeoma Ignatius Ingrid Isaac Isabel Ivan Jacob James Jane Janet Jerome Jessica John Jonas Jose Joyce Judith Julia Julian Kamala Karen Karl Katharina Kevin Kiran Klaus Laura Leon Leticia Linda Lorenzo Louise Luis Lydia Magdalena Manuel Margaret Maria Mario Mark Martha Mary Matthew Mauro Max Meena Michael Miriam Mohan Nadia Natalia Nathan Nicholas Nina Noel Norbert Obinna Olga Oscar Pascal Patricia Patrick Paul Paula Peter Philip Rachel Ramon Raphael Rebecca Regina Rita Robert Roman Rosalie Ruben Ryan Sandra Sara Sebastian Shanti Simon Sonia Stella Stephen Susan Sylvia Tanya Theo Thomas Ursula Valentin Vera Veronica Victor Vijay Vincent Walter William Xavier Yvonne Zara Zita "
+    "Aibor Badap Baiari Balari Bantei Daphisha Hunlang Ibalari Jopbor Kitbok Lamphrang Mebanker Phidalin Pynbiang Rikynti Samborlang Wanlam Wanshai Faith Hope Joy Patience Prudence Charity Constance Felicity Precious Goodluck Blessing Grace Mercy"
+).split()
+#: Syllables of invented surnames, first names and places.
+HEAD = "Abel Ash Bar Ber Bor Bri Cal Car Cor Dal Del Dor Ed Fer Fin Gil Gor Gre Had Hal Har Hol Isk Jar Jen Kel Kor Lam Lar Len Lom Mac Mar Mel Mit Nan Nes Nong Oak Or Pat Per Pin Quil Ram Rod Ros Ry Sel Shel Sor Ste Tal Tar Tor Ul Val Var Wal Wes Win Yar Zan Lyng Khar Shad Mawr Dkh Pyr Syi".split()
+TAIL = "aban ago aly ander anis ara arte bert bo bourne by cott dell dez don edo elli en enko er eroy escu ez ford gan gar ge gh grove hart hill ia ick iero ina ing itz ka kin lak land lar leigh lin lo low ma man mar mont more nath ndo ner ngo nski o ona or ora os ova ow per ra ran rell ren rin ro rup sen shaw si son ster stone sy ta ti ton tor u uri va vic well win wood worth y yan zon".split()
+PLACE_LIST = ["Aldermoor", "Brindlow", "Castelmar", "Dorfheim", "Eastmere", "Fairholt", "Greystead", "Hollowbrook", "Iverton", "Juniper Bay", "Kilmarrow", "Langford", "Mawsynten", "Nongkrem", "Old Harbour", "Pine Ridge", "Puerto Claro", "Red Hill", "Saint-Aubert", "Santa Lucia", "Sohkhlur", "South Weald", "Three Rivers", "Umroi", "Villa Nueva", "Westcliff", "Mount Olive", "Lake View"]
+STREET_HEAD = "Acacia Ash Baker Beech Birch Bishop Canal Castle Cathedral Convent Cross Dean Elm Factory Field Forest Fountain Grove Holly Hospital Jubilee Kings Lake Laurel Lower Main Maple Meadow Mission New North Oak Orchard Palace Pine Police Poplar Post Prospect Queen Railway Rose Seminary South Spring Stone Sunset Tailor Tower Union Upper Victoria Vine Water West Willow Windmill".split()
+STREET_TYPE = "Road Road Street Street Lane Avenue Drive Close Way Crescent Terrace Hill Row Place Gardens Square Bazaar Colony Nagar".split()
+FOREIGN_STREETS = ["rue de la Paix", "rue des Écoles", "avenue Victor Hugo", "place du Marché", "chemin des Vignes", "boulevard Saint-Michel", "Calle Real", "Calle de la Luna", "Avenida Bolívar", "Carrera Quinta", "Plaza Nueva", "Bahnhofstraße", "Gartenweg", "Lindenallee", "Am Markt", "Via Garibaldi", "Rua Nova"]
+DOMAINS = ["mailworld", "quicknet", "postoffice", "skymail", "letterbox", "freemail", "hilltop", "bluepost", "homemail", "mynet", "parishmail.web", "my-mail", "valley.net", "notes"]
+ENDINGS = ["example", "test", "invalid", "org", "com", "net", "in", "co.uk", "info", "edu", "de", "fr"]
+VIRTUES = "contrition courage temperance gladness almsgiving perseverance repentance meekness discernment fortitude tenderness constancy endurance purity stillness gentleness honesty friendship forgiveness confidence zeal sorrow compassion understanding vigilance mercy hope grace faith patience wisdom humility silence kindness justice joy truth charity prudence simplicity generosity gratitude obedience fidelity devotion trust work sleep health money strength light love peace rest success children rain water food shelter reverence hospitality counsel detachment watchfulness adoration thanksgiving sacrifice fasting praise".split()
 DIGITS = "zero one two three four five six seven eight nine".split()
 
 
+def unknown(rng: random.Random, like: str) -> str:
+    """A made-up word with the capitals of ``like``; half of them are formed as words of the six languages are."""
+    stem = "".join(rng.choice("bdfgklmnprstvz") + rng.choice("aeiou") for _ in range(rng.randint(1, 3))) + rng.choice(["", "n", "s", "ng", "t"])
+    w = rng.choice(["", "", "", "jing", "nong", "kyn", "pyn", "un", "re", "ge", "ver", "des"]) + stem + rng.choice(["", "", "", "ness", "tion", "ance", "ity", "ing", "ed", "ful", "ly", "ment", "ship", "ción", "dad", "ar", "amos", "eur", "er", "ez", "ung", "heit", "en", "lich", "us", "um", "ibus"])
+    return w.upper() if like.isupper() and len(like) > 1 else w.capitalize() if like[0].isupper() else w
+
+
 def _n(rng: random.Random, k: int) -> str:
     return "".join(rng.choice("0123456789") for _ in range(k))
 
 
 def surname(rng: random.Random) -> str:
-    return rng.choice(HEAD) + rng.choice(TAIL)
+    return rng.choice(HEAD) + rng.choice(TAIL) + (rng.choice(TAIL) if rng.random() < 0.35 else "")
 
 
 def given(rng: random.Random) -> str:
-    if rng.random() < 0.7:
+    if rng.random() < 0.55:
         return rng.choice(GIVEN)
-    return rng.choice(["Ka", "Ba", "Lu", "Mi", "Sa", "Te", "No", "Da", "Ri", "Jo", "El", "An"]) + rng.choice(["ri", "la", "mo", "na", "si", "vek", "lin", "dor", "ra", "than"]) + rng.choice(["", "n", "h", "s", "a", "el"])
+    return rng.choice(HEAD) + rng.choice(["a", "el", "i", "is", "an", "ena", "o", "in", "ia", "us", "ei", "ri", "ka", "ly", "ah"])
 
 
 def person_name(rng: random.Random) -> str:
     g, s = given(rng), surname(rng)
-    form = rng.choices(range(11), (26, 16, 8, 8, 6, 5, 6, 6, 4, 4, 5))[0]
-    title = rng.choice(["Mr", "Mrs", "Ms", "Dr", "Sr.", "Mr.", "Mrs.", "Dr.", "Fr.", "Br.", "Fr", "Miss"])
-    n = [f"{g} {s}", g, f"{g} {given(rng)} {s}", f"{s}, {g}", f"{title} {s}", f"{title} {g} {s}", f"{g[0]}. {s}", f"{g} {s[0]}.", f"{title} {g}", f"{g} {s}-{surname(rng)}", f"{title} {g[0]}. {s}"][form]
-    return n.lower() if rng.random() < 0.16 else n.upper() if rng.random() < 0.08 else n
+    form = rng.choices(range(12), (26, 18, 8, 8, 6, 5, 6, 6, 4, 4, 5, 3))[0]
+    title = rng.choice(["Mr", "Mrs", "Ms", "Dr", "Sr.", "Mr.", "Mrs.", "Dr.", "Fr.", "Br.", "Fr", "Miss", "Prof.", "Señora", "Madame", "Herr"])
+    n = [f"{g} {s}", g, f"{g} {given(rng)} {s}", f"{s}, {g}", f"{title} {s}", f"{title} {g} {s}", f"{g[0]}. {s}", f"{g} {s[0]}.", f"{title} {g}", f"{g} {s}-{surname(rng)}", f"{title} {g[0]}. {s}", f"{g} {s} Jr"][form]
+    if g.lower() in VIRTUES:  # without its capital the word is what it means
+        return n
+    return n.lower() if rng.random() < 0.18 else n.upper() if rng.random() < 0.09 else n
+
+
+def foreign_street(rng: random.Random) -> str:
+    if rng.random() < 0.4:
+        return rng.choice(FOREIGN_STREETS)
+    return rng.choice(["rue de ", "rue des ", "rue du ", "rue de la ", "avenue des ", "place de ", "quai du ", "Calle ", "Calle de ", "Calle del ", "Avenida de ", "Camino ", "Plaza de ", "Via ", "Rua do ", "Carrer de "]) + rng.choice([surname(rng), rng.choice(STREET_HEAD), rng.choice(GIVEN)]) + rng.choice(["", "", "s", "es"])
+
+
+def landmark(rng: random.Random) -> str:
+    noun = "bakery school well bank temple market pond gate mill depot statue tower bridge chapel station tank pump tree hospital fountain clinic square mosque library stadium garden cinema".split()
+    return f"{rng.choice(['behind', 'opposite', 'near', 'next to', 'beside', 'above', 'below', 'across from'])} the {rng.choice(['old ', 'new ', 'post ', 'bus ', 'police ', 'red ', '', '', ''])}{rng.choice(noun)}{rng.choice(['', '', ' ' + rng.choice(noun)])}"
+
+
+def street(rng: random.Random) -> str:
+    return f"{rng.choice(STREET_HEAD)} {rng.choice(STREET_TYPE)}" if rng.random() < 0.9 else f"{surname(rng)} {rng.choice(STREET_TYPE)}"
+
+
+def place(rng: random.Random) -> str:
+    return rng.choice(PLACE_LIST) if rng.random() < 0.6 else rng.choice(["", "", "Upper ", "Port ", "New ", "Saint "]) + surname(rng)
 
 
 def email(rng: random.Random) -> str:
     g, s, dom, end = given(rng).lower(), surname(rng).lower(), rng.choice(DOMAINS), rng.choice(ENDINGS)
-    local = rng.choice([f"{g}.{s}", f"{g}{rng.randint(1, 99)}", f"{g[0]}_{s}", f"{s}-family+pray", f"{g}{s}", f"{s}.{g}".upper(), f"{g[0]}.{s}", f"{g}_{s}{rng.randint(1, 9)}"])
-    form = rng.randrange(12)
+    local = rng.choice([f"{g}.{s}", f"{g}{rng.randint(1, 99)}", f"{g[0]}_{s}", f"{s}+news", f"{s}-home+mail", f"{g}{s}", f"{s}.{g}".upper(), f"{g[0]}.{s}", f"{g}_{s}{rng.randint(1, 9)}", "info", f"{g}-{s}"])
+    form = rng.randrange(15)
     if form < 5:
         e = f"{local}@{dom}.{end}"
-    elif form == 5:
-        e = f"{local}＠{dom}.{end}"
-    elif form == 6:
-        e = f"{local} (at) {dom} (dot) {end}"
-    elif form == 7:
-        e = f"{local}[at]{dom}.{end}"
-    elif form == 8:
-        e = f"{local} @ {dom}.{end}"
-    elif form == 9:
-        e = f"{local} at {dom} dot {end}"
-    elif form == 10:
-        e = f"{local} (at) {dom}.{end}"
     else:
-        e = f"{local}@{dom}.{end}".upper()
+        e = local + ["＠", " (at) ", "[at]", " @ ", " at ", " (at) ", "@", " at ", " at ", " [at] "][form - 5] + dom + [".", " (dot) ", ".", ".", " dot ", ".", ".", " dot ", ".", " [dot] "][form - 5] + end
+    e = e.upper() if rng.random() < 0.08 else e
     return rng.choice([e, e, e, e, f"mailto:{e}", f"<{e}>"])
 
 
 def phone(rng: random.Random) -> str:
-    n = [f"+999{_n(rng, 9)}", f"00999 {_n(rng, 3)} {_n(rng, 3)} {_n(rng, 3)}", f"+44 7700 900 {_n(rng, 3)}", f"07700 900{_n(rng, 3)}", f"+1 555 555 0{_n(rng, 3)}", f"(555) 555-0{_n(rng, 3)}", f"555-0{_n(rng, 3)}", f"555.555.0{_n(rng, 3)}", f"+91 5{_n(rng, 4)} {_n(rng, 5)}", f"05{_n(rng, 3)}-{_n(rng, 5)}", f"0{_n(rng, 2)} {_n(rng, 2)} {_n(rng, 2)} {_n(rng, 2)} {_n(rng, 2)}", f"+{_n(rng, 2)}-{_n(rng, 3)}-{_n(rng, 3)}-{_n(rng, 4)}", f"9{_n(rng, 9)}", f"{_n(rng, 5)} {_n(rng, 5)}"]
-    p = rng.choice(n)
+    n = lambda k: _n(rng, k)
+    p = rng.choice([f"+{n(3)}{n(9)}", f"00{n(3)} {n(3)} {n(3)} {n(3)}", f"+{n(2)} {n(4)} {n(3)} {n(3)}", f"0{n(4)} {n(6)}", f"+1 {n(3)} {n(3)} {n(4)}", f"({n(3)}) {n(3)}-{n(4)}", f"{n(3)}-{n(4)}", f"{n(3)}.{n(3)}.{n(4)}", f"+91 {n(5)} {n(5)}", f"0{n(4)}-{n(5)}", f"0{n(4)}-{n(6)}", f"0{n(1)} {n(2)} {n(2)} {n(2)} {n(2)}", f"+{n(2)}-{n(3)}-{n(3)}-{n(4)}", f"{n(10)}", f"{n(5)} {n(5)}", f"0{n(2)}/{n(7)}"])
     r = rng.random()
     if r < 0.10:
-        p = " ".join(DIGITS[int(c)] for c in p if c.isdigit())
-    elif r < 0.17:
-        p = " ".join(c for c in p if c.isdigit())
-    elif r < 0.25:
-        p = "".join(chr(ord(c) + 0xFEE0) if c.isdigit() else c for c in p)
-    return p
+        return " ".join(DIGITS[int(c)] for c in p if c.isdigit())
+    if r < 0.17:
+        return " ".join(c for c in p if c.isdigit())
+    return "".join(chr(ord(c) + 0xFEE0) if c.isdigit() else c for c in p) if r < 0.25 else p
 
 
 def id_number(rng: random.Random) -> str:
-    n4 = lambda k: _n(rng, k)
-    v = rng.choice([f"Aadhaar {n4(4)} {n4(4)} {n4(4)}", f"aadhar no. {n4(12)}", f"PAN AAAPZ{n4(4)}K", f"passport no. ZX{n4(7)}", f"Passport: Z{n4(7)}", f"SSN 9{n4(2)}-{n4(2)}-{n4(4)}", f"social security 9{n4(8)}", f"voter id QRX{n4(7)}", f"driving licence DL-00 {n4(4)} {n4(7)}", f"tax number {n4(2)} {n4(3)} {n4(3)} {n4(3)}", f"national identity number {n4(6)}-{n4(2)}-{n4(3)}", f"ID card no. ({n4(3)}.{n4(3)}.{n4(3)}-{n4(2)})", f"identity card {n4(8)}X", f"national insurance QQ {n4(2)} {n4(2)} {n4(2)} C", f"license number {n4(9)}", f"ID {n4(10)}"])
+    n = lambda k: _n(rng, k)
+    a = lambda k: "".join(rng.choice("ABCDEFGHJKLMNPQRSTUVWXYZ") for _ in range(k))
+    head = rng.choice(["Aadhaar", "aadhar no.", "Aadhaar number", "PAN", "PAN card", "passport", "passport no.", "Passport:", "SSN", "social security", "social security no.", "voter id", "voter card", "voter identity", "driving licence", "driver's license", "licence no.", "license number", "tax number", "tax id", "national identity number", "national id", "ID card no.", "identity card", "ID", "national insurance", "NI number", "health card no.", "ration card"])
+    v = head + rng.choice([" ", " ", " ", ": ", " is "]) + rng.choice([f"{n(4)} {n(4)} {n(4)}", n(12), f"{a(5)}{n(4)}{a(1)}", f"{a(2)}{n(7)}", f"{a(1)}{n(7)}", f"{n(3)}-{n(2)}-{n(4)}", n(9), f"{a(3)}{n(7)}", f"{a(2)}-{n(2)} {n(4)} {n(7)}", f"{n(2)} {n(3)} {n(3)} {n(3)}", f"{n(6)}-{n(2)}-{n(3)}", f"({n(3)}.{n(3)}.{n(3)}-{n(2)})", f"{n(8)}{a(1)}", f"{a(2)} {n(2)} {n(2)} {n(2)} {a(1)}", n(10), f"{n(3)}.{n(3)}.{n(3)}-{n(2)}"])
     r = rng.random()
     return v.lower() if r < 0.08 else v.replace(" no.", " number") if r < 0.16 else v
 
 
 def address(rng: random.Random) -> str:
-    n, st, pl = rng.randint(1, 199), rng.choice(STREETS), rng.choice(PLACE_LIST)
-    fs = rng.choice(FOREIGN_STREETS)
-    pin = rng.choice(["", "", f" {_n(rng, 6)}", f" - {_n(rng, 6)}"])
-    a = rng.choice([f"{n} {fs}, {pl}", f"House {n}, {st}, {pl}{pin}", f"P.O. Box {n}, {pl}", f"p.o. box {n}, {pl}", f"PO Box {n}", f"Door {n}, 2nd floor, {st}, {pl}{pin}", f"{fs} {n}, {pl}", f"Flat {rng.randint(1, 20)}{rng.choice('ABC')}, {st.split()[0]} Court, {rng.randint(1, 90)} {st}, {pl}", f"No. {n}/{rng.randint(1, 9)}, {st}, near the water tank, {pl}", f"{n} {st}", f"{n} {st}, {pl}", f"no. {n} {st}", f"{n} {st}, {pl}{pin}", f"Block {rng.choice('ABCD')}, flat {n}, {st}, {pl}", f"{n} {fs}", f"H.No. {n}, {st}, {pl}{pin}"])
+    n, st, pl, fs = rng.randint(1, 199), street(rng), place(rng), foreign_street(rng)
+    pin = rng.choice(["", "", f" {_n(rng, 6)}", f" - {_n(rng, 6)}", f", {_n(rng, 5)}"])
+    court = f"{rng.choice(STREET_HEAD)} {rng.choice(['Court', 'House', 'Apartments', 'Mansion', 'Towers'])}"
+    a = rng.choice([f"{n} {fs}, {pl}", f"House {n}, {st}, {pl}{pin}", f"House no. {n}, {st}, {pl}", f"P.O. Box {n}, {pl}", f"PO Box {n}", f"p.o. box {n}, {pl}", f"Box {n}, {pl}", f"Door {n}, {rng.choice(['1st', '2nd', '3rd', 'ground'])} floor, {st}, {pl}{pin}", f"Door no. {n}, {st}", f"{fs} {n}, {pl}", f"Flat {rng.randint(1, 20)}{rng.choice('ABCDE')}, {court}, {rng.randint(1, 90)} {st}, {pl}", f"Flat {n}, {court}, {pl}", f"No. {n}/{rng.randint(1, 9)}, {st}, {landmark(rng)}, {pl}", f"{n} {st}", f"{n} {st}, {pl}", f"no. {n} {st}", f"{n} {st}, {pl}{pin}", f"Block {rng.choice('ABCD')}, flat {n}, {st}, {pl}", f"{n} {fs}", f"H.No. {n}, {st}, {pl}{pin}", f"{n}{rng.choice('ab')} {st}, {pl}", f"Apt {n}, {n} {st}", f"Plot {n}, {st}", f"{fs} {n}", f"{n} {fs}, {pl}", f"House {n}, {landmark(rng)}, {pl}"])
     return a.lower() if rng.random() < 0.06 else a
 
 
 FILL = {"email": email, "phone": phone, "id_number": id_number, "address": address, "person_name": person_name}
 OTHER = {
-    "given": given, "place": lambda r: r.choice(PLACE_LIST), "street": lambda r: r.choice(STREETS), "virtue": lambda r: r.choice(VIRTUES), "word": lambda r: r.choice(DOMAINS).replace(".", ""),
+    "given": given, "place": place, "street": street, "virtue": lambda r: r.choice(VIRTUES), "word": lambda r: r.choice(DOMAINS).replace(".", ""), "kin": lambda r: r.choice(KIN), "thing": lambda r: r.choice(THING), "y": lambda r: str(r.randint(1940, 2026)),
     "n": lambda r: str(r.randint(2, 400)), "n1": lambda r: _n(r, 1), "n2": lambda r: _n(r, 2), "n3": lambda r: _n(r, 3), "n4": lambda r: _n(r, 4), "n6": lambda r: _n(r, 6), "n8": lambda r: "20" + _n(r, 6),
     "date": lambda r: f"{r.randint(10, 28)}.0{r.randint(1, 9)}.20{r.randint(10, 26)}", "slashdate": lambda r: f"{r.randint(10, 28)}/0{r.randint(1, 9)}/20{r.randint(10, 26)}",
 }
 
 
-def example(template: str, rng: random.Random) -> list[tuple[str, str]]:
-    """``(text, type or "")`` parts of the template once filled."""
+def example(template: str, rng: random.Random, person: float = 0.62) -> list[tuple[str, str]]:
+    """``(text, type or "")`` parts of the template once filled; ``{who}`` is a private person with probability ``person``."""
     parts: list[tuple[str, str]] = []
     for piece in re.split(r"(\{\w+\})", template):
         name = piece[1:-1] if piece.startswith("{") else ""
-        if name in FILL:
+        if name == "who":
+            if rng.random() < person:
+                parts.append((person_name(rng), "person_name"))
+                continue
+            text = "".join(t for t, _ in example(rng.choice(NOBODY), rng))
+            parts.append((text if any(t for t, _ in parts) else text[0].upper() + text[1:], ""))
+        elif name in FILL:
             parts.append((FILL[name](rng), name))
         elif name:
-            parts.append((OTHER[name](rng), ""))
+            text = OTHER[name](rng)
+            parts.append((text if name != "virtue" or parts else text.capitalize(), ""))
         elif piece:
             parts.append((piece, ""))
     return parts
 
 
-def table(seed: int = 11, per_template: int = 20, per_decoy: int = 9) -> list[list[tuple[str, str]]]:
+#: Words that hold sentences of a language together.
+FUNCTION = {
+    "en": "the a an of to in on at for with from by as is are was were be been has have had will would can may must do does did not no and or but so if when while because that which who what how why this these those it its he she they we you i my your his her our their all some any many much more most only also very here there now then than too up out over under after before since until again still never always about into through".split(),
+    "kha": "ka ki u i ïa ha na sha jong bad ba ban la dang lah dei don long wan leit ai shim ong kren trei bam dih shong ieng ïaid peit sngap sngew tip kwah donkam iarap pyni kynmaw klet map duwai rwai pule thoh hikai kan un kin in ngan phin ngin yn ym kam um kim ngam phim shi shuh ruh hi pat pynban hynrei namar lada haba katba mynta lashai baroh shibun khyndiat bha sniew heh rit nga phi ngi me kata kane uta une kito kine da lyngba halor hapoh hadien shuwa haduh".split(),
+    "es": "el la los las un una de del en y o que se no es son fue por para con sin su sus lo le les al más pero como cuando donde porque si ya muy también nos mi tu este esta todo todos nadie nada hay ha han está están era ser".split(),
+    "fr": "le la les un une de du des en et ou que qui ne pas est sont était pour par avec sans son sa ses ce cette au aux plus mais comme quand où parce si très aussi nous vous il elle ils on mon notre tout tous rien y a ont été être dans sur".split(),
+    "la": "et in non est sunt ad cum qui quae quod sed ut si ex de per ab nec enim autem quia nos vos ego tu eius omnes sine pro ante post sicut erat esse".split(),
+    "de": "der die das ein eine und oder aber nicht ist sind war in im an am auf für mit von zu zum zur den dem des er sie es wir ihr ich du sein ihre unser alle wenn weil dass als auch nur noch schon sehr hat haben wird kann bei nach vor über unter".split(),
+}
+
+
+def soup(rng: random.Random, unknown) -> str:
+    """Words of a language and made-up ones in no order: what a sentence of words never seen looks like."""
+    lang = rng.choice(["en", "en", "kha", "kha", "es", "fr", "la", "de"])
+    words = [rng.choice(FUNCTION[lang]) if rng.random() < 0.6 else unknown(rng, "X" if lang == "de" and rng.random() < 0.5 else "x") for _ in range(rng.randint(4, 12))]
+    if rng.random() < 0.3:
+        words[rng.randrange(len(words))] += rng.choice(",;")
+    if rng.random() < 0.3:  # a number that is nobody's
+        words.insert(rng.randrange(1, len(words) + 1), rng.choice(["{}", "{}", "{}.", "no. {}", "{}-{}", "{}:{}", "{}.{}", "{},000", "Rs {}", "{} x {}", "{}/{}"]).format(_n(rng, rng.randint(1, 4)), _n(rng, rng.randint(1, 3))))
+    words[0] = words[0].capitalize()
+    return " ".join(words) + rng.choice(".....!? ").strip()
+
+
+def _sentences() -> tuple[str, ...]:
+    """Sentences of the language table in which nobody is named: running text of six languages without personal data."""
+    from quire.llm.lang_seeds import SEEDS
+
+    named = re.compile(r"\b(?:John|Paul)\b")
+    return tuple(s for x in SEEDS.values() for s in x.strip().split("\n") if not named.search(s))
+
+
+def table(held: bool | None = None, seed: int = 11, per_who: int = 24, per_contact: int = 20, per_decoy: int = 16, soups: int = 1200) -> list[list[tuple[str, str]]]:
+    """All frames (``held=None``), those to train on (false) or those held out (true), filled several times each."""
     rng = random.Random(seed)
-    rows = [example(t, rng) for t in WITH for _ in range(per_template)]
-    rows += [example(t, rng) for t in WITHOUT for _ in range(per_decoy if "{" in t else 4)]
-    # the same in lower case, without end mark, or after a sentence that a missing mark joins to it
+
+    def of(frames: tuple[str, ...]) -> list[str]:
+        return [t for k, t in enumerate(frames) if held is None or (k % 5 == 0) == held]
+
+    rows = [example(t, rng) for t in of(WHO) for _ in range(per_who)]
+    rows += [example(t, rng) for t in of(ALONE) for _ in range(per_who)]
+    rows += [example(t, rng) for t in of(CONTACT) for _ in range(per_contact)]
+    rows += [example(t, rng) for t in of(WITHOUT) for _ in range(per_decoy if "{" in t else 4)]
+    plain = of(_sentences())
+    rows += [[(t, "")] for t in plain for _ in range(2)]
+    rows += [[(soup(rng, unknown) + "\u200b", "")] for _ in range(soups)]
+    # the same in lower case, without end mark, or next to another sentence, as a missing mark or a comma joins them
     out = []
     for r in rows:
         x = rng.random()
         if x < 0.06:
             r = [(p.lower(), t) if not t or t == "person_name" else (p, t) for p, t in r]
-        elif x < 0.12 and r[-1][0].endswith(".") and not r[-1][1]:
+        elif x < 0.14 and r[-1][0].endswith(".") and not r[-1][1]:
             r = [*r[:-1], (r[-1][0][:-1], "")] if r[-1][0] != "." else r[:-1]
-        elif x < 0.20:
-            r = [*r, (" " + rng.choice(["Pray for us.", "For my debts, and for hope in our home.", "Kindly remember my mother at the altar this Friday.", "In thanksgiving for a visa."]), "")]
+        elif x < 0.24:
+            r = [*r, (" " + rng.choice(plain), "")]
+        elif x < 0.30:
+            r = [(rng.choice(plain).rstrip(".!?") + rng.choice([", ", " ", "; "]), ""), *r]
         out.append(r)
     rng.shuffle(out)
     return out

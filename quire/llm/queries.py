@@ -79,15 +79,16 @@ def _free_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Types of personal data in the free text of each record."""
-    parts = pii.parameters()
     texts = _free_text(spark, sf_dir).where(F.col("text").isNotNull())
+    parts = pii.parameters(texts)
     return texts.mapInPandas(lambda it: pii.find(it, parts), "record_table string, record_id long, pii_type string").distinct()
 
 
 def p3_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every record's free text with personal data replaced by placeholders that name its type."""
-    parts = pii.parameters()
-    return _free_text(spark, sf_dir).mapInPandas(lambda it: pii.redacted(it, parts), "record_table string, record_id long, redacted string").dropDuplicates(["record_table", "record_id"])
+    texts = _free_text(spark, sf_dir)
+    parts = pii.parameters(texts)
+    return texts.mapInPandas(lambda it: pii.redacted(it, parts), "record_table string, record_id long, redacted string").dropDuplicates(["record_table", "record_id"])
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -68,22 +68,30 @@ def test_viterbi_against_enumeration():
 
 
 def test_pii_held_out():
-    """Fillings that the training seed did not draw: at least 95 % of typed spans and at most 3 % false types."""
+    """Every fifth frame of each kind is kept from training: recall and precision by type on those frames alone."""
     from quire.llm.pii_examples import table
 
-    rows = table(seed=99, per_template=2, per_decoy=2)
+    crf, known = pii.fitted(table(held=False))
+    rows = table(held=True, seed=99)
+    seen = {"".join(p for p, _ in r) for r in table(held=False)}
     texts = ["".join(p for p, _ in r) for r in rows]
+    assert len(seen & set(texts)) / len(texts) < 0.01  # chance fillings of bare slots only
     want = [{t for _, t in r if t} for r in rows]
-    got = [{k for _, _, k in s} for s in pii.spans(pii.model(), pii.Types(), texts)]
-    hit = sum(len(a & b) for a, b in zip(want, got))
-    assert hit / sum(map(len, want)) > 0.95
-    assert sum(len(b - a) for a, b in zip(want, got)) / len(rows) < 0.03
+    got = [{k for _, _, k in s} for s in pii.spans(crf, pii.Types(known), texts)]
+    for kind, least in {"email": 0.9, "phone": 0.9, "id_number": 0.9, "address": 0.9, "person_name": 0.8}.items():
+        both = sum(kind in a and kind in b for a, b in zip(want, got))
+        assert both / sum(kind in a for a in want) > least and both / sum(kind in b for b in got) > least, kind
+
+
+def test_words_known_from_the_corpus(spark):
+    rows = [("The lamp burns for Teresa.",)] * 30 + [("lamp and pyrthei",)] * 20 + [("only once tarmore",)]
+    assert {"lamp", "burns", "pyrthei"} <= (got := pii.corpus_words(spark.createDataFrame([*rows, (None,)], "text string"))) and not got & {"teresa", "tarmore"}
 
 
 def test_redaction(spark):
     t = "Please ring +44 7700 900 239 after six. My name is Dariya Garossot."
     df = spark.createDataFrame([("x", 1, t), ("x", 2, None), ("x", 3, ""), ("x", 4, "Saint Martin, help us to persevere. " * 400)], "record_table string, record_id long, text string")
-    parts = pii.parameters()
+    parts = pii.parameters(df)
     got = {r["record_id"]: r["redacted"] for r in df.mapInPandas(lambda it: pii.redacted(it, parts), "record_table string, record_id long, redacted string").collect()}
     assert got[1] == "Please ring [PHONE] after six. My name is [PERSON_NAME]." and got[2] is None and got[3] == "" and "[" not in got[4]
 
