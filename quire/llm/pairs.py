@@ -1,16 +1,17 @@
 """Problem 6: prompt and response pairs, each sound or with the one defect of its response.
 
 Method: a conditional random field tags the clauses of a response (long ones in pieces, all words of them) as answer,
-refusal, echo, foreign, unfinished or neither; the coverage of the tags gives the defect of the pair. It is trained once per process from the small
-labelled table of ``pair_examples``.
+refusal, echo, foreign, unfinished or neither; the coverage of the tags gives the defect of the pair. It is trained once
+per process from the small labelled table of ``pair_examples``. No rule overrides a tag.
 
 Signs of a clause beside its words: how far the message holds it (echo), whether it is in a language that the message
 does not use (the model of ``langid``), and whether it ends like a sentence. The last needs the corpus: of every
 run of one to five words, how often it occurs and how often it stands before a final mark, over *all* responses.
-The counts are exact and stay a table; only the distinct last words of replies without a final mark look theirs up.
+Runs are counted under 64-bit hashes (two of a billion runs meet with a chance of one in 10^10 for each lookup);
+only the distinct last words of replies without a final mark look theirs up.
 
 Plan: three scans (counts; last words; tagging); the shuffles are of partial counts, of distinct last words, and of
-the rows to their counts. No group is collected.
+the rows to their counts. No group is collected. Equal clauses of a worker are parsed once.
 
 Defined results: a null, blank or content-free response is ``empty``; a null message has no words, so nothing echoes
 it and no language is foreign to it; repeated rows give repeated results.
@@ -27,6 +28,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,7 +37,7 @@ from quire.llm.crf import CRF
 from quire.llm.pair_examples import table
 
 TAGS = ("A", "R", "E", "F", "U", "N")
-FEATURES, SLOTS, GRAMS = 1 << 16, 44, 1 << 19
+FEATURES, SLOTS = 1 << 16, 44
 KEEN = 2.0  # occurrences that the rate of a shorter run counts for
 READ = 14  # words of a clause that are read in one piece
 
@@ -52,6 +54,7 @@ _ENDS = (".", "!", "?", "。", "।")
 _OPEN = "([{“«„‘<"
 
 
+@lru_cache(maxsize=1 << 19)
 def _h(s: str) -> int:
     h = 2166136261
     for b in s.encode():
@@ -102,54 +105,76 @@ def is_nothing(reply: str | None) -> bool:
 # --- how sentences end, over the whole corpus ---------------------------------------------------------------------
 
 
-_MASK, _P = (1 << 64) - 1, 0x9E3779B97F4A7C15
+class Reader:
+    """Clauses of one worker process; equal ones are parsed once."""
 
+    def __init__(self) -> None:
+        self.seen: dict[str, tuple] = {}
+        self.codes: dict[str, int] = {}
 
-@lru_cache(maxsize=200_000)
-def _word(w: str) -> int:
-    return _h(w) | _h(w[::-1] + "|") << 32
-
+    def clause(self, c: str) -> tuple[str, list[str], list[tuple[str, list[str]]]]:
+        """The clause without its list marker, its words, and its pieces with their words."""
+        got = self.seen.get(c)
+        if got is None:
+            if len(self.seen) > 100_000:  # bounds memory; a clause that returns is parsed again
+                self.seen.clear()
+            body = _MARKER.sub("", c)
+            w = norm(body)
+            ps = pieces(body)
+            got = self.seen[c] = (body, w, [(body, w)] if len(ps) == 1 else [(p, norm(p)) for p in ps])
+        return got
 
-def _gram(words: list[str], k: int, n: int) -> int:
-    """Cell of the run of ``n`` words that ends with word ``k``."""
-    h = n
-    for w in words[k - n + 1 : k + 1]:
-        h = (h * _P + _word(w)) & _MASK
-    return (h >> 33) % GRAMS
+    def code(self, words: list[str]) -> list[int]:
+        if len(self.codes) > 500_000:
+            self.codes.clear()
+        out = []
+        for w in words:
+            k = self.codes.get(w)
+            if k is None:
+                k = self.codes[w] = xxhash.xxh64_intdigest(w)
+            out.append(k)
+        return out
 
 
-def _cells(w: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The same for all words of an array; ``at`` is the position of each within its clause."""
+def runs(w: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the runs of ``n`` words: position of the last word of each, and the hash. ``at`` is a word's place in its clause."""
     k = np.flatnonzero(at >= n - 1)
     h = np.full(len(k), n, np.uint64)
     for d in range(n - 1, -1, -1):
-        h = h * np.uint64(_P) + w[k - d]
-    return k, ((h >> np.uint64(33)) % np.uint64(GRAMS)).astype(np.int64)
+        h = (h ^ w[k - d]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    return k, h.view(np.int64)
 
 
-def count_grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """``gram, seen, ended``: runs of one to five words, and those of them before a final mark; partial counts, a bounded number at a time."""
-    seen: Counter = Counter()
-    ended: Counter = Counter()
-
-    def told() -> pd.DataFrame:
-        got = pd.DataFrame({"gram": list(seen), "seen": list(seen.values()), "ended": [ended[g] for g in seen]}).astype({"gram": object, "seen": "int64", "ended": "int64"})
-        seen.clear()
-        ended.clear()
-        return got
+def _laid(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Word hashes of all lists in a row, the place of each in its list, and the list's number."""
+    sizes = np.array([len(x) for x in lists], np.int64)
+    w = np.array([x for xs in lists for x in xs], np.uint64)
+    of = np.repeat(np.arange(len(lists)), sizes)
+    return w, np.arange(len(w)) - np.repeat(np.cumsum(sizes) - sizes, sizes), of
+
 
+def count_grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """``gram, seen, ended``: hashes of runs of one to five words, how often they occur and stand before a final mark; partial counts."""
+    reader = Reader()
     for b in batches:
-        for c, t in Counter(c for r in b["reply"].dropna() for c in clauses(r)).items():
-            w = norm(c)
-            for n in range(1, 6):
-                for k in range(len(w) - n + 1):
-                    seen[" ".join(w[k : k + n])] += t
-            if w and c.rstrip("\"'”’»)] ").endswith(_ENDS) and not c.rstrip().endswith(("...", "…")):
-                for n in range(1, min(5, len(w)) + 1):
-                    ended[" ".join(w[-n:])] += t
-            if len(seen) > 200_000:
-                yield told()
-    yield told()
+        cs = Counter(c for r in b["reply"].dropna() for c in clauses(r))
+        texts = list(cs)
+        times = np.fromiter(cs.values(), np.int64, len(cs))
+        words = [norm(c) for c in texts]
+        marked = np.array([c.rstrip("\"'”’»)] ").endswith(_ENDS) and not c.rstrip().endswith(("...", "…")) for c in texts], bool)
+        w, at, of = _laid([reader.code(x) for x in words])
+        last = np.zeros(len(w), bool)
+        ends = np.cumsum([len(x) for x in words]) - 1 if words else np.zeros(0, np.int64)
+        last[ends[np.array([bool(x) for x in words], bool)]] = True if len(w) else False
+        grams, seen, ended = [], [], []
+        for n in range(1, 6):
+            k, h = runs(w, at, n)
+            grams.append(h)
+            seen.append(times[of[k]])
+            ended.append(times[of[k]] * (last[k] & marked[of[k]]))
+        g, inv = np.unique(np.concatenate(grams), return_inverse=True)
+        yield pd.DataFrame({"gram": g, "seen": np.bincount(inv, np.concatenate(seen), len(g)).astype(np.int64), "ended": np.bincount(inv, np.concatenate(ended), len(g)).astype(np.int64)})
 
 
 def shown_end(clause: str, words: list[str]) -> str | None:
@@ -170,20 +195,30 @@ def tail(reply: str | None) -> str | None:
     return None if shown_end(body, w) else " ".join(w[-5:])
 
 
+def tail_grams(replies: pd.Series) -> pd.Series:
+    """Of each reply with a tail the hashes of its last word, last two words and so on; null for the others."""
+    tails = [tail(r) for r in replies]
+    w, at, of = _laid([Reader.code(Reader(), t.split(" ")) if t else [] for t in tails])
+    ends = np.append(of[1:] != of[:-1], True) if len(of) else np.zeros(0, bool)
+    out: list[list[int] | None] = [[] if t else None for t in tails]
+    for n in range(1, 6):
+        k, h = runs(w, at, n)
+        for i, g in zip(of[k[ends[k]]].tolist(), h[ends[k]].tolist()):
+            out[i].append(g)
+    return pd.Series(out, index=replies.index, dtype=object)
+
+
 def with_endings(df: DataFrame) -> DataFrame:
-    """``df`` with ``tail_counts``: of the last 1 to 5 words of each reply, how often they occur and end a sentence in the whole table, exactly.
+    """``df`` with ``tail_counts``: of the last 1 to 5 words of each reply, how often they occur and end a sentence in the whole table.
 
     Only the distinct tails are joined to the counts. Rows without a tail get keys of their own kind, spread out.
     """
-    of = F.pandas_udf(lambda r: r.map(tail).astype(object), "string")
-    rows = df.withColumn("tail", of("reply"))
-    w = F.split("tail", " ")
-    grams = F.transform(F.sequence(F.lit(1), F.size(w)), lambda n: F.struct(n.alias("n"), F.array_join(F.slice(w, -n, n), " ").alias("gram")))
-    need = rows.where("tail is not null").select("tail").distinct().select("tail", F.explode(grams).alias("g")).select("tail", "g.n", "g.gram")
-    counts = df.select("reply").mapInPandas(count_grams, "gram string, seen long, ended long").groupBy("gram").agg(F.sum("seen").alias("seen"), F.sum("ended").alias("ended"))
+    rows = df.withColumn("tail", F.pandas_udf(tail_grams, "array<long>")("reply"))
+    need = rows.where("tail is not null").select("tail").distinct().select("tail", F.posexplode("tail").alias("n", "gram"))
+    counts = df.select("reply").mapInPandas(count_grams, "gram long, seen long, ended long").groupBy("gram").agg(F.sum("seen").alias("seen"), F.sum("ended").alias("ended"))
     told = need.join(counts, "gram").groupBy("tail").agg(F.array_sort(F.collect_list(F.struct("n", "seen", "ended"))).alias("x"))
     told = told.select(F.col("tail").alias("key"), F.flatten(F.transform("x", lambda x: F.array(x["seen"], x["ended"]))).alias("tail_counts"))
-    key = F.coalesce("tail", F.concat(F.lit(" "), F.pmod(F.xxhash64("exchange_id", "reply"), F.lit(4096)).cast("string")))  # no tail begins with a space
+    key = F.coalesce("tail", F.array(F.lit(-1).cast("long"), F.lit(-1).cast("long"), F.pmod(F.xxhash64("exchange_id", "reply"), F.lit(4096))))
     return rows.withColumn("key", key).join(told, "key", "left").drop("key", "tail")
 
 
@@ -209,28 +244,42 @@ def end_sign(clause: str, words: list[str], counts: list[int]) -> str:
 # --- features ------------------------------------------------------------------------------------------------------
 
 
+@lru_cache(maxsize=4096)
+def sign_features(echo: int, foreign: int, end: str, last: int, only: int, size: int) -> np.ndarray:
+    f = (f"e{echo}", f"f{foreign}", f"d{end}{last}", f"l{last}{only}", f"z{size}", f"ez{echo}{size}", f"dz{end}{last}{size}", f"ee{echo}{end}{last}", "b")
+    return np.array([_h(x) % FEATURES for x in f], np.int32)
+
+
+@lru_cache(maxsize=100_000)
+def word_features(words: tuple[str, ...]) -> np.ndarray:
+    f = [f"t{' '.join(words[:3])}", *(f"w{x}" for x in words), *(f"g{a} {b}" for a, b in zip(("^", *words), words))]
+    return np.array([_h(x) % FEATURES for x in f], np.int32)
+
+
 def row_features(words: list[str], echo: int, foreign: int, end: str, last: int, only: int, slots: int = SLOTS) -> np.ndarray:
     n = len(words)
-    size = 0 if n == 0 else 1 if n <= 2 else 2 if n <= 5 else 3 if n <= 9 else 4
-    f = [f"e{echo}", f"f{foreign}", f"d{end}{last}", f"l{last}{only}", f"z{size}", f"ez{echo}{size}", f"dz{end}{last}{size}", f"ee{echo}{end}{last}", "b"]
-    f += [f"t{' '.join(words[:3])}"]
-    f += [f"w{x}" for x in words]
-    f += [f"g{a} {b}" for a, b in zip(["^", *words], words)]
-    at = [_h(x) % FEATURES for x in f]
+    signs = sign_features(echo, foreign, end, last, only, 0 if n == 0 else 1 if n <= 2 else 2 if n <= 5 else 3 if n <= 9 else 4)
+    of_words = word_features(tuple(words))
     out = np.full(slots, FEATURES, np.int32)
-    out[: min(len(at), slots)] = at[:slots]
+    out[: len(signs)] = signs
+    out[len(signs) : len(signs) + len(of_words)] = of_words
     return out
 
 
-@lru_cache(maxsize=1)
-def model() -> CRF:
-    rows = table()
-    slots = 10 + 2 * max(len(norm(c[0])) for r in rows for c in r)
-    feats = np.stack([row_features(norm(t), echo, foreign, end, last, only, slots) for r in rows for t, _, echo, foreign, end, last, only in r])
+def fitted(rows: list) -> CRF:
+    """A field trained on rows of labelled clauses, long ones in pieces as in the data."""
+    split = [[(norm(t), tag, *rest) for t, tag, *rest in r] for r in rows]
+    slots = 10 + 2 * max(len(c[0]) for r in split for c in r)
+    feats = np.stack([row_features(w, echo, foreign, end, last, only, slots) for r in split for w, _, echo, foreign, end, last, only in r])
     lengths = np.array([len(r) for r in rows])
     starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
     tags = np.array([TAGS.index(c[1]) for r in rows for c in r])
-    return CRF(FEATURES, TAGS).fit(feats, starts, lengths, tags, epochs=8, rate=0.15)
+    return CRF(FEATURES, TAGS).fit(feats, starts, lengths, tags, epochs=6, rate=0.15, averaged=4)
+
+
+@lru_cache(maxsize=1)
+def model() -> CRF:
+    return fitted(table())
 
 
 def parameters() -> tuple:
@@ -255,7 +304,7 @@ def tag(batches: Iterator[pd.DataFrame], parts: tuple, lang: tuple) -> Iterator[
     """exchange_id, message, reply, scope, tail_counts -> exchange_id, defect_type (null if sound), and the words under each tag."""
     crf = CRF(0, TAGS)
     crf.n_features, crf.weights, crf.trans, crf.start, crf.end = parts
-    scorer = langid.Scorer(lang)
+    scorer, reader = langid.Scorer(lang), Reader()
     for b in batches:
         ends = [[] if x is None else list(x) for x in b["tail_counts"]]
         replies, messages = b["reply"].tolist(), b["message"].tolist()
@@ -276,47 +325,37 @@ def tag(batches: Iterator[pd.DataFrame], parts: tuple, lang: tuple) -> Iterator[
         clear = (cn >= 3) & (cconf >= 0.85) & (ccls < len(langid.LANGS)) & uses.any(1)[owner]
         foreign = clear & ~uses[owner, np.minimum(ccls, len(langid.LANGS) - 1)]
         # what the field tags: the pieces of the clauses
-        cut_up = [pieces(_MARKER.sub("", c)) for c in flat]
-        parted = np.array([len(p) for p in cut_up], np.int64)
+        parsed = [reader.clause(c) for c in flat]
+        parted = np.array([len(p[2]) for p in parsed], np.int64)
         total = int(parted.sum())
         feats = np.full((total, SLOTS), FEATURES, np.int32)
         sizes = np.zeros(total, np.int64)
-        broken = np.zeros(len(b), bool)
-        ended_open = np.zeros(total, bool)
         k = row_at = 0
         for i, cs in enumerate(cl):
             m = norm(messages[i]) if cs and isinstance(messages[i], str) else []
             ms, joined = set(m), f" {' '.join(m)} "
-            for j, c in enumerate(cs):
+            for j in range(len(cs)):
                 last = int(j == len(cs) - 1)
-                body = _MARKER.sub("", c)
-                w = norm(body)
+                body, w, parts_of = parsed[k]
                 end = end_sign(body, w, ends[i]) if last and body.strip() else "open" if last else "mark"
-                if last and not w and (not body.strip() or body.strip()[-1] in _OPEN or body.strip() in ("...", "…")):
-                    broken[i] = True  # an item or a quotation that was only opened
                 echo = _echo(w, body, ms, joined)
-                for part in cut_up[k]:
-                    pw = w if len(cut_up[k]) == 1 else norm(part)
-                    final = int(last and part is cut_up[k][-1])
-                    mark = end if final else "mark"
+                for at, (part, pw) in enumerate(parts_of):
+                    final = int(last and at == len(parts_of) - 1)
                     sizes[row_at] = len(pw)
-                    ended_open[row_at] = final and end in ("open", "odd") and bool(w)
-                    own = echo if echo == 3 or len(cut_up[k]) == 1 else _echo(pw, part, ms, joined)
-                    read = pw[1:] if part is not cut_up[k][0] and len(pw) > 1 and pw[0] in _JOINS else pw  # the piece as a clause by itself
-                    feats[row_at] = row_features(read, own, int(foreign[k]), mark, final, int(len(cs) == 1))
+                    own = echo if echo == 3 or len(parts_of) == 1 else _echo(pw, part, ms, joined)
+                    read = pw[1:] if at and len(pw) > 1 and pw[0] in _JOINS else pw  # the piece as a clause by itself
+                    feats[row_at] = row_features(read, own, int(foreign[k]), end if final else "mark", final, int(len(cs) == 1))
                     row_at += 1
                 k += 1
         owner = np.repeat(owner, parted)
         lengths = np.bincount(owner, minlength=len(b)).astype(np.int64) if len(b) else lengths
         starts = np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64)
         tags = crf.decode(feats, starts, lengths) if total else np.zeros(0, np.int64)
-        # exact check: a last answer that visibly breaks off, or ends as no sentence of the corpus does, is unfinished
-        tags = np.where(ended_open & np.isin(tags, (0, 3)), 4, tags)
         cover = np.zeros((len(b), len(TAGS)), np.int64)
         np.add.at(cover, (owner, tags), np.maximum(sizes, 1))
         has_refusal = np.zeros(len(b), bool)
         has_refusal[owner[tags == 1]] = True
-        cut = broken.copy()
+        cut = np.zeros(len(b), bool)
         final = starts + lengths - 1
         live = lengths > 0
         cut[live] |= tags[final[live]] == 4

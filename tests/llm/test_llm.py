@@ -193,12 +193,28 @@ def test_ending_counts_are_exact(spark):
         assert pairs.end_sign("of bread", ["of", "bread"], [10 * k, 6 * k, 4 * k, 2 * k]) == "fits" and pairs.end_sign("of the", ["of", "the"], [10 * k, 0, 4 * k, 0]) == "odd"
 
 
-def test_gram_cells_agree():
-    w = ["the", "long", "road", "of", "bread"]
-    wa, at = np.array([pairs._word(x) for x in w], np.uint64), np.arange(5)
-    for n in range(1, 6):
-        k, cells = pairs._cells(wa, at, n)
-        assert [pairs._gram(w, int(i), n) for i in k] == cells.tolist()
+def test_runs_of_words_hash_alike():
+    w = np.array([7, 8, 9, 7, 8], np.uint64)
+    for n in (1, 2):
+        k, h = pairs.runs(w, np.array([0, 1, 2, 0, 1]), n)
+        by = dict(zip(k.tolist(), h.tolist()))
+        assert by[1] == by[4] and len(set(by.values())) == {1: 3, 2: 2}[n]
+
+
+def test_pairs_held_out():
+    """Parts and frames of refusals, answers and closings that training has not seen: recall and precision by tag."""
+    from quire.llm.pair_examples import table
+
+    crf, rows = pairs.fitted(table(held=False)), table(held=True, seed=77, n=900)
+    slots = 10 + 2 * max(len(pairs.norm(c[0])) for r in rows for c in r)
+    feats = np.stack([pairs.row_features(pairs.norm(t), *rest, slots) for r in rows for t, _, *rest in r])
+    lengths = np.array([len(r) for r in rows])
+    got = crf.decode(feats, np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths)
+    want = np.array([pairs.TAGS.index(c[1]) for r in rows for c in r])
+    for k, (recall, precision) in {"A": (0.9, 0.9), "R": (0.8, 0.9), "E": (0.9, 0.9), "F": (0.9, 0.9), "U": (0.9, 0.85)}.items():
+        y = pairs.TAGS.index(k)
+        both = ((got == y) & (want == y)).sum()
+        assert both / (want == y).sum() > recall and both / (got == y).sum() > precision, k
 
 
 # --- p1 ------------------------------------------------------------------------------------------------------------
