@@ -369,9 +369,23 @@ def test_mixing(spark):
     for s, share, rep in (("s0", 0.5, 4), ("s1", 0.3, 2), ("s2", 0.15, 1)):
         assert per[s] == min(round(6000 * share), avail[s] * rep)
     assert m.groupby(["doc_id", "epoch"]).size().max() == 1 and (m.groupby("doc_id").epoch.max() <= m.groupby("doc_id").source.first().map({"s0": 4, "s1": 2, "s2": 1})).all()
-    rep = {r["source"]: r for r in mixing.shares(docs, targets).collect()}
+    rep = {r["source"]: r for r in mixing.shares(docs, targets, exact=True).collect()}
     assert rep["none"]["status"] == "no text" and abs(rep["s0"]["actual_share"] - 0.5 / 0.95) < 1e-3
-    assert mixing.mix(docs.limit(0), targets).count() == 0
+    assert mixing.mix(docs.limit(0), targets).count() == 0 and mixing.shares(docs.limit(0), targets).count() == 4
+
+
+def test_mixing_uses_the_data(spark):
+    """By default the total is all the targeted sources hold: small ones repeat up to their cap and are short beyond it."""
+    rows = [(i, "bread and salt " * 10, "big") for i in range(90)] + [(100 + i, "bread and salt " * 10, "small") for i in range(8)] + [(200, "bread and salt " * 10, "tiny"), (300, "x y z", "no target")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    targets = spark.createDataFrame([("big", 0.7, 1), ("small", 0.2, 4), ("tiny", 0.1, 2)], "source string, target_share double, max_repeats int")
+    got = {r["source"]: r for r in mixing.shares(docs, targets).collect()}
+    one = got["tiny"]["available_tokens"]
+    assert [got[s]["status"] for s in ("big", "small", "tiny")] == ["met", "met", "short"] and got["tiny"]["used_tokens"] == 2 * one == got["tiny"]["max_repeats"] * one
+    assert got["small"]["most_repeats"] == 3 and got["small"]["used_tokens"] == round(99 * one * 0.2) and got["big"]["used_tokens"] == round(99 * one * 0.7)
+    m = mixing.mix(docs, targets).toPandas()
+    assert m.tokens_used.sum() > 0.9 * 99 * one and m.epoch.max() == 3 and not (m.source == "no target").any()
+    assert m[m.source == "small"].groupby("doc_id").epoch.nunique().isin([2, 3]).all()
 
 
 def test_tokens_of_long_text():
