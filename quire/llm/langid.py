@@ -1,17 +1,19 @@
 """Problem 5: the language of every document and of every stretch of a mixed one, with a confidence.
 
 Method: averaged hashed subword embeddings with a linear softmax, trained by stochastic gradient descent in numpy;
-the confidence is calibrated by a temperature fitted on held-out sentences, and stretches below a confidence, or in
-the extra class ``und`` (no language: code, numbers, random letters), are rejected.
+the confidence is calibrated by a temperature, and stretches below a confidence, or in the extra class ``und`` (no
+language: code, numbers, random letters), are rejected. The temperature is fitted on every tenth sentence by a model
+that was trained without these sentences; the model in use is then trained on all.
 
-Training takes the labelled sentences of ``lang_seeds`` (about 250, a fixed number) and happens once per process.
+Training takes the labelled sentences of ``lang_seeds`` (about 300, a fixed number) and happens once per process.
 The trained model is a few hundred kilobytes at any input size.
 
 Scoring runs in Arrow batches: sentences are cut, lower-cased, split to words and dictionary-encoded by Arrow's
 kernels; each distinct word of a worker is embedded once; sentences are sums of word vectors. No row is looped over.
 
 Defined results: null or blank texts, and texts in no known language, have no stretch; a text whose stretches are
-all too short to tell is judged as a whole; very long texts are read whole.
+all too short to tell is judged as a whole; very long texts and words are read whole; words quoted within a sentence
+belong to no stretch, as they do not count as a language of the text.
 """
 
 from __future__ import annotations
@@ -38,7 +40,7 @@ FEW_WORDS, FEW_CONFIDENCE = 7, 0.97
 # Sentences end at a final mark with space after it, at a line that the next does not continue, and between blocks.
 _JOIN = r"[^\S\n]*\n[^\S\n]*(\p{Ll})"
 _CUT = r"[.!?…]+[\"'”’»)\]]*\s+|\s*\n\s*|\s—\s|<[^>]{1,60}>"
-_SHORT_QUOTE = r"[“\"«]([^”\"»\n.!?]{0,40})[”\"»]"
+_QUOTED = r"[“\"«][^“”\"«»\n.!?]*[”\"»]"
 _NO_LANGUAGE = r"[^\s@＠\d]*[@＠\d][^\s]*?([.!?]?(?:\s|$))"
 _NOT_WORD = r"[^\p{L}\p{M}'’-]+"
 
@@ -52,7 +54,7 @@ def _hash(gram: str) -> int:
 
 def subwords(word: str) -> list[int]:
     """Buckets of the word's character 2- to 5-grams, with its ends marked, and of the word itself."""
-    w = f"<{word[:40]}>"
+    w = f"<{word}>"
     grams = [w[i : i + n] for n in (2, 3, 4, 5) for i in range(len(w) - n + 1)]
     return [_hash(g) for g in [*grams, "=" + w]]
 
@@ -74,25 +76,32 @@ def _noise(rng: random.Random) -> str:
     return " ".join(rng.choice(["Ã", "Â", "ï", "â€", "��", "tÂ", "Ãs", "aÃd"]) + rng.choice("abcdefst") for _ in range(8))
 
 
-@lru_cache(maxsize=1)
-def model() -> tuple[np.ndarray, np.ndarray, float]:
-    """Scores of each bucket (BUCKETS x classes), bias and temperature."""
+#: Every so many-th sentence of a language is held out to fit the temperature.
+HOLD = 10
+
+
+def examples(held: bool | None) -> list[tuple[np.ndarray, int]]:
+    """Whole sentences and windows of them, as buckets and class: of all sentences (``None``), of those kept to train on, or of those held out."""
     rng = random.Random(7)
     data: list[tuple[list[int], int]] = []
     for y, lang in enumerate(LANGS):
-        for s in SEEDS[lang].strip().split("\n"):
+        for k, s in enumerate(SEEDS[lang].strip().split("\n")):
+            if held is not None and (k % HOLD == HOLD // 2) != held:
+                continue
             w = words_of(s)
             for a, b in [(0, len(w)), *[(a, min(len(w), a + n)) for n in (3, 5, 7) for a in range(0, max(1, len(w) - n + 1), 2)]]:
                 data.append(([h for x in w[a:b] for h in subwords(x)], y))
     data += [([h for x in words_of(_noise(rng)) for h in subwords(x)], len(LANGS)) for _ in range(len(data) // 12)]
-    data = [(np.array(f), y) for f, y in data if f]
-    rng.shuffle(data)
-    held, train = data[: len(data) // 10], data[len(data) // 10 :]
+    return [(np.array(f), y) for f, y in data if f]
+
+
+def trained(train: list[tuple[np.ndarray, int]], epochs: int = 12) -> tuple[np.ndarray, np.ndarray]:
+    """Scores of each bucket (BUCKETS x classes) and bias, by stochastic gradient descent on the softmax of averaged embeddings."""
+    rng, train = random.Random(7), list(train)
     g = np.random.default_rng(7)
     emb = g.normal(0, 0.1, (BUCKETS, DIM))
     out = np.zeros((DIM, len(CLASSES)))
     bias = np.zeros(len(CLASSES))
-    epochs = 12
     for e in range(epochs):
         rng.shuffle(train)
         for k, (f, y) in enumerate(train):
@@ -106,7 +115,11 @@ def model() -> tuple[np.ndarray, np.ndarray, float]:
             out -= rate * np.outer(x, p)
             bias -= rate * 0.1 * p
             np.add.at(emb, f, -rate * gx / len(f) * min(len(f), 8))
-    scores = emb @ out
+    return emb @ out, bias
+
+
+def fitted_temperature(scores: np.ndarray, bias: np.ndarray, held: list[tuple[np.ndarray, int]]) -> float:
+    """The temperature at which the held-out examples are likeliest."""
     z = np.array([scores[f].mean(0) + bias for f, _ in held])
     ys = np.array([y for _, y in held])
 
@@ -115,25 +128,37 @@ def model() -> tuple[np.ndarray, np.ndarray, float]:
         s = s - s.max(1, keepdims=True)
         return float(-(s[np.arange(len(ys)), ys] - np.log(np.exp(s).sum(1))).mean())
 
-    temperature = min((0.5, 0.7, 1.0, 1.4, 2.0, 2.8, 4.0), key=nll)
+    return min((0.5, 0.6, 0.7, 0.85, 1.0, 1.2, 1.4, 1.7, 2.0, 2.4, 2.8, 3.4, 4.0), key=nll)
+
+
+@lru_cache(maxsize=1)
+def model() -> tuple[np.ndarray, np.ndarray, float]:
+    """Scores of each bucket (BUCKETS x classes), bias and temperature."""
+    temperature = fitted_temperature(*trained(examples(False)), examples(True))
+    scores, bias = trained(examples(None))
     return scores.astype(np.float32), bias.astype(np.float32), float(temperature)
 
 
 class Scorer:
-    """Word vectors of one worker process; distinct words are embedded once."""
+    """Word vectors of one worker process; distinct words are embedded once.
+
+    At most ``limit`` words are kept besides those of one batch. They are dropped between batches only, as the words
+    of a batch point at them.
+    """
 
-    def __init__(self, params: tuple[np.ndarray, np.ndarray, float]):
+    def __init__(self, params: tuple[np.ndarray, np.ndarray, float], limit: int = 400_000):
         self.scores, self.bias, self.temperature = params
+        self.limit = limit
         self.index: dict[str, int] = {}
         self.vectors = np.zeros((1024, len(CLASSES) + 1), np.float32)  # the last column counts subwords
 
     def _vector(self, words: list[str]) -> np.ndarray:
+        if len(self.index) + len(words) > self.limit:
+            self.index.clear()
         out = np.empty(len(words), np.int64)
         for i, w in enumerate(words):
             k = self.index.get(w)
             if k is None:
-                if len(self.index) >= 400_000:  # memory bound; words are embedded again when they return
-                    self.index.clear()
                 k = len(self.index)
                 if k >= len(self.vectors):
                     self.vectors = np.concatenate([self.vectors, np.zeros_like(self.vectors)])
@@ -174,7 +199,7 @@ class Scorer:
 def sentences(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """Stretches of the texts in order, and the row of each."""
     t = pc.replace_substring_regex(pc.fill_null(texts, ""), _JOIN, r" \1")
-    t = pc.replace_substring_regex(t, _SHORT_QUOTE, " ")
+    t = pc.replace_substring_regex(t, _QUOTED, " ")
     t = pc.replace_substring_regex(t, _NO_LANGUAGE, r" \1")  # addresses and numbers
     lists = pc.split_pattern_regex(t, _CUT)
     offs = lists.offsets.to_numpy()

@@ -114,6 +114,30 @@ def test_languages(spark):
     assert got[0] == {"en", "de"} and got[1] == got[2] == got[3] == set() and got[5] == {"fr"}
 
 
+def test_word_vectors_at_a_tiny_limit():
+    """Words of a batch keep their vectors however few words the worker may remember."""
+    words = [f"word{i}" for i in range(9)]
+    free, tight = langid.Scorer(langid.model()), langid.Scorer(langid.model(), limit=4)
+    for part in (words[:3], words, words[2:6], words[::-1]):
+        assert np.array_equal(free._vector(part), tight._vector(part))
+
+
+def test_language_of_held_out_sentences():
+    """Sentences that training has not seen, and windows of three words and more of them."""
+    held = langid.examples(True)
+    assert not {tuple(f) for f, _ in held if len(f) > 40} & {tuple(f) for f, _ in langid.examples(False)}
+    scores, bias = langid.trained(langid.examples(False))
+    right = [int((scores[f].mean(0) + bias).argmax()) == y for f, y in held]
+    assert np.mean(right) > 0.95
+
+
+def test_quoted_words_are_no_stretch():
+    s = langid.Scorer(langid.model())
+    t = "As the old chant has it, «ubi caritas et amor deus ibi est semper nobiscum omnibus diebus vitae nostrae», and we sang it all night long."
+    row, _, _, cls, _, good = langid.tell(s, pa.array([t, "x" * 100_000]))
+    assert {langid.LANGS[c] for c in cls[good & (row == 0)]} == {"en"}
+
+
 def test_labels(spark):
     cases = {"en": ["en"], "EN": ["en"], "en_US": ["en"], "kha-IN": ["kha"], "Khasi": ["kha"], "both": ["en", "kha"], "en/fr": ["en", "fr"], "unknown": [], "??": [], " ": [], None: None}
     got = spark.createDataFrame([(k,) for k in cases], "l string").select("l", Q._label_languages(F.col("l")).alias("x")).collect()
