@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quire.plans import canonical_values, formats, ingest, passages, quality, records, search, splitting
+from quire.plans import formats, ingest, passages, quality, records, search
 
-MODULES = (search, passages, records, ingest, formats, quality, canonical_values, splitting)
+MODULES = (search, passages, records, ingest, formats, quality)
 
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in MODULES for k, v in m.SQL.items()}

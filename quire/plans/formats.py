@@ -31,7 +31,7 @@ C.statement("allowed_ids", "SELECT DISTINCT e.exchange_id, array_join(filter(spl
 @C.plan()
 def sanitised_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bodies with only harmless markup left."""
-    p = once(load(spark, sf_dir, "cms_publications"), "id", "ingested_at")
+    p = once(load(spark, sf_dir, "cms_publications"), "ingested_at", "id", "body_en")
     return p.where("body_en is not null").select("id", sanitised(F.col("body_en")).alias("body"))
 
 

@@ -18,7 +18,7 @@ C = Catalogue()
 
 
 def publications(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return once(load(spark, sf_dir, "cms_publications"), "id", "ingested_at")
+    return once(load(spark, sf_dir, "cms_publications"), "ingested_at")
 
 
 PUB = "pub AS (SELECT DISTINCT ON (id) * FROM cms_publications)"
@@ -65,7 +65,7 @@ def section_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT source_id, section_index, block_index, carried FROM f WHERE kind = 'paragraph'""")
 def carry_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The heading carried forward over the blocks of a source."""
-    b = once(load(spark, sf_dir, "text_blocks"), "block_id", "loaded_at")
+    b = once(load(spark, sf_dir, "text_blocks"), "loaded_at")
     w = Window.partitionBy("source_id").orderBy("section_index", "block_index").rowsBetween(Window.unboundedPreceding, 0)
     return b.withColumn("carried", F.last(F.when(F.col("kind") == "heading", F.col("text")), ignorenulls=True).over(w)).where("kind = 'paragraph'").select("source_id", "section_index", "block_index", "carried")
 
@@ -73,7 +73,7 @@ def carry_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
 @C.plan("SELECT source_id, section_index, CAST(sum(CASE WHEN text IS NULL OR trim(text) = '' THEN 0 ELSE len(regexp_split_to_array(trim(text), '\\s+')) END) AS BIGINT) AS n_words FROM (SELECT DISTINCT block_id, source_id, section_index, text FROM text_blocks WHERE kind = 'paragraph') GROUP BY GROUPING SETS ((source_id, section_index), (source_id))")
 def section_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words by section and source."""
-    b = once(load(spark, sf_dir, "text_blocks").where("kind = 'paragraph'"), "block_id", "loaded_at")
+    b = once(load(spark, sf_dir, "text_blocks").where("kind = 'paragraph'"), "loaded_at")
     n = F.when(F.coalesce(F.trim("text"), F.lit("")) == "", 0).otherwise(F.size(F.split(F.trim("text"), r"\s+")))
     return b.groupingSets([["source_id", "section_index"], ["source_id"]], "source_id", "section_index").agg(F.sum(n).alias("n_words"))
 

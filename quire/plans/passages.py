@@ -19,7 +19,7 @@ TOK = "tok AS (SELECT DISTINCT id, witness, book_id, chapter, verse, position, s
 
 
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return once(load(spark, sf_dir, "grc_tokens"), "id", "loaded_at").drop("loaded_at")
+    return once(load(spark, sf_dir, "grc_tokens"), "loaded_at")
 
 
 _REFS = ["Luke 2:3", "luke 2", "1 John 3:4-9", "John 3:4", "1  JOHN  2 : 5 – 7", "Luke", "Luke x", "Nowhere 3:4", "Luke 0:1", "Luke 3:9-4", "Luke 3:1-102", "Luke 3:1-101", "2 Peter. 1:5", "", "Acts 5:6 7"]

@@ -35,7 +35,7 @@ C.statement("confidence_rollup", "SELECT coalesce(source, 'all') AS source, coal
     ORDER BY pinned DESC, published_at DESC NULLS LAST, scheduled_at DESC NULLS LAST, created_at DESC NULLS LAST, id DESC LIMIT 50 OFFSET 5""")
 def visible_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page of what is visible at a given time, with fallback titles and dates."""
-    p = once(load(spark, sf_dir, "cms_publications"), "id", "ingested_at")
+    p = once(load(spark, sf_dir, "cms_publications"), "ingested_at", "id", "slug", "status", "title_en", "title_kha", "pinned", "created_at", "published_at", "scheduled_at")
     seen = p.where((F.col("status") == "published") | (F.col("status") == "scheduled") & (F.col("scheduled_at") <= F.lit("2024-10-01 00:00:00").cast("timestamp")))
     d = seen.orderBy(F.col("pinned").desc(), F.desc_nulls_last("published_at"), F.desc_nulls_last("scheduled_at"), F.desc_nulls_last("created_at"), F.col("id").desc()).offset(5).limit(50)
     title = or_default(F.col("title_kha"), or_default(F.col("title_en"), F.col("slug")))

@@ -82,7 +82,7 @@ def overlap_score(query: Column, item_text: Column, tags: Column, bonus: int) ->
 
 
 def _retrieve(spark: SparkSession, sf_dir: str, bonus: int, k: int) -> DataFrame:
-    q = once(load(spark, sf_dir, "chat_exchanges").select("exchange_id", "message", "ingested_at"), "exchange_id", "ingested_at").where("message is not null")
+    q = once(load(spark, sf_dir, "chat_exchanges"), "ingested_at", "exchange_id", "message").where("message is not null")
     items = spark.createDataFrame(_ITEMS, "item_id int, title string, tags string").withColumn("tags", F.split("tags", ","))
     # the items are a small fixed dimension: every query row meets them in a broadcast join, then keeps its k best
     s = q.join(F.broadcast(items), F.lit(True)).withColumn("score", overlap_score(F.col("message"), F.col("title"), F.col("tags"), bonus).cast("long")).where("score > 0")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -28,10 +29,14 @@ def build(app: str = "quire", master: str | None = None, cpus: int = 8) -> Spark
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for cut lineages: ``spark.checkpoint.dir`` where the cluster sets it.
 
-    Only where it is unset, as in local tests, a folder of our own is used.
+    Only where it is unset in a session of one machine, as in tests, a folder of our own is used. On a cluster its
+    executors could not see such a folder, so there the setting must be given.
     """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(?:\[.*\])?", master):
+            raise RuntimeError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
         path = tempfile.mkdtemp(prefix="quire-checkpoint-")
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(path)
@@ -41,9 +46,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def materialise(df: DataFrame) -> DataFrame:
     """``df`` written once as a table in the shared checkpoint folder and read back: cuts its lineage.
 
-    The table survives the loss of any executor, unlike a cached or locally checkpointed one.
+    The table survives the loss of any executor, unlike a cached or locally checkpointed one. It is deleted when the
+    session's JVM ends.
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/quire-{uuid.uuid4().hex}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

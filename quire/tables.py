@@ -11,15 +11,29 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def once(df: DataFrame, key: str, arrival: str) -> DataFrame:
-    """One row per ``key``: the first delivery, ties broken by the row's content.
+def once(df: DataFrame, arrival: str, *columns: str) -> DataFrame:
+    """Each record once, without its arrival; of ``columns`` only, where given.
 
-    Deliveries of a record repeat its values, so only the arrival column can differ. The rows are
-    reduced by a partial aggregate before the shuffle; no window, no sort of the table.
+    Deliveries of a record repeat its id and values, so only the arrival can differ, and the distinct rows of the rest
+    are the records: a hash aggregate with a partial step before the shuffle, no sort and no window. Narrow ``columns``
+    keep the shuffle narrow; they must hold the id where records may agree in all else.
     """
-    rest = [c for c in df.columns if c != key]
-    order = F.struct(arrival, *[c for c in rest if c != arrival])
-    return df.groupBy(key).agg(F.min(order).alias("_r")).select(*[key if c == key else F.col(f"_r.{c}").alias(c) for c in df.columns])
+    return (df.select(*columns) if columns else df.drop(arrival)).distinct()
+
+
+def lookup(df: DataFrame, table: DataFrame, keys: list[str], how: str = "left", most_rows: int = 200_000, most_bytes: int = 32 << 20, salts: int = 32) -> DataFrame:
+    """``df`` joined to ``table`` (one row per key) on keys of which one may hold a large part of ``df``.
+
+    ``table`` is broadcast if its rows and the bytes of its strings are few (both counted); else both sides are salted:
+    the rows of ``df`` by their own hash, and each row of ``table`` once for every salt. ``table`` is read twice, so it
+    should be a written table.
+    """
+    strings = [F.coalesce(F.octet_length(f.name), F.lit(0)) for f in table.schema if f.dataType.typeName() == "string"]
+    n, size = table.agg(F.count("*"), F.sum(sum(strings, F.lit(0)))).first()
+    if n <= most_rows and (size or 0) <= most_bytes:
+        return df.join(F.broadcast(table), keys, how)
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(salts)).cast("int"))
+    return salted.join(table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), [*keys, "_salt"], how).drop("_salt")
 
 
 def spread(scan: DataFrame) -> DataFrame:
