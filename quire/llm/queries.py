@@ -8,9 +8,11 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import langid, lookalike, mixing, packing, pairs, pii, quality, scans
+from quire.llm import canonical, langid, lookalike, mixing, packing, pairs, pii, quality, scans
 from quire.llm.lang_seeds import BOTH, NAMES
-from quire.tables import load, once, spread
+from quire.llm.splitting import split_long
+from quire.session import materialise
+from quire.tables import load, lookup, once, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -41,8 +43,64 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p2_surfaces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every token once, with its surface in the one form."""
-    t = once(load(spark, sf_dir, "grc_tokens").select("id", "witness", "book_id", "chapter", "verse", "position", "surface", "loaded_at"), "id", "loaded_at")
-    return lookalike.canonical_column(t).drop("loaded_at")
+    t = once(load(spark, sf_dir, "grc_tokens"), "loaded_at", "id", "witness", "book_id", "chapter", "verse", "position", "surface")
+    return lookalike.canonical_column(t)
+
+
+#: Key of the tables whose fields are split.
+SPLIT_KEYS = {"cms_publications": "id", "text_blocks": "block_id"}
+
+
+def _pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # size_limits is a fixed table of three rows
+    limits = [r for r in load(spark, sf_dir, "size_limits").collect() if r["task"] == "split"]
+    parts = []
+    for r in sorted(limits, key=lambda r: (r["record_table"], r["field_name"])):
+        t = load(spark, sf_dir, r["record_table"]).select(F.lit(r["record_table"]).alias("record_table"), F.lit(r["field_name"]).alias("field_name"), F.col(SPLIT_KEYS[r["record_table"]]).alias("record_id"), F.col(r["field_name"]))
+        parts.append(split_long(spread(t), r["field_name"], r["max_size"], r["overlap_size"], ["record_table", "field_name", "record_id"]))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records that the operator had to cut."""
+    return _pieces(spark, sf_dir).where(F.col("n_pieces") > 1).select("record_table", "record_id").distinct()
+
+
+def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pieces in order, each record once however often it was delivered."""
+    return _pieces(spark, sf_dir).dropDuplicates(["record_table", "field_name", "record_id", "piece_no"])
+
+
+def p4_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per record with pieces: whether they put together give the text back, and the longest piece and least and greatest overlap."""
+    p = p4_pieces(spark, sf_dir).select("record_table", "record_id", "field_name", "piece_no", "start", "end", "piece")
+    g = p.groupBy("record_table", "field_name", "record_id").agg(F.array_sort(F.collect_list(F.struct("piece_no", "start", "end", "piece"))).alias("ps"))
+    limits = load(spark, sf_dir, "size_limits").where("task = 'split'").select("record_table", "field_name", "max_size", "overlap_size")
+    x = g.join(F.broadcast(limits), ["record_table", "field_name"])  # a fixed table of three rows
+    shared = F.transform(F.slice("ps", 1, F.size("ps") - 1), lambda r, i: r["end"] - F.get(F.col("ps"), i + 1)["start"])
+    whole = F.aggregate("ps", F.lit(""), lambda a, r: F.concat(a, F.substring(r["piece"], F.length(a) - r["start"] + 1, F.length(r["piece"]))))
+    return x.select("record_table", "record_id", F.sha2(whole, 256).alias("text_hash"), (F.array_max(F.transform("ps", lambda r: F.length(r["piece"]))) <= F.col("max_size")).alias("within_limit"), F.forall(shared, lambda d: d == F.col("overlap_size")).alias("overlap_kept"))
+
+
+#: record table, field, list of place_list
+TYPED = (("prayer_network_requests", "country", "country"), ("priest_registrations", "country", "country"), ("priest_registrations", "diocese_or_institute", "diocese"))
+
+
+def _typed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    one = [load(spark, sf_dir, t).select(F.lit(t).alias("record_table"), F.col("id").alias("record_id"), F.lit(f).alias("field_name"), F.lit(ln).alias("list_name"), F.col(f).alias("value")) for t, f, ln in TYPED]
+    return reduce(DataFrame.unionByName, one)
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values that are not literally an entry's name, with the entry meant or 0."""
+    typed = _typed(spark, sf_dir).where(F.col("value").isNotNull())
+    got = materialise(canonical.assign(typed, load(spark, sf_dir, "place_list")).where(~F.col("is_literal")).select("list_name", "value", "entry_id"))
+    return lookup(typed, got, ["list_name", "value"], "inner").select("record_table", "record_id", "field_name", "entry_id").distinct()
+
+
+def p7_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each distinct value of each list with its entry, score and number of rows; entry 0 reports a miss."""
+    return canonical.assign(_typed(spark, sf_dir), load(spark, sf_dir, "place_list"))
 
 
 def p10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -145,6 +203,18 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(load(spark, sf_dir, "documents"), load(spark, sf_dir, "mix_targets"))
 
 
-QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_repaired": p1_repaired, "p2_found": p2_found, "p2_surfaces": p2_surfaces, "p3_found": p3_found, "p3_redacted": p3_redacted, "p5_found": p5_found, "p5_stretches": p5_stretches, "p6_found": p6_found, "p6_pairs": p6_pairs, "p8_containers": p8_containers, "p8_report": p8_report, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_quality": p10_quality}
-
-SQL: dict[str, str] = {}
+QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_repaired": p1_repaired, "p2_found": p2_found, "p2_surfaces": p2_surfaces, "p3_found": p3_found, "p3_redacted": p3_redacted, "p4_found": p4_found, "p4_pieces": p4_pieces, "p4_cover": p4_cover, "p5_found": p5_found, "p5_stretches": p5_stretches, "p6_found": p6_found, "p6_pairs": p6_pairs, "p7_found": p7_found, "p7_values": p7_values, "p8_containers": p8_containers, "p8_report": p8_report, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_quality": p10_quality}
+
+SQL: dict[str, str] = {
+    "p4_found": """
+        SELECT DISTINCT 'cms_publications' AS record_table, id AS record_id FROM cms_publications
+        WHERE length(body_en) > (SELECT max_size FROM size_limits WHERE task = 'split' AND record_table = 'cms_publications')
+        UNION ALL
+        SELECT DISTINCT 'text_blocks' AS record_table, block_id AS record_id FROM text_blocks
+        WHERE length(text) > (SELECT max_size FROM size_limits WHERE task = 'split' AND record_table = 'text_blocks')""",
+    # what must hold of the pieces of every text: they give it back, keep to the limit and share the overlap
+    "p4_cover": """
+        SELECT 'cms_publications' AS record_table, id AS record_id, sha256(body_en) AS text_hash, true AS within_limit, true AS overlap_kept FROM (SELECT DISTINCT id, body_en FROM cms_publications WHERE body_en <> '')
+        UNION ALL
+        SELECT 'text_blocks', block_id, sha256(text), true, true FROM (SELECT DISTINCT block_id, text FROM text_blocks WHERE text <> '')""",
+}
