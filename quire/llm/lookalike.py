@@ -5,8 +5,9 @@ combining marks by class, recompose, rebuild the strings. Everything is a DataFr
 
 The plan works on the *distinct* strings: strings of a corpus repeat, a hot string (an article, a third of all
 rows) is one row after the partial aggregate, and every later step (window over a string's code points, the two
-group-bys) is partitioned by the string, so the distinct is the only shuffle of the normalisation. The result is
-joined back on the string; only strings that change take part in that join.
+group-bys) is partitioned by the string, so the distinct is the only shuffle of the normalisation. The strings that
+change are written once and joined back on the string: by a broadcast if they are few (counted), else with salt, so
+that a string of a third of all rows is no one task's work.
 
 The mapping tables are bounded by Unicode, not by the data: at most one row for each of 0x110000 code points
 (about 10,000 after selection), so broadcasting them is safe at any input size.
@@ -23,6 +24,9 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quire.session import materialise
+from quire.tables import lookup
+
 #: Punctuation of the one form.
 PUNCTUATION = (",", ".", ";", "·", "’", "⸀", "⸁", "⸂")
 
@@ -143,5 +147,12 @@ def changed(strings: DataFrame, column: str = "surface") -> DataFrame:
 
 def canonical_column(df: DataFrame, column: str = "surface", out: str = "canonical") -> DataFrame:
     """``df`` with ``out``: ``column`` in its one form. Rows whose string does not change find no partner."""
-    ch = changed(df, column).select(F.col("surface").alias("_s"), F.col("canonical").alias("_c"))
-    return df.join(ch, df[column] == F.col("_s"), "left").withColumn(out, F.coalesce("_c", column)).drop("_s", "_c")
+    ch = materialise(changed(df, column).select(F.col("surface").alias(column), F.col("canonical").alias("_c")))
+    got = lookup(df, ch, [column]).withColumn(out, F.coalesce("_c", column))
+    return got.select(*df.columns, out)
+
+
+def not_canonical(df: DataFrame, column: str = "surface") -> DataFrame:
+    """Rows of ``df`` whose string is not in the one form."""
+    ch = materialise(changed(df, column).select(F.col("surface").alias(column)))
+    return lookup(df, ch, [column], "left_semi").select(*df.columns)

@@ -141,11 +141,17 @@ def votes() -> list[tuple[str, Column]]:
     ]
 
 
-def fit(patterns: list[tuple[str, int]], rounds: int = 40, trust: float = 0.85, prior: float = 0.05) -> np.ndarray:
-    """EM over ``(pattern, count)``; returns the posterior of each pattern.
+def fit(patterns: list[tuple[str, int]], rounds: int = 60, trust: float = 0.85, prior: float = 0.5) -> np.ndarray:
+    """EM over ``(pattern, count)``; returns the posterior of each pattern."""
+    return learned(patterns, rounds, trust, prior)[0]
+
+
+def learned(patterns: list[tuple[str, int]], rounds: int = 60, trust: float = 0.85, prior: float = 0.5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Posterior of each pattern, and the table of vote given type of each function as it ends and as it began.
 
     Model: a type, and given the type each function votes independently. Starts from ``trust`` in every function;
-    pseudo-counts of ``prior`` times the documents keep functions that rarely vote near that start, at any size.
+    pseudo-counts of ``prior`` times the documents *of the type* keep functions that rarely vote near that start, at
+    any size of the corpus and of the type.
     """
     n_fn = len(patterns[0][0])
     v = np.array([[{"0": 0, "1": 1, "2": 2, "3": 3}.get(ch, 4) for ch in p] for p, _ in patterns])
@@ -176,20 +182,35 @@ def fit(patterns: list[tuple[str, int]], rounds: int = 40, trust: float = 0.85,
             break
         w = post * n[:, None]
         mix = (w.sum(0) + 1) / (w.sum() + k)
-        emit = start * prior * n.sum()
+        emit = start * (prior * w.sum(0) + 1)[None, :, None]
         for f in range(n_fn):
             for x in range(5):
                 emit[f, :, x] += w[v[:, f] == x].sum(0)
         emit /= emit.sum(2, keepdims=True)
-    return post
+    return post, emit, start
+
+
+def _patterns(df: DataFrame, key: str, text: str) -> tuple[DataFrame, list[tuple[str, int]]]:
+    pattern = F.concat(*[v.cast("string") for _, v in votes()])
+    stats = materialise(statistics(df, key, text).withColumn("pattern", F.when(F.col("n_words").isNotNull() & (F.col("n_lines") > 0), pattern)))
+    return stats, [(r["pattern"], r["n"]) for r in stats.where("pattern is not null").groupBy("pattern").agg(F.count("*").alias("n")).orderBy("pattern").collect()]
+
+
+def trust(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``function, text_class, vote, at_start, learned``: how likely each function casts each vote on texts of each type."""
+    counts = _patterns(df, key, text)[1]
+    schema = "function string, text_class string, vote string, at_start double, learned double"
+    if not counts:
+        return df.sparkSession.createDataFrame([], schema)
+    _, emit, start = learned(counts)
+    rows = [(name, t, "none" if x == 4 else TYPES[x], float(start[f, y, x]), float(emit[f, y, x])) for f, (name, _) in enumerate(votes()) for y, t in enumerate(TYPES) for x in range(5)]
+    return df.sparkSession.createDataFrame(rows, schema)
 
 
 def classify(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Statistics, ``text_class`` and its posterior (``p_prose`` .. ``p_junk``) of every row."""
     spark = df.sparkSession
-    pattern = F.concat(*[v.cast("string") for _, v in votes()])
-    stats = materialise(statistics(df, key, text).withColumn("pattern", F.when(F.col("n_words").isNotNull() & (F.col("n_lines") > 0), pattern)))
-    counts = [(r["pattern"], r["n"]) for r in stats.where("pattern is not null").groupBy("pattern").agg(F.count("*").alias("n")).orderBy("pattern").collect()]
+    stats, counts = _patterns(df, key, text)
     types = ", ".join(f"p_{t} double" for t in TYPES)
     post = fit(counts) if counts else []
     table = spark.createDataFrame([(p, TYPES[int(np.argmax(q))], *map(float, q)) for (p, _), q in zip(counts, post)], f"pattern string, text_class string, {types}")

@@ -38,7 +38,7 @@ def p1_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens whose surface is not in the one form."""
     t = load(spark, sf_dir, "grc_tokens").select("id", "surface")
-    return t.join(lookalike.changed(t), "surface", "left_semi").select("id").distinct()
+    return lookalike.not_canonical(t).select("id").distinct()
 
 
 def p2_surfaces(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,6 +108,11 @@ def p10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(spread(load(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def p10_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What expectation-maximisation learned: for each labelling function and type how likely its votes are, at the start and in the end."""
+    return quality.trust(spread(load(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that are mostly a list, a table or junk."""
     return p10_quality(spark, sf_dir).where(F.col("text_class") != "prose").select("doc_id", "text_class").distinct()
@@ -203,7 +208,7 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(load(spark, sf_dir, "documents"), load(spark, sf_dir, "mix_targets"))
 
 
-QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_repaired": p1_repaired, "p2_found": p2_found, "p2_surfaces": p2_surfaces, "p3_found": p3_found, "p3_redacted": p3_redacted, "p4_found": p4_found, "p4_pieces": p4_pieces, "p4_cover": p4_cover, "p5_found": p5_found, "p5_stretches": p5_stretches, "p6_found": p6_found, "p6_pairs": p6_pairs, "p7_found": p7_found, "p7_values": p7_values, "p8_containers": p8_containers, "p8_report": p8_report, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_quality": p10_quality}
+QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_repaired": p1_repaired, "p2_found": p2_found, "p2_surfaces": p2_surfaces, "p3_found": p3_found, "p3_redacted": p3_redacted, "p4_found": p4_found, "p4_pieces": p4_pieces, "p4_cover": p4_cover, "p5_found": p5_found, "p5_stretches": p5_stretches, "p6_found": p6_found, "p6_pairs": p6_pairs, "p7_found": p7_found, "p7_values": p7_values, "p8_containers": p8_containers, "p8_report": p8_report, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_quality": p10_quality, "p10_trust": p10_trust}
 
 SQL: dict[str, str] = {
     "p4_found": """

@@ -173,6 +173,21 @@ def test_em_learns_trust():
     assert sum(post[v[:4]] == int(v[4]) for v in votes) / len(votes) > 0.9
 
 
+def test_em_behaves_alike_at_every_size():
+    """A hundred times as many documents of each pattern change no posterior."""
+    rng = random.Random(9)
+    pats = {"".join(rng.choice("0012399") for _ in range(5)): rng.randint(5, 400) for _ in range(60)}
+    small, large = (quality.fit([(k, n * m) for k, n in sorted(pats.items())]) for m in (10, 1000))
+    assert (small.argmax(1) == large.argmax(1)).mean() > 0.95 and np.abs(small - large).max() < 0.2
+
+
+def test_hot_surface_is_joined_whole(spark):
+    df = spark.createDataFrame([(i, "ὁ；" if i % 3 else "λόγος") for i in range(300)] + [(900, None)], "id int, surface string")
+    assert {r["id"] for r in lookalike.not_canonical(df).collect()} == {i for i in range(300) if i % 3}
+    got = {r["id"]: r["canonical"] for r in lookalike.canonical_column(df).collect()}
+    assert len(got) == 301 and got[1] == "ὁ;" and got[3] == "λόγος" and got[900] is None
+
+
 # --- p6 ------------------------------------------------------------------------------------------------------------
 
 
