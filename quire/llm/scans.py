@@ -25,10 +25,13 @@ import re
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.session import materialise
+
 TYPES = ("hyphenation", "characters", "header", "page_number")
 MIN_COUNT = 4
 
@@ -72,10 +75,9 @@ def word_counts(blocks: DataFrame, text: str = "text") -> DataFrame:
 
 def lexicon(blocks: DataFrame, text: str = "text") -> dict[str, float]:
     """Log counts of the words that make up at least MIN_SHARE of the corpus (so at most 1 / MIN_SHARE entries)."""
-    counts = word_counts(blocks, text).persist()
+    counts = materialise(word_counts(blocks, text))  # read twice: for the total, and for the words
     total = counts.agg(F.sum("n")).first()[0] or 0
     kept = counts.where((F.col("n") >= MIN_SHARE * total) & (F.col("n") >= MIN_COUNT)).toPandas()
-    counts.unpersist()
     return {w: math.log(n) for w, n in zip(kept["word"].tolist(), kept["n"].tolist())}
 
 
@@ -183,7 +185,10 @@ class Decoder:
         self.by_first: dict[str, list[tuple[str, str, float]]] = {}
         for r in self.rules:
             self.by_first.setdefault(r[0][0], []).append(r)
+        # the least that a joined word of so many characters can cost, whatever is misread in it
+        self.joined = np.array([max(self.best_from[max(0, min(n, 41) - 2 * e)] - e * SIGN_COST for e in range(EDITS + 1)) for n in range(42)])
         self.known: dict[str, tuple[float, str, bool]] = {}
+        self.forget()
         self.paths: dict[tuple[str, ...], list[tuple]] = {}
 
     def word(self, w: str) -> tuple[float, str, bool]:
@@ -271,33 +276,72 @@ class Decoder:
             score = UNKNOWN - UNKNOWN_LETTER * max(0, len(u) - 5)
         return (score, reading, bad, kind == "hyphenation")
 
-    def doubtful(self, units: list[str], scores: list[float]) -> list[tuple[int, int]]:
-        """Stretches of ``units`` in which words run together or torn apart might beat the units read one by one.
-
-        The bounds are admissible: outside the stretches no such path can be the best one.
+    def forget(self) -> None:
+        """Drops the tokens read so far; only between texts, whose tokens are held by number."""
+        self.ids: dict[str, int] = {}
+        self.parts: list[tuple[str, str, str, str]] = []  # marks before, the word, marks after, its key
+        self.shown: list[str] = []  # the token repaired by itself
+        self.numbers = np.zeros((1024, 2))  # score, characters
+        self.flags = np.zeros((1024, 7), bool)  # plain, marks before, after, first letter a capital, all capitals, misread, hyphen taken out
+
+    def number(self, tok: str) -> int:
+        """The number of a token, or of two about a hyphen at a line end (parted by a line end), read by itself once."""
+        k = self.ids.get(tok)
+        if k is None:
+            k = self.ids[tok] = len(self.parts)
+            if k >= len(self.numbers):
+                self.numbers = np.concatenate([self.numbers, np.zeros_like(self.numbers)])
+                self.flags = np.concatenate([self.flags, np.zeros_like(self.flags)])
+            w, _, nxt = tok.partition("\n")
+            if nxt:
+                pre, a, _ = _core(w[:-1].rstrip(HYPHENS))
+                _, b, post = _core(nxt)
+                mark = _CUTS[0] if w[-1] in "-‐‑" else _CUTS[1]
+                core, low = a + mark + b, a.lower() + mark + b.lower()
+            else:
+                pre, core, post = _core(w)
+                low = core.lower()
+            score, reading, bad, cut = self.unit(low) if low else (0.0, low, False, False)
+            shown = core
+            if bad or nxt:
+                shown = _case(core, reading) if bad or core.lower() != reading else core
+            self.parts.append((pre, core, post, low))
+            self.shown.append(pre + shown + post)
+            plain = bool(low) and len(low) == len(core) and len(low) <= 40 and any(x.isalpha() for x in low)
+            self.numbers[k] = score, len(low)
+            self.flags[k] = plain, bool(pre), bool(post), bool(core) and core[0].isupper(), bool(core) and core.isupper(), bad, cut
+        return k
+
+    def doubtful(self, scores: np.ndarray, chars: np.ndarray, run: np.ndarray) -> list[tuple[int, int]]:
+        """Stretches of units in which words run together or torn apart might beat the units read one by one.
+
+        ``run``: the number of the run of plain units that a unit is in, -1 for none; no stretch leaves its run. The
+        bounds are admissible: outside the stretches no such path can be the best one.
         """
-        n = len(units)
+        n = len(scores)
+        inside = run >= 0
+        c, size = np.concatenate([[0.0], np.cumsum(scores)]), np.concatenate([[0], np.cumsum(chars)]).astype(np.int64)
+        reach = np.where(inside & (2 * self.top - SPLIT_COST > scores), 1, 0)  # how many units a stretch from here holds
+        alive = inside.copy()
+        for m in range(1, min(TORN, n)):
+            total, long = c[m + 1 :] - c[: -m - 1], size[m + 1 :] - size[: -m - 1]
+            ok = alive[: n - m] & (run[m:] == run[: n - m]) & (long <= 40)
+            if not ok.any():
+                break
+            joined = np.where(total < self.top - MERGE_COST * m, self.joined[np.minimum(long, 41)], -np.inf)
+            won = joined - MERGE_COST * m > total
+            if m == 1:
+                won |= 2 * self.top - MERGE_COST - SPLIT_COST > total
+            reach[: n - m][ok & won] = m + 1
+            alive = np.zeros(n, bool)
+            alive[: n - m] = ok & (won | (m < 2))
         out: list[tuple[int, int]] = []
-        for i in range(n):
-            j = i + 1 if 2 * self.top - SPLIT_COST > scores[i] else i
-            total, chars = scores[i], len(units[i])
-            m = 1
-            while i + m < n and m < TORN:
-                total += scores[i + m]
-                chars += len(units[i + m])
-                if chars > 40:
-                    break
-                joined = max(self.best_from[max(0, chars - 2 * e)] - e * SIGN_COST for e in range(EDITS + 1)) if total < self.top - MERGE_COST * m else -math.inf
-                if joined - MERGE_COST * m > total or m == 1 and 2 * self.top - MERGE_COST - SPLIT_COST > total:
-                    j = i + m + 1
-                elif m >= 2:
-                    break
-                m += 1
-            if j > i:
-                if out and i < out[-1][1]:
-                    out[-1] = (out[-1][0], max(j, out[-1][1]))
-                else:
-                    out.append((i, j))
+        for i in np.flatnonzero(reach).tolist():
+            j = i + int(reach[i])
+            if out and i < out[-1][1]:
+                out[-1] = (out[-1][0], max(j, out[-1][1]))
+            else:
+                out.append((i, j))
         return out
 
     def path(self, units: list[str]) -> list[tuple[int, int, str, bool, bool]]:
@@ -400,98 +444,85 @@ def decode(text: str, dec: Decoder) -> tuple[str, set[str]]:
         if y in ("P", "HP"):
             noise.add("page_number")
     body = [lines[i] for i, y in enumerate(labels) if y == "B"]
-    gaps = _paragraphs(lines, labels)
+    gaps = _paragraphs(lines, labels) if len(lines) > 1 else [False] * len(body)
     words: list[str] = []
-    ends: list[bool] = []  # after which word a line ends with a hyphen
+    ends: set[int] = set()  # words after which a line ends with a hyphen
     breaks: set[int] = set()
     for k, line in enumerate(body):
-        for tok in _TOKEN.findall(line):
-            for part in _DASH.split(tok):
-                if part:
-                    words.append(part)
-                    ends.append(False)
+        toks = line.split()
+        if "—" in line or "–" in line:
+            toks = [part for tok in toks for part in _DASH.split(tok) if part]
+        words += toks
         if words and words[-1][-1] in HYPHENS and len(words[-1]) > 1 and k + 1 < len(body) and words[-1][-2].isalnum() | (words[-1][-2] in SIGNS):
-            ends[-1] = True
+            ends.add(len(words) - 1)
         if gaps[k]:
             breaks.add(len(words))
-    # the stream: units (a token, or two about a hyphen at a line end) as first word, pre, core, post, key
-    units: list[tuple[int, str, str, str, str]] = []
-    i = 0
-    while i < len(words):
-        w = words[i]
-        if ends[i] and i + 1 < len(words):
-            pre, a, _ = _core(w[:-1].rstrip(HYPHENS))
-            _, b, post = _core(words[i + 1])
-            if a and b:
-                mark = _CUTS[0] if w[-1] in "-‐‑" else _CUTS[1]
-                units.append((i, pre, a + mark + b, post, a.lower() + mark + b.lower()))
-                i += 2
-                continue
-        pre, c, post = _core(w)
-        units.append((i, pre, c, post, c.lower()))
-        i += 1
+    # the stream: units, each a token or two about a hyphen at a line end
+    if len(dec.ids) > 300_000:
+        dec.forget()
+    if ends:
+        units, at, i = [], [], 0
+        while i < len(words):
+            two = i in ends and i + 1 < len(words) and bool(_core(words[i][:-1].rstrip(HYPHENS))[1]) and bool(_core(words[i + 1])[1])
+            units.append(dec.number(f"{words[i]}\n{words[i + 1]}" if two else words[i]))
+            at.append(i)
+            i += 1 + two
+    else:
+        units, at = [dec.number(w) for w in words], range(len(words))
+    if not units:
+        return "", noise
+    ids = np.array(units, np.int64)
+    flags = dec.flags[ids]
+    plain, pre, post, capital, capitals, bad, cut = flags.T
+    # inside a torn word there is neither a mark nor a capital after a small letter, and no paragraph ends
+    on = plain[1:] & plain[:-1] & ~post[:-1] & ~pre[1:] & (~capital[1:] | capitals[:-1] & capitals[1:])
+    if breaks:
+        on &= ~np.isin(np.asarray(at)[1:], sorted(breaks))
+    run = np.where(plain, np.cumsum(np.concatenate([[True], ~on])), -1)
+    scores, chars = dec.numbers[ids].T
     out: list[str] = []
     where: list[int] = []
-
-    def emit(at: int, pre: str, like: str, post: str, reading: str, bad: bool, cut: bool) -> None:
-        if cut:
-            noise.add("hyphenation")
-        if bad:
-            noise.add("characters")
-        out.append(pre + (_case(like, reading) if bad or like.lower() != reading else like) + post)
-        where.append(at)
-
-    def alone(u: tuple[int, str, str, str, str]) -> None:
-        at, pre, c, post, low = u
-        _, reading, bad, cut = dec.unit(low) if low else (0.0, low, False, False)
-        if bad or any(x in low for x in _CUTS):
-            emit(at, pre, c, post, reading, bad, cut)
-        else:
-            out.append(pre + c + post)
-            where.append(at)
-
-    def joinable(u: tuple[int, str, str, str, str], v: tuple[int, str, str, str, str]) -> bool:
-        # inside a torn word there is neither a mark nor a capital after a small letter, and no paragraph ends
-        return not u[3] and not v[1] and v[0] not in breaks and (not v[2][0].isupper() or u[2].isupper() and v[2].isupper())
-
-    plain = [bool(u[4]) and len(u[4]) == len(u[2]) and len(u[4]) <= 40 and any(x.isalpha() for x in u[4]) for u in units]
-    k = 0
-    while k < len(units):
-        m = k + 1
-        if plain[k]:
-            while m < len(units) and plain[m] and joinable(units[m - 1], units[m]):
-                m += 1
-            keys = [u[4] for u in units[k:m]]
-            done = k
-            for x, y in dec.doubtful(keys, [dec.unit(u)[0] for u in keys]):
-                for u in units[done : k + x]:
-                    alone(u)
-                part = units[k + x : k + y]
-                done = k + y
-                stream, like = dec.path(keys[x:y]), " ".join(u[2] for u in part)
-                first = 0  # where the unit begins in which the last edge began
-                spans = []
-                for u in part:
-                    spans.append((first, first + len(u[2]), u))
-                    first += len(u[2]) + 1
-                for p, q, reading, bad, cut in stream:
-                    a, u = next((a, u) for a, e, u in spans if a <= p < e)
-                    e, v = next((e, v) for _, e, v in spans if q <= e)
-                    if (a, e) == (p, q) and u is v:
-                        alone(u)
-                    else:
-                        emit(u[0], u[1] if a == p else "", re.sub(f"[{_GAPS}]", "", like[p:q]), v[3] if e == q else "", reading, bad, cut)
-            for u in units[done:m]:
-                alone(u)
-        else:
-            alone(units[k])
-        k = m
+    alone = np.ones(len(ids), bool)
+    done = 0
+    for x, y in dec.doubtful(scores, chars, run):
+        out += [dec.shown[u] for u in units[done:x]]
+        where += at[done:x]
+        alone[x:y] = False
+        done = y
+        part = [dec.parts[u] for u in units[x:y]]
+        stream, like = dec.path([u[3] for u in part]), " ".join(u[1] for u in part)
+        first, spans = 0, []  # where each unit begins and ends in the stream
+        for k, u in enumerate(part):
+            spans.append((first, first + len(u[1]), x + k))
+            first += len(u[1]) + 1
+        for p, q, reading, misread, taken in stream:
+            a, k = next((a, k) for a, e, k in spans if a <= p < e)
+            e, v = next((e, k) for _, e, k in spans if q <= e)
+            where.append(at[k])
+            if (a, e) == (p, q) and k == v:
+                out.append(dec.shown[units[k]])
+                alone[k] = True
+                continue
+            if taken:
+                noise.add("hyphenation")
+            if misread:
+                noise.add("characters")
+            shown = re.sub(f"[{_GAPS}]", "", like[p:q])
+            out.append((dec.parts[units[k]][0] if a == p else "") + (_case(shown, reading) if misread or shown.lower() != reading else shown) + (dec.parts[units[v]][2] if e == q else ""))
+    out += [dec.shown[u] for u in units[done:]]
+    where += at[done:]
+    if (alone & bad).any():
+        noise.add("characters")
+    if (alone & cut).any():
+        noise.add("hyphenation")
+    if not breaks:
+        return " ".join(out), noise
     text_out: list[str] = []
-    for w, at in zip(out, where):
+    for w, here in zip(out, where):
         if text_out:
-            text_out.append("\n\n" if any(at >= x > prev for x in breaks) else " ")
+            text_out.append("\n\n" if any(here >= x > prev for x in breaks) else " ")
         text_out.append(w)
-        prev = at
+        prev = here
     return "".join(text_out), noise
 
 

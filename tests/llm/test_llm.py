@@ -319,7 +319,7 @@ def test_stream_against_enumeration():
             dropped = sum(c != gap for c in cuts[1:-1])
             if all(w in d.lex and (len(w) > 1 or w in "aio") for w in ws):
                 best = max(best, sum(d.lex[w] for w in ws) - scans.SPLIT_COST * dropped - scans.MERGE_COST * (gap not in cuts))
-        got, flags = 0.0, d.doubtful(units, [d.unit(u)[0] for u in units])
+        got, flags = 0.0, d.doubtful(np.array([d.unit(u)[0] for u in units]), np.array([len(u) for u in units]), np.zeros(len(units), int))
         path = d.path(units)
         words = [(p, q, w) for p, q, w, _, _ in path]
         starts = {0: len(units[0]), len(units[0]) + 1: len(s)}
@@ -361,6 +361,11 @@ def test_many_readings_are_searched():
     assert scans.Decoder(lex).word("lllimitabi1ities")[1:] == ("illimitabilities", True)
 
 
+def test_scan_without_body():
+    d = scans.Decoder(dict(LEX))
+    assert scans.decode("  12  \n\n  13  ", d) == ("", {"page_number"}) and scans.decode("\n \n", d) == ("", set()) and scans.decode("— — —", d)[1] == set()
+
+
 def test_lexicon_is_bounded(spark):
     df = spark.createDataFrame([("the road " * 50 + "rare",)] * 3 + [(None,)], "text string")
     assert set(scans.lexicon(df)) == {"the", "road"}
