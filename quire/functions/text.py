@@ -26,6 +26,42 @@ def strip_tags(c: Column) -> Column:
     return collapse(F.regexp_replace(c, r"<[^>]*>", " "))
 
 
+#: What the five XML entities and the space that does not break stand for.
+_ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
+
+
+def unescaped(c: Column) -> Column:
+    """Entities as the characters they stand for, the ampersand last."""
+    for a, b in _ENTITIES:
+        c = F.replace(c, F.lit(a), F.lit(b))
+    return c
+
+
+def markup_free(c: Column) -> Column:
+    """Entities resolved, tags out, double underlines and pilcrows as spaces, white space collapsed."""
+    return collapse(F.translate(F.replace(F.regexp_replace(unescaped(F.coalesce(c, F.lit(""))), "<[^>]*>", " "), F.lit("__"), F.lit(" ")), "¶", " "))
+
+
+def context_gloss(c: Column) -> Column:
+    """A gloss in context without brackets and pilcrows, slashes set apart."""
+    return collapse(F.regexp_replace(F.translate(F.coalesce(c, F.lit("")), "¶<>[]", ""), r"\s*/\s*", " / "))
+
+
+def first_strong(c: Column) -> Column:
+    """The first lexicon number of a field, or null."""
+    return F.nullif(F.regexp_extract(c, r"([GH]\d{4,5}[A-Z]?)", 1), F.lit(""))
+
+
+def all_strongs(c: Column) -> Column:
+    """All lexicon numbers of a field in order, each once."""
+    return F.array_distinct(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r"([GH]\d{4,5}[A-Z]?)")))
+
+
+def reference(book: Column, chapter: Column, first: Column, last: Column) -> Column:
+    """``Book 3``, ``Book 3:4`` or ``Book 3:4-6``."""
+    return F.when(first.isNull(), F.concat_ws(" ", book, chapter)).when(last.isNull() | (last == first), F.concat(book, F.lit(" "), chapter, F.lit(":"), first)).otherwise(F.concat(book, F.lit(" "), chapter, F.lit(":"), first, F.lit("-"), last))
+
+
 def summary(c: Column, n: int = 360) -> Column:
     """Plain text of at most ``n`` characters."""
     return F.left(strip_tags(F.coalesce(c, F.lit(""))), F.lit(n))
@@ -74,6 +110,11 @@ def page_path(c: Column) -> Column:
     return F.when(p.endswith("/"), F.concat(p, F.lit("index.html"))).otherwise(p)
 
 
+def feast_year(month: Column, day: Column, common: int = 2026, leap: int = 2028) -> Column:
+    """The year a yearly feast is first written for: a leap year for 29 February."""
+    return F.when((month == 2) & (day == 29), F.lit(leap)).otherwise(F.lit(common))
+
+
 def calendar_escape(c: Column) -> Column:
     """Text as calendar files write it: backslash, comma, semicolon and line end escaped."""
     s = F.regexp_replace(c, r"([\\,;])", r"\\$1")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quire.plans import formats, ingest, passages, quality, records, search
+from quire.plans import formats, ingest, passages, quality, reading, records, search
 
-MODULES = (search, passages, records, ingest, formats, quality)
+MODULES = (search, passages, records, ingest, formats, quality, reading)
 
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in MODULES for k, v in m.SQL.items()}

@@ -43,6 +43,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
+def forgotten(spark: SparkSession, stem: str) -> str:
+    """A path of its own that begins with ``stem`` and is deleted when the session's JVM ends."""
+    path = f"{stem}-{uuid.uuid4().hex}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """``df`` written once as a table in the shared checkpoint folder and read back: cuts its lineage.
 
@@ -50,8 +58,6 @@ def materialise(df: DataFrame) -> DataFrame:
     session's JVM ends.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/quire-{uuid.uuid4().hex}"
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    path = forgotten(spark, f"{checkpoint_dir(spark).rstrip('/')}/quire")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

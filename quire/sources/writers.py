@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.functions.text import calendar_escape
+from quire.functions.text import calendar_escape, feast_year
 
 
 def by_book(df: DataFrame, path: str, layer: str, format: str = "parquet") -> None:
@@ -30,10 +30,22 @@ def sitemap_entries(df: DataFrame, url: str, changed: str) -> DataFrame:
     return df.select(F.concat(F.lit("<url><loc>"), loc, F.lit("</loc><lastmod>"), F.date_format(changed, "yyyy-MM-dd"), F.lit("</lastmod></url>")).alias("line"))
 
 
-def calendar_events(df: DataFrame, uid: str, day: str, title: str) -> DataFrame:
-    """All-day calendar entries, yearly."""
-    d = F.date_format(day, "yyyyMMdd")
-    return df.select(F.concat_ws("\r\n", F.lit("BEGIN:VEVENT"), F.concat(F.lit("UID:"), F.col(uid).cast("string")), F.concat(F.lit("DTSTART;VALUE=DATE:"), d), F.lit("RRULE:FREQ=YEARLY"), F.concat(F.lit("SUMMARY:"), calendar_escape(F.col(title))), F.lit("END:VEVENT")).alias("entry"))
+#: Head and foot of a calendar file.
+CALENDAR_HEAD = "\r\n".join(("BEGIN:VCALENDAR", "VERSION:2.0", "PRODID:-//quire//calendar//EN", "CALSCALE:GREGORIAN", "METHOD:PUBLISH", ""))
+CALENDAR_FOOT = "END:VCALENDAR\r\n"
+
+
+def calendar_events(df: DataFrame, uid: str, day: str, title: str, description: str | None = None) -> DataFrame:
+    """All-day calendar entries, yearly from ``feast_year`` on, each up to the day after.
+
+    A calendar file is ``CALENDAR_HEAD``, the entries, one after another, and ``CALENDAR_FOOT``.
+    """
+    start = F.make_date(feast_year(F.month(day), F.dayofmonth(day)), F.month(day), F.dayofmonth(day))
+    write = lambda name, c: F.concat(F.lit(name), c)
+    parts = [F.lit("BEGIN:VEVENT"), write("UID:", F.col(uid).cast("string")), write("DTSTART;VALUE=DATE:", F.date_format(start, "yyyyMMdd")), write("DTEND;VALUE=DATE:", F.date_format(F.date_add(start, 1), "yyyyMMdd")), F.lit("RRULE:FREQ=YEARLY"), write("SUMMARY:", calendar_escape(F.col(title)))]
+    if description:
+        parts.append(write("DESCRIPTION:", calendar_escape(F.col(description))))
+    return df.select(F.concat_ws("\r\n", *parts, F.lit("END:VEVENT"), F.lit("")).alias("entry"))
 
 
 def as_json(df: DataFrame) -> DataFrame:

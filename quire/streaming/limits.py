@@ -7,7 +7,7 @@ the window of the current key: no key's events are ever collected, however many
 
 from __future__ import annotations
 
-from collections import OrderedDict, deque
+from collections import Counter, deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -15,6 +15,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from quire.session import materialise
+from quire.tables import lookup
+
 
 def admit(times: list[int], limit: int, span: int, window: deque[int], keep_edge: bool = True) -> list[bool]:
     """Which events (microseconds, in order) are admitted; ``window`` holds the admitted ones still in the span.
@@ -53,41 +56,59 @@ def limit_table(events: DataFrame, key: str, at_us: str, tie: str, limit: int, s
     return ordered.mapInPandas(run, f"k string, tie {dict(e.dtypes)['tie']}, at_us long, admitted boolean")
 
 
-def limit_tiers(events: DataFrame, key: str, at_us: str, tie: str, per_key: int, per_all: int, span_us: int, per_day: int, most_keys: int = 4096) -> DataFrame:
+def _pieces(e: DataFrame, span_us: int) -> DataFrame:
+    """Events with ``piece``: stretches of time between which no state passes.
+
+    A stretch ends where a whole span without events follows and the day changes. Found on the spans that hold events,
+    whose number depends on the time covered, not on the events.
+    """
+    day = 86_400_000_000
+    spans = e.groupBy(F.floor(F.col("at_us") / span_us).alias("q")).agg(F.min("at_us").alias("lo"), F.max("at_us").alias("hi"))
+    w = Window.partitionBy(F.lit(0)).orderBy("q")
+    before, last = F.lag("q").over(w), F.lag("hi").over(w)
+    cut = (before < F.col("q") - 1) & (F.floor(last / day) != F.floor(F.col("lo") / day))
+    pieces = materialise(spans.withColumn("cut", F.coalesce(cut, F.lit(False)).cast("int")).withColumn("piece", F.sum("cut").over(w)).select("q", "piece"))
+    return lookup(e.withColumn("q", F.floor(F.col("at_us") / span_us)), pieces, ["q"], "inner").drop("q")
+
+
+def limit_tiers(events: DataFrame, key: str, at_us: str, tie: str, per_key: int, per_all: int, span_us: int, per_day: int) -> DataFrame:
     """``k, tie, at_us, refused_by``: limits by key, over all keys, and by day, of which an event must meet all.
 
-    The limits over all keys make every decision depend on the one before, whatever the key: one task reads the sorted
-    events as a stream. Its state is bounded: the windows of ``most_keys`` latest keys and one window over all.
-    Use ``limit_table`` where a limit by key will do; that one is parallel.
+    The limits over all keys make every decision depend on the one before, whatever the key, so a stretch of time
+    without a gap is one stream by definition. Stretches between which no state passes are read in parallel. The state
+    is the admitted events of the span, ``per_all`` at most. Use ``limit_table`` where a limit by key will do.
     """
     e = events.select(F.coalesce(F.col(key).cast("string"), F.lit("")).alias("k"), F.col(tie).alias("tie"), F.col(at_us).alias("at_us"))
     day = 86_400_000_000
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        keys: OrderedDict[str, deque[int]] = OrderedDict()
-        every: deque[int] = deque()
-        today, used = None, 0
+        mine: Counter = Counter()  # admitted events of the span by key
+        every: deque[tuple[int, str]] = deque()
+        today, used, piece = None, 0, None
         for b in batches:
             got: list[str | None] = []
-            for k, t in zip(b["k"], b["at_us"]):
+            for p, k, t in zip(b["piece"], b["k"], b["at_us"]):
+                if p != piece:
+                    piece = p
+                    mine.clear()
+                    every.clear()
                 if t // day != today:
                     today, used = t // day, 0
-                mine = keys.setdefault(k, deque())
-                keys.move_to_end(k)
-                if len(keys) > most_keys:
-                    keys.popitem(last=False)
-                for w in (mine, every):
-                    while w and w[0] <= t - span_us:
-                        w.popleft()
-                why = "key" if len(mine) >= per_key else "all" if len(every) >= per_all else "day" if used >= per_day else None
+                while every and every[0][0] <= t - span_us:
+                    gone = every.popleft()[1]
+                    mine[gone] -= 1
+                    if not mine[gone]:
+                        del mine[gone]
+                why = "key" if mine[k] >= per_key else "all" if len(every) >= per_all else "day" if used >= per_day else None
                 if why is None:
-                    mine.append(t)
-                    every.append(t)
+                    mine[k] += 1
+                    every.append((t, k))
                     used += 1
                 got.append(why)
-            yield b.assign(refused_by=pd.Series(got, index=b.index, dtype=object))
+            yield b.drop(columns="piece").assign(refused_by=pd.Series(got, index=b.index, dtype=object))
 
-    return e.repartition(1).sortWithinPartitions("at_us", "tie").mapInPandas(run, f"k string, tie {dict(e.dtypes)['tie']}, at_us long, refused_by string")
+    ordered = _pieces(e, span_us).repartition("piece").sortWithinPartitions("piece", "at_us", "tie").select("k", "tie", "at_us", "piece")
+    return ordered.mapInPandas(run, f"k string, tie {dict(e.dtypes)['tie']}, at_us long, refused_by string")
 
 
 def trailing_counts(events: DataFrame, key: str, at_us: str, span_us: int) -> DataFrame:
@@ -103,9 +124,14 @@ def replays(events: DataFrame, keys: list[str], at_us: str, tie: str, skew_us: i
 
 
 def signatures(df: DataFrame, keys: list[str]) -> DataFrame:
-    """One signature per key over its rows in any order: what a poller compares to see a change."""
-    row = F.conv(F.substring(F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in df.columns]), 256), 1, 12), 16, 10).cast("long")
-    return df.groupBy(*keys).agg(F.bit_xor(row).alias("signature"), F.count("*").alias("n"))
+    """One signature per key over its rows in any order: what a poller compares to see a change.
+
+    Rows are added up, so a repeated row counts as often as it is there; fields go in with their lengths, and nulls as
+    such, so that values cannot run into each other.
+    """
+    field = lambda c: F.coalesce(F.concat_ws(":", F.length(F.col(c).cast("string")), F.col(c).cast("string")), F.lit("-"))
+    row = F.conv(F.substring(F.sha2(F.concat_ws("|", *[F.when(F.col(c).isNull(), "-").otherwise(field(c)) for c in df.columns]), 256), 1, 12), 16, 10).cast("decimal(38,0)")
+    return df.groupBy(*keys).agg(F.sum(row).cast("string").alias("signature"), F.count("*").alias("n"))
 
 
 # --- streams -------------------------------------------------------------------------------------------------------

@@ -83,7 +83,7 @@ def test_json_and_layers(spark, tmp_path):
 def test_sinks(spark):
     d = spark.createDataFrame([(1, "a & b", "2024-02-03")], "id int, t string, d string")
     assert w.sitemap_entries(d, "t", "d").first()[0] == "<url><loc>a &amp; b</loc><lastmod>2024-02-03</lastmod></url>"
-    assert "DTSTART;VALUE=DATE:20240203" in w.calendar_events(d, "id", "d", "t").first()[0]
+    assert "DTSTART;VALUE=DATE:20260203" in w.calendar_events(d, "id", "d", "t").first()[0]
     assert w.markdown_rows(d, ["id", "t"]).first()[0] == "| 1 | a & b |"
     two = spark.createDataFrame([(1, "a"), (2, "b")], "id int, t string")
     assert w.manifest(two, "x", ["id"]).first() == w.manifest(two.orderBy(two.id.desc()), "x", ["id"]).first()
