@@ -31,6 +31,23 @@ def align_key(word: str | None) -> str | None:
     return "".join(c for c in unicodedata.normalize("NFC", word.casefold()) if unicodedata.category(c)[0] not in "PSZC" and c not in "ʼ")
 
 
+def build_key(word: str | None) -> str | None:
+    """Letters of a word alone, case-folded, marks and punctuation dropped before anything else: the key that indexes are built under."""
+    if word is None:
+        return None
+    return "".join(c for c in unicodedata.normalize("NFD", word.casefold()) if unicodedata.category(c)[0] not in "MP" and c.isalpha())
+
+
+def plain_ascii(text: str | None) -> str | None:
+    """ASCII characters of the compatibility form."""
+    return None if text is None else unicodedata.normalize("NFKD", text).encode("ascii", "ignore").decode("ascii")
+
+
+def nfkc(text: str | None) -> str | None:
+    """The compatibility form, composed."""
+    return None if text is None else unicodedata.normalize("NFKC", text)
+
+
 #: The usual letters.
 _LATIN = dict(zip("αβγδεζηθικλμνξοπρστυφχψως", "a b g d e z ē th i k l m n x o p r s t y ph ch ps ō s".split()))
 
@@ -86,3 +103,4 @@ def _vector(fn):
 
 
 fold_udf, fold_hebrew_udf, align_key_udf, transliterate_udf = map(_vector, (fold, fold_hebrew, align_key, transliterate))
+build_key_udf, ascii_udf, nfkc_udf = map(_vector, (build_key, plain_ascii, nfkc))

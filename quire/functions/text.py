@@ -126,9 +126,22 @@ def leading_int(c: Column, otherwise: int = 1_000_000_000) -> Column:
     return F.coalesce(F.regexp_extract(c, "^([0-9]+)", 1).try_cast("int"), F.lit(otherwise))
 
 
-def sanitised(c: Column, allowed: tuple[str, ...] = ("p", "br", "em", "strong", "b", "i", "ul", "ol", "li", "h2", "h3", "blockquote")) -> Column:
-    """Markup of which only the allowed elements are left, without attributes; scripts and styles go with their content."""
+#: Elements that stay, and schemes that a link may have.
+SAFE_ELEMENTS = ("p", "br", "em", "strong", "b", "i", "ul", "ol", "li", "h2", "h3", "blockquote", "a")
+SAFE_SCHEMES = ("http", "https", "mailto", "tel")
+
+
+def sanitised(c: Column, allowed: tuple[str, ...] = SAFE_ELEMENTS) -> Column:
+    """Markup of which only the allowed elements are left; scripts and styles go with their content.
+
+    Of the attributes only the address of a link stays, if it is relative or of an allowed scheme.
+    """
     s = F.regexp_replace(c, r"(?is)<(script|style|iframe|object|template)\b.*?(?:</\1\s*>|$)|<!--.*?(?:-->|$)", "")
     names = "|".join(allowed)
     s = F.regexp_replace(s, rf"(?i)<(?!/?(?:{names})\b)[^>]*>?", "")
-    return F.regexp_replace(s, rf"(?i)<(/?)({names})\b[^>]*>?", "<$1$2>")
+    # links with a safe address first, under marks that no text holds; the rest lose their attributes
+    s = F.translate(s, "\x01\x02", "")
+    schemes = "|".join(SAFE_SCHEMES)
+    s = F.regexp_replace(s, rf"""(?i)<a\b[^>]*?\bhref\s*=\s*["']((?:(?:{schemes}):|[/#?]|(?![a-z][a-z0-9+.-]*:))[^"'<>\s\x00-\x20]*)["'][^>]*>""", "\x01a href=\"$1\"\x02")
+    s = F.regexp_replace(s, rf"(?i)<(/?)({names})\b[^>]*>?", "<$1$2>")
+    return F.translate(s, "\x01\x02", "<>")

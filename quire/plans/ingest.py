@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.functions.text import blob_sha1, page_path, safe_url, slug, summary, terms, video_id
-from quire.plans.kit import Catalogue
+from quire.operators.changes import numbered_slugs
+from quire.operators.ranges import carried_forward
+from quire.plans.kit import Catalogue, unique_names_sql
 from quire.sources.readers import html_blocks, sections
 from quire.sources.writers import manifest, markdown_rows, sitemap_entries
 from quire.streaming.limits import limit_table, limit_tiers, replays, signatures, trailing_counts
@@ -64,10 +66,11 @@ def section_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     WITH b AS (SELECT DISTINCT source_id, section_index, block_index, kind, text FROM text_blocks), f AS (SELECT *, last_value(CASE WHEN kind = 'heading' THEN text END IGNORE NULLS) OVER (PARTITION BY source_id ORDER BY section_index, block_index ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS carried FROM b)
     SELECT source_id, section_index, block_index, carried FROM f WHERE kind = 'paragraph'""")
 def carry_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The heading carried forward over the blocks of a source."""
-    b = once(load(spark, sf_dir, "text_blocks"), "loaded_at")
-    w = Window.partitionBy("source_id").orderBy("section_index", "block_index").rowsBetween(Window.unboundedPreceding, 0)
-    return b.withColumn("carried", F.last(F.when(F.col("kind") == "heading", F.col("text")), ignorenulls=True).over(w)).where("kind = 'paragraph'").select("source_id", "section_index", "block_index", "carried")
+    """The heading carried forward over the blocks of a source, a long source in several ranges."""
+    b = once(load(spark, sf_dir, "text_blocks"), "loaded_at", "block_id", "source_id", "section_index", "block_index", "kind", "text")
+    b = b.select("block_id", "source_id", "section_index", "block_index", "kind", F.when(F.col("kind") == "heading", F.col("text")).alias("h"))
+    got = carried_forward(b, ["source_id"], ["section_index", "block_index", "block_id"], F.col("h"), "carried")
+    return got.where("kind = 'paragraph'").select("source_id", "section_index", "block_index", "carried")
 
 
 @C.plan("SELECT source_id, section_index, CAST(sum(CASE WHEN text IS NULL OR trim(text) = '' THEN 0 ELSE len(regexp_split_to_array(trim(text), '\\s+')) END) AS BIGINT) AS n_words FROM (SELECT DISTINCT block_id, source_id, section_index, text FROM text_blocks WHERE kind = 'paragraph') GROUP BY GROUPING SETS ((source_id, section_index), (source_id))")
@@ -81,20 +84,16 @@ def section_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 C.statement("text_hashes", "SELECT doc_id, sha2(text, 256) AS h FROM {documents}", "SELECT doc_id, sha256(text) AS h FROM {documents}")
 
 
-@C.plan()
+@C.plan("SELECT doc_id, sha1(concat(encode('blob ' || CAST(strlen(text) AS VARCHAR)), '\\x00'::BLOB, encode(text))) AS sha1 FROM documents")
 def blob_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Version-control hashes of the texts."""
     return load(spark, sf_dir, "documents").select("doc_id", blob_sha1(F.col("text")).alias("sha1"))
 
 
-@C.plan("""
-    WITH s AS (SELECT doc_id, trim(regexp_replace(lower(left(text, 24)), '[^a-z0-9]+', '-', 'g'), '-') AS base FROM documents), n AS (SELECT doc_id, CASE WHEN base = '' THEN 'section' ELSE base END AS base FROM s)
-    SELECT doc_id, base || CASE WHEN k = 1 THEN '' ELSE '-' || k END AS name FROM (SELECT *, row_number() OVER (PARTITION BY base ORDER BY doc_id) AS k FROM n)""")
+@C.plan(unique_names_sql("SELECT doc_id, source AS raw FROM documents", "doc_id", "name", 96))
 def name_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names made of text heads, repeated ones numbered."""
-    from quire.operators.changes import numbered_slugs
-
-    return numbered_slugs(load(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", F.left("text", F.lit(24)), 96).select("doc_id", F.col("slug").alias("name"))
+    """Every document named after its source: a name that a tenth of all rows share, numbered by ranges, each name once."""
+    return numbered_slugs(load(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id", F.col("source"), 96).select("doc_id", F.col("slug").alias("name"))
 
 
 _URLS = ["https://a.example/x/y.html?q=1#z", "http://b.example", "javascript:alert(1)", "//c.example/pics/", "https://youtu.be/abcdefghijk", "https://v.example/watch?v=abcdefghijk&t=3", "/pages/", "mailto:a@b.example", "abcdefghijk", "https://d.example/embed/ABCDEFGHIJK"]
@@ -123,16 +122,13 @@ def sitemap_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.unionByName(b).groupBy("path").agg(F.min(F.struct("origin", "id")).alias("x")).select("path", "x.origin", "x.id")
 
 
-@C.plan(f"WITH {PUB} SELECT '<url><loc>/' || slug || '</loc><lastmod>' || left(CAST(timezone('UTC', published_at) AS VARCHAR), 10) || '</lastmod></url>' AS line FROM pub WHERE status = 'published'")
+@C.plan(f"WITH {PUB} SELECT '<url><loc>/' || slug || '</loc><lastmod>' || strftime(make_timestamp(epoch_us(published_at)), '%Y-%m-%d') || '</lastmod></url>' AS line FROM pub WHERE status = 'published'")
 def sitemap_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Site map elements."""
     p = publications(spark, sf_dir).where("status = 'published'").withColumn("u", F.concat(F.lit("/"), "slug"))
     return sitemap_entries(p, "u", "published_at")
 
 
-C.sql.pop("sitemap_lines")  # time zones need an extension that the checking engine may lack
-
-
 @C.plan("SELECT '| ' || source || ' | ' || count(*) || ' |' AS line FROM documents GROUP BY source")
 def matrix_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A report as lines of a table."""
@@ -146,10 +142,11 @@ _TABLES = {
 }
 
 
-@C.plan()
+@C.plan(" UNION ALL ".join(f"SELECT '{t}' AS name, CAST((SELECT count(*) FROM {t}) AS BIGINT) AS n_rows, CAST((SELECT count(*) FROM (SELECT DISTINCT {', '.join(k)} FROM {t})) AS BIGINT) AS n_keys, true AS has_digest" for t, k in _TABLES.items()))
 def table_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows, keys and digest of every table."""
-    return reduce(DataFrame.unionByName, [manifest(load(spark, sf_dir, t), t, keys) for t, keys in _TABLES.items()])
+    m = reduce(DataFrame.unionByName, [manifest(load(spark, sf_dir, t), t, keys) for t, keys in _TABLES.items()])
+    return m.select("name", "n_rows", "n_keys", F.col("digest").isNotNull().alias("has_digest"))
 
 
 @C.plan("""
@@ -200,10 +197,13 @@ def nonce_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replays(_events(spark, sf_dir), ["user_id", "event_type"], "at_us", "event_id", HOUR).select("event_id", "replayed")
 
 
-@C.plan()
+_FIELD = "CASE WHEN {0} IS NULL THEN '-' ELSE length(CAST({0} AS VARCHAR)) || ':' || CAST({0} AS VARCHAR) END"
+
+
+@C.plan(f"SELECT user_id, CAST(sum(CAST(('0x' || substr(sha256({' || chr(124) || '.join(_FIELD.format(c) for c in ('user_id', 'event_id', 'event_type'))}), 1, 12)) AS BIGINT)) AS VARCHAR) AS signature, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY user_id")
 def feed_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A signature per user that changes when any row does."""
-    return signatures(load(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "value"), ["user_id"])
+    return signatures(load(spark, sf_dir, "events").select("user_id", "event_id", "event_type"), ["user_id"])
 
 
 @C.plan()

@@ -239,7 +239,7 @@ def coverage_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 C.statement("duplicate_keys", "SELECT id, CAST(count(*) AS BIGINT) AS deliveries FROM {grc_tokens} GROUP BY id HAVING count(*) > 1")
 C.statement(
     "position_gaps",
-    "SELECT witness, book_id, chapter, verse, CAST(count(DISTINCT position) AS BIGINT) AS n, max(position) - min(position) + 1 AS span FROM {grc_tokens} GROUP BY witness, book_id, chapter, verse HAVING count(DISTINCT position) <> max(position) - min(position) + 1",
+    "SELECT witness, book_id, chapter, verse, CAST(count(DISTINCT position) AS BIGINT) AS n, max(position) - min(position) + 1 AS span FROM {grc_tokens} WHERE transliteration IS NOT NULL GROUP BY witness, book_id, chapter, verse HAVING count(DISTINCT position) <> max(position) - min(position) + 1",
 )
 C.statement("language_set", "SELECT source, array_join(array_sort(collect_set(lang)), ',') AS langs FROM {documents} WHERE lang IS NOT NULL GROUP BY source", "SELECT source, array_to_string(list_sort(list_distinct(list(lang))), ',') AS langs FROM {documents} WHERE lang IS NOT NULL GROUP BY source")
 C.statement("missing_loci", "SELECT source_id, CAST(count(DISTINCT block_id) AS BIGINT) AS n, array_join(transform(array_sort(collect_set(block_id)), x -> cast(x AS string)), ',') AS loci FROM {text_blocks} WHERE text IS NULL GROUP BY source_id", "SELECT source_id, CAST(count(DISTINCT block_id) AS BIGINT) AS n, array_to_string(list_sort(list_distinct(list(block_id))), ',') AS loci FROM {text_blocks} WHERE text IS NULL GROUP BY source_id")

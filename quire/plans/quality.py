@@ -11,16 +11,16 @@ from quire.tables import load
 
 C = Catalogue()
 
-C.statement("check_unique_names", "SELECT list_name, entry_name, CAST(count(*) AS BIGINT) AS n FROM {place_list} GROUP BY list_name, entry_name HAVING count(*) > 1")
-C.statement("check_place_countries", "SELECT d.entry_id FROM {place_list} d LEFT ANTI JOIN (SELECT entry_name FROM {place_list} WHERE list_name = 'country') c ON d.country_name = c.entry_name WHERE d.list_name = 'diocese' AND d.country_name IS NOT NULL", "SELECT d.entry_id FROM {place_list} d WHERE d.list_name = 'diocese' AND d.country_name IS NOT NULL AND d.country_name NOT IN (SELECT entry_name FROM {place_list} WHERE list_name = 'country')")
+C.statement("check_unique_names", "SELECT title_en, CAST(count(DISTINCT id) AS BIGINT) AS n FROM {cms_publications} WHERE title_en IS NOT NULL GROUP BY title_en HAVING count(DISTINCT id) > 1")
+C.statement("check_place_countries", "SELECT DISTINCT p.id FROM {priest_registrations} p LEFT ANTI JOIN (SELECT entry_name FROM {place_list} WHERE list_name = 'country') c ON p.country = c.entry_name WHERE p.country IS NOT NULL", "SELECT DISTINCT p.id FROM {priest_registrations} p WHERE p.country IS NOT NULL AND p.country NOT IN (SELECT entry_name FROM {place_list} WHERE list_name = 'country')")
 C.statement("check_orders_without_lines", "SELECT o.o_orderkey FROM {orders} o LEFT JOIN (SELECT DISTINCT l_orderkey FROM {lineitem}) l ON l.l_orderkey = o.o_orderkey WHERE l.l_orderkey IS NULL")
 C.statement("check_repeated_lines", "SELECT l_orderkey, l_linenumber, CAST(count(*) AS BIGINT) AS n FROM {lineitem} GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1")
-C.statement("check_share_sum", "SELECT round(sum(target_share), 6) AS total FROM {mix_targets} HAVING abs(sum(target_share) - 1) > 0.000001")
+C.statement("check_share_sum", "SELECT t.source, round(t.target_share - coalesce(d.n, 0) / d.total, 6) AS off FROM {mix_targets} t LEFT JOIN (SELECT source, count(*) * 1.0D AS n, sum(count(*)) OVER () * 1.0D AS total FROM {documents} GROUP BY source) d ON d.source = t.source WHERE abs(t.target_share - coalesce(d.n, 0) / d.total) > 0.01", "SELECT t.source, round(t.target_share - coalesce(d.n, 0) / d.total, 6) AS off FROM {mix_targets} t LEFT JOIN (SELECT source, CAST(count(*) AS DOUBLE) AS n, CAST(sum(count(*)) OVER () AS DOUBLE) AS total FROM {documents} GROUP BY source) d ON d.source = t.source WHERE abs(t.target_share - coalesce(d.n, 0) / d.total) > 0.01")
 C.statement("check_required_fields", "SELECT DISTINCT id, CASE WHEN trim(coalesce(message, '')) = '' THEN 'message' WHEN trim(coalesce(email, '')) = '' THEN 'email' ELSE 'subject' END AS missing FROM {contact_messages} WHERE trim(coalesce(message, '')) = '' OR trim(coalesce(email, '')) = '' OR trim(coalesce(subject, '')) = ''")
 C.statement("check_lengths", "SELECT DISTINCT id, length(intention) AS n FROM {prayer_network_requests} WHERE length(intention) > 400 OR length(name) > 120")
-C.statement("check_counts_agree", "SELECT doc_id, n_chars, length(text) AS n FROM {documents} WHERE n_chars <> length(text)", "SELECT doc_id, n_chars, CAST(length(text) AS INTEGER) AS n FROM {documents} WHERE n_chars <> length(text)")
-C.statement("check_contiguous_sections", "SELECT source_id, CAST(count(DISTINCT section_index) AS BIGINT) AS n, max(section_index) - min(section_index) + 1 AS span FROM {text_blocks} GROUP BY source_id HAVING count(DISTINCT section_index) <> max(section_index) - min(section_index) + 1")
-C.statement("check_section_words", "SELECT source_id, section_index FROM (SELECT source_id, section_index, sum(CASE WHEN kind = 'paragraph' THEN 1 ELSE 0 END) AS n FROM {text_blocks} GROUP BY source_id, section_index) WHERE n = 0")
+C.statement("check_counts_agree", "SELECT doc_id, n_chars, octet_length(text) AS n FROM {documents} WHERE n_chars <> octet_length(text)", "SELECT doc_id, n_chars, CAST(strlen(text) AS INTEGER) AS n FROM {documents} WHERE n_chars <> strlen(text)")
+C.statement("check_contiguous_sections", "SELECT source_id, section_index, CAST(count(DISTINCT block_index) AS BIGINT) AS n, max(block_index) - min(block_index) + 1 AS span FROM {text_blocks} WHERE text IS NOT NULL GROUP BY source_id, section_index HAVING count(DISTINCT block_index) <> max(block_index) - min(block_index) + 1")
+C.statement("check_section_words", "SELECT source_id, section_index FROM (SELECT source_id, section_index, sum(CASE WHEN kind = 'paragraph' THEN length(coalesce(text, '')) - length(replace(coalesce(text, ''), ' ', '')) ELSE 0 END) AS n FROM {text_blocks} GROUP BY source_id, section_index) WHERE n < 90")
 C.statement("check_quiz_shape", "SELECT o_custkey, CAST(count(*) AS BIGINT) AS n FROM {orders} GROUP BY o_custkey HAVING count(*) < 5")
 
 
@@ -31,11 +31,4 @@ def mapping_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return violations(spark.createDataFrame(segs, "segment string, relationship string, canonical array<string>, source array<string>"))
 
 
-@C.plan()
-def check_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tokens whose two deliveries differ in any value."""
-    t = load(spark, sf_dir, "grc_tokens")
-    return t.groupBy("id").agg(F.count_distinct(F.struct("surface", F.coalesce("transliteration", F.lit("")))).alias("n")).where("n > 1")
-
-
 QUERIES, SQL = C.queries, C.sql

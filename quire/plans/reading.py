@@ -28,7 +28,7 @@ def _verse_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.select(F.concat(F.col("witness"), F.lit("/"), F.col("book_id"), F.lit(" "), F.col("chapter"), F.lit(":"), F.col("verse"), F.lit("\t"), F.col("text")).alias("value"))
 
 
-@C.plan(f"WITH {_VERSES} SELECT witness || '/' || book_id AS book, chapter, verse, trim(text) AS text FROM v")
+@C.plan(f"WITH {_VERSES} SELECT witness || '/' || book_id AS book, chapter, verse, trim(text, ' ') AS text FROM v")
 def read_verse_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All verses as tab-separated lines, and read back."""
     return readers.verse_tsv(spark, _verse_lines(spark, sf_dir))
@@ -122,7 +122,7 @@ def read_rooted_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @C.plan(f"""
-    WITH {TOK} SELECT {_BOOK} || ':' || chapter || ':' || verse AS reference, position, id AS surface, CASE WHEN transliteration IS NULL THEN 'empty field' WHEN count(*) OVER (PARTITION BY book_id, chapter, verse, position) > 1 THEN 'repeated place' END AS problem, 'N,V' AS parts, 'x,y' AS forms, 'alt' AS alternative_strongs FROM tok WHERE book_id = 'john'""")
+    WITH {TOK} SELECT {_BOOK} || ':' || chapter || ':' || verse AS reference, position, id AS surface, CASE WHEN transliteration IS NULL THEN 'empty field' WHEN count(*) OVER (PARTITION BY book_id, chapter, verse, position) > 1 THEN 'repeated place' END AS problem, 'N,V' AS parts, CASE WHEN transliteration IS NULL THEN '' ELSE 'x,y' END AS forms, 'alt' AS alternative_strongs FROM tok WHERE book_id = 'john'""")
 def read_supplement(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens as lines of thirteen columns, of which the verses of one book are wanted."""
     t = tokens(spark, sf_dir)
@@ -145,7 +145,7 @@ _XML = lambda c: F.regexp_replace(F.regexp_replace(c, "&", "&amp;"), "<", "&lt;"
 _ONE = "trim(regexp_replace(text, '[\\s\\x{00A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}\\x{0085}\\x{001C}-\\x{001F}]+', ' ', 'g'))"
 
 
-@C.plan(f"{_SURFACES} SELECT book_id AS book, chapter, verse, CAST(count(*) AS BIGINT) AS n, CAST(sum(length(trim(replace(text, '~', ' ')))) AS BIGINT) AS chars FROM v GROUP BY ALL")
+@C.plan(f"{_SURFACES} SELECT book_id AS book, chapter, verse, CAST(count(*) AS BIGINT) AS n, CAST(sum(length(trim(replace(text, '~', ' '), ' '))) AS BIGINT) AS chars FROM v GROUP BY ALL")
 def read_usfm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Books as marked-up text with notes and continuation lines, read back by carrying the marks forward."""
     d = _documents_of(spark, sf_dir, F.concat(F.lit("\\v "), F.col("verse"), F.lit(" "), F.col("text"), F.lit("\\f + \\ft a note\\f*\n")), lambda x: F.concat(F.lit("\\c "), F.col("chapter"), F.lit("\n\\p\n"), x), lambda x: F.concat(F.lit("\\id "), F.col("book_id"), F.lit("\n"), x))

@@ -7,19 +7,28 @@ from pyspark.sql import functions as F
 
 from quire.functions.text import or_default
 from quire.operators.changes import insert_absent, numbered_slugs, upsert_latest
-from quire.plans.kit import Catalogue
+from quire.plans.kit import Catalogue, unique_names_sql
 from quire.tables import load, once
 
 C = Catalogue()
 
 C.statement("one_pass_counts", "SELECT CAST(count(*) AS BIGINT) AS n, CAST(count(country) AS BIGINT) AS with_country, CAST(count(distributed_at) AS BIGINT) AS distributed, CAST(sum(CASE WHEN share_worldwide THEN 1 ELSE 0 END) AS BIGINT) AS shared, CAST(sum(CASE WHEN consent_name_sharing AND share_worldwide THEN 1 ELSE 0 END) AS BIGINT) AS both_consents FROM {prayer_network_requests}")
 C.statement("status_counts", "SELECT d.status, CAST(count(DISTINCT m.id) AS BIGINT) AS n FROM (SELECT * FROM VALUES ('new'), ('assigned'), ('completed'), ('declined') AS t(status)) d LEFT JOIN {mass_intention_requests} m ON m.status = d.status GROUP BY d.status", "SELECT d.status, CAST(count(DISTINCT m.id) AS BIGINT) AS n FROM (VALUES ('new'), ('assigned'), ('completed'), ('declined')) AS d(status) LEFT JOIN {mass_intention_requests} m ON m.status = d.status GROUP BY d.status")
-C.statement("filters", "SELECT DISTINCT id, status, country FROM {prayer_network_requests} WHERE status IN ('new', 'prayed') AND status NOT IN ('archived') AND country IS NOT NULL AND share_worldwide IS TRUE AND distributed_at IS NULL AND id BETWEEN 100 AND 900")
+C.statement("filters", "SELECT DISTINCT id, status, country FROM {prayer_network_requests} WHERE status IN ('new', 'prayed') AND status NOT IN ('archived') AND country IS NOT NULL AND share_worldwide IS TRUE AND distributed_at IS NULL AND created_at >= TIMESTAMP '2024-06-01 00:00:00'", "SELECT DISTINCT id, status, country FROM {prayer_network_requests} WHERE status IN ('new', 'prayed') AND status NOT IN ('archived') AND country IS NOT NULL AND share_worldwide IS TRUE AND distributed_at IS NULL AND epoch_us(created_at) >= 1717200000000000")
 C.statement("campaign_stats", "SELECT event_type, CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT user_id) AS BIGINT) AS users, CAST(sum(CASE WHEN value > 10 THEN 1 ELSE 0 END) AS BIGINT) AS large, greatest(CAST(count(*) - 2000 AS BIGINT), 0) AS above FROM {events} GROUP BY event_type")
 C.statement("stamp_once", "SELECT user_id, event_type, min(event_id) AS first_event, max(event_id) AS last_event FROM {events} GROUP BY user_id, event_type")
 C.statement("orphan_skip", "SELECT l.l_orderkey, l.l_linenumber, l.l_partkey, l.l_suppkey, o.o_custkey FROM {lineitem} l JOIN {orders} o ON l.l_orderkey = o.o_orderkey WHERE o.o_orderstatus = 'F'")
 C.statement("live_pick", "SELECT o_orderstatus, o_orderkey, o_orderpriority FROM (SELECT *, row_number() OVER (PARTITION BY o_orderstatus ORDER BY CASE o_orderpriority WHEN '1-URGENT' THEN 0 WHEN '2-HIGH' THEN 1 ELSE 2 END, o_orderdate, o_orderkey) AS rn FROM {orders}) WHERE rn = 1")
-C.statement("page_total", "SELECT o_orderkey, o_totalprice, CAST(count(*) OVER () AS BIGINT) AS total FROM {orders} WHERE o_orderstatus = 'P' AND o_totalprice > 1000 ORDER BY o_totalprice DESC, o_orderkey LIMIT 20 OFFSET 40")
+
+
+@C.plan("SELECT o_orderkey, o_totalprice, CAST(count(*) OVER () AS BIGINT) AS total FROM orders WHERE o_orderstatus = 'P' AND o_totalprice > 1000 ORDER BY o_totalprice DESC, o_orderkey LIMIT 20 OFFSET 40")
+def page_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page, and how many rows there are in all: two narrow passes, as a window over everything would be one task."""
+    o = load(spark, sf_dir, "orders").where("o_orderstatus = 'P' and o_totalprice > 1000").select("o_orderkey", "o_totalprice")
+    page = o.orderBy(F.desc("o_totalprice"), "o_orderkey").offset(40).limit(20)
+    return page.crossJoin(F.broadcast(o.agg(F.count("*").alias("total"))))  # one row
+
+
 C.statement("feast_on_date", "SELECT o_orderkey, month(o_orderdate) AS m, day(o_orderdate) AS d FROM {orders} WHERE month(o_orderdate) = 2 AND day(o_orderdate) IN (2, 29)", "SELECT o_orderkey, CAST(month(o_orderdate) AS INTEGER) AS m, CAST(day(o_orderdate) AS INTEGER) AS d FROM {orders} WHERE month(o_orderdate) = 2 AND day(o_orderdate) IN (2, 29)")
 C.statement("valid_at", "SELECT DISTINCT id, status, CASE WHEN verified_at IS NULL THEN 'open' WHEN verified_at <= TIMESTAMP '2024-07-01 00:00:00' THEN 'valid' ELSE 'later' END AS validity FROM {priest_registrations} WHERE active", "SELECT DISTINCT id, status, CASE WHEN verified_at IS NULL THEN 'open' WHEN epoch_us(verified_at) <= 1719792000000000 THEN 'valid' ELSE 'later' END AS validity FROM {priest_registrations} WHERE active")
 C.statement("status_labels", "SELECT DISTINCT exchange_id, CASE scope WHEN 'catholic' THEN 'answered' WHEN 'out_of_scope' THEN 'declined' ELSE 'referred' END AS label FROM {chat_exchanges}")
@@ -63,12 +72,14 @@ def nested_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select("o_orderkey", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce(F.array_join(F.transform("x", lambda r: F.concat_ws(":", r["l_linenumber"], r["l_partkey"])), ","), F.lit("")).alias("lines"))
 
 
-@C.plan("""
-    WITH s AS (SELECT p_partkey, trim(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '-') AS base FROM part)
-    SELECT p_partkey, CASE WHEN k = 1 THEN base ELSE base || '-' || k END AS slug FROM (SELECT *, row_number() OVER (PARTITION BY base ORDER BY p_partkey) AS k FROM s)""")
+_NAMED = "SELECT p_partkey, CASE WHEN p_partkey % 10 = 0 THEN p_brand || ' 2' ELSE p_brand END AS raw FROM part"
+
+
+@C.plan(unique_names_sql(_NAMED, "p_partkey", "slug", 150))
 def unique_slug(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Slugs made unique by number."""
-    return numbered_slugs(load(spark, sf_dir, "part"), "p_partkey", F.col("p_name")).select("p_partkey", "slug")
+    """Slugs made unique by number, past numbers that other names spell."""
+    p = load(spark, sf_dir, "part").select("p_partkey", F.when(F.col("p_partkey") % 10 == 0, F.concat("p_brand", F.lit(" 2"))).otherwise(F.col("p_brand")).alias("raw"))
+    return numbered_slugs(p, "p_partkey", F.col("raw")).select("p_partkey", "slug")
 
 
 @C.plan("""
