@@ -393,6 +393,26 @@ def test_packing(spark):
     assert packing.pack(docs.limit(0), cap).count() == 0
 
 
+def test_packing_in_small_shards_is_whole_and_retrieves(spark):
+    """Many shards: every text once, and neighbours (texts of one topic) mostly share a container, unlike with random shards."""
+    rng = random.Random(6)
+    topics = [[f"{a}{b}" for b in ("lamp", "road", "bread", "door", "seed", "net", "well", "vine")] for a in "abcdefgh"]
+    rows = [(i, " ".join(rng.choice(topics[i % 8]) for _ in range(rng.randint(8, 20)))) for i in range(800)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = packing.pack(docs, 200, shard=100).toPandas()
+    assert sorted(got.doc_id) == list(range(800)) and got.groupby("container_id").n_tokens.sum().max() <= 200
+    alike = got.assign(t=got.doc_id % 8).groupby("container_id").t.agg(lambda t: t.value_counts(normalize=True).iloc[0])
+    assert alike.mean() > 0.7
+
+
+def test_statistics_of_all_texts_reach_every_shard():
+    lists = [np.array(x, np.uint16) for x in ([1, 1, 2], [2, 3])]
+    idf = np.array([0.0, 5.0, 0.5, 1.0])
+    ix = packing.Index(lists, idf, 10.0)
+    norm = packing.K1 * (1 - packing.B + packing.B * 3 / 10)
+    assert abs(ix.scores(np.array([1], np.uint16))[0] - 5.0 * 2 * (packing.K1 + 1) / (2 + norm)) < 1e-9
+
+
 def test_bm25_against_formula():
     lists = [np.array(x, np.uint16) for x in ([1, 1, 2], [2, 3], [3, 3, 3, 4])]
     ix, n, avg = packing.Index(lists), 3, np.mean([3, 2, 4])
