@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions.text import leading_int, reference_form
 
+#: Fixed value: what may follow the name of a book.
+PLACE = r"^(\d+)(?::(\d+)(?:-(\d+))?)?$"
 #: At most so many verses beyond the first in one range.
 MAX_SPAN = 100
 
@@ -26,12 +28,11 @@ def parse_references(refs: DataFrame, ref: str, aliases: DataFrame) -> DataFrame
     hit = forms.withColumn("_w", F.split("_f", " ")[0]).join(a, "_w").where((F.col("_f") == F.col("_a")) | F.col("_f").startswith(F.concat("_a", F.lit(" "))))
     best = hit.groupBy("_f").agg(F.max(F.struct(F.length("_a").alias("l"), "_b", "_a")).alias("m")).select("_f", F.col("m._b").alias("book_id"), F.col("m._a").alias("_a"))
     x = r.join(best, "_f", "left").withColumn("_rest", F.trim(F.expr("substring(_f, length(_a) + 1)")))
-    pat = r"^(\d+)(?::(\d+)(?:-(\d+))?)?$"
-    part = lambda k: F.regexp_extract("_rest", pat, k).try_cast("int")
+    part = lambda k: F.regexp_extract("_rest", PLACE, k).try_cast("int")
     x = x.withColumn("chapter", part(1)).withColumn("verse_from", part(2)).withColumn("verse_to", F.coalesce(part(3), part(2)))
     bad = (F.col("chapter") == 0) | (F.coalesce("verse_from", F.lit(1)) == 0) | (F.coalesce("verse_to", F.lit(1)) == 0)
     status = (
-        F.when(F.col("book_id").isNull(), "unknown").when(F.col("_rest") == "", "chapter required").when(~F.col("_rest").rlike(pat), "malformed").when(bad, "zero")
+        F.when(F.col("book_id").isNull(), "unknown").when(F.col("_rest") == "", "chapter required").when(~F.col("_rest").rlike(PLACE), "malformed").when(bad, "zero")
         .when(F.col("verse_to") < F.col("verse_from"), "inverted").when(F.col("verse_to") - F.col("verse_from") > MAX_SPAN, "too long").otherwise("ok")
     )
     return x.withColumn("status", status).drop("_f", "_a", "_rest")
@@ -57,19 +58,8 @@ def lookup(wanted: DataFrame, verses: DataFrame, keys: list[str]) -> DataFrame:
     return wanted.join(one, [*keys, "verse_no"], "left").select(*wanted.columns, *[F.col(f"_v.{c}").alias(c) for c in rest])
 
 
-def canon_order(verse: str = "verse") -> list[Column]:
-    """Verses by their leading number, labels without one last."""
-    return [leading_int(F.col(verse)), F.col(verse)]
-
-
 def render(verses: DataFrame, keys: list[str], verse: str = "verse", text: str = "text") -> DataFrame:
     """One passage per key: a single verse bare, several as ``n text n text`` in canon order."""
     item = F.struct(leading_int(F.col(verse)).alias("o"), F.col(verse).alias("v"), F.col(text).alias("t"))
     g = verses.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("x"))
     return g.select(*keys, F.size("x").alias("n_verses"), F.when(F.size("x") == 1, F.col("x")[0]["t"]).otherwise(F.array_join(F.transform("x", lambda r: F.concat(r["v"], F.lit(" "), r["t"])), " ")).alias("passage"))
-
-
-def first_by(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """First row of each key."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")

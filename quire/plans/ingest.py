@@ -84,7 +84,7 @@ def section_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 C.statement("text_hashes", "SELECT doc_id, sha2(text, 256) AS h FROM {documents}", "SELECT doc_id, sha256(text) AS h FROM {documents}")
 
 
-@C.plan("SELECT doc_id, sha1(concat(encode('blob ' || CAST(strlen(text) AS VARCHAR)), '\\x00'::BLOB, encode(text))) AS sha1 FROM documents")
+@C.plan("SELECT doc_id, sha1(encode('blob ' || CAST(strlen(text) AS VARCHAR)) || '\\x00'::BLOB || encode(text)) AS sha1 FROM documents")
 def blob_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Version-control hashes of the texts."""
     return load(spark, sf_dir, "documents").select("doc_id", blob_sha1(F.col("text")).alias("sha1"))
@@ -96,17 +96,18 @@ def name_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return numbered_slugs(load(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id", F.col("source"), 96).select("doc_id", F.col("slug").alias("name"))
 
 
-_URLS = ["https://a.example/x/y.html?q=1#z", "http://b.example", "javascript:alert(1)", "//c.example/pics/", "https://youtu.be/abcdefghijk", "https://v.example/watch?v=abcdefghijk&t=3", "/pages/", "mailto:a@b.example", "abcdefghijk", "https://d.example/embed/ABCDEFGHIJK"]
-
-
-@C.plan(
-    "SELECT * FROM (VALUES ('https://a.example/x/y.html?q=1#z', '/x/y.html', true, true, NULL), ('http://b.example', '/index.html', true, false, NULL), ('javascript:alert(1)', '/javascript:alert(1)', false, false, NULL), ('//c.example/pics/', '/c.example/pics/index.html', true, false, NULL), ('https://youtu.be/abcdefghijk', '/abcdefghijk', true, true, 'abcdefghijk'), ('https://v.example/watch?v=abcdefghijk&t=3', '/watch', true, true, 'abcdefghijk'), ('/pages/', '/pages/index.html', true, false, NULL), ('mailto:a@b.example', '/mailto:a@b.example', true, false, NULL), ('abcdefghijk', '/abcdefghijk', true, false, 'abcdefghijk'), ('https://d.example/embed/ABCDEFGHIJK', '/embed/ABCDEFGHIJK', true, true, 'ABCDEFGHIJK')) AS t(url, path, safe, safe_image, video)"
-)
+@C.plan(f"""
+    WITH {PUB}, u AS (SELECT id, slug, unnest([1, 2, 3, 4, 5, 6]) AS form FROM pub)
+    SELECT id, form, CASE form WHEN 1 THEN '/en/' || slug || '.html' WHEN 2 THEN '/' || slug || '/index.html' WHEN 3 THEN '/javascript:' || slug WHEN 4 THEN '/' || left(sha256(slug), 11) WHEN 5 THEN '/watch' ELSE '/mailto:' || slug || '@a.example' END AS path,
+        form <> 3 AS safe, form IN (1, 4, 5) AS safe_image, CASE WHEN form IN (4, 5) THEN left(sha256(slug), 11) END AS video FROM u""")
 def url_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Paths, safety and video ids of addresses."""
-    u = spark.createDataFrame([(x,) for x in _URLS], "url string")
+    """Six addresses of every publication: their paths, whether they are safe as links and for images, and ids of videos."""
+    p = publications(spark, sf_dir).select("id", "slug", F.left(F.sha2("slug", 256), F.lit(11)).alias("v"))
+    say = lambda *x: F.concat(*[F.lit(y) if not y.startswith("$") else F.col(y[1:]) for y in x])
+    forms = F.array(say("https://a.example/en/", "$slug", ".html?q=1#z"), say("/", "$slug", "/"), say("javascript:", "$slug"), say("https://youtu.be/", "$v"), say("https://v.example/watch?v=", "$v", "&t=3"), say("mailto:", "$slug", "@a.example"))
+    u = p.select("id", F.posexplode(forms).alias("at", "url"))
     c = F.col("url")
-    return u.select("url", page_path(c).alias("path"), safe_url(c).isNotNull().alias("safe"), safe_url(c, image=True).isNotNull().alias("safe_image"), video_id(c).alias("video"))
+    return u.select("id", (F.col("at") + 1).alias("form"), page_path(c).alias("path"), safe_url(c).isNotNull().alias("safe"), safe_url(c, image=True).isNotNull().alias("safe_image"), video_id(c).alias("video"))
 
 
 @C.plan(f"""
@@ -183,7 +184,13 @@ def rate_limit_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return limit_table(_events(spark, sf_dir), "user_id", "at_us", "event_id", 2, 24 * HOUR).select("k", F.col("tie").alias("event_id"), "admitted")
 
 
-@C.plan()
+@C.plan("""
+    WITH RECURSIVE e AS (SELECT user_id AS k, epoch_us(ts) AS t, event_id, row_number() OVER (ORDER BY epoch_us(ts), event_id) AS n FROM events),
+    r AS (SELECT n, k, t, [{'t': t, 'k': k}] AS win, 1 AS used, CAST(NULL AS VARCHAR) AS why FROM e WHERE n = 1
+          UNION ALL SELECT n, k, t, CASE WHEN why IS NULL THEN list_append(live, {'t': t, 'k': k}) ELSE live END, today + CASE WHEN why IS NULL THEN 1 ELSE 0 END, why FROM (
+            SELECT *, CASE WHEN len(list_filter(live, lambda x: x.k = s.k)) >= 2 THEN 'key' WHEN len(live) >= 40 THEN 'all' WHEN today >= 120 THEN 'day' END AS why FROM (
+              SELECT e.n, e.k, e.t, list_filter(r.win, lambda x: x.t > e.t - 21600000000) AS live, CASE WHEN e.t // 86400000000 = r.t // 86400000000 THEN r.used ELSE 0 END AS today FROM r JOIN e ON e.n = r.n + 1) s))
+    SELECT CAST(k AS VARCHAR) AS k, CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (why IS NULL) AS BIGINT) AS n_admitted, CAST(count(*) FILTER (why = 'day') AS BIGINT) AS n_by_day FROM r GROUP BY k""")
 def rate_limit_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Limits by user, over all users and by day."""
     return limit_tiers(_events(spark, sf_dir), "user_id", "at_us", "event_id", 2, 40, 6 * HOUR, 120).groupBy("k").agg(F.count("*").alias("n"), F.count_if(F.col("refused_by").isNull()).alias("n_admitted"), F.count_if(F.col("refused_by") == "day").alias("n_by_day"))

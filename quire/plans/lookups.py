@@ -108,13 +108,13 @@ def book_lens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @C.plan(f"""
-    WITH {TOK}, s AS (SELECT *, CASE WHEN position % 11 = 0 THEN 'arc' ELSE 'grc' END AS language FROM tok), l AS (SELECT *, 'grc' AS language FROM tok WHERE transliteration IS NOT NULL)
+    WITH {TOK}, s AS (SELECT *, CASE WHEN right(witness, 1) = '0' THEN 'arc' ELSE 'grc' END AS language FROM tok), l AS (SELECT *, 'grc' AS language FROM tok WHERE transliteration IS NOT NULL)
     SELECT s.book_id, CAST(count(*) AS BIGINT) AS n, CAST(count(l.id) AS BIGINT) AS n_joined, CAST(count(*) FILTER (l.id IS NOT NULL AND l.language <> s.language) AS BIGINT) AS n_other_language FROM s LEFT JOIN l ON l.witness = s.witness AND l.book_id = s.book_id AND l.chapter = s.chapter AND l.verse = s.verse AND l.position = s.position AND l.id = s.id GROUP BY s.book_id""")
 def token_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Surface and linguistic tokens joined by place and id, a missing one as none, and languages that differ."""
     t = tokens(spark, sf_dir)
     key = ["witness", "book_id", "chapter", "verse", "position", "id"]
-    s = t.select(*key, F.when(F.col("position") % 11 == 0, "arc").otherwise("grc").alias("language"))
+    s = t.select(*key, F.when(F.right("witness", F.lit(1)) == "0", "arc").otherwise("grc").alias("language"))
     ling = t.where("transliteration is not null").select(*key, F.lit("grc").alias("other"))
     return s.join(ling, key, "left").groupBy("book_id").agg(F.count("*").alias("n"), F.count("other").alias("n_joined"), F.count_if(F.col("other") != F.col("language")).alias("n_other_language"))
 
@@ -123,47 +123,46 @@ _BLOCKS = "b AS (SELECT DISTINCT block_id, source_id, section_index, block_index
 
 
 @C.plan(f"""
-    WITH {_BLOCKS}, p AS (SELECT * FROM b WHERE kind = 'paragraph' AND block_index % 5 <> 4), t AS (SELECT DISTINCT source_id, section_index FROM b WHERE kind = 'heading' AND section_index % 7 <> 6), s AS (SELECT DISTINCT source_id FROM b WHERE length(source_id) % 4 <> 3),
-    q AS (SELECT block_id AS quote_id, source_id, section_index, block_index, coalesce(CASE WHEN block_id % 3 = 0 THEN heading ELSE text END, 'nothing') AS quote FROM b WHERE kind = 'paragraph'),
+    WITH {_BLOCKS}, p AS (SELECT * FROM b WHERE kind = 'paragraph' AND text IS NOT NULL), t AS (SELECT DISTINCT source_id, section_index FROM b WHERE kind = 'heading' AND text IS NOT NULL), s AS (SELECT source_id FROM b WHERE kind = 'paragraph' GROUP BY source_id HAVING count(*) > 5),
+    q AS (SELECT 'p' || block_id AS quote_id, source_id, section_index, block_index, coalesce(text, 'nothing') AS quote FROM b UNION ALL SELECT 'h' || block_id, source_id, section_index, block_index, coalesce(heading, 'nothing') FROM b WHERE kind = 'paragraph'),
     r AS (SELECT q.quote_id, CASE WHEN s.source_id IS NULL THEN 'unknown source' WHEN t.source_id IS NULL THEN 'missing section' WHEN p.block_id IS NULL THEN 'invalid paragraph' WHEN NOT coalesce(contains(trim(regexp_replace(p.text, '\\s+', ' ', 'g')), trim(regexp_replace(q.quote, '\\s+', ' ', 'g'))), false) THEN 'not a substring' END AS rule
       FROM q LEFT JOIN s ON s.source_id = q.source_id LEFT JOIN t ON t.source_id = q.source_id AND t.section_index = q.section_index LEFT JOIN p ON p.source_id = q.source_id AND p.section_index = q.section_index AND p.block_index = q.block_index)
     SELECT quote_id, rule FROM r WHERE rule IS NOT NULL""")
 def check_quotations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quotations that name a source, a section and a paragraph, and where the chain breaks (J28, V08). Dimensions that lack some sources, sections and paragraphs stand for registers that have fallen behind."""
+    """Every block quoted, and every paragraph by its heading: where the chain of source, section and paragraph breaks, and what is no substring."""
     b = once(load(spark, sf_dir, "text_blocks"), "loaded_at", "block_id", "source_id", "section_index", "block_index", "kind", "heading", "text")
     para = b.where("kind = 'paragraph'")
-    quotes = para.select(F.col("block_id").alias("quote_id"), "source_id", "section_index", F.col("block_index").alias("paragraph_index"), F.coalesce(F.when(F.col("block_id") % 3 == 0, F.col("heading")).otherwise(F.col("text")), F.lit("nothing")).alias("quote"))
-    sources = b.where(F.length("source_id") % 4 != 3).select("source_id").distinct()
-    toc = b.where("kind = 'heading' and section_index % 7 <> 6").select("source_id", "section_index").distinct()
-    return L.quotation_violations(quotes, sources, toc, para.where("block_index % 5 <> 4").select("source_id", "section_index", F.col("block_index").alias("paragraph_index"), "text"))
+    place = ["source_id", "section_index", F.col("block_index").alias("paragraph_index")]
+    quotes = b.select(F.concat(F.lit("p"), "block_id").alias("quote_id"), *place, F.coalesce("text", F.lit("nothing")).alias("quote")).unionByName(para.select(F.concat(F.lit("h"), "block_id").alias("quote_id"), *place, F.coalesce("heading", F.lit("nothing")).alias("quote")))
+    sources = para.groupBy("source_id").agg(F.count("*").alias("n")).where("n > 5")
+    toc = b.where("kind = 'heading' and text is not null").select("source_id", "section_index").distinct()
+    return L.quotation_violations(quotes, sources, toc, para.where("text is not null").select(*place, "text"))
 
 
 @C.plan(f"""
-    WITH {TOK}, x AS (SELECT DISTINCT book_id AS mapping, chapter, verse FROM tok), a AS (SELECT DISTINCT mapping, chapter FROM x WHERE chapter % 3 <> 0), d AS (SELECT DISTINCT mapping, chapter FROM x WHERE chapter % 4 <> 0), st AS (SELECT DISTINCT mapping, chapter FROM x WHERE chapter % 5 = 1), ch AS (SELECT DISTINCT mapping, chapter FROM x WHERE chapter % 2 = 1),
-    u AS (SELECT DISTINCT mapping, chapter || ':' || verse AS what FROM x WHERE CAST(verse AS INTEGER) % 2 = 0 AND chapter % 2 = 1)
+    WITH {TOK}, x AS (SELECT DISTINCT book_id AS mapping, chapter, verse FROM tok), one AS (SELECT DISTINCT book_id AS mapping, chapter, verse FROM tok WHERE right(witness, 1) < '3'), a AS (SELECT DISTINCT book_id AS mapping, chapter FROM tok WHERE right(witness, 1) >= '8'), d AS (SELECT DISTINCT mapping, chapter FROM one),
+    st AS (SELECT DISTINCT book_id AS mapping, chapter FROM tok WHERE transliteration IS NULL AND right(witness, 1) < '3'), u AS (SELECT DISTINCT book_id AS mapping, chapter, verse FROM tok WHERE right(witness, 1) = '1')
     SELECT mapping, 'declared, not audited' AS rule, CAST(chapter AS VARCHAR) AS what FROM (SELECT * FROM d EXCEPT SELECT * FROM a) UNION ALL SELECT mapping, 'audited, not declared', CAST(chapter AS VARCHAR) FROM (SELECT * FROM a EXCEPT SELECT * FROM d)
-    UNION ALL SELECT mapping, 'no segment', CAST(chapter AS VARCHAR) FROM (SELECT mapping, chapter FROM d WHERE chapter % 5 <> 1 EXCEPT SELECT mapping, chapter FROM (SELECT mapping, split_part(what, ':', 1)::INTEGER AS chapter FROM u))
-    UNION ALL SELECT x.mapping, 'not consumed', x.chapter || ':' || x.verse FROM x JOIN (SELECT st.* FROM st JOIN d USING (mapping, chapter)) s ON s.mapping = x.mapping AND s.chapter = x.chapter WHERE NOT EXISTS (SELECT 1 FROM u WHERE u.mapping = x.mapping AND u.what = x.chapter || ':' || x.verse)""")
+    UNION ALL SELECT mapping, 'no segment', CAST(chapter AS VARCHAR) FROM (SELECT * FROM d EXCEPT SELECT * FROM st EXCEPT SELECT DISTINCT mapping, chapter FROM u)
+    UNION ALL SELECT x.mapping, 'not consumed', x.chapter || ':' || x.verse FROM x JOIN st ON st.mapping = x.mapping AND st.chapter = x.chapter WHERE NOT EXISTS (SELECT 1 FROM u WHERE u.mapping = x.mapping AND u.chapter = x.chapter AND u.verse = x.verse)""")
 def check_mapping_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Declared, audited and structural chapters of a mapping for each book, and the verses its segments leave over."""
-    x = load(spark, sf_dir, "grc_tokens").select(F.col("book_id").alias("mapping"), "chapter", "verse").distinct()
-    ch = x.select("mapping", "chapter").distinct()
-    text = lambda d: d.withColumn("chapter", F.col("chapter").cast("string"))
-    declared = ch.where("chapter % 4 <> 0").withColumn("kind", F.when(F.col("chapter") % 5 == 1, "structural").otherwise("audited"))
-    segments = x.where("chapter % 2 = 1 and cast(verse as int) % 2 = 0").groupBy("mapping", "chapter").agg(F.collect_list(F.concat_ws(":", "chapter", "verse")).alias("source"))
-    return L.coverage_violations(text(declared), text(ch.where("chapter % 3 <> 0")), text(segments), text(x))
+    """Three groups of witnesses as what a mapping declares, what an audit found and what segments map: chapters of which they differ, and verses that are left over."""
+    t = load(spark, sf_dir, "grc_tokens").select(F.col("book_id").alias("mapping"), F.col("chapter").cast("string").alias("chapter"), "verse", F.right("witness", F.lit(1)).alias("w"), F.col("transliteration").isNull().alias("bare"))
+    declared = t.where("w < '3'").groupBy("mapping", "chapter").agg(F.when(F.bool_or("bare"), "structural").otherwise("audited").alias("kind"))
+    segments = t.where("w = '1'").select("mapping", "chapter", "verse").distinct().groupBy("mapping", "chapter").agg(F.collect_list(F.concat_ws(":", "chapter", "verse")).alias("source"))
+    return L.coverage_violations(declared, t.where("w >= '8'").select("mapping", "chapter").distinct(), segments, t.select("mapping", "chapter", "verse").distinct())
 
 
 @C.plan(f"""
-    WITH {TOK}, s AS (SELECT witness, book_id, chapter, verse, list(id ORDER BY position, id) AS a FROM tok GROUP BY ALL), l AS (SELECT witness, book_id, chapter, verse, list(id ORDER BY position, id) AS b FROM tok WHERE transliteration IS NOT NULL AND NOT (right(witness, 1) = '3' AND CAST(verse AS INTEGER) % 2 = 0) GROUP BY ALL), g AS (SELECT DISTINCT witness, book_id, chapter, verse FROM tok WHERE CAST(verse AS INTEGER) % 4 = 0),
-    j AS (SELECT s.*, b, g.verse IS NOT NULL AS gap FROM s LEFT JOIN l USING (witness, book_id, chapter, verse) LEFT JOIN g USING (witness, book_id, chapter, verse))
+    WITH {TOK}, s AS (SELECT witness, book_id, chapter, verse, list(id ORDER BY position, id) AS a, count(*) FILTER (transliteration IS NULL) > 1 AS gap FROM tok GROUP BY ALL), l AS (SELECT witness, book_id, chapter, verse, list(id ORDER BY position, id) AS b FROM tok WHERE transliteration IS NOT NULL GROUP BY ALL),
+    j AS (SELECT s.*, b FROM s LEFT JOIN l USING (witness, book_id, chapter, verse))
     SELECT witness, book_id, chapter, verse, CASE WHEN gap AND b IS NOT NULL THEN 'gap carries tokens' WHEN gap THEN NULL WHEN b IS NULL THEN 'not aligned' WHEN len(a) <> len(b) THEN 'token counts differ' WHEN a <> b THEN 'token ids differ' END AS rule FROM j WHERE rule IS NOT NULL""")
 def check_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Verses whose surface and linguistic layers do not agree token by token, and gaps that carry tokens."""
+    """Verses whose surface and linguistic layers do not agree token by token; those that lack several readings count as gaps, which must carry none."""
     t = tokens(spark, sf_dir)
-    n = F.col("verse").cast("int")
-    ling = t.where(F.col("transliteration").isNotNull() & ~((F.right("witness", F.lit(1)) == "3") & (n % 2 == 0)))
-    return L.layer_violations(t, ling, t.where(n % 4 == 0), ["witness", "book_id", "chapter", "verse"])
+    v = ["witness", "book_id", "chapter", "verse"]
+    gaps = t.groupBy(*v).agg(F.count_if(F.col("transliteration").isNull()).alias("n")).where("n > 1")
+    return L.layer_violations(t, t.where("transliteration is not null"), gaps, v)
 
 
 @C.plan("""

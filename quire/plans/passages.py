@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.functions.greek import align_key_udf, fold_udf, transliterate_udf
 from quire.operators.align import align_tokens
-from quire.operators.references import lookup, parse_references, render
+from quire.operators.references import PLACE, lookup, parse_references, render
 from quire.operators.versify import resolve
 from quire.plans.kit import Catalogue
 from quire.tables import load, once
@@ -18,6 +18,9 @@ C = Catalogue()
 TOK = "tok AS (SELECT DISTINCT id, witness, book_id, chapter, verse, position, surface, transliteration FROM grc_tokens)"
 
 
+_CHAPTER = ["witness", "book_id", "chapter"]
+
+
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return once(load(spark, sf_dir, "grc_tokens"), "loaded_at")
 
@@ -26,20 +29,22 @@ _REFS = ["Luke 2:3", "luke 2", "1 John 3:4-9", "John 3:4", "1  JOHN  2 : 5 – 7
 
 
 @C.plan(rf"""
-    WITH refs(ref) AS (VALUES {", ".join(f"('{r}')" for r in _REFS)}),
+    WITH refs(ref) AS (VALUES {", ".join(f"('{r}')" for r in _REFS)} UNION SELECT DISTINCT upper(book_id) || '  ' || chapter || ' : ' || verse || '–' || (CAST(verse AS INTEGER) + 2) FROM grc_tokens UNION SELECT DISTINCT regexp_replace(book_id, '^([0-9])', '\1 ') || '. ' || chapter FROM grc_tokens),
     f AS (SELECT ref, regexp_replace(lower(trim(regexp_replace(translate(ref, '–—.', '--'), '\s+', ' ', 'g'))), '\s*([:-])\s*', '\1', 'g') AS f FROM refs),
-    al AS (SELECT DISTINCT book_id, regexp_replace(book_id, '^([0-9])', '\1 ') AS alias FROM grc_tokens),
+    al AS (SELECT DISTINCT book_id, regexp_replace(book_id, '^([0-9])', '\1 ') AS alias FROM grc_tokens UNION SELECT DISTINCT book_id, book_id FROM grc_tokens),
     m AS (SELECT f.ref, f.f, max_by(struct_pack(book_id, alias), length(alias)) AS b FROM f LEFT JOIN al ON f.f = alias OR starts_with(f.f, alias || ' ') GROUP BY f.ref, f.f),
     r AS (SELECT ref, b.book_id AS book_id, trim(substring(f, length(b.alias) + 1)) AS rest FROM m),
-    p AS (SELECT *, TRY_CAST(regexp_extract(rest, '^(\d+)(?::(\d+)(?:-(\d+))?)?$', 1) AS INTEGER) AS chapter, TRY_CAST(regexp_extract(rest, '^(\d+)(?::(\d+)(?:-(\d+))?)?$', 2) AS INTEGER) AS verse_from,
-          coalesce(TRY_CAST(regexp_extract(rest, '^(\d+)(?::(\d+)(?:-(\d+))?)?$', 3) AS INTEGER), TRY_CAST(regexp_extract(rest, '^(\d+)(?::(\d+)(?:-(\d+))?)?$', 2) AS INTEGER)) AS verse_to FROM r)
-    SELECT ref, book_id, chapter, verse_from, verse_to, CASE WHEN book_id IS NULL THEN 'unknown' WHEN rest = '' THEN 'chapter required' WHEN NOT regexp_matches(rest, '^(\d+)(?::(\d+)(?:-(\d+))?)?$') THEN 'malformed'
+    p AS (SELECT *, TRY_CAST(regexp_extract(rest, '{PLACE}', 1) AS INTEGER) AS chapter, TRY_CAST(regexp_extract(rest, '{PLACE}', 2) AS INTEGER) AS verse_from, coalesce(TRY_CAST(regexp_extract(rest, '{PLACE}', 3) AS INTEGER), TRY_CAST(regexp_extract(rest, '{PLACE}', 2) AS INTEGER)) AS verse_to FROM r)
+    SELECT ref, book_id, chapter, verse_from, verse_to, CASE WHEN book_id IS NULL THEN 'unknown' WHEN rest = '' THEN 'chapter required' WHEN NOT regexp_matches(rest, '{PLACE}') THEN 'malformed'
         WHEN chapter = 0 OR coalesce(verse_from, 1) = 0 OR coalesce(verse_to, 1) = 0 THEN 'zero' WHEN verse_to < verse_from THEN 'inverted' WHEN verse_to - verse_from > 100 THEN 'too long' ELSE 'ok' END AS status FROM p""")
 def reference_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Typed references resolved against the books, longest alias first."""
-    refs = spark.createDataFrame([(r,) for r in _REFS], "ref string")
-    aliases = load(spark, sf_dir, "grc_tokens").select("book_id").distinct().select("book_id", F.regexp_replace("book_id", "^([0-9])", "$1 ").alias("alias"))
-    return parse_references(refs, "ref", aliases)
+    """References to every verse and chapter in untidy spellings, and odd ones, resolved against the books, longest alias first."""
+    t = load(spark, sf_dir, "grc_tokens").select("book_id", "chapter", "verse").distinct()
+    verse = F.concat(F.upper("book_id"), F.lit("  "), F.col("chapter"), F.lit(" : "), F.col("verse"), F.lit("–"), F.col("verse").cast("int") + 2)
+    spaced = F.regexp_replace("book_id", "^([0-9])", "$1 ")
+    refs = spark.createDataFrame([(r,) for r in _REFS], "ref string").union(t.select(verse)).union(t.select(F.concat(spaced, F.lit(". "), F.col("chapter")))).distinct()
+    books = t.select("book_id").distinct()
+    return parse_references(refs, "ref", books.select("book_id", spaced.alias("alias")).union(books.select("book_id", "book_id")).distinct())
 
 
 _VERSES = f"""{TOK}, v AS (SELECT witness, book_id, chapter, verse, CAST(verse AS INTEGER) AS n, string_agg(surface, ' ' ORDER BY position, id) AS text FROM tok GROUP BY ALL)"""
@@ -58,16 +63,13 @@ def passage_render(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @C.plan(f"""
-    WITH {_VERSES}, b AS (SELECT witness, book_id, chapter, CASE WHEN n % 5 = 3 THEN n || '-' || (n + 1) ELSE verse END AS verse, n AS lo, CASE WHEN n % 5 = 3 THEN n + 1 ELSE n END AS hi, text FROM v WHERE n % 5 <> 4),
-    w AS (SELECT DISTINCT witness, book_id, chapter, n AS verse_no FROM v),
-    j AS (SELECT w.*, b.verse, b.hi > b.lo AS bridge, row_number() OVER (PARTITION BY w.witness, w.book_id, w.chapter, w.verse_no ORDER BY b.hi > b.lo, b.verse) AS k FROM w LEFT JOIN b ON w.witness = b.witness AND w.book_id = b.book_id AND w.chapter = b.chapter AND w.verse_no BETWEEN b.lo AND b.hi)
-    SELECT witness, book_id, chapter, verse_no, verse, bridge FROM j WHERE k = 1""")
+    WITH {_VERSES}, w AS (SELECT witness, book_id, chapter, unnest(range(1, max(n) + 1)) AS verse_no FROM v GROUP BY witness, book_id, chapter)
+    SELECT w.witness, w.book_id, w.chapter, CAST(verse_no AS INTEGER) AS verse_no, v.verse, CASE WHEN v.verse IS NOT NULL THEN false END AS bridge FROM w LEFT JOIN v ON w.witness = v.witness AND w.book_id = v.book_id AND w.chapter = v.chapter AND v.n = verse_no""")
 def verse_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Verse numbers looked up in a text whose verses are partly bridged (J02, J03): an equi-join after expansion, no range join."""
-    v = verse_texts(spark, sf_dir).withColumn("n", F.col("verse").cast("int"))
-    b = v.where("n % 5 <> 4").withColumn("verse", F.when(F.col("n") % 5 == 3, F.concat_ws("-", "n", F.col("n") + 1)).otherwise(F.col("verse"))).drop("n", "text")
-    wanted = v.select("witness", "book_id", "chapter", F.col("n").alias("verse_no")).distinct()
-    return lookup(wanted, b, ["witness", "book_id", "chapter"])
+    """Every number up to the last verse of a chapter looked up in it; labels that cover several numbers are expanded first, so that it is an equi-join."""
+    v = tokens(spark, sf_dir).select(*_CHAPTER, "verse").distinct()
+    wanted = v.groupBy(*_CHAPTER).agg(F.max(F.col("verse").cast("int")).alias("last")).select(*_CHAPTER, F.explode(F.sequence(F.lit(1), "last")).alias("verse_no"))
+    return lookup(wanted, v, _CHAPTER)
 
 
 @C.plan(f"""
@@ -90,14 +92,14 @@ def token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @C.plan(f"""
     WITH {TOK}, s AS (SELECT witness, book_id, chapter, verse, CAST(count(*) AS BIGINT) AS n_surface FROM tok GROUP BY ALL),
-    l AS (SELECT witness, book_id, chapter, verse, CAST(count(*) AS BIGINT) AS n_read FROM tok WHERE transliteration IS NOT NULL AND position % 2 = 0 GROUP BY ALL),
+    l AS (SELECT witness, book_id, chapter, verse, CAST(count(*) AS BIGINT) AS n_read FROM tok WHERE transliteration IS NOT NULL GROUP BY ALL),
     a AS (SELECT book_id, chapter, verse, CAST(count(DISTINCT witness) AS BIGINT) AS n_witnesses FROM tok GROUP BY ALL)
     SELECT s.*, coalesce(n_read, 0) AS n_read, CASE WHEN n_read IS NULL THEN 'unavailable' ELSE 'available' END AS status, n_witnesses FROM s LEFT JOIN l USING (witness, book_id, chapter, verse) LEFT JOIN a USING (book_id, chapter, verse)""")
 def layer_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Surface, reading and alignment layers of each verse, a missing layer as such."""
     t, v = tokens(spark, sf_dir), ["witness", "book_id", "chapter", "verse"]
     s = t.groupBy(*v).agg(F.count("*").alias("n_surface"))
-    lay = t.where("transliteration is not null and position % 2 = 0").groupBy(*v).agg(F.count("*").alias("n_read"))
+    lay = t.where("transliteration is not null").groupBy(*v).agg(F.count("*").alias("n_read"))
     a = t.groupBy(*v[1:]).agg(F.countDistinct("witness").alias("n_witnesses"))
     return s.join(lay, v, "left").join(a, v[1:], "left").withColumn("status", F.when(F.col("n_read").isNull(), "unavailable").otherwise("available")).withColumn("n_read", F.coalesce("n_read", F.lit(0)))
 
@@ -106,9 +108,6 @@ _PAIRS = f"""{TOK}, t AS (SELECT *, CAST(verse AS INTEGER) AS n FROM tok),
     p AS (SELECT x.book_id, x.surface AS a, y.surface AS b FROM t x JOIN t y ON x.witness = y.witness AND x.book_id = y.book_id AND x.chapter = y.chapter AND x.position = y.position AND y.n = x.n + 1),
     c AS (SELECT *, CASE WHEN a = b THEN 'exact' WHEN lower(regexp_replace(a, '[.,;·’⸀⸁⸂]', '', 'g')) = lower(regexp_replace(b, '[.,;·’⸀⸁⸂]', '', 'g')) THEN 'normalized' ELSE 'gap' END AS mode FROM p)"""
 
-_CHAPTER = ["witness", "book_id", "chapter"]
-
-
 def neighbours(t: DataFrame, *cols: str) -> DataFrame:
     """Tokens at the same place of a verse and the next: two sequences to compare. ``b_*`` are the next verse's."""
     x = t.withColumn("n", F.col("verse").cast("int") + 1)
@@ -200,14 +199,18 @@ _EDGES = [("s1", "1", "1"), ("s1", "2", "2"), ("s2", "3", "4"), ("s2", "4", "5")
 
 @C.plan(f"""
     WITH {TOK}, e(segment, canon, src) AS (VALUES {", ".join("('%s', '%s', %s)" % (a, b, "NULL" if c is None else f"'{c}'") for a, b, c in _EDGES)} UNION ALL SELECT 's7', '11', NULL UNION ALL SELECT 's7', '12', NULL),
-    t AS (SELECT verse, CAST(count(*) AS BIGINT) AS n_tokens FROM tok WHERE book_id = 'luke' AND chapter = 2 GROUP BY 1)
-    SELECT segment, canon AS canonical_verse, src AS source_verse, CASE WHEN segment = 's7' THEN 'ambiguous' WHEN src IS NULL THEN 'canonical-only' WHEN n_tokens IS NULL THEN 'missing' ELSE 'ok' END AS status, n_tokens FROM e LEFT JOIN t ON t.verse = src""")
+    c AS (SELECT DISTINCT book_id, chapter FROM tok), t AS (SELECT book_id, chapter, verse, CAST(count(*) AS BIGINT) AS n_tokens FROM tok GROUP BY ALL)
+    SELECT c.book_id, c.chapter, segment, canon AS canonical_verse, src AS source_verse, CASE WHEN segment = 's7' THEN 'ambiguous' WHEN src IS NULL THEN 'canonical-only' WHEN n_tokens IS NULL THEN 'missing' ELSE 'ok' END AS status, n_tokens FROM e CROSS JOIN c LEFT JOIN t ON t.verse = src AND t.book_id = c.book_id AND t.chapter = c.chapter""")
 def mapping_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Canonical verses brought to the source's numbering, and joined to it; unequal ranges are ambiguous."""
+    """Canonical verses of every chapter brought to the source's numbering, and joined to it; unequal ranges are ambiguous.
+
+    A registry of seven segments stands for each chapter's own; both are small, a canon has some thousand chapters.
+    """
     segs = spark.createDataFrame(_MAP, "segment string, relationship string, canonical array<string>, source array<string>")
-    t = tokens(spark, sf_dir).where("book_id = 'luke' and chapter = 2").groupBy(F.col("verse").alias("source_verse")).agg(F.count("*").alias("n_tokens"))
-    r = resolve(segs).join(t, "source_verse", "left")
-    return r.select("segment", "canonical_verse", "source_verse", F.when(F.col("status") != "ok", F.col("status")).when(F.col("n_tokens").isNull(), "missing").otherwise("ok").alias("status"), "n_tokens")
+    t = tokens(spark, sf_dir).groupBy("book_id", "chapter", F.col("verse").alias("source_verse")).agg(F.count("*").alias("n_tokens"))
+    c = t.select("book_id", "chapter").distinct()
+    r = resolve(segs).crossJoin(F.broadcast(c)).join(t, ["book_id", "chapter", "source_verse"], "left")  # seven segments a chapter
+    return r.select("book_id", "chapter", "segment", "canonical_verse", "source_verse", F.when(F.col("status") != "ok", F.col("status")).when(F.col("n_tokens").isNull(), "missing").otherwise("ok").alias("status"), "n_tokens")
 
 
 _LANES = f"""{TOK}, spine AS (SELECT DISTINCT book_id, chapter, verse FROM tok),

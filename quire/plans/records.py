@@ -91,11 +91,11 @@ def upsert_overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
     return upsert_latest(e.where("at < 5000"), e.where("at >= 5000"), ["user_id", "event_type"], "at")
 
 
-@C.plan("SELECT c_custkey, 'old' AS origin FROM customer WHERE c_custkey % 3 <> 0 UNION ALL SELECT c_custkey, 'new' FROM customer WHERE c_custkey % 2 = 0 AND NOT (c_custkey % 3 <> 0)")
+@C.plan("SELECT DISTINCT o_custkey AS c_custkey, 'old' AS origin FROM orders UNION ALL SELECT c_custkey, 'new' FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
 def idempotent_import(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows whose key is absent are added, others left alone."""
-    c = load(spark, sf_dir, "customer").select("c_custkey")
-    return insert_absent(c.where("c_custkey % 3 <> 0").withColumn("origin", F.lit("old")), c.where("c_custkey % 2 = 0").withColumn("origin", F.lit("new")), ["c_custkey"])
+    """Customers known from their orders, and the list of all of them imported: absent keys are added, others left alone."""
+    old = load(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")).distinct().withColumn("origin", F.lit("old"))
+    return insert_absent(old, load(spark, sf_dir, "customer").select("c_custkey").withColumn("origin", F.lit("new")), ["c_custkey"])
 
 
 @C.plan("""

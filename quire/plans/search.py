@@ -35,11 +35,12 @@ def text_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT q.terms, CAST(count(h.doc_id) FILTER (WHERE rn <= 20) AS BIGINT) AS n_shown, CAST(count(h.doc_id) > 20 AS BOOLEAN) AS has_more
     FROM q LEFT JOIN (SELECT * FROM hit WHERE rn <= 21) h ON h.terms = q.terms GROUP BY q.terms""")
 def search_has_more(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Shown count capped at 20 and whether there is more, from a probe of one row beyond the page."""
-    d = load(spark, sf_dir, "documents").select("doc_id", "text")
+    """Shown count capped at 20 and whether there is more; one scan counts all the queries' matches."""
     asked = ["lamp", "ka jingieit", "zzz nothing", "the patience"]
-    pages = [d.where(all_terms("text", q.split(" "))).orderBy("doc_id").limit(21).agg(F.count("*").alias("n")).select(F.lit(q).alias("terms"), "n") for q in asked]
-    return reduce(DataFrame.unionAll, pages).select("terms", F.least("n", F.lit(20)).alias("n_shown"), (F.col("n") > 20).alias("has_more"))
+    low = load(spark, sf_dir, "documents").select(F.lower("text").alias("text"))
+    counts = low.agg(*[F.count_if(all_terms("text", q.split(" "))).alias(f"q{k}") for k, q in enumerate(asked)])
+    n = counts.select(F.explode(F.array(*[F.struct(F.lit(q).alias("terms"), F.col(f"q{k}").alias("n")) for k, q in enumerate(asked)])).alias("x")).select("x.*")
+    return n.select("terms", F.least("n", F.lit(20)).alias("n_shown"), (F.col("n") > 20).alias("has_more"))
 
 
 @C.plan("""
@@ -75,19 +76,19 @@ _ITEMS = [
 _ITEMS_SQL = ", ".join(f"({i}, '{t}', '{g}')" for i, t, g in _ITEMS)
 
 
-def overlap_score(query: Column, item_text: Column, tags: Column, bonus: int) -> Column:
-    """Common words of query and item, plus ``bonus`` for each tag that the query holds."""
-    shared = F.size(F.array_intersect(terms(query), terms(item_text)))
-    return shared + F.aggregate(tags, F.lit(0), lambda a, t: a + F.when(F.lower(query).contains(t), bonus).otherwise(0))
+def overlap_score(words: Column, low: Column, item_words: Column, tags: Column, bonus: int) -> Column:
+    """Common words of query and item, plus ``bonus`` for each tag that the query (in lower case) holds. The words of both are found before they meet."""
+    return F.size(F.array_intersect(words, item_words)) + F.aggregate(tags, F.lit(0), lambda a, t: a + F.when(low.contains(t), bonus).otherwise(0))
 
 
 def _retrieve(spark: SparkSession, sf_dir: str, bonus: int, k: int) -> DataFrame:
-    q = once(load(spark, sf_dir, "chat_exchanges"), "ingested_at", "exchange_id", "message").where("message is not null")
-    items = spark.createDataFrame(_ITEMS, "item_id int, title string, tags string").withColumn("tags", F.split("tags", ","))
-    # the items are a small fixed dimension: every query row meets them in a broadcast join, then keeps its k best
-    s = q.join(F.broadcast(items), F.lit(True)).withColumn("score", overlap_score(F.col("message"), F.col("title"), F.col("tags"), bonus).cast("long")).where("score > 0")
-    best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("neg"), "item_id"))), 1, k)
-    return s.groupBy("exchange_id").agg(best.alias("b")).select("exchange_id", F.posexplode("b").alias("pos", "x")).select("exchange_id", (F.col("pos") + 1).alias("rank"), "x.item_id", (-F.col("x.neg")).alias("score"))
+    q = once(load(spark, sf_dir, "chat_exchanges"), "ingested_at", "exchange_id", "message").where("message is not null").select("exchange_id", terms(F.col("message")).alias("words"), F.lower("message").alias("low"))
+    items = spark.createDataFrame(_ITEMS, "item_id int, title string, tags string").select("item_id", terms(F.col("title")).alias("item_words"), F.split("tags", ",").alias("tags"))
+    # the items are a small fixed dimension, nested into one row: each query keeps its k best, without a join or a group
+    held = items.agg(F.collect_list(F.struct("item_id", "item_words", "tags")).alias("items"))
+    scored = F.transform("items", lambda i: F.struct((-overlap_score(F.col("words"), F.col("low"), i["item_words"], i["tags"], bonus).cast("long")).alias("neg"), i["item_id"].alias("item_id")))
+    best = q.crossJoin(F.broadcast(held)).select("exchange_id", F.slice(F.array_sort(F.filter(scored, lambda s: s["neg"] < 0)), 1, k).alias("b"))
+    return best.select("exchange_id", F.posexplode("b").alias("pos", "x")).select("exchange_id", (F.col("pos") + 1).alias("rank"), "x.item_id", (-F.col("x.neg")).alias("score"))
 
 
 def _retrieve_sql(bonus: int, k: int) -> str:

@@ -72,5 +72,6 @@ def test_changes(spark):
 
 
 def test_sanitised(spark):
-    d = spark.createDataFrame([('<p onclick="x()">a<script>bad()</script><a href="javascript:x">b</a><br/>',), ("<img src=x onerror=y><b>c</b><!-- d -->",), (None,)], "h string")
-    assert [r[0] for r in d.select(t.sanitised(F.col("h"))).collect()] == ["<p>ab<br>", "<b>c</b>", None]
+    d = spark.createDataFrame([('<p onclick="x()">a<script>bad()</script><a href="javascript:x">b</a><br/>',), ("<img src=x onerror=y><b>c</b><!-- d -->",), (None,), ('<a class="x" href="https://a.example/?b=1" onclick="y">c</a><A HREF=\'/d#e\'>f</A><a href="JAVASCRIPT:g()">h</a><a href="data:x">i</a>',)], "h string")
+    links = '<a href="https://a.example/?b=1">c</a><a href="/d#e">f</A><a>h</a><a>i</a>'
+    assert [r[0] for r in d.select(t.sanitised(F.col("h"))).collect()] == ["<p>a<a>b</a><br>", "<b>c</b>", None, links]
