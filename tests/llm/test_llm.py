@@ -71,7 +71,7 @@ def test_pii_held_out():
     """Every fifth frame of each kind is kept from training: recall and precision by type on those frames alone."""
     from quire.llm.pii_examples import table
 
-    crf, known = pii.fitted(table(held=False))
+    crf, known = pii.fitted(held=False)
     rows = table(held=True, seed=99)
     seen = {"".join(p for p, _ in r) for r in table(held=False)}
     texts = ["".join(p for p, _ in r) for r in rows]
