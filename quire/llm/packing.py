@@ -33,7 +33,7 @@ from quire.llm.tokens import VOCABULARY, encode, encoding
 from quire.session import materialise
 
 SHARD = 2048
-CENTRES, SAMPLE, DIM = 128, 20_000, 64
+CENTRES, SAMPLE, DIM = 128, 20_000, 256
 K1, B = 1.2, 0.75
 #: Windows with more than this part empty are packed again.
 LOOSE = 0.03
@@ -132,28 +132,27 @@ def fill(lists: list[np.ndarray], capacity: int, idf: np.ndarray | None = None,
 
 
 @lru_cache(maxsize=2)
-def _projection(n_vocab: int) -> np.ndarray:
-    return np.random.default_rng(3).normal(size=(n_vocab, DIM)).astype(np.float32)
-
-
-@lru_cache(maxsize=2)
-def _draws(n_vocab: int) -> np.ndarray:
-    return -np.log(np.random.default_rng(1).random(n_vocab))
+def _hashed(n_vocab: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each token its place and sign in the sketch, and its draw."""
+    g = np.random.default_rng(1)
+    return g.integers(0, DIM, n_vocab), g.choice([-1.0, 1.0], n_vocab), -np.log(g.random(n_vocab))
 
 
 def vectors(lists: list[np.ndarray], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of each text the projection of its weighted tokens, of length one, and the token drawn from it.
+    """Of each text the sketch of its weighted tokens (hashed with signs, of length one), and its draw.
 
-    The draw is consistent: it is the token with the least draw over its weight, so two texts draw the same one with
-    the probability with which their weighted tokens agree.
+    The draw is consistent: it is the least of its tokens' draws over their weights, so two texts have the same one
+    with the probability with which their weighted tokens agree. Lists are not empty.
     """
-    r, d = _projection(len(idf)), _draws(len(idf))
-    x, drawn = np.zeros((len(lists), DIM), np.float32), np.zeros(len(lists), np.int64)
-    for i, toks in enumerate(lists):
-        t, tf = np.unique(toks, return_counts=True)
-        x[i] = (r[t] * (idf[t] * tf * (K1 + 1) / (tf + K1))[:, None]).sum(0)
-        drawn[i] = t[np.argmin(d[t] / np.maximum(idf[t], 1e-9))]
-    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9), drawn
+    if not lists:
+        return np.zeros((0, DIM), np.float32), np.zeros(0)
+    place, sign, draw = _hashed(len(idf))
+    sizes = np.array([len(t) for t in lists])
+    flat = np.concatenate(lists).astype(np.int64)
+    owner = np.repeat(np.arange(len(lists)), sizes)
+    x = np.bincount(owner * DIM + place[flat], sign[flat] * idf[flat], len(lists) * DIM).reshape(-1, DIM).astype(np.float32)
+    least = np.minimum.reduceat((draw / np.maximum(idf, 1e-9))[flat], np.cumsum(sizes) - sizes)
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9), least
 
 
 def centres(x: np.ndarray, k: int = CENTRES, rounds: int = 10) -> np.ndarray:
@@ -187,8 +186,9 @@ def placed(docs: DataFrame, capacity: int, vocabulary: str) -> tuple[DataFrame,
     def held(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         df = np.zeros(n_vocab, np.int64)
         for b in batches:
-            for toks in _lists(b["tokens"], wide):
-                df[np.unique(toks)] += 1
+            lists = _lists(b["tokens"], wide)
+            pairs = np.unique(np.repeat(np.arange(len(lists)), [len(t) for t in lists]) * n_vocab + np.concatenate(lists)) if lists else np.zeros(0, np.int64)
+            df += np.bincount(pairs % n_vocab, minlength=n_vocab)
         t = np.flatnonzero(df)
         yield pd.DataFrame({"token": t, "n": df[t]})
 
@@ -211,8 +211,7 @@ def placed(docs: DataFrame, capacity: int, vocabulary: str) -> tuple[DataFrame,
         idf, c = shared.value
         for b in batches:
             x, drawn = vectors(_lists(b["tokens"], wide), idf)
-            # tokens in an order of their own, as neighbouring numbers are not alike
-            yield b.assign(centre=(x @ c.T).argmax(1).astype("int32"), drawn=_draws(n_vocab)[drawn])
+            yield b.assign(centre=(x @ c.T).argmax(1).astype("int32"), drawn=drawn)
 
     order = cut.mapInPandas(place, "doc_id long, piece_no int, token_start int, token_end int, tokens binary, centre int, drawn double")
     return order, idf, float(mean or 0), int(n)
