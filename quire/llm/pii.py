@@ -60,6 +60,7 @@ class Types:
 
     def __init__(self, known: frozenset[str]) -> None:
         self.known = known
+        self.seen: dict[str, list[tuple[int, int, str]]] = {}  # sentences decoded so far and their spans
         self.index: dict[str, int] = {}
         self.rows: list[tuple[int, ...]] = []
         self.of("\x00")  # padding
@@ -190,7 +191,9 @@ def _exact(kind: str, span: str) -> bool:
 
 
 def spans(crf: CRF, types: Types, texts: list[str]) -> list[list[tuple[int, int, str]]]:
-    """Checked ``(start, end, type)`` spans of each text."""
+    """Checked ``(start, end, type)`` spans of each text. Equal sentences of a worker are decoded once."""
+    if len(types.seen) > 200_000:  # bounds memory; a sentence that returns is decoded again
+        types.seen.clear()
     sent_of: dict[str, int] = {}
     places: list[list[tuple[int, int]]] = []  # per text: (offset, sentence)
     for t in texts:
@@ -204,11 +207,11 @@ def spans(crf: CRF, types: Types, texts: list[str]) -> list[list[tuple[int, int,
         places.append(here)
     if not sent_of:
         return [[] for _ in texts]
-    sents = list(sent_of)
+    every = list(sent_of)
+    sents = [s for s in every if s not in types.seen]
     toks = [[(m.group(), m.start(), m.end()) for m in _TOKEN.finditer(s)] for s in sents]
     feats, starts, lengths = featurise(types, [[x[0] for x in s] for s in toks])
     tags = crf.decode(feats, starts, lengths)
-    found: list[list[tuple[int, int, str]]] = []
     for s, tk, st in zip(sents, toks, starts):
         out: list[tuple[int, int, str]] = []
         kind, a, z = "", 0, 0
@@ -222,7 +225,8 @@ def spans(crf: CRF, types: Types, texts: list[str]) -> list[list[tuple[int, int,
                 if not kind:
                     kind, a = tag[2:], b
                 z = e
-        found.append(out)
+        types.seen[s] = out
+    found = [types.seen[s] for s in every]
     return [[(o + a, o + z, k) for o, i in here for a, z, k in found[i]] for here in places]
 
 
