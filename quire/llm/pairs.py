@@ -24,6 +24,7 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -98,7 +99,10 @@ def is_nothing(reply: str | None) -> bool:
     """Nothing is said: no word at all, or only a word that stands for nothing."""
     if reply is None:
         return True
-    w = norm(_TAGS.sub(" ", reply))
+    bare = _TAGS.sub(" ", reply)
+    if sum(1 for _ in islice(_WORD.finditer(bare), 4)) > 3:  # no phrase for nothing is so long
+        return False
+    w = norm(bare)
     return not w or " ".join(w) in NOTHING or (len(w) == 1 and w[0] in NOTHING)
 
 
@@ -197,8 +201,8 @@ def tail(reply: str | None) -> str | None:
 
 def tail_grams(replies: pd.Series) -> pd.Series:
     """Of each reply with a tail the hashes of its last word, last two words and so on; null for the others."""
-    tails = [tail(r) for r in replies]
-    w, at, of = _laid([Reader.code(Reader(), t.split(" ")) if t else [] for t in tails])
+    tails, reader = [tail(r) for r in replies], Reader()
+    w, at, of = _laid([reader.code(t.split(" ")) if t else [] for t in tails])
     ends = np.append(of[1:] != of[:-1], True) if len(of) else np.zeros(0, bool)
     out: list[list[int] | None] = [[] if t else None for t in tails]
     for n in range(1, 6):
