@@ -65,11 +65,11 @@ def word_counts(blocks: DataFrame, text: str = "text") -> DataFrame:
     """``word, n`` over all texts; parts of words at line ends are left out."""
     h = re.escape(HYPHENS)
     low = F.lower(F.col(text))
-    t = F.when(low.contains("\n"), F.regexp_replace(low, rf"\S+[{h}][ \t]*\n\s*\S+", " ")).otherwise(low)
+    t = F.when(low.contains("\n"), F.regexp_replace(low, rf"(?<!\S)\S++(?<=\S[{h}])[ \t]*\n\s*\S+", " ")).otherwise(low)
     raw = blocks.select(F.explode(F.split(t, r"[—–\s]+")).alias("w")).groupBy("w").agg(F.count("*").alias("k"))
     # outer marks are taken off the distinct tokens, not off every occurrence
     e = re.escape(_EDGE)
-    words = raw.select(F.regexp_replace("w", rf"^[{e}]+|[{e}!]+$", "").alias("word"), "k").where((F.length("word") > 0) & (F.length("word") < 40) & ~F.col("word").rlike(r"^\d+$"))
+    words = raw.select(F.regexp_replace("w", rf"^[{e}]+|[{e}!]+$", "").alias("word"), "k").where((F.length("word") > 0) & ~F.col("word").rlike(r"^\d+$"))
     return words.groupBy("word").agg(F.sum("k").alias("n"))
 
 
@@ -203,7 +203,7 @@ class Decoder:
 
     def _word(self, w: str) -> tuple[float, str, bool]:
         own = max(self.lex.get(w, UNKNOWN), UNKNOWN)
-        if len(w) == 1 and not (w in SIGNS and w.isalpha()) or w.isdigit() or len(w) > 32:
+        if len(w) == 1 and not (w in SIGNS and w.isalpha()) or w.isdigit():
             return (own, w, False)
         if w in self.lex and "-" in w and all(p in self.lex for p in w.split("-")):
             return (own, w, False)
