@@ -213,7 +213,10 @@ def feed_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
     return signatures(load(spark, sf_dir, "events").select("user_id", "event_id", "event_type"), ["user_id"])
 
 
-@C.plan()
+@C.plan(r"""
+    WITH t AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '\n((?i:chap|book|homily)\b)', chr(10) || chr(10) || '\1', 'g'), '\.\n([IVXLC]+\.\n)', '.' || chr(10) || chr(10) || '\1', 'g') AS text FROM documents WHERE text IS NOT NULL),
+    p AS (SELECT doc_id, trim(regexp_replace(unnest(string_split_regex(text, '\n\s*\n')), '\s+', ' ', 'g'), ' ') AS p FROM t)
+    SELECT doc_id, CASE WHEN regexp_matches(p, '^(?:(?:CHAP(?:TER)?|BOOK|HOMILY)\b.*|[IVXLC]+\.)$') THEN 'heading' ELSE 'paragraph' END AS kind, CAST(count(*) AS BIGINT) AS n FROM p WHERE p <> '' GROUP BY ALL""")
 def text_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sections and paragraphs of plain texts."""
     return sections(load(spark, sf_dir, "documents"), "doc_id", "text").groupBy("doc_id", "kind").agg(F.count("*").alias("n"))
