@@ -2,9 +2,11 @@
 
 A slot ``{email}`` is filled and its tokens are labelled with its type; everything outside slots is no personal data.
 ``{who}`` is filled with a private person (labelled), with somebody who is none (a relative, a saint) or with a group,
-so that a frame by itself proves nothing. All frames and fillings are invented for this table; none is taken from the
-data that the model reads. ``table(held=False)`` leaves out every fifth frame of each kind, ``table(held=True)`` holds
-only those: the frames of a held-out test are not those of its training.
+so that a frame by itself proves nothing. Names and places also stand in made-up sentences, where only their shape and
+the words around them tell. Frames and fillings were written for this table; frames that had been added after a look at
+what the model missed on the test tables, and those that come close to a sentence there, have been taken out again.
+``table(held=False)`` leaves out every fifth frame of each kind, ``table(held=True)`` holds only those: the frames of a
+held-out test are not those of its training.
 """
 
 from __future__ import annotations
@@ -16,33 +18,33 @@ import re
 WHO: tuple[str, ...] = (
     "Kindly pray for {who}.", "Do pray that {who} finds work again.", "Remember {who} at Mass.", "Offer this Mass for {who}.", "A Mass for {who}", "Mass intention: {who}", "For {who}", "for {who}, who left us in spring.", "We ask you to visit {who} at home.", "I am asking prayers for {who} and the children.", "Lift up {who} before the Lord.", "Keep {who} in mind this month.", "Please light a candle for {who}.", "One year since {who} died.", "Thirty days since the death of {who}.",
     "The funeral of {who} is tomorrow.", "The wedding of {who} is in August.", "We remember {who} with love.", "Wedding anniversary of {who}", "Healing for {who}", "Eternal rest for {who}", "The soul of {who}", "May {who} rest in peace.", "Thanks to {who} for the singing.", "Greetings from {who}", "With love, {who}", "Signed, {who}", "Your servant, {who}", "Gratefully, {who}", "God bless, {who}", "Warm wishes, {who}", "Respectfully yours, {who}", "- {who}", "Yours, {who} and family", "This is {who} writing.",
-    "{who} has lost a job and needs help.", "{who} fell ill on Sunday.", "{who} will be operated on tomorrow.", "{who} passed away last night.", "{who} is leaving for the seminary.", "{who} has not come home for a week.", "{who} gave me your address.", "{who} cannot walk any longer.", "{who} wants to be baptised.", "{who} sat beside me in the ward.", "{who} and {who} are to be married.", "{who} and {who} no longer speak to each other.", "{who} told me to ask you.", "{who} teaches the little ones.", "{who} needs an operation soon.", "{who}, born in spring, is our first child.", "{who} died in an accident.", "{who} turns ninety this week.", "{who} was always kind to us.", "{who} thanks you all.",
-    "My friend {who} is far from God.", "My aunt {who} broke her hip.", "My cousin {who} has gone abroad.", "Our teacher {who} retires this year.", "His wife {who} expects a child.", "Her husband {who} is in prison.", "Our daughter {who} sits her last papers.", "My grandson {who} was bitten by a dog.", "My late uncle {who} loved this church.", "Our neighbour {who} is alone.", "My boss {who} treats us badly.", "A man called {who} came to the door.", "A girl named {who} asked for bread.", "The nurse, {who}, was very gentle.", "The tenant, {who}, has not paid.", "Her brother, {who}, drives a lorry.", "Our catechist {who} has fever.", "The widow {who} lives upstairs.", "{who}, on the day of burial.", "{who}, on the eve of the operation.", "Did anyone hear of {who} after Christmas?", "No news of {who} since Sunday.", "{who}, on what would be a birthday.", "{who}, thirty days after the funeral.", "We laid {who} to rest on Friday.", "They buried {who} at noon.", "The twins {who} and {who} were born too early.",
-    "I met {who} at the market.", "I spoke with {who} about it.", "Nobody believes {who} any more.", "I owe {who} a great deal.", "The police took {who} away.", "Somebody should ring {who} tonight.", "We are waiting for {who} to return.", "I was sent by {who}.", "I quarrelled with {who} over money.", "Without {who} we would be lost.", "It is {who} who keeps the keys.", "It was {who} that found the child.", "Do not show this to {who}, please.", "Let {who} know that I am sorry.", "The surgeon said to {who} that it is over.", "The letter came from {who} in June.", "Can anyone drive {who} to the clinic?", "Is {who} well enough to travel?", "When does {who} come back?", "Both {who} and her sister are in bed.", "I, {who}, promise to pay.", "I am {who}.", "I am {who}, a student.", "My name: {who}", "Name: {who}", "They call me {who}.", "You may call me {who}.", "The baby is to be called {who}.", "Happy feast day to {who}!", "Get well soon, {who}!", "Dear {who}, thank you.",
-    "Ask {who} for the list.", "We buried our friend {who} in the rain.", "The parents of {who} are worried.", "The house of {who} burned down.", "The exam of {who} is near.", "The mother of {who} is blind.", "Success for {who} in the test", "Safe journey for {who}", "Protection for {who} on the road", "Conversion of {who}", "Please bless {who} and all our children.", "Bless my sons {who} and {who}.", "For my wife {who} and our girl {who}.", "For {who} and {who} and their home.",
+    "{who} has lost a job and needs help.", "{who} fell ill on Sunday.", "{who} will be operated on tomorrow.", "{who} passed away last night.", "{who} is leaving for the seminary.", "{who} gave me your address.", "{who} cannot walk any longer.", "{who} wants to be baptised.", "{who} sat beside me in the ward.", "{who} and {who} are to be married.", "{who} and {who} no longer speak to each other.", "{who} told me to ask you.", "{who} teaches the little ones.", "{who} needs an operation soon.", "{who}, born in spring, is our first child.", "{who} died in an accident.", "{who} turns ninety this week.", "{who} was always kind to us.", "{who} thanks you all.",
+    "My friend {who} is far from God.", "My aunt {who} broke her hip.", "My cousin {who} has gone abroad.", "Our teacher {who} retires this year.", "His wife {who} expects a child.", "Her husband {who} is in prison.", "Our daughter {who} sits her last papers.", "My grandson {who} was bitten by a dog.", "My late uncle {who} loved this church.", "My boss {who} treats us badly.", "A man called {who} came to the door.", "A girl named {who} asked for bread.", "The nurse, {who}, was very gentle.", "Her brother, {who}, drives a lorry.", "Our catechist {who} has fever.", "The widow {who} lives upstairs.", "{who}, on what would be a birthday.", "{who}, thirty days after the funeral.", "The twins {who} and {who} were born too early.",
+    "I met {who} at the market.", "I spoke with {who} about it.", "Nobody believes {who} any more.", "I owe {who} a great deal.", "The police took {who} away.", "Somebody should ring {who} tonight.", "We are waiting for {who} to return.", "I quarrelled with {who} over money.", "Without {who} we would be lost.", "The letter came from {who} in June.", "Is {who} well enough to travel?", "When does {who} come back?", "I, {who}, promise to pay.", "I am {who}.", "I am {who}, a student.", "My name: {who}", "Name: {who}", "They call me {who}.", "You may call me {who}.", "The baby is to be called {who}.", "Happy feast day to {who}!", "Get well soon, {who}!", "Dear {who}, thank you.",
+    "Ask {who} for the list.", "The parents of {who} are worried.", "The house of {who} burned down.", "The exam of {who} is near.", "The mother of {who} is blind.", "Success for {who} in the test", "Safe journey for {who}", "Protection for {who} on the road", "Conversion of {who}", "Please bless {who} and all our children.", "Bless my sons {who} and {who}.", "For my wife {who} and our girl {who}.", "For {who} and {who} and their home.",
     # Khasi
-    "Nga dei {who}.", "Ka nam jong nga ka dei {who}.", "Duwai ïa {who} sngewbha.", "Kynmaw ïa {who} ha ka missa.", "U hynmen jong nga {who} u pang.", "Ka para jong nga {who} ka la khlad.", "U paralok jong nga u {who} u la leit.", "Khublei shibun, {who}", "Kyrpad duwai na bynta {who}.", "{who} u dang shong ha hospital.", "{who} ka la kha khun.", "Jingkoit na bynta {who}", "Ka kha jong nga, ka {who}, ka la tymmen.", "Ai jingsuk ïa ka mynsiem jong {who}.", "Ka nam ka long {who}.", "U nam jong u u long {who}.", "Ka hynmen jong phi, ka {who}, ka trei ha shnong.", "U kpa jong u, u {who}, u tymmen.", "Ngi ai missa na ka bynta {who}.", "Khot ïa {who} sha ïing.",
+    "Nga dei {who}.", "Duwai ïa {who} sngewbha.", "Kynmaw ïa {who} ha ka missa.", "U hynmen jong nga {who} u pang.", "Ka para jong nga {who} ka la khlad.", "U paralok jong nga u {who} u la leit.", "Khublei shibun, {who}", "Kyrpad duwai na bynta {who}.", "{who} u dang shong ha hospital.", "{who} ka la kha khun.", "Jingkoit na bynta {who}", "Ai jingsuk ïa ka mynsiem jong {who}.", "U nam jong u u long {who}.", "U kpa jong u, u {who}, u tymmen.", "Khot ïa {who} sha ïing.",
     # Spanish, French, German
     "Pidan por {who}, por favor.", "Mi amigo {who} perdió su trabajo.", "Mi nombre es {who}.", "Soy {who}.", "Mi tía {who} murió ayer.", "Saludos, {who}", "Por el alma de {who}", "{who} está en el hospital.", "Un abrazo, {who}", "Misa por {who}", "Priez pour {who}.", "Mon ami {who} a perdu son emploi.", "Je suis {who}.", "Mon nom est {who}.", "Ma tante {who} est morte hier.", "Cordialement, {who}", "Messe pour {who}", "{who} est à l'hôpital.", "Pour le repos de l'âme de {who}", "Betet für {who}.", "Mein Name ist {who}.", "Ich bin {who}.", "Meine Tante {who} ist krank.", "Viele Grüße, {who}", "{who} liegt im Krankenhaus.",
 )
 #: Names that stand as sentences, and a few that are no frames of prayers.
-ALONE: tuple[str, ...] = ("{person_name}", "{person_name}.", "{person_name} (gone home to God)", "Late {person_name}", "{person_name}, in memory", "{person_name} - {n}", "In memory of {person_name}", "{person_name}, aged {n2}", "{person_name} & family", "Family of {person_name}", "{person_name}, first anniversary", "Requiem for {person_name}", "Rest, {person_name}", "RIP: {person_name}", "R.I.P.: {person_name}", "+ {person_name}", "Birthday: {person_name}", "{person_name} / {person_name}", "{person_name} to be remembered on {date}.", "Anniversary of {person_name}", "RIP {person_name} {virtue} to all", "Rest in God {person_name} We sang for hours.", "{person_name} RIP", "RIP dear {person_name} Please light a lamp.")
+ALONE: tuple[str, ...] = ("{person_name}", "{person_name}.", "{person_name} (gone home to God)", "Late {person_name}", "{person_name}, in memory", "{person_name} - {n}", "In memory of {person_name}", "{person_name}, aged {n2}", "{person_name} & family", "Family of {person_name}", "Requiem for {person_name}", "Rest, {person_name}", "RIP: {person_name}", "R.I.P.: {person_name}", "+ {person_name}", "Birthday: {person_name}", "{person_name} / {person_name}", "{person_name} to be remembered on {date}.", "{person_name} RIP")
 #: Frames about ways to be reached.
 CONTACT: tuple[str, ...] = (
-    "My e-mail is {email}", "You will find me under {email}.", "Please answer to {email}.", "Mail {email}", "Mail: {email}", "Send it by mail to {email}.", "Forward the form to {email}, thank you.", "Use {email} and not the old one.", "{email}", "I read {email} every day.", "{email} works better than the phone.", "For a copy write {email}.", "Kindly confirm at {email} before noon.", "My son's mail, {email}, also works.", "Contact: {email}", "Contact me on {email}.", "Contact {email} soon.", "Contact us: {email}", "Reach me through {email}.", "Mail me ({email}) when you know.", "Nga don email: {email}", "Phah sha {email}.", "Ka email ka dei {email}.", "Mi email: {email}", "Respóndame en {email}.", "Pueden contestar a {email}.", "Mon mail : {email}", "Répondez-moi à {email}.", "Mein Mail: {email}", "Antwort bitte an {email}.",
-    "Our number is {phone}.", "ph. {phone}", "Ph: {phone}", "phone no. {phone}", "tel {phone}", "tel.: {phone}", "(tel. {phone})", "mob. {phone}", "Tél. {phone}", "Tfno. {phone}", "please ring, tel. {phone}, thank you", "Telephone {phone}", "Tel {phone}", "Mob. {phone}", "Cell: {phone}", "Ring me: {phone}", "Ring {phone} in the evening.", "Try {phone} or the office.", "WhatsApp: {phone}", "My WhatsApp is {phone}.", "Message me on {phone} if he comes.", "You can reach us under {phone} until nine.", "{phone} is my new number.", "{phone}", "Please phone {phone}.", "Please phone {phone} when the priest is there.", "The number to call is {phone}.", "I left {phone} with the sister.", "Dial {phone} and ask for the ward.", "Text me at {phone}.", "SMS {phone}", "Ka phone jong nga: {phone}", "Call sha {phone}.", "Phone sha {phone} mynmiet.", "Mi número: {phone}", "Pueden llamar al {phone}.", "Mi móvil es {phone}.", "Téléphonez au {phone}.", "Mon portable est le {phone}.", "Meine Telefonnummer: {phone}", "Rufen Sie {phone} an.",
-    "My {id_number} is with you already.", "I give you my {id_number}.", "I send the {id_number} as you asked.", "Attached: {id_number}", "They wanted my {id_number} at the counter.", "I was asked for the {id_number}.", "Somebody stole my card, {id_number}.", "My document is {id_number}.", "{id_number}", "Proof: {id_number}", "The clerk wrote down {id_number}.", "The form needs {id_number}, I think.", "Details: {id_number}", "Please note {id_number}.", "To prove it here is {id_number}.", "Our papers ({id_number}) were lost in the flood.", "Ka card jong nga: {id_number}", "Nga la ai {id_number}.", "Ka number kard ka dei {id_number}.", "Mi identidad: {id_number}", "Envío mi {id_number}.", "Ma carte : {id_number}", "Je joins {id_number}.", "Mein Ausweis: {id_number}",
-    "I live at {address}.", "We moved to {address}.", "My house is {address}.", "Address: {address}", "Post it to {address}.", "Knock at {address}, then wait.", "She is at {address}, on the top floor.", "Find us at {address}, next to the shop.", "The key hangs at {address}, left of the door.", "Please write to {address}.", "The patient lies at {address}, second door.", "You find us at {address}.", "Come to {address} after the Mass.", "The rosary is said at {address} every Monday.", "She rents a room at {address}.", "They took her to {address} by car.", "{address}", "From {address}", "Bring communion to {address}, please.", "Our shop at {address} was robbed.", "The parcel went to {address}.", "Nga shong ha ka {address}.", "Ka ïing ka don ha {address}.", "Wan sha {address}.", "Vivo en {address}.", "Nuestra casa es {address}.", "J'habite au {address}.", "Notre maison est au {address}.", "Ich wohne in {address}.", "Unsere Wohnung: {address}",
+    "My e-mail is {email}", "You will find me under {email}.", "Please answer to {email}.", "Mail {email}", "Mail: {email}", "Send it by mail to {email}.", "Forward the form to {email}, thank you.", "Use {email} and not the old one.", "{email}", "I read {email} every day.", "For a copy write {email}.", "Kindly confirm at {email} before noon.", "My son's mail, {email}, also works.", "Contact: {email}", "Contact me on {email}.", "Contact us: {email}", "Reach me through {email}.", "Mail me ({email}) when you know.", "Nga don email: {email}", "Phah sha {email}.", "Ka email ka dei {email}.", "Mi email: {email}", "Respóndame en {email}.", "Pueden contestar a {email}.", "Mon mail : {email}", "Répondez-moi à {email}.", "Mein Mail: {email}", "Antwort bitte an {email}.",
+    "Our number is {phone}.", "ph. {phone}", "Ph: {phone}", "phone no. {phone}", "tel {phone}", "tel.: {phone}", "(tel. {phone})", "mob. {phone}", "Tél. {phone}", "Tfno. {phone}", "please ring, tel. {phone}, thank you", "Telephone {phone}", "Tel {phone}", "Mob. {phone}", "Cell: {phone}", "Ring me: {phone}", "Try {phone} or the office.", "WhatsApp: {phone}", "My WhatsApp is {phone}.", "You can reach us under {phone} until nine.", "{phone} is my new number.", "{phone}", "Please phone {phone}.", "The number to call is {phone}.", "I left {phone} with the sister.", "Dial {phone} and ask for the ward.", "Text me at {phone}.", "SMS {phone}", "Ka phone jong nga: {phone}", "Call sha {phone}.", "Phone sha {phone} mynmiet.", "Mi número: {phone}", "Pueden llamar al {phone}.", "Mi móvil es {phone}.", "Téléphonez au {phone}.", "Mon portable est le {phone}.", "Meine Telefonnummer: {phone}", "Rufen Sie {phone} an.",
+    "My {id_number} is with you already.", "I give you my {id_number}.", "I send the {id_number} as you asked.", "Attached: {id_number}", "Somebody stole my card, {id_number}.", "My document is {id_number}.", "{id_number}", "Proof: {id_number}", "The clerk wrote down {id_number}.", "The form needs {id_number}, I think.", "Details: {id_number}", "Please note {id_number}.", "To prove it here is {id_number}.", "Ka card jong nga: {id_number}", "Nga la ai {id_number}.", "Ka number kard ka dei {id_number}.", "Mi identidad: {id_number}", "Envío mi {id_number}.", "Ma carte : {id_number}", "Je joins {id_number}.", "Mein Ausweis: {id_number}",
+    "I live at {address}.", "We moved to {address}.", "My house is {address}.", "Address: {address}", "Post it to {address}.", "She is at {address}, on the top floor.", "Please write to {address}.", "You find us at {address}.", "Come to {address} after the Mass.", "The rosary is said at {address} every Monday.", "She rents a room at {address}.", "They took her to {address} by car.", "{address}", "From {address}", "Bring communion to {address}, please.", "Our shop at {address} was robbed.", "The parcel went to {address}.", "Nga shong ha ka {address}.", "Ka ïing ka don ha {address}.", "Wan sha {address}.", "Vivo en {address}.", "Nuestra casa es {address}.", "J'habite au {address}.", "Notre maison est au {address}.", "Ich wohne in {address}.", "Unsere Wohnung: {address}",
 )
 #: Frames without personal data.
 WITHOUT: tuple[str, ...] = (
-    "Saint {given}, protect our home.", "Saint {given} knew hunger too.", "Saint {given} was a shepherd.", "Saint {given} and Saint {given}, intercede.", "St. {given}, find my keys.", "St {given} church is being painted.", "We made a vow to St. {given}.", "We go to the shrine of St. {given}.", "St. {given}'s has a new bell.", "The statue of Saint {given} fell.", "The novena to Saint {given} begins on {date}.", "I was confirmed at St. {given} Cathedral.", "Blessed {given}, be near us.", "San {given}, protégenos.", "Santa {given}, intercede.", "Sainte {given}, veille sur nous.", "Sainte {given}, aide-nous.", "Notre-Dame de {place}, aidez-nous.", "Sancte {given}, ora pro nobis.", "Sancta {given}, intercede pro nobis.", "Sainte {given}, patronne des malades, priez.", "Saint {given}, gardez-nous.", "San {given} bendito, ayuda.", "Die heilige {given} half mir.", "Santo {given}, escucha.", "Nuestra Señora de {place}, ruega.", "Saint {given} de {place}, priez.", "Heiliger {given}, bitte für uns.", "Sankt {given} hilf.", "U Saint {given}, duwai na bynta jong ngi.", "Sancta {given}, ora.", "The {given} of the Bible was no coward.",
+    "Saint {given} knew hunger too.", "Saint {given} was a shepherd.", "Saint {given} and Saint {given}, intercede.", "St. {given}, find my keys.", "St {given} church is being painted.", "We go to the shrine of St. {given}.", "St. {given}'s has a new bell.", "The statue of Saint {given} fell.", "The novena to Saint {given} begins on {date}.", "I was confirmed at St. {given} Cathedral.", "Blessed {given}, be near us.", "San {given}, protégenos.", "Santa {given}, intercede.", "Sainte {given}, veille sur nous.", "Sainte {given}, aide-nous.", "Notre-Dame de {place}, aidez-nous.", "Sancte {given}, ora pro nobis.", "Sancta {given}, intercede pro nobis.", "Sainte {given}, patronne des malades, priez.", "Saint {given}, gardez-nous.", "San {given} bendito, ayuda.", "Die heilige {given} half mir.", "Santo {given}, escucha.", "Nuestra Señora de {place}, ruega.", "Saint {given} de {place}, priez.", "Heiliger {given}, bitte für uns.", "Sankt {given} hilf.", "U Saint {given}, duwai na bynta jong ngi.", "Sancta {given}, ora.", "The {given} of the Bible was no coward.",
     "Holy Mary, be with us.", "Mother Mary, cover us.", "Hail Mary, full of grace.", "Jesus, have mercy on me.", "Lord Jesus, I need you.", "Jesus Christ is Lord.", "Sacred Heart of Jesus, I come.", "Immaculate Heart of Mary, help.", "Our Lady of {place}, guard us.", "Our Lady of {place} chapel needs a fence.", "Our Lady of Sorrows, be near.", "Good Shepherd, lead me.", "Holy Spirit, come.", "Holy Family, keep our home.", "Virgin Mary, Mother of Mercy.", "Almighty Father, forgive.", "Saint Joseph, help the workers.", "God the Father sees all.", "Jesús, en ti confío.", "Virgen María, ruega.", "Seigneur Jésus, prends pitié.", "Ko Jisu, map ïa nga.", "Ko Kmie Maria, duwai.", "Ko Trai Blei, sngap.",
     "The gospel of John moves me.", "We read Ruth and Esther this week.", "Daniel was thrown to lions.", "Job lost all that he had.", "The psalms of David are many.", "Peter denied him three times.", "Paul wrote from prison.", "Martha served and Mary listened.", "Abraham believed.", "Moses struck the rock.", "Like Thomas I doubt.", "The letter to Timothy was read.",
     "Easter came late.", "Palm Sunday was wet.", "Holy Week is near.", "Corpus Christi was a great day.", "Ash Wednesday is a fast day.", "Trinity Sunday is next.", "The Rosary Sunday drew a crowd.", "Mercy House is shut.", "Grace Hall is booked.", "Hope Centre needs chairs.", "Faith Nursery opens in June.", "The Blessing of the fields was short.", "Mercy and truth have met.", "Grace is free.", "Hope does not fail.", "Charity begins at home.", "Joy came in the morning.", "Patience is hard.", "Peace be upon this house.", "Grace be with you.",
-    "The road from {place} is broken.", "The bridge at {place} fell.", "The people of {place} are kind.", "The school in {place} is closed.", "We come from {place} each month.", "Our group in {place} is small.", "The mission at {place} has no roof.", "{place} is far away.", "The youth of {place} sang.", "A storm hit {place}.", "The {place} fair was rained off.", "The diocese of {place} has few priests.", "The {street} market is noisy.", "{street} is under water.", "The hall on {street} leaks.", "Traffic on {street} was bad.", "The clinic near {street} is full.", "The {given} Hall is let.", "{given} Memorial School won.", "The {given} Institute is shut.", "St. {given} Hospital is full.", "Lourdes is on my mind.", "We flew to Rome.", "They flew to Paris.", "We sailed to Goa.", "He studied in Dublin.", "She works in Dubai.", "We saw Assisi.", "The way to {place} is long.", "The path to {place} is steep.", "No bus goes to {place} now.", "They walked to {place} and back.", "The train to {place} was late.", "Towards {place} the fields are dry.", "Between {place} and {place} there is no bridge.", "North of {place} it snowed.", "In {place} they fast.", "Near {place} a child drowned.", "Rain fell on {place}.", "I was born in {place}.", "A pilgrimage to {place} is planned.", "The nuns at {place} bake bread.", "Floods reached {place} and {place}.", "The border at {place} is shut.", "My village, {place}, has no well.", "{place} and {place} are at war.", "Buses to {place} are full.", "The journey to {place} takes days.", "They moved to {place} in winter.", "The line to {place} is down.", "We sent rice to {place} last year.", "The bridge to {place} is new.", "A road to {place} was promised.", "Every road to {place} is mud.", "The climb to {place} is steep.", "A letter to {place} takes weeks.", "Khasi hymns are lovely.", "The Sodality met.", "The Society of the Bell meets.", "The Choir of Angels sang.", "The Catholic Union has a stall.", "The Bishop came.", "Father said yes.", "Sister is away.", "Dear Father, I need help.", "Dear Sister, thank you.", "Dear Bishop, please come.",
-    "We sang hymn {n3}.", "Hymn {n2}, verse {n1}.", "Hymnal {n4}, page {n2}", "We prayed {n2} rosaries.", "We prayed 9 x 9 Hail Marys.", "The bill came to {n4}.", "A bill for Rs. {n4} is due.", "We gave Rs {n2},{n3}.", "It costs {n3}.{n2} a month.", "We raised Rs {n2},{n3} in all.", "Rs. {n1},{n3} was stolen.", "INR {n4} were paid.", "The roof costs Rs {n1},{n2},{n3} or more.", "Some {n1},{n3} rupees are left.", "They want USD {n3} and {n2}.{n2} for the stamp.", "A gift of € {n2} came.", "$ {n3} was found.", "Salary {n2},{n3} a month.", "Offering: {n3}.{n2}", "Bus {n3} stops here.", "The bus no. {n2} is gone.", "Train {n4} was late.", "Flight {n3} was full.", "Ward {n2}, bed {n1}", "Gate {n2} is shut.", "Group {n1} sang.", "Receipt {n6} is lost.", "Ticket no. {n6}", "Request {n4} was closed.", "My request no. {n6} waits.", "Order number {n8} has not come.", "Invoice {n4}/{n2}", "Booking number {n6} is ours.", "Parcel number {n8} was sent back.", "The reference number {n8} is at the top.", "Song number {n3} is new.", "Lot number {n4} was sold.", "See text {n4}-{n4}.", "Sections {n3} to {n3} are dull.", "Page {n3} is torn.", "Genesis {n2}:{n1}", "Luke {n1}:{n2}-{n2} speaks to me.", "Read Psalm {n3}.", "It was {n2}.{n2} in the night.", "At {n1}:{n2} pm the lights went.", "On {date} we met.", "Since {slashdate} nothing.", "From {y} until {y} I was a soldier.", "In {y} the church was built.", "The class of {y} meets.", "Room {n3}, second floor, is cold.", "Bus {n2} is late.", "Seat {n2}B is mine.", "Cell {n2}, third corridor, is damp.", "Bed {n2} by the window is free.", "Row {n2}, left side, is ours.", "Hall {n1}, ground floor, is hot.", "Shelf {n2}, top row", "Table {n1} was laid.", "About {n1},{n3} people came.", "{n2} km on foot.", "{n2} years ago.", "A family of {n1}.", "File {n4}/{n4} is missing.", "Our mark is {y}/{n4}/{n2}.", "Version {n1}.{n1}.{n2}", "The score was {n1}-{n1}.", "{n2}% of us came.", "Item {n4}-{n1} is sold.", "Psaume {n2}, verset {n1}.", "Salmo {n3}", "Page web {n2}", "Ka kot {n3}",
-    "Look it up on www.{word}.example.", "The site https://{word}.example/{n4} is down.", "www.{word}.org has the times.", "We meet @ 7.", "See you @ the hall.", "Post is slow.", "The mail was late.", "Phone the office.", "My phone is broken.", "The telephone tower fell.", "Text me later.", "My email is full.", "Send no money.", "Our number grows.", "My identity is in God.", "I lost my passport.", "The address was wrong.", "I have no address.", "They live in a tent.", "We live by faith.", "Call on the Lord.", "Ring the bell.", "Contact the office.", "Contact was lost.", "The Mass card came back.", "Our Mass hall is cold.", "The Mass leaflet {y}/{n4} is torn.",
+    "The bridge at {place} fell.", "The people of {place} are kind.", "The school in {place} is closed.", "We come from {place} each month.", "Our group in {place} is small.", "The mission at {place} has no roof.", "{place} is far away.", "The youth of {place} sang.", "A storm hit {place}.", "The {place} fair was rained off.", "The diocese of {place} has few priests.", "The {street} market is noisy.", "The hall on {street} leaks.", "Traffic on {street} was bad.", "The clinic near {street} is full.", "The {given} Hall is let.", "{given} Memorial School won.", "The {given} Institute is shut.", "St. {given} Hospital is full.", "Lourdes is on my mind.", "We flew to Rome.", "They flew to Paris.", "We sailed to Goa.", "He studied in Dublin.", "She works in Dubai.", "We saw Assisi.", "The way to {place} is long.", "The path to {place} is steep.", "No bus goes to {place} now.", "They walked to {place} and back.", "The train to {place} was late.", "Towards {place} the fields are dry.", "Between {place} and {place} there is no bridge.", "North of {place} it snowed.", "In {place} they fast.", "Near {place} a child drowned.", "Rain fell on {place}.", "I was born in {place}.", "A pilgrimage to {place} is planned.", "The nuns at {place} bake bread.", "Floods reached {place} and {place}.", "The border at {place} is shut.", "My village, {place}, has no well.", "{place} and {place} are at war.", "Buses to {place} are full.", "The journey to {place} takes days.", "They moved to {place} in winter.", "The line to {place} is down.", "We sent rice to {place} last year.", "The bridge to {place} is new.", "Every road to {place} is mud.", "The climb to {place} is steep.", "A letter to {place} takes weeks.", "Khasi hymns are lovely.", "The Sodality met.", "The Society of the Bell meets.", "The Choir of Angels sang.", "The Catholic Union has a stall.", "The Bishop came.", "Father said yes.", "Sister is away.", "Dear Father, I need help.", "Dear Sister, thank you.", "Dear Bishop, please come.",
+    "Hymnal {n4}, page {n2}", "We prayed {n2} rosaries.", "We prayed 9 x 9 Hail Marys.", "The bill came to {n4}.", "A bill for Rs. {n4} is due.", "We gave Rs {n2},{n3}.", "It costs {n3}.{n2} a month.", "We raised Rs {n2},{n3} in all.", "Rs. {n1},{n3} was stolen.", "INR {n4} were paid.", "The roof costs Rs {n1},{n2},{n3} or more.", "Some {n1},{n3} rupees are left.", "They want USD {n3} and {n2}.{n2} for the stamp.", "A gift of € {n2} came.", "$ {n3} was found.", "Salary {n2},{n3} a month.", "Offering: {n3}.{n2}", "Train {n4} was late.", "Flight {n3} was full.", "Ward {n2}, bed {n1}", "Gate {n2} is shut.", "Group {n1} sang.", "Receipt {n6} is lost.", "Ticket no. {n6}", "Order number {n8} has not come.", "Invoice {n4}/{n2}", "Booking number {n6} is ours.", "Parcel number {n8} was sent back.", "The reference number {n8} is at the top.", "Song number {n3} is new.", "Lot number {n4} was sold.", "See text {n4}-{n4}.", "Page {n3} is torn.", "Genesis {n2}:{n1}", "Luke {n1}:{n2}-{n2} speaks to me.", "Read Psalm {n3}.", "It was {n2}.{n2} in the night.", "At {n1}:{n2} pm the lights went.", "On {date} we met.", "Since {slashdate} nothing.", "From {y} until {y} I was a soldier.", "In {y} the church was built.", "The class of {y} meets.", "Room {n3}, second floor, is cold.", "Bus {n2} is late.", "Seat {n2}B is mine.", "Cell {n2}, third corridor, is damp.", "Bed {n2} by the window is free.", "Row {n2}, left side, is ours.", "Hall {n1}, ground floor, is hot.", "Shelf {n2}, top row", "Table {n1} was laid.", "About {n1},{n3} people came.", "{n2} km on foot.", "{n2} years ago.", "A family of {n1}.", "File {n4}/{n4} is missing.", "Version {n1}.{n1}.{n2}", "The score was {n1}-{n1}.", "{n2}% of us came.", "Item {n4}-{n1} is sold.", "Psaume {n2}, verset {n1}.", "Salmo {n3}", "Page web {n2}", "Ka kot {n3}",
+    "Look it up on www.{word}.example.", "The site https://{word}.example/{n4} is down.", "www.{word}.org has the times.", "See you @ the hall.", "Post is slow.", "The mail was late.", "Phone the office.", "My phone is broken.", "The telephone tower fell.", "Text me later.", "My email is full.", "Send no money.", "Our number grows.", "My identity is in God.", "I lost my passport.", "The address was wrong.", "I have no address.", "They live in a tent.", "We live by faith.", "Call on the Lord.", "Ring the bell.", "Contact the office.", "Contact was lost.", "Our Mass hall is cold.",
     "I want {virtue}.", "I lack {virtue} and {virtue}.", "Give us {virtue}, O Lord.", "Teach me {virtue}.", "{virtue} is all I ask.", "{virtue}, {virtue} and {virtue}.", "Only {virtue} helps.", "My {kin} needs {virtue}.", "Let {kin} learn {virtue}.", "With {virtue} we go on.", "For {virtue} at work.", "Thanks for {virtue} in trouble.", "Where is {virtue} in this house?", "No {virtue} without prayer.",
     "Thank you.", "Thanks and regards", "Yours sincerely", "Amen.", "In prayer", "God bless you.", "A sinner", "Anonymous", "No name please.", "My name does not matter.", "I would rather not say my name.", "From a friend", "A worried mother", "A parishioner", "Please help.", "Healing", "Thanksgiving", "Special intention", "All souls", "Private intention", "Peace in the family", "Deceased members", "The holy souls", "For the dead.", "Birthday", "Wedding anniversary", "First Holy Communion", "Good Friday", "Exam success",
 )
@@ -213,6 +215,19 @@ def soup(rng: random.Random, unknown) -> str:
     return " ".join(words) + rng.choice(".....!? ").strip()
 
 
+def named_soup(rng: random.Random) -> list[tuple[str, str]]:
+    """A made-up sentence with a private person somewhere, or with a place after a word that leads to one."""
+    words = soup(rng, unknown).split()
+    k = rng.randint(0, len(words))
+    before, after = " ".join(words[:k]), " ".join(words[k:])
+    if rng.random() < 0.65:
+        lead = rng.choice(["", "", "", f"my {rng.choice(KIN)} ", f"our {rng.choice(KIN)} ", f"the {rng.choice(KIN)}, ", "with ", "and "])
+        name, kind = person_name(rng), "person_name"
+    else:
+        lead, name, kind = rng.choice(["in ", "at ", "from ", "near ", "of ", "towards ", "en ", "à ", "ha ", "na "]), place(rng), ""
+    return [(x, t) for x, t in (((before + " " if before else "") + lead, ""), (name, kind), (" " + after if after else ".", "")) if x]
+
+
 def _sentences() -> tuple[str, ...]:
     """Sentences of the language table in which nobody is named: running text of six languages without personal data."""
     from quire.llm.lang_seeds import SEEDS
@@ -235,6 +250,8 @@ def table(held: bool | None = None, seed: int = 11, per_who: int = 18, per_conta
     plain = of(_sentences())
     rows += [[(t, "")] for t in plain for _ in range(2)]
     rows += [[(soup(rng, unknown) + "\u200b", "")] for _ in range(soups)]
+    # marked as made up, so that their words are not taken for known ones
+    rows += [[(x if t else x + "\u200b", t) for x, t in named_soup(rng)] for _ in range(soups * 2 // 3)]
     # the same in lower case, without end mark, or next to another sentence, as a missing mark or a comma joins them
     out = []
     for r in rows:
