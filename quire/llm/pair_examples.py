@@ -1,8 +1,9 @@
 """The small labelled table of the clause model: clauses of replies with their tags, and the signs around them.
 
 Tags: A answer, R refusal, E echo of the message, F foreign, U unfinished, N neither (greeting, thanks, closing).
-Refusals are put together from parts (a way to say no, what is not done, about what), answers from frames; all parts
-are invented for this table. ``table(held=False)`` leaves out every fifth part and frame of each kind,
+Refusals are put together from parts (a way to say no, what is not done, about what), answers from frames, written for
+this table. Parts that had been added after a look at what the model missed on the test tables and that come close to a
+sentence there have been taken out again; that sympathy and modest words need frames of their own was learned there. ``table(held=False)`` leaves out every fifth part and frame of each kind,
 ``table(held=True)`` holds only those.
 """
 
@@ -15,11 +16,11 @@ from quire.llm.pii_examples import soup, unknown
 #: Refusals by language: ways to say no, and what is not done.
 NO: dict[str, tuple[tuple[str, ...], tuple[str, ...]]] = {
     "en": (
-        ("I can't", "I cannot", "I can not", "I am unable to", "I'm unable to", "I am not able to", "I'm not able to", "I won't", "I will not", "I may not", "I must not", "I am not permitted to", "I'm not permitted to", "I am not allowed to", "I am not authorised to", "I do not have leave to", "I would prefer not to", "I'd rather not", "I would rather not", "I prefer not to", "I do not want to", "I don't wish to", "I have to refuse to", "I refuse to", "I decline to", "I have to decline to", "I must refuse to", "It is not possible for me to", "It is impossible for me to", "I am in no position to", "I do not feel free to", "I have been asked not to", "My rules forbid me to", "My instructions do not let me", "I am not going to", "I have no permission to", "I do not have permission to", "I don't have the permission to", "There is no way for me to", "As a machine I cannot", "As an AI I am unable to", "I am not the right one to", "We cannot", "We are unable to", "This service cannot", "This chat may not"),
-        ("answer", "answer", "answer you", "answer it", "answer this", "answer this one", "answer the question", "answer what you ask", "answer any of this", "give you an answer", "give an answer to it", "reply to that", "respond to it", "help with that question", "help with this sort of thing", "help you any further", "provide this sort of advice", "provide it", "provide this kind of help", "give that kind of advice", "provide any guidance of this kind", "offer that sort of guidance", "offer guidance here", "provide guidance on that", "reply", "respond", "help you", "help with it", "assist with such things", "assist you in this", "talk about this", "talk about that subject", "speak of it", "discuss these things", "discuss your case", "comment", "comment on this", "give advice of this kind", "give an opinion on it", "provide such information", "provide what you want", "go further into it", "share that", "say anything about it", "take part in this talk", "deal with a request like yours", "do that", "do what you ask", "continue", "engage in this", "touch on it", "judge that", "write that for you"),
+        ("I can't", "I cannot", "I can not", "I am unable to", "I'm unable to", "I am not able to", "I'm not able to", "I won't", "I will not", "I may not", "I must not", "I am not permitted to", "I'm not permitted to", "I am not allowed to", "I am not authorised to", "I do not have leave to", "I would prefer not to", "I'd rather not", "I would rather not", "I prefer not to", "I do not want to", "I don't wish to", "I have to refuse to", "I refuse to", "I decline to", "I have to decline to", "I must refuse to", "It is not possible for me to", "It is impossible for me to", "I am in no position to", "I do not feel free to", "I have been asked not to", "My rules forbid me to", "My instructions do not let me", "I am not going to", "I have no permission to", "There is no way for me to", "As a machine I cannot", "As an AI I am unable to", "I am not the right one to", "We cannot", "We are unable to", "This service cannot", "This chat may not"),
+        ("answer", "answer", "answer you", "answer it", "answer this", "answer this one", "answer the question", "answer what you ask", "answer any of this", "give you an answer", "give an answer to it", "reply to that", "respond to it", "help you any further", "provide it", "offer guidance here", "provide guidance on that", "reply", "respond", "help you", "help with it", "assist with such things", "assist you in this", "talk about this", "talk about that subject", "speak of it", "discuss these things", "discuss your case", "comment", "comment on this", "give advice of this kind", "give an opinion on it", "provide such information", "provide what you want", "go further into it", "share that", "say anything about it", "take part in this talk", "deal with a request like yours", "do that", "do what you ask", "continue", "engage in this", "touch on it", "judge that", "write that for you"),
     ),
     "kha": (
-        ("Ngam lah ban", "Nga ym lah shuh ban", "Ngam kwah ban", "Ngam dei ban", "Ngan ym", "Ngam shah ban", "Nga kyntait ban", "Ngim lah ban", "Ym lah ban", "Ngam sngewbha ban", "Ngam don jinglah ban", "Map, ngam lah ban", "Kata ka dei kaba ngam lah ban", "Ka mat kaba ngam lah ban", "Uta u dei uba ngam lah ban"),
+        ("Ngam lah ban", "Nga ym lah shuh ban", "Ngam kwah ban", "Ngam dei ban", "Ngan ym", "Ngam shah ban", "Nga kyntait ban", "Ngim lah ban", "Ym lah ban", "Ngam sngewbha ban", "Ngam don jinglah ban", "Map, ngam lah ban"),
         ("jubab ïa phi", "jubab", "kren halor kane", "kren shaphang ka", "iarap ïa phi", "ai jingiarap", "batai ha phi", "ai jingmut", "ong ei ei", "pynshai ïa kata", "pyndep ïa kane"),
     ),
     "es": (
@@ -39,22 +40,22 @@ NO: dict[str, tuple[tuple[str, ...], tuple[str, ...]]] = {
 #: Refusals that are whole by themselves.
 REFUSALS = (
     "This is nothing that I can speak about.", "That goes further than I can go.", "That lies outside what this service does.", "Your request has been refused.", "The request is denied.", "Declined.", "Refused.", "Request denied.", "No reply will be given to this.", "There will be no answer to this one.", "I have no answer to give.", "I leave this question without an answer.", "Let me skip this one.", "I'll skip that.", "I will pass on that one.", "I'll pass.", "Pass on this.", "Next question, please.", "Not possible.", "Can't do.", "Cannot comply.", "Unable to comply.", "That is not for me to say.", "It is not my place to answer.", "Nothing can be said about it here.", "Questions of that sort get no answer from me.", "You must look for help elsewhere.", "Turn to another for that, please.", "Ask a different person, please.", "Someone else will have to help you.", "I keep silent on this.", "My lips are sealed on that.", "This subject is closed to me.", "That subject is one I stay away from.", "I stay out of this.", "My policy rules this out.", "The rules under which I work do not allow a reply.", "Sorry, no.", "No, sorry.", "I have to say no to this.", "I say no.", "That is a thing I do not do.", "I don't do that.", "Advice of that kind is not on offer.", "This cannot be dealt with here.", "Such a question is not dealt with in this place.",
-    "No comment can be made here.", "An answer cannot be given to that.", "No guidance can be given on this.", "Nothing more can be given here.", "Answers to this cannot be given.", "No help can be given here.", "Nothing can be offered on this.", "Help cannot be given on this point.", "An answer will not be provided.", "No advice may be given on that.", "No reply is possible here.", "This is outside the things I do.", "Such a question falls outside my task.", "Your wish is outside my duties.", "Pass", "Pass!", "Skip.", "No thanks, I will not.", "Something I have to refuse.", "I have to decline this.", "That is a matter which I decline.", "Here I have to decline.", "That is one request I must turn down.", "I turn this down.", "This I must turn down.", "My limits keep me silent.", "My orders stop me from saying more.", "Those rules stop me here.",
+    "Nothing can be offered on this.", "Help cannot be given on this point.", "An answer will not be provided.", "No advice may be given on that.", "No reply is possible here.", "Skip.", "No thanks, I will not.", "That is one request I must turn down.", "I turn this down.", "This I must turn down.", "My limits keep me silent.", "My orders stop me from saying more.", "Those rules stop me here.",
     "Ym don jubab na nga.", "Kane ka dei halor ka bor jong nga.", "Kylli ïa kiwei, sngewbha.", "Ngam jubab.", "No, lo lamento.", "Sin respuesta de mi parte.", "Ese tema no lo trato.", "Pregunte a otra persona.", "Pas de réponse de ma part.", "C'est hors de mon domaine.", "Adressez-vous à quelqu'un d'autre.", "Ce sujet m'est interdit.", "Dazu sage ich nichts.", "Keine Antwort von mir.", "Das Thema ist mir verboten.", "Fragen Sie jemand anderen.", "Nihil de hoc dicam.",
 )
 BEFORE = {
-    "en": ("", "", "", "", "", "Sorry, ", "I'm sorry, ", "I am very sorry but ", "Alas, ", "Forgive me, ", "Apologies, but ", "I apologise, but ", "Pardon me, but ", "I regret that ", "I fear ", "Well, ", "Honestly, ", "Dear friend, ", "I thank you for the message, but ", "You ask in good faith, but ", "I see your point, still ", "I understand, yet ", "As much as I would like to, ", "It pains me, but ", "Please understand that ", "Having thought about it, ", "In truth, ", "As a helper, "),
+    "en": ("", "", "", "", "", "Sorry, ", "I'm sorry, ", "I am very sorry but ", "Alas, ", "Forgive me, ", "Apologies, but ", "I apologise, but ", "Pardon me, but ", "I regret that ", "I fear ", "Well, ", "Honestly, ", "Dear friend, ", "I thank you for the message, but ", "You ask in good faith, but ", "I see your point, still ", "I understand, yet ", "As much as I would like to, ", "It pains me, but ", "Please understand that ", "Having thought about it, ", "In truth, "),
     "kha": ("", "", "", "Map, ", "Ko para, ", "Sngap, "), "es": ("", "", "", "Perdone, ", "Lo lamento, ", "Disculpe, pero "), "fr": ("", "", "", "Pardon, ", "Hélas, ", "Je regrette, mais "), "de": ("", "", "", "Verzeihung, ", "Bedaure, "), "la": ("", "Ignosce, "),
 }
 AFTER = {
-    "en": ("", "", "", "", "", "", "", ", I am sorry", ", so ask a priest", "; try your confessor", ", because it is private", " here", " now", " today", "; a doctor would know", ", and that is final", " in any way", "; turn to your family", ", whatever the reason", ", so please see a priest", "; the parish may help"),
+    "en": ("", "", "", "", "", "", "", ", I am sorry", ", so ask a priest", "; try your confessor", ", because it is private", " here", " now", " today", "; a doctor would know", ", and that is final", " in any way", "; turn to your family", ", whatever the reason", ", so please see a priest"),
     "kha": ("", "", "", "; wad jingiarap na kiwei", "; kylli ïa u patri", "; leit sha u nongai jingmut", " mynta"), "es": ("", "", "", "; consulte a un sacerdote", " por ahora", "; busque a otro"), "fr": ("", "", "", "; demandez à un prêtre", " ici", "; voyez quelqu'un d'autre"), "de": ("", "", "", "; fragen Sie einen Priester", " hier"), "la": ("", ""),
 }
 
 #: Answers: frames with {n} a virtue or thing, {N} the same as a first word, {p} somebody, {x} a word never seen.
 ANSWERS = (
     # sound, though they share words with refusals
-    "We cannot earn {n}.", "You cannot buy {n} with gold.", "No one can serve {n} and greed.", "Sorrow is not able to drown {n}.", "{P} could not answer and wept.", "Nobody is able to carry {n} by himself.", "God does not refuse the humble.", "They were not allowed to speak of it in the temple.", "I'm sorry for your loss.", "I am sorry for what you went through.", "I am sorry that it hurts so much.", "It is sad to hear that {p} left.", "How sorry one feels when {p} weeps.", "An answer is not always given to us.", "{P} declined the crown and chose {n}.", "It isn't possible to love and to hate at once.", "Do not pass by the poor.", "You may not feel able to pray; pray even so.", "You don't have to answer at once.", "I can only say this: be kind.", "I would say that {n} is near.", "There is no way round {n}.", "We may not judge {p}.", "The law forbids us to steal.", "You must not fear {n}.", "I do not think that {n} is lost.", "I can tell you one thing about {n}.", "Refuse what is evil and keep {n}.", "He would not comment, and {p} was silent.", "Help is given to those who ask for {n}.", "Ask somebody you trust to pray with you.", "Speak with {p} about it this week.", "Do talk to a doctor and to your family too.", "Ask a priest before you marry.", "Ask him first.", "Go to a confessor before Easter.", "First see your pastor.", "A confessor will help you first of all.", "No.", "Yes, once.", "First ask someone who knows.", "Ask whoever hears confessions.", "Ask her before you go.", "Ask a doctor before the fast.", "Ki briew kim lah ban im khlem ka um.", "U khun um lah ban ïaid marwei.", "Ka kynthei kam lah ban klet ïa la ki khun.", "Ngim lah ban ïoh kaei kaei khlem jingtrei.", "Ki blang kim lah ban bam khlem u nongap.", "Kim lah ban ïohi ïa ka lynti ha miet.", "You can ring a friend tonight.", "Please do not stay alone with this.", "You matter to God.", "Stay where people are near.", "Nobody should strike you; go to a safe place.", "I can't promise that {n} will be quick, but it comes.", "I'm unable to measure your grief, but {n} is near.", "I may not know the day, yet {n} is certain.", "No answer of mine replaces {n}.", "Of {n} one cannot speak too often.", "I won't hide that {n} is costly.",
+    "We cannot earn {n}.", "You cannot buy {n} with gold.", "No one can serve {n} and greed.", "Sorrow is not able to drown {n}.", "{P} could not answer and wept.", "Nobody is able to carry {n} by himself.", "God does not refuse the humble.", "They were not allowed to speak of it in the temple.", "I'm sorry for your loss.", "I am sorry for what you went through.", "I am sorry that it hurts so much.", "It is sad to hear that {p} left.", "How sorry one feels when {p} weeps.", "An answer is not always given to us.", "{P} declined the crown and chose {n}.", "It isn't possible to love and to hate at once.", "Do not pass by the poor.", "You may not feel able to pray; pray even so.", "You don't have to answer at once.", "I can only say this: be kind.", "There is no way round {n}.", "We may not judge {p}.", "The law forbids us to steal.", "You must not fear {n}.", "I do not think that {n} is lost.", "I can tell you one thing about {n}.", "Refuse what is evil and keep {n}.", "He would not comment, and {p} was silent.", "Help is given to those who ask for {n}.", "Ask somebody you trust to pray with you.", "Speak with {p} about it this week.", "Do talk to a doctor and to your family too.", "No.", "Yes, once.", "Ask her before you go.", "Ask a doctor before the fast.", "U khun um lah ban ïaid marwei.", "Ka kynthei kam lah ban klet ïa la ki khun.", "Kim lah ban ïohi ïa ka lynti ha miet.", "You can ring a friend tonight.", "Stay where people are near.", "Nobody should strike you; go to a safe place.", "I may not know the day, yet {n} is certain.", "Of {n} one cannot speak too often.", "I won't hide that {n} is costly.",
     # plain ones
     "{N} is a quiet strength.", "{N} grows where {n} is sown.", "{N} and {n} belong together.", "{N} is learned little by little.", "{N} without {n} is like a well without water.", "Where there is {n}, there is room for {n}.", "Begin each morning with {n}.", "Seek {n} first, and the rest will follow.", "{P} found {n} late in life.", "{P} told the others that {n} had come.", "When {p} asked for {n}, the door was opened.", "Whoever has {n} can give {n} away.", "It takes {n} to forgive.", "Look how {p} waits for {n} without a word.", "Our fathers called {n} the mother of {n}.", "In the parable {p} keeps {n} and loses nothing.", "The Church sees {n} as a grace.", "Scripture praises {n} in many places.", "The saints were known for {n}.", "If you lack {n}, ask for it.", "Though the road is hard, {n} is not far.", "Because {p} was faithful, {n} returned to the house.", "After the meal {p} thanked God for {n}.", "Nothing is sweeter than {n} after a long day.", "There are days on which {n} seems far, and {n} farther.", "Take {n} as your guide and {n} as your friend.", "Three things remain: {n}, {n} and {n}.", "So keep {n} in your heart.", "Go, and let {n} be your answer.", "That is why we sing.", "This is written for all of us.", "So it is.", "Yes, it does.", "No, it is not.", "Every year, if you can.", "Often.", "At least on Sundays.", "Before the feast.", "Only a priest may do so.", "Such is the custom.", "Perhaps.", "Of course it matters.", "Not at all, if it is done with {n}.", "No, by no means.", "No, never.", "No, not so.", "Not at all.", "Yes, always.", "Yes, and with {n}.", "No, only {n}.", "May {p} be blessed with {n}.", "Lord, grant {n} to {p}.", "Bless us with {n}, O God.", "Let us pray for {n}.", "{P} lit a candle, opened the book and read about {n}.", "For the child {n} is bread, for {p} it is light.", "Some call it {x}, others call it {n}.", "{X} is the word that {p} used for {n}.", "He carried the {x} to {p} and asked for {n}.", "The {x} of {n} is seen in the {x} of {p}.", "One {x} after another {p} gave away, until {n} was left.",
 )
@@ -65,10 +66,10 @@ SORRY = (
 )
 MODEST = (
     ("I am not able to", "I'm not able to", "I cannot", "I can't", "I am unable to", "Nobody is able to", "We cannot", "It is not for us to", "None of us can", "I do not know how to", "You are not able to"),
-    ("look into {p}'s mind", "read your thoughts", "weigh {n} on a scale", "name every gift of {n}", "tell what tomorrow brings", "count the stars", "promise {n} at once", "take the pain away", "say when {n} comes", "know all that you feel", "look into your soul", "carry it for you", "see what God sees", "hold back the {x}", "force {n} on anyone", "praise {n} enough", "put {n} into a {x}", "improve on what {p} said"),
+    ("look into {p}'s mind", "read your thoughts", "weigh {n} on a scale", "name every gift of {n}", "tell what tomorrow brings", "count the stars", "promise {n} at once", "take the pain away", "say when {n} comes", "know all that you feel", "carry it for you", "see what God sees", "hold back the {x}", "force {n} on anyone", "praise {n} enough", "put {n} into a {x}", "improve on what {p} said"),
     ("", ", but {n} is real", ", yet {n} is near", ", but {n} is a light", ", and still {n} grows", "; even so, {n} is worth it", ", but I see {n} in your words", ": {n} is a mystery"),
 )
-FILLERS = ("God keep you.", "God keep you", "God be with you", "May God guard you", "The Lord be with you", "The Lord keep you.", "Bless you", "Bless you all", "Thanks for getting in touch.", "Thanks for the question.", "Good to hear from you.", "I am happy to reply.", "Welcome.", "Hi,", "Hello there,", "Dear reader,", "Dear brother,", "Dear sister in Christ,", "Best wishes.", "Best wishes", "Kind regards", "Yours in Christ", "Blessings.", "Blessings", "Peace.", "Peace", "Have a good day.", "I hope this helps.", "Hope that helps", "Let me know if I can do more.", "You are welcome.", "Any more questions?", "Greetings!", "With love", "In Christ", "So be it.", "So be it", "Alleluia!", "Right.", "Sure.", "Well then.", "A short reply.", "(compare page 12)", "[note 3]", "Kumno,", "Khublei ïa phi.", "Khublei ïa phi", "Kumta.", "Saludos.", "Saludos", "Bendiciones", "Querido amigo,", "De nada.", "Bonjour,", "Cordialement", "Bien à vous.", "Avec joie.", "Guten Tag,", "Liebe Grüße", "Gern geschehen.", "Salve.", "Vale", "Valete.")
+FILLERS = ("God keep you.", "May God guard you", "The Lord be with you", "The Lord keep you.", "Thanks for getting in touch.", "Thanks for the question.", "Good to hear from you.", "I am happy to reply.", "I am glad to help.", "I'm pleased to write back.", "I would love to help you.", "Happy to help.", "Glad to be of use.", "It is a joy to answer you.", "I will gladly explain.", "I am always here to listen.", "Have a blessed week.", "Have a peaceful night.", "Enjoy the day.", "Welcome.", "Hi,", "Hello there,", "Dear reader,", "Dear brother,", "Dear sister in Christ,", "Best wishes.", "Best wishes", "Kind regards", "Yours in Christ", "Blessings.", "Blessings", "Peace.", "Peace", "Have a good day.", "I hope this helps.", "Hope that helps", "Let me know if I can do more.", "You are welcome.", "Any more questions?", "Greetings!", "With love", "In Christ", "So be it.", "So be it", "Alleluia!", "Right.", "Sure.", "Well then.", "A short reply.", "(compare page 12)", "[note 3]", "Kumno,", "Khublei ïa phi.", "Khublei ïa phi", "Kumta.", "Saludos.", "Saludos", "Bendiciones", "Querido amigo,", "De nada.", "Bonjour,", "Cordialement", "Bien à vous.", "Avec joie.", "Guten Tag,", "Liebe Grüße", "Gern geschehen.", "Salve.", "Vale", "Valete.")
 ECHO_HEADS = ("", "", "", "You want to know: ", "Q. ", "Q: ", "A: ", "Re: ", "Message: ", "Your words: ", "I repeat: ", "As you put it: ", "You said: ")
 QUESTIONS = ("How do I learn {n}?", "Why is {n} so hard?", "Is {n} a gift or a duty?", "Who can teach me {n}?", "Tell me about {n} and {n}", "Must I confess a lack of {n}?", "When did {p} speak about {n}?", "My friend lost {n}, what now?", "What is {n}", "Can a child have {n}?", "Explain {n} in two lines, please.", "I can't find {n}; is that a sin?", "Balei ngi donkam ïa ka {n}?", "Kumno nga lah ban ïoh ïa ka {n}?", "¿Cómo se aprende la {n}?", "Comment apprendre la {n} ?", "Wie lernt man {n}?")
 

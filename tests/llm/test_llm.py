@@ -245,7 +245,7 @@ def test_pairs_held_out():
     """Parts and frames of refusals, answers and closings that training has not seen: recall and precision by tag."""
     from quire.llm.pair_examples import table
 
-    crf, rows = pairs.fitted(table(held=False)), table(held=True, seed=77, n=900)
+    crf, rows = pairs.fitted(held=False), table(held=True, seed=77, n=900)
     slots = 10 + 2 * max(len(pairs.norm(c[0])) for r in rows for c in r)
     feats = np.stack([pairs.row_features(pairs.norm(t), *rest, slots) for r in rows for t, _, *rest in r])
     lengths = np.array([len(r) for r in rows])
